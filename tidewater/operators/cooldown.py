@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOUR_MS = 3_600_000
+DAY_MS = 86_400_000
 
 
 def _next_allowed(times: np.ndarray, cooldown: int) -> np.ndarray:
@@ -82,7 +82,7 @@ def _replay(cooldown: int):
 
 
 def fired_times(
-    candidates: DataFrame, key: str, ts_ms: str, cooldown_ms: int = 120_000, block_ms: int = 6 * HOUR_MS
+    candidates: DataFrame, key: str, ts_ms: str, cooldown_ms: int = 120_000, block_ms: int = DAY_MS
 ) -> DataFrame:
     """Distinct (``key``, ``ts_ms``) pairs at which the key fires."""
     if block_ms < cooldown_ms:
@@ -117,7 +117,7 @@ def mark_fired(
     tie: str,
     cooldown_ms: int = 120_000,
     exempt=None,
-    block_ms: int = 6 * HOUR_MS,
+    block_ms: int = DAY_MS,
 ) -> DataFrame:
     """Candidates with a boolean ``fired``; rows matching ``exempt`` always fire and never block others."""
     exempt = F.lit(False) if exempt is None else F.coalesce(exempt, F.lit(False))

@@ -133,19 +133,19 @@ CATALOG = f"""catalog AS (
 
 
 def runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live side: two thirds of the customers (from their orders) and all suppliers, which no catalog knows."""
+    """Live side: customers with at least three open orders, and all suppliers, which no catalog knows."""
     orders = table(spark, sf_dir, "orders")
     k = F.col("o_custkey")
     known = (
-        orders.filter(F.pmod(k, F.lit(3)) != 1)
-        .groupBy(k.alias("k"))
+        orders.groupBy(k.alias("k"))
         .agg(F.count_if(F.col("o_orderstatus") == "O").alias("open_orders"))
+        .filter(F.col("open_orders") >= 3)
         .join(table(spark, sf_dir, "customer"), F.col("k") == F.col("c_custkey"))
         .select(
             F.col("c_name").alias("name"),
             F.when(F.pmod("k", F.lit(2)) == 0, F.concat(F.lit("Live"), F.col("c_mktsegment"))).alias("class_name"),
             F.when(F.pmod("k", F.lit(3)) == 0, F.lit("live-cap")).alias("capabilities"),
-            (F.col("open_orders") > 2).alias("alive"),
+            (F.col("open_orders") > 4).alias("alive"),
             F.lit("serve").alias("runtime_source"),
             F.lit(None).cast("string").alias("route_prefix"),
             (F.lit(NOW_MS) - F.col("open_orders")).alias("last_seen_at"),
@@ -165,10 +165,10 @@ def runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RUNTIME = f"""runtime AS (
   SELECT c.c_name AS name, CASE WHEN o.k % 2 = 0 THEN 'Live' || c.c_mktsegment END AS class_name,
-         CASE WHEN o.k % 3 = 0 THEN 'live-cap' END AS capabilities, o.open_orders > 2 AS alive,
+         CASE WHEN o.k % 3 = 0 THEN 'live-cap' END AS capabilities, o.open_orders > 4 AS alive,
          'serve' AS runtime_source, CAST(NULL AS VARCHAR) AS route_prefix, {NOW_MS} - o.open_orders AS last_seen_at
   FROM (SELECT o_custkey AS k, count(*) FILTER (WHERE o_orderstatus = 'O') AS open_orders
-        FROM orders WHERE o_custkey % 3 <> 1 GROUP BY 1) o JOIN customer c ON c.c_custkey = o.k
+        FROM orders GROUP BY 1 HAVING open_orders >= 3) o JOIN customer c ON c.c_custkey = o.k
   UNION ALL
   SELECT s_name, 'Supplier', 'supply', s_acctbal > 0, 'serve', NULL, NULL FROM supplier)"""
 
