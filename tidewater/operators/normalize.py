@@ -26,26 +26,32 @@ def is_object(value: Column) -> Column:
     return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
 
 
-def _missing(text: Column) -> Column:
-    """True for the values an ``or`` chain skips: null, empty text, numeric zero, false.
+def _fields(record: Column) -> Column:
+    """Map of a JSON object's fields to (text, kept): ``kept`` is the text unless it is null, '', zero or false.
 
-    Works on the text form; a quoted "0" is not zero, which callers rule out by type.
+    ``kept`` gives ``or`` chains their meaning: a quoted "0" counts, the number 0 does not.
     """
-    return text.isNull() | (text == "")
-
-
-def _truthy(value: Column, path: str) -> Column:
-    """Text at ``path`` unless it is null, '', numeric zero or false."""
-    item = F.try_variant_get(value, path, "variant")
-    kind = F.schema_of_variant(item)
-    text = _text(value, path)
-    number = F.try_variant_get(value, path, "double")
-    skipped = (
-        _missing(text)
-        | (~kind.isin("STRING") & F.coalesce(number == 0, F.lit(False)))
-        | ((kind == "BOOLEAN") & (text == "false"))
-    )
-    return F.when(~F.coalesce(skipped, F.lit(True)), text)
+
+    def field(_, item: Column) -> Column:
+        text = F.try_variant_get(item, "$", "string")
+        is_text = F.schema_of_variant(item) == "STRING"
+        zero = F.coalesce(F.try_variant_get(item, "$", "double") == 0, text == "false")
+        return F.struct(text.alias("text"), F.when((text != "") & (is_text | ~zero), text).alias("kept"))
+
+    return F.transform_values(record, field)
+
+
+def _as_fields(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def _first_kept(fields: Column, keys: tuple[str, ...]) -> Column:
+    return F.coalesce(*[fields[k]["kept"] for k in keys])
+
+
+def _bind(value: Column, body) -> Column:
+    """Array of one element: ``body`` applied to ``value``, which is evaluated once."""
+    return F.transform(value, body)
 
 
 def normalize_ticks(
@@ -59,54 +65,53 @@ def normalize_ticks(
 
     Rows without a price are dropped. ``valid`` is false where price, volume or
     time cannot be read as numbers; route those rows to the dead-letter table.
+    The payload is parsed once: each step is a lambda over a one-element array.
     """
     now_ms = F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms
-    v = F.col("v")
-    flat = _text(v, "$.e") == "trade"
-    nested = is_object(F.try_variant_get(v, "$.data", "variant")) & ~_text(v, "$.data").isin("{}")
 
-    def chain(*paths: str) -> Column:
-        return F.coalesce(*[_truthy(v, p) for p in paths])
+    def read_fields(record: Column) -> Column:
+        return F.struct(_fields(record).alias("top"), _fields(_as_fields(record["data"])).alias("data"))
+
+    def read_trade(s: Column) -> Column:
+        top, data = s["top"], s["data"]
+        shape = F.when(top["e"]["text"] == "trade", 1).when(F.size(F.map_keys(data)) > 0, 2).otherwise(3)
+
+        def by_shape(flat: Column, nested: Column, generic: Column) -> Column:
+            return F.when(shape == 1, flat).when(shape == 2, nested).otherwise(generic)
+
+        # the last alternative of an ``or`` chain counts even when it is zero
+        symbol = by_shape(top["s"]["kept"], data["s"]["kept"], _first_kept(top, ("symbol", "s")))
+        return F.struct(
+            by_shape(
+                top["p"]["text"], data["p"]["text"],
+                F.coalesce(_first_kept(top, ("price", "p")), top["close"]["text"]),
+            ).alias("price"),
+            by_shape(
+                top["q"]["kept"], data["q"]["kept"], _first_kept(top, ("volume", "q", "v"))
+            ).alias("amount"),
+            by_shape(
+                F.coalesce(top["T"]["kept"], top["E"]["text"]),
+                F.coalesce(data["T"]["kept"], data["E"]["text"]),
+                F.coalesce(_first_kept(top, ("timestamp", "T")), now_ms.cast("string")),
+            ).alias("at"),
+            F.upper(F.coalesce(symbol, F.lit(default_symbol))).alias("symbol"),
+        )
 
-    parsed = messages.select(*keep, F.try_parse_json(payload).alias("v")).filter(is_object(v))
-    shape = F.when(flat, 1).when(F.coalesce(nested, F.lit(False)), 2).otherwise(3)
-    raw = parsed.withColumn("shape", shape)
-    by_shape = lambda one, two, three: (
-        F.when(F.col("shape") == 1, one).when(F.col("shape") == 2, two).otherwise(three)
-    )
-    raw = raw.select(
-        *keep,
-        by_shape(
-            _text(v, "$.p"), _text(v, "$.data.p"),
-            # the last alternative counts even when it is zero
-            F.coalesce(chain("$.price", "$.p"), _text(v, "$.close")),
-        ).alias("price"),
-        by_shape(
-            _text(v, "$.q"), _text(v, "$.data.q"), F.coalesce(chain("$.volume", "$.q"), _text(v, "$.v"))
-        ).alias("amount"),
-        by_shape(
-            F.coalesce(chain("$.T"), _text(v, "$.E")),
-            F.coalesce(chain("$.data.T"), _text(v, "$.data.E")),
-            F.coalesce(chain("$.timestamp", "$.T"), now_ms.cast("string")),
-        ).alias("at"),
-        F.upper(
-            F.coalesce(
-                by_shape(chain("$.s"), chain("$.data.s"), chain("$.symbol", "$.s")), F.lit(default_symbol)
-            )
-        ).alias("symbol"),
-    ).filter(F.col("price").isNotNull())
-
-    amount = first_truthy_text(F.col("amount"))
-    close, volume = F.col("price").try_cast("double"), amount.try_cast("double")
+    record = F.filter(F.array(_as_fields(F.try_parse_json(payload))), lambda m: m.isNotNull())
+    trades = _bind(_bind(record, read_fields), read_trade)
+    priced = F.filter(trades, lambda t: t["price"].isNotNull())
+    rows = messages.select(*keep, F.explode(priced).alias("t")).select(*keep, "t.*")
+
+    close, volume = F.col("price").try_cast("double"), F.col("amount").try_cast("double")
     at = F.floor(F.col("at").try_cast("double")).cast("bigint")
-    return raw.select(
+    return rows.select(
         *keep,
         "symbol",
         close.alias("close"),
-        F.when(amount.isNull(), 0.0).otherwise(volume).alias("volume"),
+        F.when(F.col("amount").isNull(), 0.0).otherwise(volume).alias("volume"),
         at.alias("timestamp"),
         F.lit("live_stream").alias("provider"),
-        (close.isNotNull() & at.isNotNull() & (amount.isNull() | volume.isNotNull())).alias("valid"),
+        (close.isNotNull() & at.isNotNull() & (F.col("amount").isNull() | volume.isNotNull())).alias("valid"),
     )
 
 
@@ -136,22 +141,20 @@ def normalize_news(
     Input columns: ``symbol`` and the payload. The per-symbol cap is ``market.first_rows``.
     """
     now_s = F.unix_timestamp() if now_s is None else now_s
-    r = F.col("record")
-    first_of = lambda keys: F.coalesce(*[_truthy(r, f"$.{k}") for k in keys])
-    records = unwrap_rows(messages, payload, NEWS_LIST_KEYS).filter(is_object(r))
-    return (
-        records.withColumn("headline", first_of(HEADLINE_KEYS))
-        .filter(F.col("headline").isNotNull())
-        .select(
-            *keep,
-            "symbol",
-            "ordinal",
-            F.trim("headline").alias("headline"),
-            F.coalesce(first_of(SOURCE_KEYS), F.lit(provider)).alias("source"),
-            F.coalesce(first_of(URL_KEYS), F.lit("")).alias("url"),
-            F.coalesce(first_of(DATE_KEYS), now_s.cast("string")).alias("published_at"),
-            F.lit(provider).alias("provider"),
+
+    def read_item(fields: Column) -> Column:
+        return F.struct(
+            F.trim(_first_kept(fields, HEADLINE_KEYS)).alias("headline"),
+            F.coalesce(_first_kept(fields, SOURCE_KEYS), F.lit(provider)).alias("source"),
+            F.coalesce(_first_kept(fields, URL_KEYS), F.lit("")).alias("url"),
+            F.coalesce(_first_kept(fields, DATE_KEYS), now_s.cast("string")).alias("published_at"),
         )
+
+    records = unwrap_rows(messages, payload, NEWS_LIST_KEYS)
+    fields = F.filter(F.array(_as_fields(F.col("record"))), lambda m: m.isNotNull())
+    items = F.filter(_bind(_bind(fields, _fields), read_item), lambda i: i["headline"].isNotNull())
+    return records.select(*keep, "symbol", "ordinal", F.explode(items).alias("i")).select(
+        *keep, "symbol", "ordinal", "i.headline", "i.source", "i.url", "i.published_at", F.lit(provider).alias("provider")
     )
 
 

@@ -54,8 +54,9 @@ def ohlc_files(*paths: str) -> FileSource:
     return FileSource(paths, "csv", OHLC_SCHEMA, {"mode": "PERMISSIVE"}, include_paths=True)
 
 
-def news_files(*paths: str) -> FileSource:
-    return FileSource(paths, "json", NEWS_SCHEMA, {"multiLine": True}, include_paths=True)
+def news_files(*paths: str, multi_line: bool = False) -> FileSource:
+    """Records one per line (splittable) or, with ``multi_line``, one array per file."""
+    return FileSource(paths, "json", NEWS_SCHEMA, {"multiLine": multi_line}, include_paths=True)
 
 
 def whole_documents(*paths: str) -> FileSource:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -59,10 +60,11 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
 def newest_per_key(spark: SparkSession, path: str, schema, key: list[str]) -> DataFrame:
     """Current table behind a folder of update batches: the newest row of each key."""
     columns = [f.name for f in schema.fields if f.name not in key]
-    updates = spark.read.schema(schema.add("batch_id", "bigint") if "batch_id" not in schema.names else schema).parquet(path)
+    with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    updates = spark.read.schema(with_batch).parquet(path)
     return (
         updates.groupBy(*key)
-        .agg(F.max_by(F.struct(*[c for c in columns if c != "batch_id"]), "batch_id").alias("row"))
+        .agg(F.max_by(F.struct(*columns), "batch_id").alias("row"))
         .select(*key, "row.*")
     )
 
