@@ -54,6 +54,22 @@ def _bind(value: Column, body) -> Column:
     return F.transform(value, body)
 
 
+def _kept(fields: Column, keys: tuple[str, ...], payload: Column) -> Column:
+    """First field that is not null, '', zero or false.
+
+    Fields are text, so a quoted "0" (which counts) is told from the number 0 by
+    its quotes in the payload; that look-up happens for zeros only.
+    """
+
+    def one(key: str) -> Column:
+        text = fields[key]
+        blank = (text.try_cast("double") == 0) | (text == "false")
+        quoted = payload.rlike(f'"{key}"\\s*:\\s*"')
+        return F.when((text != "") & (~F.coalesce(blank, F.lit(False)) | quoted), text)
+
+    return F.coalesce(*[one(k) for k in keys])
+
+
 def normalize_ticks(
     messages: DataFrame,
     payload: str = "payload",
@@ -65,53 +81,59 @@ def normalize_ticks(
 
     Rows without a price are dropped. ``valid`` is false where price, volume or
     time cannot be read as numbers; route those rows to the dead-letter table.
-    The payload is parsed once: each step is a lambda over a one-element array.
     """
     now_ms = F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms
+    text = F.col(payload)
+    as_map = lambda c: F.from_json(c, "map<string,string>")
+    # keys differ by case only (e/E, t/T), so the record is a map, not a struct
+    top = messages.select(
+        *[F.col(k) for k in dict.fromkeys((*keep, payload))],
+        F.when(F.startswith(F.ltrim(text), F.lit("{")), as_map(text)).alias("top"),
+    )
+    nested_text = F.when(F.startswith(F.col("top")["data"], F.lit("{")), F.col("top")["data"])
+    parsed = top.select(
+        "*",
+        F.when(F.coalesce(F.col("top")["e"], F.lit("")) != "trade", as_map(nested_text)).alias("data"),
+    )
+    t, d = F.col("top"), F.col("data")
+
+    def by_shape(flat: Column, nested: Column, generic: Column) -> Column:
+        return F.when(t["e"] == "trade", flat).when(F.size(F.map_keys(d)) > 0, nested).otherwise(generic)
+
+    # the last alternative of an ``or`` chain counts even when it is zero
+    price = by_shape(t["p"], d["p"], F.coalesce(_kept(t, ("price", "p"), text), t["close"]))
+    trade = F.struct(
+        price.alias("price"),
+        by_shape(t["q"], d["q"], F.coalesce(_kept(t, ("volume", "q"), text), t["v"])).alias("amount"),
+        by_shape(
+            F.coalesce(_kept(t, ("T",), text), t["E"]),
+            F.coalesce(_kept(d, ("T",), text), d["E"]),
+            F.coalesce(_kept(t, ("timestamp", "T"), text), now_ms.cast("string")),
+        ).alias("at"),
+        F.upper(
+            F.coalesce(
+                by_shape(
+                    _kept(t, ("s",), text), _kept(d, ("s",), text), _kept(t, ("symbol", "s"), text)
+                ),
+                F.lit(default_symbol),
+            )
+        ).alias("symbol"),
+    )
+    # exploding a list of one or none drops rows without parsing the payload twice
+    found = F.when(t.isNotNull(), F.filter(F.array(trade), lambda r: r["price"].isNotNull()))
+    rows = parsed.select(*keep, F.explode(found).alias("t")).select(*keep, "t.*")
 
-    def read_fields(record: Column) -> Column:
-        return F.struct(_fields(record).alias("top"), _fields(_as_fields(record["data"])).alias("data"))
-
-    def read_trade(s: Column) -> Column:
-        top, data = s["top"], s["data"]
-        shape = F.when(top["e"]["text"] == "trade", 1).when(F.size(F.map_keys(data)) > 0, 2).otherwise(3)
-
-        def by_shape(flat: Column, nested: Column, generic: Column) -> Column:
-            return F.when(shape == 1, flat).when(shape == 2, nested).otherwise(generic)
-
-        # the last alternative of an ``or`` chain counts even when it is zero
-        symbol = by_shape(top["s"]["kept"], data["s"]["kept"], _first_kept(top, ("symbol", "s")))
-        return F.struct(
-            by_shape(
-                top["p"]["text"], data["p"]["text"],
-                F.coalesce(_first_kept(top, ("price", "p")), top["close"]["text"]),
-            ).alias("price"),
-            by_shape(
-                top["q"]["kept"], data["q"]["kept"], _first_kept(top, ("volume", "q", "v"))
-            ).alias("amount"),
-            by_shape(
-                F.coalesce(top["T"]["kept"], top["E"]["text"]),
-                F.coalesce(data["T"]["kept"], data["E"]["text"]),
-                F.coalesce(_first_kept(top, ("timestamp", "T")), now_ms.cast("string")),
-            ).alias("at"),
-            F.upper(F.coalesce(symbol, F.lit(default_symbol))).alias("symbol"),
-        )
-
-    record = F.filter(F.array(_as_fields(F.try_parse_json(payload))), lambda m: m.isNotNull())
-    trades = _bind(_bind(record, read_fields), read_trade)
-    priced = F.filter(trades, lambda t: t["price"].isNotNull())
-    rows = messages.select(*keep, F.explode(priced).alias("t")).select(*keep, "t.*")
-
-    close, volume = F.col("price").try_cast("double"), F.col("amount").try_cast("double")
+    amount = F.nullif("amount", F.lit(""))
+    close, volume = F.col("price").try_cast("double"), amount.try_cast("double")
     at = F.floor(F.col("at").try_cast("double")).cast("bigint")
     return rows.select(
         *keep,
         "symbol",
         close.alias("close"),
-        F.when(F.col("amount").isNull(), 0.0).otherwise(volume).alias("volume"),
+        F.when(amount.isNull(), 0.0).otherwise(volume).alias("volume"),
         at.alias("timestamp"),
         F.lit("live_stream").alias("provider"),
-        (close.isNotNull() & at.isNotNull() & (F.col("amount").isNull() | volume.isNotNull())).alias("valid"),
+        (close.isNotNull() & at.isNotNull() & (amount.isNull() | volume.isNotNull())).alias("valid"),
     )
 
 
