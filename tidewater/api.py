@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Path rule and result caps.
-PATH_PATTERN = r"^[A-Za-z0-9_\-./:]+$"
+PATH_PATTERN = r"[A-Za-z0-9_\-./:]+"
 PATH_MAX = 256
 RESULT_CAP = 10_000
 PREVIEW_ROWS = 10
@@ -21,13 +21,13 @@ def check_table_path(path: str) -> str:
         raise ValueError("table path must not be empty")
     if len(path) > PATH_MAX:
         raise ValueError(f"table path is longer than {PATH_MAX} characters")
-    if not re.fullmatch(PATH_PATTERN[1:-1], path):
+    if not re.fullmatch(PATH_PATTERN, path):
         raise ValueError(f"invalid table path: {path!r}")
     return path
 
 
 def is_safe_path(path: Column) -> Column:
-    return F.coalesce((F.length(path) > 0) & (F.length(path) <= PATH_MAX) & path.rlike(PATH_PATTERN), F.lit(False))
+    return F.coalesce((F.length(path) > 0) & (F.length(path) <= PATH_MAX) & path.rlike(rf"\A{PATH_PATTERN}\z"), F.lit(False))
 
 
 def run_sql(spark: SparkSession, sql: str, cap: int = RESULT_CAP) -> dict:
