@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.sentiment import HEADLINE_LEXICON, MESSAGE_LEXICON, NEWS_LEXICON, with_sentiment
 from tidewater.operators import market as m
-from tidewater.operators.rolling import moving_averages, rolling_state
+from tidewater.operators.rolling import chunk_for, moving_averages, rolling_state
 
 OFFSETS = [-120, -90, -60, -35, -20, -10, 0, 12, 25, 40, 55, 70, 82, 95, 105, 116, 128, 141, 155, 170, 185, 198, 212, 228, 245]
 
@@ -114,6 +114,12 @@ def test_rolling_equals_brute_force_for_any_chunk(spark, chunk_ms):
             assert r[name] == (None if value is None else pytest.approx(value, abs=1e-7))
 
 
+def test_chunk_follows_the_busiest_symbol(spark):
+    data = [("hot", 1.0, 1.0, i, i) for i in range(100)] + [("cold", 1.0, 1.0, i * 1000, i) for i in range(10)]
+    assert chunk_for(tick_frame(spark, data), "symbol", "timestamp", 10) == 10
+    assert chunk_for(tick_frame(spark, []), "symbol", "timestamp") == 3_600_000
+
+
 def test_last_rows_use_a_group_limit(spark):
     plan = m.newest_rows(tick_frame(spark, series([1.0])), "symbol", ["timestamp", "id"])._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan

@@ -1,19 +1,21 @@
 """Lexicon sentiment as column expressions.
 
-A text is lower-cased, split on white space, and its distinct words are matched
+A text is lower-cased and its distinct white-space separated words are matched
 against two word lists. Each net hit moves the score by ``step`` up to ``cap``.
+Only list words are taken out of the text, in one regular-expression pass.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.numeric import clamp, rounded
 
-WHITE_SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]+"
+NO_SPACE = r"[^\s\x1c-\x1f]"
 
 
 @dataclass(frozen=True)
@@ -58,21 +60,26 @@ MESSAGE_LEXICON = Lexicon(
 AGGREGATE_LABEL_LIMIT = 0.15
 
 
-def distinct_words(text: Column, strip_punctuation: bool = False) -> Column:
+def found_words(text: Column, vocabulary: tuple[str, ...], strip_punctuation: bool = False) -> Column:
+    """Distinct vocabulary words that occur as whole words of the text."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
     if strip_punctuation:
         lowered = F.translate(lowered, ".,", "  ")
-    return F.array_distinct(F.split(lowered, WHITE_SPACE))
+    words = "|".join(re.escape(w) for w in vocabulary)
+    pattern = f"(?U)(?<!{NO_SPACE})(?:{words})(?!{NO_SPACE})"
+    return F.array_distinct(F.regexp_extract_all(lowered, F.lit(pattern), F.lit(0)))
 
 
-def hits(words: Column, vocabulary: tuple[str, ...]) -> Column:
-    """Size of the intersection of a word set with a vocabulary."""
+def overlap(words: Column, vocabulary: tuple[str, ...]) -> Column:
     return F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in vocabulary])))
 
 
-def net_hits(text: Column, lexicon: Lexicon) -> Column:
-    words = distinct_words(text, lexicon.strip_punctuation)
-    return hits(words, lexicon.positive) - hits(words, lexicon.negative)
+def with_net_hits(df: DataFrame, text: str, lexicon: Lexicon, name: str) -> DataFrame:
+    """Add positive minus negative words; the text is scanned once for both lists."""
+    vocabulary = tuple(dict.fromkeys(lexicon.positive + lexicon.negative))
+    found = df.withColumn("_found", found_words(F.col(text), vocabulary, lexicon.strip_punctuation))
+    net = overlap(F.col("_found"), lexicon.positive) - overlap(F.col("_found"), lexicon.negative)
+    return found.withColumn(name, net).drop("_found")
 
 
 def score_of(net: Column, lexicon: Lexicon) -> Column:
@@ -90,9 +97,9 @@ def label_of(value: Column, limit: float = 0.0) -> Column:
 
 def with_sentiment(df, text: str, lexicon: Lexicon = NEWS_LEXICON, prefix: str = ""):
     """Add ``label`` and ``score`` columns for a text column."""
-    scored = df.withColumn("_net", net_hits(F.col(text), lexicon))
+    scored = with_net_hits(df, text, lexicon, "_net")
     return scored.select(
-        *[c for c in scored.columns if c != "_net"],
+        *df.columns,
         label_of(F.col("_net")).alias(f"{prefix}label"),
         score_of(F.col("_net"), lexicon).alias(f"{prefix}score"),
     )

@@ -48,7 +48,10 @@ def trim_history(
         .filter(F.col("used") <= max_tokens)
         .select("conv_id", "turn", "role", "text", "tokens")
     )
-    leading = sized.join(system, "conv_id").filter(F.col("turn") == F.col("system_turn"))
+    # joined on both keys, so the rows of one long conversation spread over tasks
+    leading = sized.join(
+        system.select("conv_id", F.col("system_turn").alias("turn")), ["conv_id", "turn"], "left_semi"
+    )
     return kept.unionByName(leading.select("conv_id", "turn", "role", "text", "tokens"))
 
 

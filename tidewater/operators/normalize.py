@@ -54,20 +54,19 @@ def _bind(value: Column, body) -> Column:
     return F.transform(value, body)
 
 
-def _kept(fields: Column, keys: tuple[str, ...], payload: Column) -> Column:
-    """First field that is not null, '', zero or false.
+def _kept_text(fields: Column, payload: Column) -> Column:
+    """The fields an ``or`` chain keeps: not null, '', zero or false.
 
     Fields are text, so a quoted "0" (which counts) is told from the number 0 by
     its quotes in the payload; that look-up happens for zeros only.
     """
 
-    def one(key: str) -> Column:
-        text = fields[key]
-        blank = (text.try_cast("double") == 0) | (text == "false")
-        quoted = payload.rlike(f'"{key}"\\s*:\\s*"')
-        return F.when((text != "") & (~F.coalesce(blank, F.lit(False)) | quoted), text)
+    def keep(key: Column, text: Column) -> Column:
+        blank = F.coalesce((text.try_cast("double") == 0) | (text == "false"), F.lit(False))
+        quoted = F.rlike(payload, F.concat(F.lit('"'), key, F.lit('"\\s*:\\s*"')))
+        return F.when(text != "", F.when(~blank, text).when(quoted, text))
 
-    return F.coalesce(*[one(k) for k in keys])
+    return F.transform_values(fields, keep)
 
 
 def normalize_ticks(
@@ -95,26 +94,27 @@ def normalize_ticks(
         "*",
         F.when(F.coalesce(F.col("top")["e"], F.lit("")) != "trade", as_map(nested_text)).alias("data"),
     )
-    t, d = F.col("top"), F.col("data")
+    parsed = parsed.withColumns(
+        {"kept": _kept_text(F.col("top"), text), "kept_data": _kept_text(F.col("data"), text)}
+    )
+    t, d, kept, kept_data = (F.col(c) for c in ("top", "data", "kept", "kept_data"))
 
     def by_shape(flat: Column, nested: Column, generic: Column) -> Column:
         return F.when(t["e"] == "trade", flat).when(F.size(F.map_keys(d)) > 0, nested).otherwise(generic)
 
     # the last alternative of an ``or`` chain counts even when it is zero
-    price = by_shape(t["p"], d["p"], F.coalesce(_kept(t, ("price", "p"), text), t["close"]))
+    price = by_shape(t["p"], d["p"], F.coalesce(kept["price"], kept["p"], t["close"]))
     trade = F.struct(
         price.alias("price"),
-        by_shape(t["q"], d["q"], F.coalesce(_kept(t, ("volume", "q"), text), t["v"])).alias("amount"),
+        by_shape(t["q"], d["q"], F.coalesce(kept["volume"], kept["q"], t["v"])).alias("amount"),
         by_shape(
-            F.coalesce(_kept(t, ("T",), text), t["E"]),
-            F.coalesce(_kept(d, ("T",), text), d["E"]),
-            F.coalesce(_kept(t, ("timestamp", "T"), text), now_ms.cast("string")),
+            F.coalesce(kept["T"], t["E"]),
+            F.coalesce(kept_data["T"], d["E"]),
+            F.coalesce(kept["timestamp"], kept["T"], now_ms.cast("string")),
         ).alias("at"),
         F.upper(
             F.coalesce(
-                by_shape(
-                    _kept(t, ("s",), text), _kept(d, ("s",), text), _kept(t, ("symbol", "s"), text)
-                ),
+                by_shape(kept["s"], kept_data["s"], F.coalesce(kept["symbol"], kept["s"])),
                 F.lit(default_symbol),
             )
         ).alias("symbol"),

@@ -1,8 +1,9 @@
 """Exact order statistics per group without sorting a whole group in one task.
 
 Two passes: an approximate percentile gives each group a narrow value bracket
-around every wanted rank, then only the values inside the brackets are ordered,
-as (value, count) pairs; everything else is counted with partial aggregation.
+around every wanted rank (small groups take their whole range), then only the
+values inside the brackets are ordered, as (value, count) pairs; everything else
+is counted with partial aggregation, so a hot group costs no more than a scan.
 """
 
 from __future__ import annotations
@@ -23,28 +24,34 @@ def nearest_rank_index(n: Column, p: float) -> Column:
     return round_half_even(F.lit(p) * (n - 1))
 
 
-def exact_median_and_p95(df: DataFrame, group: list[str], value: str, p95: float = 0.95) -> DataFrame:
-    """Columns ``n``, ``median`` and ``p95`` per group; null values are left out."""
-    values = df.select(*group, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    counts = values.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("c"))
-
+def _sketched(values: DataFrame, group: list[str], p95: float, extra: list[Column]) -> DataFrame:
+    """First pass: count, value brackets around both ranks, and any further aggregates."""
     fractions = [0.5 - BRACKET_MARGIN, 0.5 + BRACKET_MARGIN, p95 - BRACKET_MARGIN, min(1.0, p95 + BRACKET_MARGIN)]
     sketch = values.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
-        F.min("v").alias("lowest"),
-        F.max("v").alias("highest"),
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
         F.percentile_approx("v", fractions, SKETCH_ACCURACY).alias("cut"),
+        *extra,
     )
     small = F.col("n") <= SMALL_GROUP
-    brackets = sketch.select(
+    edges = {"mid_lo": "min", "mid_hi": "max", "top_lo": "min", "top_hi": "max"}
+    return sketch.withColumns(
+        {name: F.when(small, F.col(edge)).otherwise(F.col("cut")[i]) for i, (name, edge) in enumerate(edges.items())}
+    ).drop("cut")
+
+
+def exact_summary(df: DataFrame, group: list[str], value: str, p95: float = 0.95) -> DataFrame:
+    """n, mean, sample deviation (0 below two values), median, min, max and nearest-rank p95 per group.
+
+    Null values are left out.
+    """
+    values = df.select(*group, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    moments = [F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std")]
+    sketch = _sketched(values, group, p95, moments)
+    known = sketch.select(
         *[F.col(g).alias(f"g_{g}") for g in group],
-        "n",
-        *[
-            F.when(small, F.col(edge)).otherwise(F.col("cut")[i]).alias(name)
-            for i, (name, edge) in enumerate(
-                [("mid_lo", "lowest"), ("mid_hi", "highest"), ("top_lo", "lowest"), ("top_hi", "highest")]
-            )
-        ],
+        *[c for c in sketch.columns if c not in group],
     )
     same_group = [F.col(g).eqNullSafe(F.col(f"g_{g}")) for g in group]
     v = F.col("v")
@@ -55,42 +62,36 @@ def exact_median_and_p95(df: DataFrame, group: list[str], value: str, p95: float
         .when(v < F.col("top_lo"), 2)
         .when(v <= F.col("top_hi"), 3)
     )
-    segmented = counts.join(brackets, same_group).withColumn("segment", segment).filter("segment IS NOT NULL")
-    # outside the brackets only the number of rows matters: one row per segment
-    reduced = segmented.groupBy(
-        *group, "n", "segment", F.when(F.col("segment").isin(1, 3), v).alias("v")
-    ).agg(F.sum("c").alias("c"))
-    ordered = W.partitionBy(*group).orderBy("segment", "v")
+    carried = [f"g_{g}" for g in group] + ["n", "mean", "std", "min", "max"]
+    # outside the brackets only the number of rows matters: one partial row per segment and task
+    reduced = (
+        values.join(known, same_group)
+        .select(*carried, segment.alias("segment"), "v")
+        .filter(F.col("segment").isNotNull())
+        .groupBy(*carried, "segment", F.when(F.col("segment").isin(1, 3), v).alias("v"))
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    ordered = W.partitionBy(*carried).orderBy("segment", "v")
     reached = reduced.withColumn("upto", F.sum("c").over(ordered))
-
     n = F.col("n")
 
     def value_at(rank: Column) -> Column:
         return F.min(F.when(F.col("upto") > rank, F.col("v")))
 
-    lower = F.floor((n - 1) / 2)
-    upper = F.ceil((n - 1) / 2)
-    return reached.groupBy(*group).agg(
-        F.max("n").alias("n"),
-        ((value_at(lower) + value_at(upper)) / 2).alias("median"),
-        value_at(nearest_rank_index(n, p95)).alias("p95"),
+    lower, upper = F.floor((n - 1) / 2), F.ceil((n - 1) / 2)
+    return (
+        reached.groupBy(*carried)
+        .agg(
+            ((value_at(lower) + value_at(upper)) / 2).alias("median"),
+            value_at(nearest_rank_index(n, p95)).alias("p95"),
+        )
+        .select(*[F.col(f"g_{g}").alias(g) for g in group], "n", "mean", "std", "median", "min", "max", "p95")
     )
 
 
-def exact_summary(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """n, mean, sample deviation (0 below two values), median, min, max and nearest-rank p95."""
-    values = df.select(*group, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    moments = values.groupBy(*group).agg(
-        F.avg("v").alias("mean"),
-        F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
-    )
-    ranks = exact_median_and_p95(values, group, "v").select(
-        *[F.col(g).alias(f"r_{g}") for g in group], "n", "median", "p95"
-    )
-    same_group = [F.col(g).eqNullSafe(F.col(f"r_{g}")) for g in group]
-    return moments.join(ranks, same_group).select(*group, "n", "mean", "std", "median", "min", "max", "p95")
+def exact_median_and_p95(df: DataFrame, group: list[str], value: str, p95: float = 0.95) -> DataFrame:
+    """Columns ``n``, ``median`` and ``p95`` per group; null values are left out."""
+    return exact_summary(df, group, value, p95).select(*group, "n", "median", "p95")
 
 
 def approximate_summary(df: DataFrame, group: list[str], value: str) -> DataFrame:

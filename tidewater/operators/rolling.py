@@ -49,6 +49,15 @@ def with_lookback(
     return rows.unionByName(borrowed)
 
 
+def chunk_for(df: DataFrame, key: str, ts_ms: str, rows_per_task: int = 2_000_000) -> int:
+    """Chunk length at which the busiest key has about ``rows_per_task`` rows per chunk (one aggregate job)."""
+    per_key = df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), (F.max(ts_ms) - F.min(ts_ms) + 1).alias("span")
+    )
+    shortest = per_key.agg(F.min(F.col("span") * rows_per_task / F.col("n")).alias("ms")).first()["ms"]
+    return max(1, int(shortest or HOUR_MS))
+
+
 def rolling_state(
     ticks: DataFrame, key: str = "symbol", ts_ms: str = "timestamp", tie: str = "id", chunk_ms: int = HOUR_MS
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.numeric import rounded
 from tidewater.functions.sentiment import (
-    HEADLINE_LEXICON, MESSAGE_LEXICON, Lexicon, distinct_words, hits, label_of, net_hits, score_of, with_sentiment,
+    HEADLINE_LEXICON, MESSAGE_LEXICON, Lexicon, found_words, with_sentiment,
 )
 from tidewater.operators import market as m
 from tidewater.operators.normalize import analyst_result, parsed_action, trimmed_headlines
@@ -272,7 +272,7 @@ _sentiment_query(
 )
 def overlap(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", hits(distinct_words(F.col("text")), COMMON_WORDS.positive).alias("overlap"))
+    return d.select("doc_id", F.size(found_words(F.col("text"), COMMON_WORDS.positive)).alias("overlap"))
 
 
 NET = net_hits_sql("headline", COMMON_WORDS.positive, COMMON_WORDS.negative)

@@ -403,7 +403,19 @@ def metrics(spark, sf_dir):
     return documents.document_metrics(table(spark, sf_dir, "documents")).select("doc_id", "char_count", "line_count", "word_count")
 
 
-@query("f14_page_text")
+PAGE_TEXT = r"""
+WITH t AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+    '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'),
+    '(?s)<[^>]*>', ' ', 'g') AS x FROM pages),
+u AS (SELECT page_id, html, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'),
+    '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS x FROM t),
+p AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title,
+    trim(regexp_replace(x, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS page_text
+    FROM u)
+SELECT *, length(page_text) AS text_length FROM p"""
+
+
+@query("f14_page_text", PAGE_TEXT)
 def page_text(spark, sf_dir):
     """Visible text of every page: tags, scripts and comments gone, entities decoded."""
     text = documents.html_to_text(F.col("html"))

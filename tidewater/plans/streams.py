@@ -127,25 +127,24 @@ def _landing(spark, sf_dir):
 )
 def landing(spark, sf_dir):
     """JSON lines in capped micro-batches; lines that do not parse reach the dead-letter table."""
-    good, dead, checkpoint = (scratch_path(spark, n) for n in ("good", "dead", "checkpoint"))
+    path, checkpoint = scratch_path(spark, "routed"), scratch_path(spark, "checkpoint")
     lines = windows.landing_stream(spark, _landing(spark, sf_dir), "value string", "text", files_per_trigger=8)
     rows = windows.parse_landing(lines, "event_id bigint, event_type string, value double")
-    sink = outputs.with_dead_letters(good, dead, F.col("corrupt").isNull(), F.lit("not a JSON object"))
+    sink = outputs.with_dead_letters(path, F.col("corrupt").isNull(), F.lit("not a JSON object"))
     windows.drain(rows, checkpoint, sink)
-    both = spark.read.parquet(good).select(F.lit("good").alias("route"), "event_id").unionByName(
-        spark.read.parquet(dead).select(F.lit("dead").alias("route"), "event_id")
+    return spark.read.parquet(path).groupBy("route").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum("event_id").alias("id_sum")
     )
-    return both.groupBy("route").agg(F.count(F.lit(1)).alias("row_count"), F.sum("event_id").alias("id_sum"))
 
 
-@query("s13_micro_batches")
+@query("s13_micro_batches", "SELECT event_id, event_type, value FROM events WHERE event_type <> 'error'")
 def micro_batches(spark, sf_dir):
     """Valid landing rows as they arrive, in capped batches."""
     path, checkpoint = scratch_path(spark, "rows"), scratch_path(spark, "checkpoint")
     lines = windows.landing_stream(spark, _landing(spark, sf_dir), "value string", "text", files_per_trigger=4)
     rows = windows.parse_landing(lines, "event_id bigint, event_type string, value double").filter("corrupt IS NULL").drop("corrupt")
     windows.drain(rows, checkpoint, windows.batch_writer(path))
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select("event_id", "event_type", "value")
 
 
 @query("r06_bounded_drain", "SELECT event_id AS id, event_type AS symbol, value AS close FROM events")
@@ -156,13 +155,19 @@ def bounded_drain(spark, sf_dir):
     return spark.read.parquet(path).select("id", "symbol", "close")
 
 
-@query("r14_late_rows")
+@query(
+    "r14_late_rows",
+    f"""WITH {TICKS}, w AS (SELECT "timestamp" - "timestamp" % 10000 AS time, symbol, {r('avg(close)', 6)} AS avg_price, count(*) AS count
+      FROM ticks GROUP BY 1, 2)
+    SELECT * FROM w WHERE time + 10000 <= (SELECT max("timestamp") FROM ticks) - 60000""",
+)
 def late_rows(spark, sf_dir):
     """One minute of lateness: windows are emitted once they are closed; later rows are dropped."""
     path, checkpoint = scratch_path(spark, "closed"), scratch_path(spark, "checkpoint")
     counts = windows.windowed_counts(_tick_stream(spark, sf_dir))
     windows.drain(counts, checkpoint, windows.batch_writer(path))
-    return spark.read.schema(counts.schema).parquet(path)
+    closed = spark.read.schema(counts.schema).parquet(path).select(*counts.columns)
+    return closed.withColumn("avg_price", rounded(F.col("avg_price"), 6))
 
 
 @query(

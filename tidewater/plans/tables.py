@@ -145,13 +145,9 @@ def dead_letters(spark, sf_dir):
     price = F.when(F.col("event_type") == "error", "n/a").otherwise(F.col("value").cast("string"))
     payload = F.to_json(F.struct(F.col("event_type").alias("symbol"), price.alias("price"), F.lit(1).alias("volume"), F.lit(NOW_MS).alias("timestamp")))
     rows = normalize_ticks(e.select("event_id", payload.alias("payload")), keep=("event_id", "payload"), now_ms=F.lit(NOW_MS))
-    good, bad = lake.split_dead_letters(rows, F.col("valid"), F.lit("price, volume or time is no number"), F.lit("2024-02-01").cast("date"))
-    good_path, bad_path = scratch_path(spark, "good"), scratch_path(spark, "dead")
-    lake.write_table(good, good_path, "overwrite")
-    lake.write_table(bad, bad_path, "overwrite", ("dlq_date",))
-    both = lake.read_table(spark, good_path).select("event_id", F.lit("good").alias("route"), F.lit(None).cast("string").alias("dlq_error")).unionByName(
-        lake.read_table(spark, bad_path).select("event_id", F.lit("dead").alias("route"), "dlq_error")
-    )
+    path = scratch_path(spark, "routed")
+    lake.write_with_dead_letters(rows, path, F.col("valid"), F.lit("price, volume or time is no number"), F.lit("2024-02-01").cast("date"))
+    both = lake.read_table(spark, path)
     return both.groupBy("route").agg(
         F.count(F.lit(1)).alias("row_count"), F.sum("event_id").alias("id_sum"), F.count("dlq_error").alias("with_error")
     )

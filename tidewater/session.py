@@ -68,14 +68,3 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for a written table or a stream checkpoint."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back.
-
-    Used where one intermediate result feeds several branches: a written table
-    survives the loss of executors and is scanned with column pruning.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -61,10 +61,21 @@ def skip_conflicts(new_rows: DataFrame, existing: DataFrame, key: list[str], ord
     return first.join(existing.select(*key), key, "left_anti").select(*new_rows.columns)
 
 
-def split_dead_letters(df: DataFrame, valid: Column, error: Column, day: Column) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad rows with ``dlq_error`` and ``dlq_date``)."""
+def write_with_dead_letters(
+    df: DataFrame, path: str, valid: Column, error: Column, day: Column, mode: str = "append"
+) -> None:
+    """Good and bad rows in one pass: ``route=good`` and ``route=dead`` folders below ``path``.
+
+    The input is evaluated once; bad rows carry ``dlq_error`` and ``dlq_date``.
+    """
     ok = F.coalesce(valid, F.lit(False))
-    return df.filter(ok), df.filter(~ok).select("*", error.alias("dlq_error"), day.alias("dlq_date"))
+    routed = df.select(
+        "*",
+        F.when(~ok, error).alias("dlq_error"),
+        F.when(~ok, day).alias("dlq_date"),
+        F.when(ok, "good").otherwise("dead").alias("route"),
+    )
+    write_table(routed, path, mode, ("route",))
 
 
 def write_or_dead_letter(df: DataFrame, path: str, dlq_path: str, **options) -> str | None:

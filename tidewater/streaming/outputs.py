@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidewater.sinks.lake import write_with_dead_letters
+
 Sink = Callable[[DataFrame, int], None]
 
 STATUS_SCHEMA = "batch_id bigint, sink string, persisted boolean, target string, error string"
@@ -62,18 +64,12 @@ def overwrite_then_append(path: str) -> Sink:
     return write
 
 
-def with_dead_letters(path: str, dlq_path: str, valid: Column, error: Column) -> Sink:
-    """Good rows to the table, bad rows with their error to the dead-letter table, per batch id."""
+def with_dead_letters(path: str, valid: Column, error: Column, day: Column | None = None) -> Sink:
+    """Good and bad rows of each batch in one pass, as ``route`` folders below ``path/batch_id=<id>``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ok = F.coalesce(valid, F.lit(False))
-        batch.persist()
-        try:
-            batch.filter(ok).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-            bad = batch.filter(~ok).withColumn("dlq_error", error)
-            bad.write.mode("overwrite").parquet(f"{dlq_path}/batch_id={batch_id}")
-        finally:
-            batch.unpersist()
+        on = F.current_date() if day is None else day
+        write_with_dead_letters(batch, f"{path}/batch_id={batch_id}", valid, error, on, "overwrite")
 
     return write
 
