@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.sentiment import HEADLINE_LEXICON, MESSAGE_LEXICON, NEWS_LEXICON, with_sentiment
 from tidewater.operators import market as m
-from tidewater.operators.rolling import chunk_for, moving_averages, rolling_state
+from tidewater.operators.rolling import moving_averages, rolling_state
 
 OFFSETS = [-120, -90, -60, -35, -20, -10, 0, 12, 25, 40, 55, 70, 82, 95, 105, 116, 128, 141, 155, 170, 185, 198, 212, 228, 245]
 
@@ -93,33 +93,27 @@ def brute_force(data):
     return out
 
 
-@pytest.mark.parametrize("chunk_ms", [1, 7, 50, 10_000])
-def test_rolling_equals_brute_force_for_any_chunk(spark, chunk_ms):
-    """One symbol holds most rows; chunks range from single ticks (borrowing over many chunks) to everything."""
-    rng = random.Random(chunk_ms)
+@pytest.mark.parametrize("rows_per_chunk", [1, 7, 50, 10_000])
+def test_rolling_equals_brute_force_for_any_chunk(spark, rows_per_chunk):
+    """One symbol holds most rows; chunks range from about one tick (borrowing over many chunks) to everything."""
+    rng = random.Random(rows_per_chunk)
     data = [
         ("hot" if rng.random() < 0.7 else f"s{rng.randrange(4)}", round(rng.uniform(1, 9), 2), float(rng.randrange(3)), rng.randrange(400), i)
         for i in range(300)
     ]
     expected = brute_force(data)
-    got = rows(rolling_state(tick_frame(spark, data), chunk_ms=chunk_ms))
+    got = rows(rolling_state(tick_frame(spark, data), rows_per_chunk=rows_per_chunk))
     assert len(got) == len(data)
     for r in got:
         for name, value in expected[r["id"]].items():
             assert r[name] == (None if value is None else pytest.approx(value, abs=1e-7)), (r["id"], name)
-    averages = rows(moving_averages(tick_frame(spark, data), chunk_ms=chunk_ms))
+    averages = rows(moving_averages(tick_frame(spark, data), rows_per_chunk=rows_per_chunk))
     for r in averages:
         for name in ("sma_5", "sma_20"):
             value = expected[r["id"]][name]
             assert r[name] == (None if value is None else pytest.approx(value, abs=1e-7))
 
 
-def test_chunk_follows_the_busiest_symbol(spark):
-    data = [("hot", 1.0, 1.0, i, i) for i in range(100)] + [("cold", 1.0, 1.0, i * 1000, i) for i in range(10)]
-    assert chunk_for(tick_frame(spark, data), "symbol", "timestamp", 10) == 10
-    assert chunk_for(tick_frame(spark, []), "symbol", "timestamp") == 3_600_000
-
-
 def test_last_rows_use_a_group_limit(spark):
     plan = m.newest_rows(tick_frame(spark, series([1.0])), "symbol", ["timestamp", "id"])._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan

@@ -9,8 +9,8 @@ of the block start (or is the first one after it). So:
 2. those short lists are walked block by block per key to fix each block's first event;
 3. every block replays its own events from there.
 
-Steps 1 and 3 run in parallel over (key, block); step 2 streams the short lists
-through sorted partitions and holds one block's list at a time.
+Steps 1 and 3 run in parallel over (key, block) and handle many blocks per Arrow
+batch; step 2 streams the short lists through sorted partitions, row by row.
 """
 
 from __future__ import annotations
@@ -25,26 +25,51 @@ from pyspark.sql import functions as F
 DAY_MS = 86_400_000
 
 
-def _next_allowed(times: np.ndarray, cooldown: int) -> np.ndarray:
-    return np.searchsorted(times, times + cooldown, side="left")
-
-
-def _exits(cooldown: int):
-    def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        times = pdf["t"].to_numpy()
-        following = _next_allowed(times, cooldown)
-        last = np.arange(len(times))
-        for i in range(len(times) - 1, -1, -1):
-            if following[i] < len(times):
-                last[i] = last[following[i]]
-        start = pdf["block_start"].iloc[0]
-        reach = min(int(np.searchsorted(times, start + cooldown, side="left")) + 1, len(times))
-        return pd.DataFrame(
-            {"k": pdf["k"].iloc[0], "block": pdf["block"].iloc[0], "entry": times[:reach], "exit": times[last[:reach]]}
-        )
+def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Arrow batches of rows sorted by (k, block), re-cut so that no group spans two of them."""
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
+        last = (pdf["k"] == pdf["k"].iloc[-1]) & (pdf["block"] == pdf["block"].iloc[-1])
+        held = pdf[last]
+        if len(held) < len(pdf):
+            yield pdf[~last].reset_index(drop=True)
+    if held is not None and not held.empty:
+        yield held.reset_index(drop=True)
+
+
+def _layout(pdf: pd.DataFrame, cooldown: int, block_ms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(time in block, row that may fire next or the group's end, end of the row's group) for sorted rows."""
+    first = ((pdf["k"] != pdf["k"].shift()) | (pdf["block"] != pdf["block"].shift())).to_numpy()
+    group = np.cumsum(first) - 1
+    ends = np.append(np.flatnonzero(first)[1:], len(pdf))[group]
+    offset = pdf["t"].to_numpy() - pdf["block"].to_numpy() * block_ms
+    line = group * (block_ms + cooldown + 1) + offset  # all groups on one line, too far apart to meet
+    return offset, np.searchsorted(line, line + cooldown, side="left"), ends
+
+
+def _exits(cooldown: int, block_ms: int):
+    def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_groups(batches):
+            offset, following, ends = _layout(pdf, cooldown, block_ms)
+            row = np.arange(len(pdf))
+            last = np.where(following < ends, following, row)
+            while True:  # doubling: each round follows twice as many steps
+                further = last[last]
+                if np.array_equal(further, last):
+                    break
+                last = further
+            # possible first events: all within one cooldown of the block start and the one after them
+            early = offset < cooldown
+            starts = np.append(True, ends[1:] != ends[:-1])
+            entry = early | starts | np.append(False, early[:-1])
+            yield pd.DataFrame(
+                {"k": pdf["k"], "block": pdf["block"], "entry": pdf["t"], "exit": pdf["t"].to_numpy()[last]}
+            )[entry]
 
-    return per_block
+    return per_partition
 
 
 def _walk(cooldown: int):
@@ -67,18 +92,17 @@ def _walk(cooldown: int):
     return per_partition
 
 
-def _replay(cooldown: int):
-    def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        times = pdf["t"].to_numpy()
-        following = _next_allowed(times, cooldown)
-        i, fired = int(np.searchsorted(times, pdf["entry"].iloc[0])), []
-        while i < len(times):
-            fired.append(i)
-            i = int(following[i])
-        return pdf.iloc[fired][["k", "t"]]
+def _replay(cooldown: int, block_ms: int):
+    def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_groups(batches):
+            _, following, ends = _layout(pdf, cooldown, block_ms)
+            fires = (pdf["t"] == pdf["entry"]).tolist()
+            for i, (after, end) in enumerate(zip(following.tolist(), ends.tolist())):
+                if fires[i] and after < end:
+                    fires[after] = True
+            yield pdf.loc[fires, ["k", "t"]]
 
-    return per_block
+    return per_partition
 
 
 def fired_times(
@@ -92,20 +116,18 @@ def fired_times(
         candidates.select(F.col(key).alias("k"), F.col(ts_ms).cast("bigint").alias("t"))
         .distinct()  # at one instant a key fires at most once
         .withColumn("block", F.floor(F.col("t") / block_ms).cast("bigint"))
-        .withColumn("block_start", F.col("block") * block_ms)
     )
-    exits = moments.groupBy("k", "block").applyInPandas(
-        _exits(cooldown_ms), f"k {key_type}, block bigint, entry bigint, exit bigint"
+    sorted_blocks = lambda df: df.repartition("k", "block").sortWithinPartitions("k", "block", "t")
+    exits = sorted_blocks(moments).mapInPandas(
+        _exits(cooldown_ms, block_ms), f"k {key_type}, block bigint, entry bigint, exit bigint"
     )
     entries = (
         exits.repartition("k")
         .sortWithinPartitions("k", "block", "entry")
         .mapInPandas(_walk(cooldown_ms), f"k {key_type}, block bigint, entry bigint")
     )
-    fired = (
-        moments.join(entries, ["k", "block"])
-        .groupBy("k", "block")
-        .applyInPandas(_replay(cooldown_ms), f"k {key_type}, t bigint")
+    fired = sorted_blocks(moments.join(entries, ["k", "block"])).mapInPandas(
+        _replay(cooldown_ms, block_ms), f"k {key_type}, t bigint"
     )
     return fired.select(F.col("k").alias(key), F.col("t").alias(ts_ms))
 

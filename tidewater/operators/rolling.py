@@ -8,29 +8,43 @@ from pyspark.sql import functions as F
 
 from tidewater.operators.market import SMA_LONG, SMA_SHORT, WINDOW_ROWS, trend_score
 
-HOUR_MS = 3_600_000
+ROWS_PER_CHUNK = 500_000
 
 
 def with_lookback(
-    df: DataFrame, key: str, ts_ms: str, tie: str, lookback: int, chunk_ms: int = HOUR_MS
+    df: DataFrame, key: str, ts_ms: str, tie: str, lookback: int, rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> DataFrame:
-    """Cut each key into time chunks and prepend the ``lookback`` rows before each chunk.
+    """Cut keys with many rows into time chunks and prepend the ``lookback`` rows before each chunk.
 
     Row frames that reach at most ``lookback`` rows back then give the same
-    result inside (key, ``chunk``) as over the whole key, so the work is spread
-    over chunks instead of keys. Prepended rows carry ``borrowed = true`` and are
-    dropped after the frames were evaluated.
+    result inside (key, ``chunk``) as over the whole key, so a busy key is spread
+    over many tasks. A key with at most ``rows_per_chunk`` rows is one chunk and
+    borrows nothing. Prepended rows carry ``borrowed = true`` and are dropped
+    after the frames were evaluated.
     """
-    rows = df.withColumn("chunk", F.floor(F.col(ts_ms) / chunk_ms)).withColumn("borrowed", F.lit(False))
+    span = F.max(ts_ms) - F.min(ts_ms) + 1
+    # at most (all rows / rows_per_chunk) keys, so this side of the join stays small
+    busy = (
+        df.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("n"), F.min(ts_ms).alias("start"), span.alias("span"))
+        .filter(F.col("n") > rows_per_chunk)
+        .select(key, "start", (F.col("span") * rows_per_chunk / F.col("n")).alias("chunk_ms"))
+    )
+    rows = df.join(busy, key, "left").select(
+        *df.columns,
+        F.floor((F.col(ts_ms) - F.col("start")) / F.col("chunk_ms")).alias("chunk"),
+        F.lit(False).alias("borrowed"),
+    )
+    cut = rows.filter(F.col("chunk").isNotNull())
 
     newest_first = W.partitionBy(key, "chunk").orderBy(F.col(ts_ms).desc(), F.col(tie).desc())
-    tails = rows.withColumn("from_end", F.row_number().over(newest_first)).filter(F.col("from_end") <= lookback)
+    tails = cut.withColumn("from_end", F.row_number().over(newest_first)).filter(F.col("from_end") <= lookback)
 
     # Chunk sizes are one row per (key, chunk); running totals over them say how
     # many rows lie between two chunks. A chunk has a row at least, so only the
     # next `lookback` chunks can need something from this one.
     by_chunk = W.partitionBy(key).orderBy("chunk")
-    sizes = rows.groupBy(key, "chunk").agg(F.count(F.lit(1)).alias("size"))
+    sizes = cut.groupBy(key, "chunk").agg(F.count(F.lit(1)).alias("size"))
     sizes = sizes.withColumn("up_to_here", F.sum("size").over(by_chunk))
     sizes = sizes.withColumn("before_here", F.col("up_to_here") - F.col("size"))
     followers = F.collect_list(F.struct("chunk", "before_here")).over(by_chunk.rowsBetween(1, lookback))
@@ -49,21 +63,12 @@ def with_lookback(
     return rows.unionByName(borrowed)
 
 
-def chunk_for(df: DataFrame, key: str, ts_ms: str, rows_per_task: int = 2_000_000) -> int:
-    """Chunk length at which the busiest key has about ``rows_per_task`` rows per chunk (one aggregate job)."""
-    per_key = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), (F.max(ts_ms) - F.min(ts_ms) + 1).alias("span")
-    )
-    shortest = per_key.agg(F.min(F.col("span") * rows_per_task / F.col("n")).alias("ms")).first()["ms"]
-    return max(1, int(shortest or HOUR_MS))
-
-
 def rolling_state(
-    ticks: DataFrame, key: str = "symbol", ts_ms: str = "timestamp", tie: str = "id", chunk_ms: int = HOUR_MS
+    ticks: DataFrame, key: str = "symbol", ts_ms: str = "timestamp", tie: str = "id", rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> DataFrame:
     """Strict market state as of every tick over the last 25 ticks of its symbol."""
     spread = with_lookback(
-        ticks.select(key, ts_ms, tie, "close", "volume"), key, ts_ms, tie, WINDOW_ROWS - 1, chunk_ms
+        ticks.select(key, ts_ms, tie, "close", "volume"), key, ts_ms, tie, WINDOW_ROWS - 1, rows_per_chunk
     )
     ordered = W.partitionBy(key, "chunk").orderBy(ts_ms, tie)
     full = ordered.rowsBetween(-(WINDOW_ROWS - 1), 0)
@@ -102,10 +107,10 @@ def rolling_state(
 
 
 def moving_averages(
-    ticks: DataFrame, key: str = "symbol", ts_ms: str = "timestamp", tie: str = "id", chunk_ms: int = HOUR_MS
+    ticks: DataFrame, key: str = "symbol", ts_ms: str = "timestamp", tie: str = "id", rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> DataFrame:
     """Only the two moving averages at every tick; null until enough ticks exist."""
-    spread = with_lookback(ticks.select(key, ts_ms, tie, "close"), key, ts_ms, tie, SMA_LONG - 1, chunk_ms)
+    spread = with_lookback(ticks.select(key, ts_ms, tie, "close"), key, ts_ms, tie, SMA_LONG - 1, rows_per_chunk)
     ordered = W.partitionBy(key, "chunk").orderBy(ts_ms, tie)
     averages = spread
     for name, length in (("sma_5", SMA_SHORT), ("sma_20", SMA_LONG)):

@@ -12,7 +12,7 @@ from tidewater.operators import market as m
 from tidewater.operators.normalize import analyst_result, parsed_action, trimmed_headlines
 from tidewater.operators.rolling import moving_averages, rolling_state
 from tidewater.plans.inputs import (
-    COMMON_WORDS, DAY_MS, HEADLINES, NOW_MS, TICKS, USER_TICKS, headlines, net_hits_sql, ticks,
+    COMMON_WORDS, HEADLINES, NOW_MS, TICKS, USER_TICKS, headlines, net_hits_sql, ticks,
 )
 from tidewater.plans.registry import query, r
 from tidewater.session import table
@@ -179,8 +179,8 @@ ROLLING = """
     FROM ret""",
 )
 def rolling(spark, sf_dir):
-    """Five busy symbols; one-day chunks spread each of them over many tasks."""
-    return m.rounded_state(rolling_state(ticks(spark, sf_dir), chunk_ms=DAY_MS))
+    """Five symbols; those with more rows than one chunk holds are spread over many tasks."""
+    return m.rounded_state(rolling_state(ticks(spark, sf_dir)))
 
 
 @query(
@@ -192,7 +192,7 @@ def rolling(spark, sf_dir):
     FROM ticks {ROLLING}""",
 )
 def averages(spark, sf_dir):
-    return m.rounded_state(moving_averages(ticks(spark, sf_dir), chunk_ms=DAY_MS))
+    return m.rounded_state(moving_averages(ticks(spark, sf_dir)))
 
 
 @query(

@@ -38,11 +38,11 @@ def title_length(spark, sf_dir):
     "p03_normalized_ticks",
     f"""WITH {MESSAGE_SQL}
     SELECT event_id AS "offset", upper(event_type) AS symbol, value AS close, CAST(k AS DOUBLE) AS volume,
-           CASE WHEN event_id % 5 = 2 OR event_id <> 0 THEN event_id ELSE event_id END AS "timestamp", 'live_stream' AS provider
-    FROM m WHERE event_id % 5 IN (0, 1, 2) AND event_id <> 0""",
+           event_id AS "timestamp", 'live_stream' AS provider
+    FROM m WHERE (event_id % 5 IN (0, 1) OR event_id % 5 = 2 AND value <> 0) AND event_id <> 0""",
 )
 def normalized_ticks(spark, sf_dir):
-    """Three payload shapes; broken text and arrays are dropped, as is the row whose time 0 is unreadable."""
+    """Three payload shapes; broken text and arrays are dropped, as are a zero time and, in generic records, a zero price."""
     texts = messages(spark, sf_dir).select("offset", F.col("value").cast("string").alias("payload"))
     return normalize.normalize_ticks(texts, keep=("offset",), now_ms=F.lit(NOW_MS)).filter("valid").drop("valid")
 
