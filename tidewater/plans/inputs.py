@@ -50,19 +50,19 @@ COMMON_WORDS = Lexicon(
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First line of each document as a headline; symbol U0..U99 from the document id."""
+    """Whole document texts as headlines; symbol U0..U99 from the document id."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.concat(F.lit("U"), F.pmod("doc_id", F.lit(100)).cast("string")).alias("symbol"),
         F.col("doc_id").alias("ordinal"),
-        F.substring_index("text", "\n", 1).alias("headline"),
+        F.col("text").alias("headline"),
         "source",
     )
 
 
 HEADLINES = """headlines AS (
   SELECT 'U' || CAST(doc_id % 100 AS VARCHAR) AS symbol, doc_id AS ordinal,
-         split_part(text, chr(10), 1) AS headline, source
+         text AS headline, source
   FROM documents)"""
 
 

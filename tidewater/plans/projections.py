@@ -49,21 +49,21 @@ def normalized_ticks(spark, sf_dir):
 
 @query(
     "p04_normalized_news",
-    """SELECT doc_id, trim(split_part(text, chr(10), 1)) AS headline, source, '' AS url,
+    """SELECT doc_id, trim(text) AS headline, source, '' AS url,
          CASE WHEN doc_id % 4 = 0 THEN CAST(n_chars AS VARCHAR) ELSE '1706745600' END AS published_at, 'live' AS provider
-       FROM documents WHERE split_part(text, chr(10), 1) <> ''""",
+       FROM documents WHERE text <> ''""",
 )
 def normalized_news(spark, sf_dir):
     """Four wrappings (news, data, results list and a bare record) and four headline keys."""
     d = table(spark, sf_dir, "documents")
-    line = F.substring_index("text", "\n", 1)
+    body = F.col("text")
     k = F.col("doc_id") % 4
 
     def record(name):
-        return F.struct(F.lit("").alias("headline" if name != "headline" else "note"), line.alias(name), F.col("source"))
+        return F.struct(F.lit("").alias("headline" if name != "headline" else "note"), body.alias(name), F.col("source"))
 
     payload = (
-        F.when(k == 0, F.to_json(F.struct(F.array(F.struct(line.alias("headline"), "source", F.col("n_chars").alias("datetime"))).alias("news"))))
+        F.when(k == 0, F.to_json(F.struct(F.array(F.struct(body.alias("headline"), "source", F.col("n_chars").alias("datetime"))).alias("news"))))
         .when(k == 1, F.to_json(F.struct(F.array(record("title")).alias("data"))))
         .when(k == 2, F.to_json(F.struct(F.array(record("text")).alias("results"))))
         .otherwise(F.to_json(record("summary")))

@@ -46,12 +46,12 @@ def csv_scan(spark, sf_dir):
 
 @query(
     "s03_json_scan",
-    "SELECT lang AS category, doc_id AS datetime, split_part(text, chr(10), 1) AS headline, doc_id AS id, NULL AS image, source, text AS summary FROM documents",
+    "SELECT lang AS category, doc_id AS datetime, text AS headline, doc_id AS id, NULL AS image, source, text AS summary FROM documents",
 )
 def json_scan(spark, sf_dir):
     """Documents as news records, written as JSON lines and read with the explicit schema."""
     news = table(spark, sf_dir, "documents").select(
-        F.col("lang").alias("category"), F.col("doc_id").alias("datetime"), F.substring_index("text", "\n", 1).alias("headline"),
+        F.col("lang").alias("category"), F.col("doc_id").alias("datetime"), F.col("text").alias("headline"),
         F.col("doc_id").alias("id"), "source", F.col("text").alias("summary"),
     )
     path = scratch_path(spark, "news")
