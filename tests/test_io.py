@@ -343,6 +343,31 @@ def test_post_partitions(spark, tmp_path):
     assert len(list(tmp_path.glob("*.json"))) == 3
 
 
+def test_http_poster(monkeypatch):
+    import contextlib
+    import urllib.request
+
+    seen = []
+
+    def open_request(request, timeout):
+        seen.append((request.get_method(), request.full_url, request.headers, json.loads(request.data), timeout))
+        return contextlib.nullcontext()
+
+    monkeypatch.setattr(urllib.request, "urlopen", open_request)
+    outputs.http_poster("http://example.invalid/in", auth_type="bearer", auth_token="t", timeout=5)([{"a": 1}])
+    ((method, url, headers, body, timeout),) = seen
+    assert (method, url, body, timeout) == ("POST", "http://example.invalid/in", [{"a": 1}], 5)
+    assert headers["Authorization"] == "Bearer t"
+
+    def refuse(request, timeout):
+        raise OSError("refused")
+
+    monkeypatch.setattr(urllib.request, "urlopen", refuse)
+    outputs.http_poster("http://example.invalid/in", raise_on_error=False)([])
+    with pytest.raises(OSError):
+        outputs.http_poster("http://example.invalid/in")([])
+
+
 def test_vector_validation(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([1.0],), ([1.0, None],), (None,)], "e array<double>")
     assert [r["valid"] for r in outputs.vector_rows(df, "e", 2).collect()] == [True, False, False, False]

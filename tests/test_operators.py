@@ -259,14 +259,17 @@ def test_context_expiry_and_lists(spark):
             (1, "a", "set", '"v"', "o", None, 0), (2, "b", "set", "1", "o", 10, 0), (3, "l", "append", "1", "o", None, 0),
             (4, "l", "append", "2", "o", None, 5), (5, "m", "set", "0", "o", None, 0), (6, "m", "append", "7", "o", None, 1),
             (7, "d", "set", "1", "o", None, 0), (8, "d", "delete", None, "o", None, 1),
+            (9, "s", "set", "[4, {\"x\": 5}]", "o", None, 0), (10, "s", "append", "6", "o", None, 1),
         ],
         "seq bigint, key string, op string, value_json string, owner string, ttl_s bigint, ts_ms bigint",
     )
     live = rows(mutation.context_entries(ops, F.lit(10_000)), "key")
-    assert [r["key"] for r in live] == ["a", "l", "m"]
-    assert [r["key"] for r in rows(mutation.context_entries(ops, F.lit(9_999)), "key")] == ["a", "b", "l", "m"]
-    elements = rows(mutation.context_elements(ops, F.lit(10_000)), "key", "seq")
-    assert [(r["key"], r["value_json"]) for r in elements] == [("l", "1"), ("l", "2"), ("m", "7")]
+    assert [r["key"] for r in live] == ["a", "l", "m", "s"]
+    assert [r["key"] for r in rows(mutation.context_entries(ops, F.lit(9_999)), "key")] == ["a", "b", "l", "m", "s"]
+    elements = rows(mutation.context_elements(ops, F.lit(10_000)), "key", "ts_ms", "pos")
+    assert [(r["key"], r["value_json"]) for r in elements] == [
+        ("l", "1"), ("l", "2"), ("m", "7"), ("s", "4"), ("s", '{"x":5}'), ("s", "6")
+    ]
     assert [r["key"] for r in rows(mutation.context_keys(ops, F.lit(10_000), "l%"))] == ["l"]
 
 

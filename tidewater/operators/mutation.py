@@ -187,14 +187,6 @@ def expires_ms() -> Column:
     return F.when(F.col("ttl_s").isNotNull(), F.col("ts_ms") + F.col("ttl_s") * 1000)
 
 
-def _last_of(ops: DataFrame, kinds: tuple[str, ...], name: str) -> DataFrame:
-    return (
-        ops.filter(F.col("op").isin(*kinds))
-        .groupBy("key")
-        .agg(F.max(F.struct("ts_ms", "seq")).alias(name))
-    )
-
-
 def context_entries(ops: DataFrame, now_ms: Column) -> DataFrame:
     """Live entry per key: its owner, creation time, expiry and what kind of value it holds.
 
@@ -216,19 +208,34 @@ def context_entries(ops: DataFrame, now_ms: Column) -> DataFrame:
 
 
 def context_elements(ops: DataFrame, now_ms: Column) -> DataFrame:
-    """List entries as rows (key, ts_ms, seq, value_json), ready to be ordered by (ts_ms, seq).
+    """List entries as rows (key, ts_ms, seq, pos, value_json), ready to be ordered by (ts_ms, seq, pos).
 
-    A list starts after the newest set or delete of its key. Elements stay rows,
-    so a list may grow without bound and no task has to hold it.
+    A list starts with the elements of the newest set value, if that is a list,
+    or empty after a delete; every later append adds one. Elements stay rows, so
+    a list may grow without bound and no task has to hold it.
     """
-    starts = _last_of(ops, ("set", "delete"), "start")
+    starts = (
+        ops.filter(F.col("op").isin("set", "delete"))
+        .groupBy("key")
+        .agg(F.max(F.struct("ts_ms", "seq", "op", "value_json")).alias("start"))
+    )
     live = context_entries(ops, now_ms).filter(F.col("kind") == "append").select("key")
-    elements = ops.filter(F.col("op") == "append").join(starts, "key", "left")
-    return (
-        elements.filter(F.col("start").isNull() | (F.struct("ts_ms", "seq") > F.col("start")))
-        .join(live, "key", "left_semi")
-        .select("key", "ts_ms", "seq", "value_json")
+    appended = (
+        ops.filter(F.col("op") == "append")
+        .join(starts, "key", "left")
+        .filter(
+            F.col("start").isNull()
+            | (F.struct("ts_ms", "seq") > F.struct("start.ts_ms", "start.seq"))
+        )
+        .select("key", "ts_ms", "seq", F.lit(0).alias("pos"), "value_json")
+    )
+    items = F.try_variant_get(F.try_parse_json("start.value_json"), "$", "array<variant>")
+    initial = (
+        starts.filter(F.col("start.op") == "set")
+        .select("key", "start.ts_ms", "start.seq", F.posexplode(items).alias("pos", "item"))
+        .select("key", "ts_ms", "seq", "pos", F.to_json("item").alias("value_json"))
     )
+    return appended.unionByName(initial).join(live, "key", "left_semi")
 
 
 def context_keys(ops: DataFrame, now_ms: Column, like: str | None = None) -> DataFrame:

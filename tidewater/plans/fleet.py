@@ -704,7 +704,7 @@ def context_entries(spark, sf_dir):
 @query(
     "m08_context_elements",
     f"""WITH {OPS}, starts AS (SELECT key, max(CAST(ts_ms AS HUGEINT) * 1000000000 + seq) AS start FROM ops WHERE op IN ('set', 'delete') GROUP BY key)
-    SELECT o.key, o.ts_ms, o.seq, o.value_json FROM ops o LEFT JOIN starts s USING (key)
+    SELECT o.key, o.ts_ms, o.seq, 0 AS pos, o.value_json FROM ops o LEFT JOIN starts s USING (key)
     WHERE o.op = 'append' AND (s.start IS NULL OR CAST(o.ts_ms AS HUGEINT) * 1000000000 + o.seq > s.start)
       AND o.key IN (SELECT key FROM live WHERE op = 'append')""",
 )

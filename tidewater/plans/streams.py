@@ -10,7 +10,7 @@ from tidewater.plans.inputs import NOW_MS, TICKS, ticks
 from tidewater.plans.market import LAST_25, NUMBERED, state_sql
 from tidewater.plans.registry import query, r
 from tidewater.session import scratch_path, table
-from tidewater.sources.candidates import fallback_prices, with_fallback
+from tidewater.sources.candidates import fallback_prices, window_or_fallback, with_fallback
 from tidewater.streaming import outputs, windows
 
 ALL_HISTORY = "40 days"  # lateness that keeps every row of the given month of events
@@ -187,6 +187,23 @@ def fallback_window(spark, sf_dir):
     return rows.groupBy("symbol", "mode").agg(F.count(F.lit(1)).alias("row_count"), F.max("timestamp").alias("newest_ms"))
 
 
+@query(
+    "s18_bounded_window",
+    f"""WITH t AS (SELECT 'U' || CAST(user_id AS VARCHAR) AS symbol, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events),
+    w AS (SELECT symbol, count(*) AS n FROM t WHERE rn <= 25 GROUP BY 1),
+    wanted AS (SELECT 'U' || CAST(c_custkey AS VARCHAR) AS symbol FROM customer UNION SELECT symbol FROM t)
+    SELECT symbol, n AS row_count, 'live' AS mode, NULL AS source_error FROM w WHERE n >= 20
+    UNION ALL SELECT symbol, 25, 'fallback', 'fewer than 20 live rows' FROM wanted WHERE symbol NOT IN (SELECT symbol FROM w WHERE n >= 20)""",
+)
+def bounded_window(spark, sf_dir):
+    """Users with at least 20 of 25 ticks keep their window; all other users and customers get the fixed one."""
+    live = newest_rows(ticks(spark, sf_dir, "user_id"), "symbol", ["timestamp", "id"]).select("symbol", "close", "volume", "timestamp", "id")
+    customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("symbol"))
+    wanted = customers.union(live.select("symbol")).distinct()
+    rows = window_or_fallback(live, wanted, fallback_prices(wanted, F.lit(NOW_MS)))
+    return rows.groupBy("symbol", "mode", "source_error").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 @query(
     "q02_query_stream_table",
     f"""WITH {TICKS}, w AS (SELECT "timestamp" - "timestamp" % 10000 AS time, symbol, count(*) AS c FROM ticks GROUP BY 1, 2)

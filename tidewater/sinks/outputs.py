@@ -102,6 +102,35 @@ def post_partitions(
     df.select(F.to_json(F.struct("*")).alias("record")).foreachPartition(send)
 
 
+def http_poster(
+    url: str, method: str = "POST", headers: dict[str, str] | None = None, auth_type: str = "none",
+    auth_token: str = "", auth_header: str = "Authorization", timeout: float = 30.0, raise_on_error: bool = True,
+) -> Callable[[object], None]:
+    """Function for ``post_partitions`` that sends one JSON body per call."""
+    import base64
+
+    sent = {"Content-Type": "application/json", **(headers or {})}
+    if auth_type == "bearer":
+        sent[auth_header] = f"Bearer {auth_token}"
+    elif auth_type == "header":
+        sent[auth_header] = auth_token
+    elif auth_type == "basic":
+        sent["Authorization"] = "Basic " + base64.b64encode(auth_token.encode()).decode()
+
+    def post(payload: object) -> None:
+        import urllib.request
+
+        request = urllib.request.Request(url, json.dumps(payload).encode(), sent, method=method)
+        try:
+            with urllib.request.urlopen(request, timeout=timeout):
+                pass
+        except OSError:
+            if raise_on_error:
+                raise
+
+    return post
+
+
 def vector_rows(df: DataFrame, column: str, dimension: int) -> DataFrame:
     """Rows with float vectors; ``valid`` tells whether the dimension is right and no value is missing."""
     vector = F.col(column).cast("array<float>")

@@ -33,6 +33,16 @@ def with_fallback(
     return marked.unionByName(filled, allowMissingColumns=True)
 
 
+def window_or_fallback(
+    window: DataFrame, wanted: DataFrame, fallback: DataFrame, minimum: int = 20, key: str = "symbol"
+) -> DataFrame:
+    """Bounded windows of the keys that have enough rows; the fallback window for all other wanted keys."""
+    counts = window.groupBy(key).agg(F.count(F.lit(1)).alias("row_count"))
+    enough = counts.filter(F.col("row_count") >= minimum)
+    error = F.lit(f"fewer than {minimum} live rows")
+    return with_fallback(window.join(enough.select(key), key, "left_semi"), wanted, fallback, error, key)
+
+
 def fallback_prices(symbols: DataFrame, now_ms: Column, rows: int = 25) -> DataFrame:
     """The fixed 25-point price window for each symbol, minute by minute up to now."""
     base, pattern = FALLBACK_BASE_PRICE, FALLBACK_PATTERN[-rows:]
