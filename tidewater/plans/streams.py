@@ -170,6 +170,14 @@ def late_rows(spark, sf_dir):
     return closed.withColumn("avg_price", rounded(F.col("avg_price"), 6))
 
 
+def _stored_window(spark, sf_dir, symbol):
+    """Newest ticks per symbol as a written table, since the fallback rules read it several times."""
+    path = scratch_path(spark, "window")
+    newest = newest_rows(ticks(spark, sf_dir, symbol), "symbol", ["timestamp", "id"])
+    newest.select("symbol", "close", "volume", "timestamp", "id").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query(
     "r08_fallback_window",
     f"""WITH {TICKS}, {LAST_25},
@@ -179,7 +187,7 @@ def late_rows(spark, sf_dir):
 )
 def fallback_window(spark, sf_dir):
     """Stored windows of the symbols that have one; the fixed window for market segments, which have none."""
-    live = newest_rows(ticks(spark, sf_dir), "symbol", ["timestamp", "id"]).select("symbol", "close", "volume", "timestamp", "id")
+    live = _stored_window(spark, sf_dir, "event_type")
     wanted = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol")).union(
         table(spark, sf_dir, "customer").select("c_mktsegment")
     ).distinct()
@@ -197,7 +205,7 @@ def fallback_window(spark, sf_dir):
 )
 def bounded_window(spark, sf_dir):
     """Users with at least 20 of 25 ticks keep their window; all other users and customers get the fixed one."""
-    live = newest_rows(ticks(spark, sf_dir, "user_id"), "symbol", ["timestamp", "id"]).select("symbol", "close", "volume", "timestamp", "id")
+    live = _stored_window(spark, sf_dir, "user_id")
     customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("symbol"))
     wanted = customers.union(live.select("symbol")).distinct()
     rows = window_or_fallback(live, wanted, fallback_prices(wanted, F.lit(NOW_MS)))

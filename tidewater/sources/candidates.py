@@ -36,7 +36,10 @@ def with_fallback(
 def window_or_fallback(
     window: DataFrame, wanted: DataFrame, fallback: DataFrame, minimum: int = 20, key: str = "symbol"
 ) -> DataFrame:
-    """Bounded windows of the keys that have enough rows; the fallback window for all other wanted keys."""
+    """Bounded windows of the keys that have enough rows; the fallback window for all other wanted keys.
+
+    ``window`` is read several times: pass a written table.
+    """
     counts = window.groupBy(key).agg(F.count(F.lit(1)).alias("row_count"))
     enough = counts.filter(F.col("row_count") >= minimum)
     error = F.lit(f"fewer than {minimum} live rows")
