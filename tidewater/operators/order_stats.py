@@ -76,7 +76,9 @@ def exact_summary(df: DataFrame, group: list[str], value: str, p95: float = 0.95
     n = F.col("n")
 
     def value_at(rank: Column) -> Column:
-        return F.min(F.when(F.col("upto") > rank, F.col("v")))
+        # a rank outside its bracket would meet a row without a value: fail rather than return a neighbour
+        first = F.min(F.when(F.col("upto") > rank, F.struct("segment", "v")))
+        return F.coalesce(first["v"], F.raise_error(F.lit("rank outside its bracket")).cast("double"))
 
     lower, upper = F.floor((n - 1) / 2), F.ceil((n - 1) / 2)
     return (
