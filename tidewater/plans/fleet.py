@@ -729,7 +729,7 @@ def thread_append(spark, sf_dir):
 
 @query(
     "m10_conformed_columns",
-    "SELECT c_custkey, c_name, 'running' AS desired_status, TRUE AS managed, 'unknown' AS health_status, NULL AS route_prefix, '{}' AS deployment_metadata FROM customer",
+    "SELECT c_custkey, c_name, 'running' AS desired_status, TRUE AS managed, 'unknown' AS health_status, CAST(NULL AS VARCHAR) AS route_prefix, '{}' AS deployment_metadata FROM customer",
 )
 def conformed(spark, sf_dir):
     return mutation.conform(table(spark, sf_dir, "customer")).select(

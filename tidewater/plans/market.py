@@ -361,7 +361,7 @@ def signal_rows(spark, sf_dir):
     "f05_analyst_result",
     """SELECT conv_id, turn,
         CASE WHEN role = 'user' THEN 'bullish' WHEN role = 'system' THEN 'bearish' ELSE 'neutral' END AS label,
-        CASE WHEN turn % 3 = 0 THEN 0.0 ELSE least(greatest(turn - 2.0, -1.0), 1.0) END AS score,
+        CAST(CASE WHEN turn % 3 = 0 THEN 0.0 ELSE least(greatest(turn - 2.0, -1.0), 1.0) END AS DOUBLE) AS score,
         trim(text, ' ') AS summary FROM conversations""",
 )
 def analyst(spark, sf_dir):

@@ -198,7 +198,7 @@ def mode_class(spark, sf_dir):
     """SELECT o_orderkey AS trial, o_orderstatus AS system_name, o_orderkey % 10 <> 0 AS success,
          CASE WHEN o_orderkey % 10 = 0 THEN 'boom' ELSE '' END AS error,
          CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice ELSE 0.0 END AS total_duration_seconds,
-         0.0 AS ingest_duration_seconds, 0.0 AS signal_duration_seconds,
+         CAST(0 AS DOUBLE) AS ingest_duration_seconds, CAST(0 AS DOUBLE) AS signal_duration_seconds,
          CASE WHEN o_orderkey % 2 = 0 THEN 'live' ELSE 'unknown' END AS news_mode,
          o_orderpriority = '1-URGENT' AS news_fallback_used,
          CASE WHEN o_orderkey % 10 = 0 THEN 'failed' WHEN o_orderpriority = '1-URGENT' THEN 'partial_fallback' ELSE 'fully_live' END

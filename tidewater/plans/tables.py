@@ -46,7 +46,7 @@ def csv_scan(spark, sf_dir):
 
 @query(
     "s03_json_scan",
-    "SELECT lang AS category, doc_id AS datetime, text AS headline, doc_id AS id, NULL AS image, source, text AS summary FROM documents",
+    "SELECT lang AS category, doc_id AS datetime, text AS headline, doc_id AS id, CAST(NULL AS VARCHAR) AS image, source, text AS summary FROM documents",
 )
 def json_scan(spark, sf_dir):
     """Documents as news records, written as JSON lines and read with the explicit schema."""
