@@ -132,3 +132,19 @@ NOT_BLANK[[0x20, *range(0x09, 0x0E)]] = False
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def fixed_sample(keyed: DataFrame, key: str, label: str, per_class: int) -> DataFrame:
+    """(key, label): for each label the ``per_class`` keys with the smallest hash; labels must be few (collected).
+
+    Only these two columns are read. The sample does not depend on how the table is laid out.
+    """
+    rows = (
+        keyed.select(F.col(key).alias(key), F.col(label).alias(label))
+        .filter(F.col(key).isNotNull() & F.col(label).isNotNull())
+        .withColumn("_h", F.xxhash64(F.col(key).cast("string")))
+    )
+    chosen = rows.limit(0)
+    for (value,) in sorted(tuple(r) for r in rows.select(label).distinct().collect()):
+        chosen = chosen.unionByName(rows.filter(F.col(label) == value).orderBy("_h", key).limit(per_class))
+    return chosen.select(key, label)
