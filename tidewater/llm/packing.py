@@ -10,6 +10,7 @@ group on its own, so a group costs the same on any amount of data and adds at mo
 from __future__ import annotations
 
 import math
+import unicodedata
 import zlib
 
 import numpy as np
@@ -41,7 +42,7 @@ class WordTokenizer:
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1 << 16, np.int64)
 
@@ -53,20 +54,20 @@ class WordTokenizer:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[at : at + len(ids)] = ids
         self.bounds[n + 1] = at + len(ids)
-        self.known[word] = n
+        self.known[word.encode()] = n
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[bytes]) -> None:
         """Encode new words; runs of letters travel together, a closing full stop or comma is added afterwards."""
         if len(self.known) > MAX_CACHED_WORDS:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
+        new = [w.decode() for w in words if w not in self.known]
         stems: dict[str, np.ndarray] = {}
         other = []
         for w in new:
             stem = w[:-1] if w[-1] in ".," else w
             if stem.isalpha() and stem.isascii():
                 stems[stem.lower()] = None
-            elif stem.isalpha():
+            elif stem.isalpha() and unicodedata.normalize("NFC", stem).lower().isalpha():
                 stems[stem] = None
             else:
                 other.append(w)
@@ -75,7 +76,7 @@ class WordTokenizer:
             part = letters[a : a + 512]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
             cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(part) and (not len(cut) or cut[-1] == len(ids)):
+            if len(cut) == len(part) and cut[-1] == len(ids):
                 for w, s, e in zip(part, [0, *cut.tolist()], cut.tolist()):
                     stems[w] = ids[s:e]
             else:  # a letter of these normalises to something else than one run of letters
@@ -84,14 +85,16 @@ class WordTokenizer:
         for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
             self._add(w, np.array(e.ids, np.uint32))
         close = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32) for c in ".,"}
+        done = set(other)
         for w in new:
-            if w in self.known:
+            if w in done:
                 continue
             stem = w[:-1] if w[-1] in ".," else w
             ids = stems[stem.lower() if stem.isascii() else stem]
             self._add(w, ids if stem is w else np.concatenate([ids, close[w[-1]]]))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of UTF-8 texts, which are split at ASCII white space only."""
         split = [x.split() for x in texts]
         words = [w for x in split for w in x]
         self.learn(set(words))
@@ -108,7 +111,7 @@ def _pieces(file: str, capacity: int, end_id: int, keep_ids: bool):
         tokenizer = WordTokenizer(file)
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            texts = [x.decode() for x in encoded(batch.column("text"))]
+            texts = encoded(batch.column("text"))
             start = size = 0
             cuts = [0]
             for i, x in enumerate(texts):

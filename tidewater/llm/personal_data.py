@@ -26,7 +26,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 OTHER = "|".join(
     (
-        r"(?i:passwords?|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9/+_-]{8,}+",
+        r"(?i:passwords?|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9/+_-]{8,}+\"?",
         r"(?<![A-Za-z0-9])(?=[A-Z]{1,40}[0-9])[A-Z][A-Z0-9]{14,39}+(?![A-Za-z0-9])",
         r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
         r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])",
