@@ -177,13 +177,36 @@ def test_application_payload_shapes(spark):
     as_list = {"data": {"applications": [{"name": " two ", "app_status": "deploying", "deployments": [
         {"deployment_name": "d", "state": "updating", "replicas": [{"state": "starting"}, {"status": "RUNNING"}, {"state": ""}]}]}, {"name": " "}]}}
     df = spark.createDataFrame([(json.dumps(as_map),), (json.dumps(as_list),), ("x",)], "payload string")
-    apps, replicas = application_rows(df)
+    apps, replicas = application_rows(df.withColumn("n", F.monotonically_increasing_id()), key="n")
     assert [(r["name"], r["app_status"], r["deployment_states"]) for r in rows(apps, "name")] == [
         ("one", "RUNNING", ["HEALTHY"]), ("two", "DEPLOYING", ["UPDATING"])
     ]
     assert [(r["name"], r["state"], r["n"]) for r in rows(replicas, "name", "state")] == [("one", "RUNNING", 2), ("two", "RUNNING", 1), ("two", "STARTING", 1)]
 
 
+def test_payloads_with_the_same_application_stay_apart(spark):
+    one = {"applications": {"app": {"status": "RUNNING", "deployments": {"d": {"status": "HEALTHY", "replica_states": {"RUNNING": 2}}}}}}
+    two = {"applications": [{"name": "app", "status": "DEPLOYING", "deployments": [{"name": "d", "status": "UPDATING", "replica_states": {"RUNNING": 1}}]}]}
+    df = spark.createDataFrame([(1, json.dumps(one)), (2, json.dumps(two)), (3, json.dumps({"name": "solo", "status": "running"}))], "k int, payload string")
+    apps, replicas = application_rows(df, key="k")
+    assert [(r["doc"], r["name"], r["app_status"], r["deployment_states"]) for r in rows(apps, "doc")] == [
+        (1, "app", "RUNNING", ["HEALTHY"]), (2, "app", "DEPLOYING", ["UPDATING"]), (3, "solo", "RUNNING", None)
+    ]
+    assert [(r["doc"], r["state"], r["n"]) for r in rows(replicas, "doc")] == [(1, "RUNNING", 2), (2, "RUNNING", 1)]
+
+
+def test_a_quoted_twin_key_elsewhere_does_not_count(spark):
+    payloads = [
+        '{"price":0,"p":3,"meta":{"price":"x"}}', '{"price":"0","p":3}', '{"data":{"s":"","p":"2","T":0,"E":5},"s":"outer","T":"0"}',
+        '{"e":"trade","p":"1.5","q":"2","T":7,"s":"btcusdt"}',
+    ]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "i int, payload string")
+    got = rows(normalize_ticks(df, now_ms=F.lit(9), keep=("i",)), "i")
+    assert [(r["close"], r["symbol"], r["timestamp"]) for r in got] == [
+        (3.0, "BTCUSDT", 9), (0.0, "BTCUSDT", 9), (2.0, "BTCUSDT", 5), (1.5, "BTCUSDT", 7)
+    ]
+
+
 def test_actor_payload_shapes(spark):
     old = {"data": {"actors": {"a1": {"name": "ServeReplica:app:dep#1", "className": "C", "state": "ALIVE", "pid": 3}}}}
     new = {"data": {"result": {"result": [{"actor_id": "a2", "class_name": "D"}, 5]}}}
@@ -274,7 +297,7 @@ def test_register_once_and_list(spark, tmp_path):
     assert catalog.register_table(spark, "shop.t", str(tmp_path / "t"), df.schema, ("p",)) is True
     assert catalog.register_table(spark, "shop.t", str(tmp_path / "t"), df.schema, ("p",)) is False
     assert rows(spark.table("shop.t"), "id") == [{"id": 1, "p": "x"}, {"id": 2, "p": "y"}]
-    listed = api.list_tables(spark, "shop")
+    listed = api.list_tables(spark, "shop", keep_seconds=0)
     assert listed["source"] == "catalog" and listed["tables"][0][0] == "t" and str(tmp_path) in listed["tables"][0][1]
     assert api.get_schema(spark, "shop.t") == [("id", "int"), ("p", "string")]
     assert api.preview(spark, "shop.t", 1).count() == 1
@@ -427,16 +450,13 @@ def test_stream_state_equals_batch_after_every_batch(spark, tmp_path):
 
     batches = tick_batches()
     land(spark, str(tmp_path / "in"), batches, TICK)
-    windows.use_rocksdb(spark)
     schema = spark.read.parquet(str(tmp_path / "in")).schema
     stream = windows.landing_stream(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
-    write = windows.batch_writer(str(tmp_path / "out"))
-    windows.drain(
-        windows.newest_tick_windows(stream), str(tmp_path / "cp"), lambda b, i: write(windows.window_metrics(b), i), "update"
-    )
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert out.select("batch_id").distinct().count() == 4
-    got = rows(windows.newest_per_key(spark, str(tmp_path / "out"), out.drop("batch_id").schema, ["symbol"]), "symbol")
+    path = str(tmp_path / "out")
+    windows.drain(stream, str(tmp_path / "cp"), windows.newest_tick_windows(path))
+    assert spark.read.parquet(path).select("batch_id").distinct().count() == 4
+    windows.newest_tick_windows(path)(spark.createDataFrame(batches[3], TICK), 3)  # a replay changes nothing
+    got = rows(windows.window_metrics(windows.latest_state(spark, path)), "symbol")
     everything = spark.createDataFrame([r for b in batches for r in b], TICK)
     want = rows(market_state(newest_rows(everything, "symbol", ["timestamp", "id"])), "symbol")
     totals = {r["symbol"]: r["n"] for r in rows(everything.groupBy("symbol").agg(F.count("*").alias("n")))}
@@ -470,6 +490,23 @@ def test_restart_continues_from_the_checkpoint(spark, tmp_path):
     assert sorted(r["x"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
 
 
+def test_batches_by_time(spark, tmp_path):
+    """A time trigger takes what has landed and goes on until it is stopped."""
+    land(spark, str(tmp_path / "in"), [[(1,)], [(2,)]], "x int")
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = windows.landing_stream(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
+    query = windows.run_every(stream, str(tmp_path / "cp"), windows.batch_writer(str(tmp_path / "out")), "100 milliseconds")
+    try:
+        query.processAllAvailable()
+        spark.createDataFrame([(3,)], "x int").coalesce(1).write.parquet(str(tmp_path / "in" / "b=9"))
+        query.processAllAvailable()
+        assert windows.data_batches(query) == 3 and query.isActive
+    finally:
+        query.stop()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r["x"], r["batch_id"]) for r in out.collect()) == [(1, 0), (2, 1), (3, 2)]
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     """A batch drops rows older than the watermark its predecessor ran with."""
     land(spark, str(tmp_path / "in"), [[("A", 1.0, 0)], [("A", 1.0, 1000)], [("A", 3.0, 1001)], [("A", 5.0, 1)], [("A", 1.0, 2000)]], "symbol string, close double, s bigint")
@@ -501,8 +538,16 @@ def test_scratch_uses_the_shared_folder(spark):
 
 def test_run_sql_envelope(spark):
     ok = api.run_sql(spark, "SELECT id, id * 2 AS d FROM range(3) ORDER BY id")
-    assert ok == {"success": True, "columns": ["id", "d"], "rows": [[0, 0], [1, 2], [2, 4]], "row_count": 3, "truncated": False}
-    assert api.run_sql(spark, "SELECT * FROM range(5)", cap=2)["truncated"] is True
+    path = ok.pop("path")
+    assert ok == {"success": True, "columns": ["id", "d"], "rows": [[0, 0], [1, 2], [2, 4]], "row_count": 3, "next_page": None}
+    assert api.read_result(spark, path).columns == ["id", "d"]
+    paged = api.run_sql(spark, "SELECT * FROM range(5)", page_size=2)
+    assert paged["row_count"] == 5 and paged["rows"] == [[0], [1]]
+    seen, after = [[0], [1]], paged["next_page"]
+    while after is not None:
+        page = api.read_page(spark, paged["path"], after, 2)
+        seen, after = seen + page["rows"], page["next_page"]
+    assert seen == [[i] for i in range(5)] and api.read_result(spark, paged["path"]).count() == 5
     bad = api.run_sql(spark, "SELECT * FROM no_such_table")
     assert bad["success"] is False and bad["error_type"] == "AnalysisException" and "no_such_table" in bad["error_message"]
     with pytest.raises(ValueError):

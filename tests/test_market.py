@@ -80,40 +80,69 @@ def brute_force(data):
         window = by_symbol.setdefault(row[0], [])
         window.append(row)
         last = window[-25:]
-        prices, volumes = [r[1] for r in last], [r[2] for r in last]
+        prices, volumes = [r[1] for r in last if r[1] is not None], [r[2] for r in last]
+        turnover = sum(r[1] * r[2] for r in last if r[1] is not None)
         out[row[4]] = {
             "window_count": len(last),
-            "avg_price": sum(prices) / len(prices),
-            "min_price": min(prices),
+            "last_price": prices[-1] if prices else None,
+            "avg_price": sum(prices) / len(prices) if prices else None,
+            "min_price": min(prices, default=None),
             "volatility_estimate": statistics.pstdev(prices) if len(prices) > 1 else None,
-            "vwap": sum(p * v for p, v in zip(prices, volumes)) / sum(volumes) if sum(volumes) else None,
+            "vwap": turnover / sum(volumes) if sum(volumes) and prices else None,
             "sma_5": sum(prices[-5:]) / 5 if len(prices) >= 5 else None,
             "sma_20": sum(prices[-20:]) / 20 if len(prices) >= 20 else None,
         }
     return out
 
 
-@pytest.mark.parametrize("rows_per_chunk", [1, 7, 50, 10_000])
-def test_rolling_equals_brute_force_for_any_chunk(spark, rows_per_chunk):
-    """One symbol holds most rows; chunks range from about one tick (borrowing over many chunks) to everything."""
-    rng = random.Random(rows_per_chunk)
+@pytest.mark.parametrize("chunks, spread", [(1, 400), (5, 400), (60, 400), (40, 1)])
+def test_rolling_equals_brute_force_for_any_chunk(spark, chunks, spread):
+    """One symbol holds most rows, some have no price; ranges hold from a few ticks (borrowing over many) to all.
+
+    A spread of one puts every tick into the same millisecond.
+    """
+    rng = random.Random(chunks)
     data = [
-        ("hot" if rng.random() < 0.7 else f"s{rng.randrange(4)}", round(rng.uniform(1, 9), 2), float(rng.randrange(3)), rng.randrange(400), i)
+        (
+            "hot" if rng.random() < 0.7 else f"s{rng.randrange(4)}", None if rng.random() < 0.2 else round(rng.uniform(1, 9), 2),
+            float(rng.randrange(3)), rng.randrange(spread), i,
+        )
         for i in range(300)
-    ]
+    ]
     expected = brute_force(data)
-    got = rows(rolling_state(tick_frame(spark, data), rows_per_chunk=rows_per_chunk))
+    got = rows(rolling_state(tick_frame(spark, data), chunks=chunks))
     assert len(got) == len(data)
     for r in got:
         for name, value in expected[r["id"]].items():
             assert r[name] == (None if value is None else pytest.approx(value, abs=1e-7)), (r["id"], name)
-    averages = rows(moving_averages(tick_frame(spark, data), rows_per_chunk=rows_per_chunk))
+    averages = rows(moving_averages(tick_frame(spark, data), chunks=chunks))
     for r in averages:
         for name in ("sma_5", "sma_20"):
             value = expected[r["id"]][name]
             assert r[name] == (None if value is None else pytest.approx(value, abs=1e-7))
 
 
+def test_a_burst_is_spread_over_tasks(spark):
+    """All ticks of one symbol in one second still make ranges of about equal size."""
+    from tidewater.operators.rolling import with_lookback
+
+    burst = spark.range(20_000).select(F.lit("one").alias("symbol"), F.lit(5).alias("timestamp"), "id")
+    sizes = [r["count"] for r in rows(with_lookback(burst, "symbol", "timestamp", "id", 24, 10).groupBy("chunk").count())]
+    assert len(sizes) == 10 and max(sizes) < 2 * min(sizes) and sum(sizes) == 20_000 + 9 * 24
+
+
+def test_signals_are_fused_before_rounding(spark):
+    """A trend just above the limit that rounds to it still buys."""
+    state = spark.createDataFrame(
+        [("A", 0.3 / 0.65 + 2e-8)], "symbol string, trend_score double"
+    ).selectExpr("*", "1D last_price", "1D sma_5", "1D sma_20", "1D vwap", "1D price_return_pct", "1D volatility_estimate", "25 window_count")
+    none = spark.createDataFrame([], "symbol string, label string, score double, summary string, headlines array<string>")
+    (r,) = rows(m.fused_signals(state, none, F.lit(0)))
+    assert r["action"] == "BUY"
+    (r,) = rows(m.fused_signals(m.rounded_state(state), none, F.lit(0)))
+    assert r["action"] == "HOLD"
+
+
 def test_last_rows_use_a_group_limit(spark):
     plan = m.newest_rows(tick_frame(spark, series([1.0])), "symbol", ["timestamp", "id"])._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan

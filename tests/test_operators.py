@@ -45,7 +45,7 @@ def test_exact_ranks_with_one_hot_group_and_equal_values(spark):
         assert got[g]["p95"] == nearest_rank(values) and got[g]["median"] == pytest.approx(statistics.median(values))
 
 
-def test_only_brackets_of_a_large_group_are_ordered(spark):
+def test_ranks_of_a_large_group(spark):
     df = spark.range(200_000).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v"))
     (r,) = rows(order_stats.exact_median_and_p95(df, ["g"], "v"))
     assert (r["median"], r["p95"]) == (99999.5, float(round(0.95 * 199_999)))
@@ -273,6 +273,25 @@ def test_context_expiry_and_lists(spark):
     assert [r["key"] for r in rows(mutation.context_keys(ops, F.lit(10_000), "l%"))] == ["l"]
 
 
+@pytest.mark.parametrize("chunk_ms", [1, 20_000, 10**9])
+def test_a_list_that_expired_starts_again(spark, chunk_ms):
+    columns = "seq bigint, key string, op string, value_json string, owner string, ttl_s bigint, ts_ms bigint"
+    ops = spark.createDataFrame(
+        [
+            (1, "k", "append", "1", "o", 10, 0), (2, "k", "append", "2", "o", None, 100_000),
+            (3, "j", "append", "1", "o", 10, 0), (4, "j", "append", "2", "o", None, 9_999), (5, "j", "append", "3", "o", 1, 90_000),
+            (6, "g", "set", "[1]", "o", 5, 0), (7, "g", "append", "2", "o", 5, 4_000), (8, "g", "append", "3", "o", 900, 9_000),
+            (9, "g", "append", "4", "o", None, 9_001),
+        ],
+        columns,
+    )
+    got = rows(mutation.context_elements(ops, F.lit(90_500), chunk_ms), "key", "seq")
+    assert [(r["key"], r["value_json"]) for r in got] == [("g", "3"), ("g", "4"), ("j", "1"), ("j", "2"), ("j", "3"), ("k", "2")]
+    present = {r["key"]: r["present"] for r in rows(mutation.context_exists(ops, F.lit(91_000)))}
+    assert present == {"g": True, "j": False, "k": True}
+    assert {r["key"]: r["expires_ms"] for r in rows(mutation.context_info(ops, F.lit(90_500)))} == {"g": None, "j": 91_000, "k": None}
+
+
 def test_delete_stale_and_conform(spark):
     t = spark.createDataFrame([("a", "alive", 5), ("b", "alive", 50), ("c", "alive", None)], "name string, status string, last_heartbeat_at bigint")
     remaining, affected = mutation.delete_keys(t, spark.createDataFrame([("a",), ("z",)], "name string"))

@@ -8,6 +8,7 @@ row per key, and change sets are reduced to one row per key before they meet it.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Columns added to older catalog tables, with type and default.
@@ -207,26 +208,48 @@ def context_entries(ops: DataFrame, now_ms: Column) -> DataFrame:
     )
 
 
-def context_elements(ops: DataFrame, now_ms: Column) -> DataFrame:
+CONTEXT_CHUNK_MS = 86_400_000
+
+
+def _with_previous_expiry(ops: DataFrame, chunk_ms: int) -> DataFrame:
+    """Operations with the expiry that the one before them (same key) had set: null for none, or after a delete.
+
+    Keys are cut into chunks of time: a chunk looks back inside itself, and its first operation gets the last expiry
+    of the key's previous chunk, so a busy key is spread over as many tasks as it has chunks.
+    """
+    at, renewed = ["ts_ms", "seq"], F.when(F.col("op") != "delete", expires_ms())
+    cut = ops.withColumns({"chunk": F.floor(F.col("ts_ms") / chunk_ms), "expires": renewed})
+    inside = W.partitionBy("key", "chunk").orderBy(*at)
+    last = cut.groupBy("key", "chunk").agg(F.max_by("expires", F.struct(*at)).alias("last"))
+    before = last.select("key", "chunk", F.lag("last").over(W.partitionBy("key").orderBy("chunk")).alias("carried"))
+    return (
+        cut.withColumns({"place": F.row_number().over(inside), "inside": F.lag("expires").over(inside)})
+        .join(before, ["key", "chunk"])
+        .withColumn("previous_expiry", F.when(F.col("place") == 1, F.col("carried")).otherwise(F.col("inside")))
+        .drop("chunk", "expires", "place", "inside", "carried")
+    )
+
+
+def context_elements(ops: DataFrame, now_ms: Column, chunk_ms: int = CONTEXT_CHUNK_MS) -> DataFrame:
     """List entries as rows (key, ts_ms, seq, pos, value_json), ready to be ordered by (ts_ms, seq, pos).
 
-    A list starts with the elements of the newest set value, if that is a list,
-    or empty after a delete; every later append adds one. Elements stay rows, so
-    a list may grow without bound and no task has to hold it.
+    A list starts with the elements of the newest set value, if that is a list, or empty after a delete, or with the
+    first append after the key had expired; every later append adds one. Elements stay rows, so a list may grow
+    without bound and no task has to hold it.
     """
+    seen = _with_previous_expiry(ops, chunk_ms)
+    expired = F.coalesce(F.col("previous_expiry") <= F.col("ts_ms"), F.lit(False))
     starts = (
-        ops.filter(F.col("op").isin("set", "delete"))
+        seen.filter(F.col("op").isin("set", "delete") | expired)
         .groupBy("key")
         .agg(F.max(F.struct("ts_ms", "seq", "op", "value_json")).alias("start"))
     )
     live = context_entries(ops, now_ms).filter(F.col("kind") == "append").select("key")
+    here, start = F.struct("ts_ms", "seq"), F.struct("start.ts_ms", "start.seq")
     appended = (
         ops.filter(F.col("op") == "append")
         .join(starts, "key", "left")
-        .filter(
-            F.col("start").isNull()
-            | (F.struct("ts_ms", "seq") > F.struct("start.ts_ms", "start.seq"))
-        )
+        .filter(F.col("start").isNull() | (here > start) | ((here == start) & (F.col("start.op") == "append")))
         .select("key", "ts_ms", "seq", F.lit(0).alias("pos"), "value_json")
     )
     items = F.try_variant_get(F.try_parse_json("start.value_json"), "$", "array<variant>")
@@ -238,6 +261,17 @@ def context_elements(ops: DataFrame, now_ms: Column) -> DataFrame:
     return appended.unionByName(initial).join(live, "key", "left_semi")
 
 
+def context_exists(ops: DataFrame, now_ms: Column) -> DataFrame:
+    """(key, present) for every key that was ever written."""
+    live = context_entries(ops, now_ms).select("key", F.lit(True).alias("present"))
+    return ops.select("key").distinct().join(live, "key", "left").select("key", F.coalesce("present", F.lit(False)).alias("present"))
+
+
+def context_info(ops: DataFrame, now_ms: Column) -> DataFrame:
+    """(key, created_ms, owner, expires_ms) of the live entries, as the store's own notes have them."""
+    return context_entries(ops, now_ms).select("key", "created_ms", "owner", "expires_ms")
+
+
 def context_keys(ops: DataFrame, now_ms: Column, like: str | None = None) -> DataFrame:
     live = context_entries(ops, now_ms).select("key")
     return live if like is None else live.filter(F.col("key").like(like))

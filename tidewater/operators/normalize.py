@@ -54,21 +54,6 @@ def _bind(value: Column, body) -> Column:
     return F.transform(value, body)
 
 
-def _kept_text(fields: Column, payload: Column) -> Column:
-    """The fields an ``or`` chain keeps: not null, '', zero or false.
-
-    Fields are text, so a quoted "0" (which counts) is told from the number 0 by
-    its quotes in the payload; that look-up happens for zeros only.
-    """
-
-    def keep(key: Column, text: Column) -> Column:
-        blank = F.coalesce((text.try_cast("double") == 0) | (text == "false"), F.lit(False))
-        quoted = F.rlike(payload, F.concat(F.lit('"'), key, F.lit('"\\s*:\\s*"')))
-        return F.when(text != "", F.when(~blank, text).when(quoted, text))
-
-    return F.transform_values(fields, keep)
-
-
 def normalize_ticks(
     messages: DataFrame,
     payload: str = "payload",
@@ -82,46 +67,36 @@ def normalize_ticks(
     time cannot be read as numbers; route those rows to the dead-letter table.
     """
     now_ms = F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms
-    text = F.col(payload)
-    as_map = lambda c: F.from_json(c, "map<string,string>")
-    # keys differ by case only (e/E, t/T), so the record is a map, not a struct
-    top = messages.select(
-        *[F.col(k) for k in dict.fromkeys((*keep, payload))],
-        F.when(F.startswith(F.ltrim(text), F.lit("{")), as_map(text)).alias("top"),
-    )
-    nested_text = F.when(F.startswith(F.col("top")["data"], F.lit("{")), F.col("top")["data"])
-    parsed = top.select(
-        "*",
-        F.when(F.coalesce(F.col("top")["e"], F.lit("")) != "trade", as_map(nested_text)).alias("data"),
-    )
-    parsed = parsed.withColumns(
-        {"kept": _kept_text(F.col("top"), text), "kept_data": _kept_text(F.col("data"), text)}
-    )
-    t, d, kept, kept_data = (F.col(c) for c in ("top", "data", "kept", "kept_data"))
+    # keys differ by case only (e/E, t/T), so the record is a map, not a struct; quoted zeros count, numbers do not
+    keys = [F.col(k) for k in dict.fromkeys((*keep, payload))]
+    parsed = messages.select(*keys, F.try_parse_json(payload).alias("v"))
+    top = parsed.select(*keys, _fields(_as_fields(F.col("v"))).alias("top"), F.try_variant_get("v", "$.data", "variant").alias("inner"))
+    fields = top.select(*keys, "top", _fields(_as_fields(F.col("inner"))).alias("data"))
+    t, d = F.col("top"), F.col("data")
 
     def by_shape(flat: Column, nested: Column, generic: Column) -> Column:
-        return F.when(t["e"] == "trade", flat).when(F.size(F.map_keys(d)) > 0, nested).otherwise(generic)
+        return F.when(t["e"]["text"] == "trade", flat).when(F.size(F.map_keys(d)) > 0, nested).otherwise(generic)
 
     # the last alternative of an ``or`` chain counts even when it is zero
-    price = by_shape(t["p"], d["p"], F.coalesce(kept["price"], kept["p"], t["close"]))
+    price = by_shape(t["p"]["text"], d["p"]["text"], F.coalesce(_first_kept(t, ("price", "p")), t["close"]["text"]))
     trade = F.struct(
         price.alias("price"),
-        by_shape(t["q"], d["q"], F.coalesce(kept["volume"], kept["q"], t["v"])).alias("amount"),
+        by_shape(t["q"]["text"], d["q"]["text"], F.coalesce(_first_kept(t, ("volume", "q")), t["v"]["text"])).alias("amount"),
         by_shape(
-            F.coalesce(kept["T"], t["E"]),
-            F.coalesce(kept_data["T"], d["E"]),
-            F.coalesce(kept["timestamp"], kept["T"], now_ms.cast("string")),
+            F.coalesce(t["T"]["kept"], t["E"]["text"]),
+            F.coalesce(d["T"]["kept"], d["E"]["text"]),
+            F.coalesce(_first_kept(t, ("timestamp", "T")), now_ms.cast("string")),
         ).alias("at"),
         F.upper(
             F.coalesce(
-                by_shape(kept["s"], kept_data["s"], F.coalesce(kept["symbol"], kept["s"])),
+                by_shape(t["s"]["kept"], d["s"]["kept"], _first_kept(t, ("symbol", "s"))),
                 F.lit(default_symbol),
             )
         ).alias("symbol"),
     )
     # exploding a list of one or none drops rows without parsing the payload twice
     found = F.when(t.isNotNull(), F.filter(F.array(trade), lambda r: r["price"].isNotNull()))
-    rows = parsed.select(*keep, F.explode(found).alias("t")).select(*keep, "t.*")
+    rows = fields.select(*keep, F.explode(found).alias("t")).select(*keep, "t.*")
 
     amount = F.nullif("amount", F.lit(""))
     close, volume = F.col("price").try_cast("double"), amount.try_cast("double")
@@ -240,52 +215,62 @@ def parsed_action(action: Column, confidence: Column) -> list[Column]:
     ]
 
 
-def application_rows(payloads: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+def application_rows(payloads: DataFrame, payload: str = "payload", key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(applications, replicas) from status payloads whose lists may be maps or arrays.
 
-    applications: name, app_status, route_prefix, deployment_states; replicas: name, state.
+    applications: doc, entry_no, name, app_status, route_prefix, deployment_states; replicas: doc, entry_no, name,
+    state, n. ``doc`` is the payload's ``key`` (without one, a hash of its text: equal payloads then count once) and
+    ``entry_no`` the entry's place in it, so that payloads with the same application stay apart.
     """
     v = F.col("v")
-    parsed = payloads.withColumn("v", F.try_parse_json(payload)).withColumn("doc", F.monotonically_increasing_id())
+    if key is None:
+        payloads = payloads.select(F.xxhash64(payload).alias("doc"), payload).distinct()
+    else:
+        payloads = payloads.select(F.col(key).alias("doc"), payload)
+    parsed = payloads.withColumn("v", F.try_parse_json(payload))
     node = F.coalesce(
-        F.try_variant_get(v, "$.applications", "variant"), F.try_variant_get(v, "$.data.applications", "variant")
+        F.try_variant_get(v, "$.applications", "variant"),
+        F.try_variant_get(v, "$.data.applications", "variant"),
+        F.when(_text(v, "$.name").isNotNull(), F.parse_json(F.concat(F.lit("["), F.col(payload), F.lit("]")))),
     )
+    own = ["doc", "entry_no", "name"]
     apps = _named_entries(parsed.select("doc", node.alias("node")), ["doc"])
     status = F.coalesce(_status_token(F.col("entry"), "status"), _status_token(F.col("entry"), "app_status"))
     apps = apps.select(
-        F.col("entry_name").alias("name"),
+        "doc", "entry_no", F.col("entry_name").alias("name"),
         F.coalesce(status, F.lit("")).alias("app_status"),
         _text(F.col("entry"), "$.route_prefix").alias("route_prefix"),
         F.try_variant_get("entry", "$.deployments", "variant").alias("node"),
-    )
-    deployments = _named_entries(apps.select("name", "node"), ["name"]).select(
-        "name",
+    )
+    deployments = _named_entries(apps.select(*own, "node"), own, number="deployment_no").select(
+        *own,
         F.coalesce(
             *[_status_token(F.col("entry"), k) for k in ("status", "deployment_status", "message", "state")], F.lit("")
         ).alias("state"),
         "entry",
     )
-    states = deployments.groupBy("name").agg(F.sort_array(F.collect_set("state")).alias("deployment_states"))
+    # the states of one application in one payload, as many as it has deployments at most
+    states = deployments.groupBy(*own).agg(F.sort_array(F.collect_set("state")).alias("deployment_states"))
     counted = deployments.select(
-        "name",
+        *own,
         F.explode(
             F.coalesce(F.try_variant_get("entry", "$.replica_states", "map<string,int>"), F.create_map().cast("map<string,int>"))
         ).alias("state", "n"),
     )
     listed = deployments.select(
-        "name", F.explode(F.try_variant_get("entry", "$.replicas", "array<variant>")).alias("r")
+        *own, F.explode(F.try_variant_get("entry", "$.replicas", "array<variant>")).alias("r")
     ).select(
-        "name", F.coalesce(_status_token(F.col("r"), "state"), _status_token(F.col("r"), "status")).alias("state"),
+        *own, F.coalesce(_status_token(F.col("r"), "state"), _status_token(F.col("r"), "status")).alias("state"),
         F.lit(1).alias("n"),
     )
     replicas = (
         counted.unionByName(listed)
         .withColumn("state", F.upper(F.trim("state")))
         .filter(F.col("state") != "")
-        .groupBy("name", "state")
+        .groupBy(*own, "state")
         .agg(F.sum("n").alias("n"))
     )
-    return apps.drop("node").join(states, "name", "left"), replicas
+    return apps.drop("node").join(states, own, "left"), replicas
 
 
 def _status_token(value: Column, key: str) -> Column:
@@ -297,16 +282,16 @@ def _status_token(value: Column, key: str) -> Column:
     return first_truthy_text(F.upper(F.trim(token)))
 
 
-def _named_entries(df: DataFrame, keep: list[str], node: str = "node") -> DataFrame:
-    """Entries of a map- or list-shaped variant with their name: own ``name`` first, then the map key."""
+def _named_entries(df: DataFrame, keep: list[str], node: str = "node", number: str = "entry_no") -> DataFrame:
+    """Entries of a map- or list-shaped variant with their place and name: own ``name`` first, then the map key."""
     as_map = F.try_variant_get(node, "$", "map<string,variant>")
     as_list = F.try_variant_get(node, "$", "array<variant>")
     from_map = F.transform(
         F.map_entries(as_map), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("entry"))
     )
     from_list = F.transform(as_list, lambda e: F.struct(F.lit("").alias("key"), e.alias("entry")))
-    exploded = df.select(*keep, F.explode(F.coalesce(from_map, from_list)).alias("e")).select(
-        *keep, "e.key", "e.entry"
+    exploded = df.select(*keep, F.posexplode(F.coalesce(from_map, from_list)).alias(number, "e")).select(
+        *keep, number, "e.key", "e.entry"
     )
     own = F.coalesce(
         first_truthy_text(_text(F.col("entry"), "$.name")),
@@ -317,7 +302,7 @@ def _named_entries(df: DataFrame, keep: list[str], node: str = "node") -> DataFr
         exploded.filter(is_object(F.col("entry")))
         .withColumn("entry_name", F.trim(own))
         .filter(F.col("entry_name") != "")
-        .select(*keep, "entry_name", "entry")
+        .select(*keep, number, "entry_name", "entry")
     )
 
 

@@ -1,9 +1,8 @@
-"""Exact order statistics per group without sorting a whole group in one task.
+"""Exact order statistics per group without bringing a group, or a bracket of it, into one task.
 
-Two passes: an approximate percentile gives each group a narrow value bracket
-around every wanted rank (small groups take their whole range), then only the
-values inside the brackets are ordered, as (value, count) pairs; everything else
-is counted with partial aggregation, so a hot group costs no more than a scan.
+Values are dealt into ranges of (group, value) with about equal row counts and written once. Counts per range give
+the range and the place of every wanted rank; only ranges that hold one are looked at again, each on its own. Equal
+values are dealt apart by a row number, so a value that fills most of a group is spread like any other.
 """
 
 from __future__ import annotations
@@ -13,10 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.functions.numeric import round_half_even
+from tidewater.session import scratch_path
 
 SKETCH_ACCURACY = 10_000
-BRACKET_MARGIN = 0.002  # sketch error 1/10000 plus rank rounding 1/1000, with room to spare
-SMALL_GROUP = 1_000
 
 
 def nearest_rank_index(n: Column, p: float) -> Column:
@@ -24,87 +22,72 @@ def nearest_rank_index(n: Column, p: float) -> Column:
     return round_half_even(F.lit(p) * (n - 1))
 
 
-def _sketched(values: DataFrame, group: list[str], p95: float, extra: list[Column]) -> DataFrame:
-    """First pass: count, value brackets around both ranks, and any further aggregates."""
-    fractions = [0.5 - BRACKET_MARGIN, 0.5 + BRACKET_MARGIN, p95 - BRACKET_MARGIN, min(1.0, p95 + BRACKET_MARGIN)]
-    sketch = values.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
-        F.percentile_approx("v", fractions, SKETCH_ACCURACY).alias("cut"),
-        *extra,
-    )
-    small = F.col("n") <= SMALL_GROUP
-    edges = {"mid_lo": "min", "mid_hi": "max", "top_lo": "min", "top_hi": "max"}
-    return sketch.withColumns(
-        {name: F.when(small, F.col(edge)).otherwise(F.col("cut")[i]) for i, (name, edge) in enumerate(edges.items())}
-    ).drop("cut")
-
-
 def exact_summary(df: DataFrame, group: list[str], value: str, p95: float = 0.95) -> DataFrame:
     """n, mean, sample deviation (0 below two values), median, min, max and nearest-rank p95 per group.
 
-    Null values are left out.
+    Null values are left out. Only the group columns are keys; sums of floats never are.
     """
+    spark = df.sparkSession
     values = df.select(*group, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    moments = [F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std")]
-    sketch = _sketched(values, group, p95, moments)
-    known = sketch.select(
-        *[F.col(g).alias(f"g_{g}") for g in group],
-        *[c for c in sketch.columns if c not in group],
+    dealt = values.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*group, "v", "row")
+    path = scratch_path(spark, "ordered")
+    dealt.select(*group, "v", F.spark_partition_id().alias("range")).write.parquet(path)
+    ranged = spark.read.parquet(path)
+
+    # one row per group and range
+    parts = ranged.groupBy(*group, "range").agg(
+        F.count(F.lit(1)).alias("size"), F.min("v").alias("low"), F.max("v").alias("high"),
+        F.sum("v").alias("total"), F.avg("v").alias("part_mean"), F.var_pop("v").alias("part_variance"),
+    )
+    parts = parts.withColumn("upto", F.sum("size").over(W.partitionBy(*group).orderBy("range")))
+    whole = parts.groupBy(*group).agg(
+        F.sum("size").alias("n"), F.min("low").alias("min"), F.max("high").alias("max"), F.sum("total").alias("total")
     )
-    same_group = [F.col(g).eqNullSafe(F.col(f"g_{g}")) for g in group]
-    v = F.col("v")
-    # segments in value order: below, median bracket, between, p95 bracket; above is not needed
-    segment = (
-        F.when(v < F.col("mid_lo"), 0)
-        .when(v <= F.col("mid_hi"), 1)
-        .when(v < F.col("top_lo"), 2)
-        .when(v <= F.col("top_hi"), 3)
+    mean = F.col("total") / F.col("n")
+    spread = parts.drop("total").join(whole.select(*[F.col(g).alias(f"g_{g}") for g in group], "n", "total"), [F.col(g).eqNullSafe(F.col(f"g_{g}")) for g in group])
+    moments = spread.groupBy(*group).agg(
+        F.first("n").alias("n"),
+        F.sum(F.col("size") * (F.col("part_variance") + (F.col("part_mean") - mean) ** 2)).alias("squares"),
     )
-    carried = [f"g_{g}" for g in group] + ["n", "mean", "std", "min", "max"]
-    # outside the brackets only the number of rows matters: one partial row per segment and task
-    reduced = (
-        values.join(known, same_group)
-        .select(*carried, segment.alias("segment"), "v")
-        .filter(F.col("segment").isNotNull())
-        .groupBy(*carried, "segment", F.when(F.col("segment").isin(1, 3), v).alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"))
+    wanted = spread.select(
+        *group, "range", "upto", "size",
+        F.explode(F.array(*[
+            F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank"))
+            for name, rank in (
+                ("lower", F.floor((F.col("n") - 1) / 2)), ("upper", F.ceil((F.col("n") - 1) / 2)),
+                ("p95", nearest_rank_index(F.col("n"), p95)),
+            )
+        ])).alias("w"),
+    ).filter((F.col("w.rank") < F.col("upto")) & (F.col("w.rank") >= F.col("upto") - F.col("size")))
+    # at most three places in a range: (name, place) pairs
+    places = wanted.groupBy(*group, "range").agg(
+        F.collect_list(F.struct(F.col("w.name").alias("name"), (F.col("w.rank") - F.col("upto") + F.col("size")).alias("place"))).alias("places")
+    ).select(*[F.col(g).alias(f"g_{g}") for g in group], F.col("range").alias("g_range"), "places")
+    looked_at = ranged.join(places, [F.col("range") == F.col("g_range"), *[F.col(g).eqNullSafe(F.col(f"g_{g}")) for g in group]])
+    placed = looked_at.withColumn("at", F.row_number().over(W.partitionBy(*group, "range").orderBy("v")) - 1)
+    hits = placed.select(
+        *group, "v", F.explode(F.filter("places", lambda p: p["place"] == F.col("at"))).alias("p")
     )
-    ordered = W.partitionBy(*carried).orderBy("segment", "v")
-    reached = reduced.withColumn("upto", F.sum("c").over(ordered))
-    n = F.col("n")
-
-    def value_at(rank: Column) -> Column:
-        # a rank outside its bracket would meet a row without a value: fail rather than return a neighbour
-        first = F.min(F.when(F.col("upto") > rank, F.struct("segment", "v")))
-        return F.coalesce(first["v"], F.raise_error(F.lit("rank outside its bracket")).cast("double"))
-
-    lower, upper = F.floor((n - 1) / 2), F.ceil((n - 1) / 2)
-    return (
-        reached.groupBy(*carried)
-        .agg(
-            ((value_at(lower) + value_at(upper)) / 2).alias("median"),
-            value_at(nearest_rank_index(n, p95)).alias("p95"),
-        )
-        .select(*[F.col(f"g_{g}").alias(g) for g in group], "n", "mean", "std", "median", "min", "max", "p95")
+    ranks = hits.groupBy(*group).agg(
+        *[F.max(F.when(F.col("p.name") == name, F.col("v"))).alias(name) for name in ("lower", "upper", "p95")]
+    )
+    w, m, r = whole.alias("w"), moments.alias("m"), ranks.alias("r")
+    joined = w.join(m, [F.col(f"w.{g}").eqNullSafe(F.col(f"m.{g}")) for g in group]).join(
+        r, [F.col(f"w.{g}").eqNullSafe(F.col(f"r.{g}")) for g in group]
+    )
+    n = F.col("w.n")
+    return joined.select(
+        *[F.col(f"w.{g}").alias(g) for g in group],
+        n.alias("n"),
+        (F.col("w.total") / n).alias("mean"),
+        F.when(n > 1, F.sqrt(F.col("m.squares") / (n - 1))).otherwise(0.0).alias("std"),
+        ((F.col("r.lower") + F.col("r.upper")) / 2).alias("median"),
+        F.col("w.min").alias("min"),
+        F.col("w.max").alias("max"),
+        F.col("r.p95").alias("p95"),
     )
 
 
 def exact_median_and_p95(df: DataFrame, group: list[str], value: str, p95: float = 0.95) -> DataFrame:
     """Columns ``n``, ``median`` and ``p95`` per group; null values are left out."""
     return exact_summary(df, group, value, p95).select(*group, "n", "median", "p95")
-
-
-def approximate_summary(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """One-pass variant with sketched ranks, for dashboards that accept a rank error of 1e-4."""
-    v = F.col(value).cast("double")
-    return df.groupBy(*group).agg(
-        F.count(v).alias("n"),
-        F.avg(v).alias("mean"),
-        F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"),
-        F.percentile_approx(v, 0.5, SKETCH_ACCURACY).alias("median"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.percentile_approx(v, 0.95, SKETCH_ACCURACY).alias("p95"),
-    )

@@ -2,40 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.operators.market import SMA_LONG, SMA_SHORT, WINDOW_ROWS, trend_score
+from tidewater.session import scratch_path
 
-ROWS_PER_CHUNK = 500_000
 
+def with_lookback(df: DataFrame, key: str, ts_ms: str, tie: str, lookback: int, chunks: int | None = None) -> DataFrame:
+    """Deal rows into ranges of (key, time, tie) with about equal row counts and prepend the rows before each range.
 
-def with_lookback(
-    df: DataFrame, key: str, ts_ms: str, tie: str, lookback: int, rows_per_chunk: int = ROWS_PER_CHUNK
-) -> DataFrame:
-    """Cut keys with many rows into time chunks and prepend the ``lookback`` rows before each chunk.
-
-    Row frames that reach at most ``lookback`` rows back then give the same
-    result inside (key, ``chunk``) as over the whole key, so a busy key is spread
-    over many tasks. A key with at most ``rows_per_chunk`` rows is one chunk and
-    borrows nothing. Prepended rows carry ``borrowed = true`` and are dropped
-    after the frames were evaluated.
+    Row frames that reach at most ``lookback`` rows back then give the same result inside (key, ``chunk``) as over
+    the whole key, so a busy key is spread over many tasks, however its rows lie in time. Prepended rows carry
+    ``borrowed = true`` and are dropped after the frames were evaluated. The dealt rows are written once to the
+    shared folder. ``chunks`` is the number of ranges (by default Spark's shuffle partitions).
     """
-    span = F.max(ts_ms) - F.min(ts_ms) + 1
-    # at most (all rows / rows_per_chunk) keys, so this side of the join stays small
-    busy = (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(ts_ms).alias("start"), span.alias("span"))
-        .filter(F.col("n") > rows_per_chunk)
-        .select(key, "start", (F.col("span") * rows_per_chunk / F.col("n")).alias("chunk_ms"))
-    )
-    rows = df.join(busy, key, "left").select(
-        *df.columns,
-        F.floor((F.col(ts_ms) - F.col("start")) / F.col("chunk_ms")).alias("chunk"),
-        F.lit(False).alias("borrowed"),
-    )
-    cut = rows.filter(F.col("chunk").isNotNull())
+    order = [key, ts_ms, tie]
+    dealt = df.repartitionByRange(chunks, *order) if chunks else df.repartitionByRange(*order)
+    path = scratch_path(df.sparkSession, "ranges")
+    dealt.withColumn("chunk", F.spark_partition_id()).write.parquet(path)
+    cut = df.sparkSession.read.parquet(path)
+    rows = cut.withColumn("borrowed", F.lit(False))
 
     newest_first = W.partitionBy(key, "chunk").orderBy(F.col(ts_ms).desc(), F.col(tie).desc())
     tails = cut.withColumn("from_end", F.row_number().over(newest_first)).filter(F.col("from_end") <= lookback)
@@ -63,24 +51,38 @@ def with_lookback(
     return rows.unionByName(borrowed)
 
 
+def _priced_averages(spread: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Adds ``short_average`` and ``long_average`` over the last 5 and 20 rows with a price, on every such row."""
+    priced = W.partitionBy(key, "chunk", F.col("close").isNull()).orderBy(*order)
+    for name, length in (("short_average", SMA_SHORT), ("long_average", SMA_LONG)):
+        spread = spread.withColumn(
+            name, F.when(F.col("close").isNotNull(), F.avg("close").over(priced.rowsBetween(-(length - 1), 0)))
+        )
+    return spread
+
+
+def _last_known(name: str, frame) -> Column:
+    return F.last(name, ignorenulls=True).over(frame)
+
+
 def rolling_state(
-    ticks: DataFrame, key: str = "symbol", ts_ms: str = "timestamp", tie: str = "id", rows_per_chunk: int = ROWS_PER_CHUNK
+    ticks: DataFrame, key: str = "symbol", ts_ms: str = "timestamp", tie: str = "id", chunks: int | None = None
 ) -> DataFrame:
-    """Strict market state as of every tick over the last 25 ticks of its symbol."""
-    spread = with_lookback(
-        ticks.select(key, ts_ms, tie, "close", "volume"), key, ts_ms, tie, WINDOW_ROWS - 1, rows_per_chunk
-    )
-    ordered = W.partitionBy(key, "chunk").orderBy(ts_ms, tie)
-    full = ordered.rowsBetween(-(WINDOW_ROWS - 1), 0)
-    short = ordered.rowsBetween(-(SMA_SHORT - 1), 0)
-    long = ordered.rowsBetween(-(SMA_LONG - 1), 0)
+    """Strict market state as of every tick over the last 25 ticks of its symbol.
+
+    As in the state of a single window, rows without a price count as ticks but take no place in prices and averages.
+    """
+    spread = with_lookback(ticks.select(key, ts_ms, tie, "close", "volume"), key, ts_ms, tie, WINDOW_ROWS - 1, chunks)
+    spread = _priced_averages(spread, key, [ts_ms, tie])
+    full = W.partitionBy(key, "chunk").orderBy(ts_ms, tie).rowsBetween(-(WINDOW_ROWS - 1), 0)
     volume = F.coalesce("volume", F.lit(0.0))
 
     framed = spread.select(
         key, ts_ms, tie, "borrowed",
-        F.col("close").alias("last_price"),
+        _last_known("close", full).alias("last_price"),
         F.count(F.lit(1)).over(full).alias("window_count"),
-        F.first("close").over(full).alias("first_price"),
+        F.count("close").over(full).alias("priced"),
+        F.first("close", ignorenulls=True).over(full).alias("first_price"),
         F.avg("close").over(full).alias("avg_price"),
         F.avg(volume).over(full).alias("avg_volume"),
         F.min("close").over(full).alias("min_price"),
@@ -88,11 +90,11 @@ def rolling_state(
         F.stddev_pop("close").over(full).alias("deviation"),
         F.sum(volume).over(full).alias("total_volume"),
         F.sum(F.col("close") * volume).over(full).alias("turnover"),
-        F.avg("close").over(short).alias("short_average"),
-        F.avg("close").over(long).alias("long_average"),
-    ).filter(~F.col("borrowed"))
+        _last_known("short_average", full).alias("short_average"),
+        _last_known("long_average", full).alias("long_average"),
+    ).filter(~F.col("borrowed"))
 
-    first, last, n = F.col("first_price"), F.col("last_price"), F.col("window_count")
+    first, last, n = F.col("first_price"), F.col("last_price"), F.col("priced")
     state = framed.select(
         key, ts_ms, tie, "window_count", "last_price", "avg_price", "avg_volume", "min_price", "max_price",
         F.when(first != 0, (last - first) / F.nullif(first, F.lit(0.0)) * 100.0).alias("price_return_pct"),
@@ -107,15 +109,16 @@ def rolling_state(
 
 
 def moving_averages(
-    ticks: DataFrame, key: str = "symbol", ts_ms: str = "timestamp", tie: str = "id", rows_per_chunk: int = ROWS_PER_CHUNK
+    ticks: DataFrame, key: str = "symbol", ts_ms: str = "timestamp", tie: str = "id", chunks: int | None = None
 ) -> DataFrame:
-    """Only the two moving averages at every tick; null until enough ticks exist."""
-    spread = with_lookback(ticks.select(key, ts_ms, tie, "close"), key, ts_ms, tie, SMA_LONG - 1, rows_per_chunk)
-    ordered = W.partitionBy(key, "chunk").orderBy(ts_ms, tie)
-    averages = spread
-    for name, length in (("sma_5", SMA_SHORT), ("sma_20", SMA_LONG)):
-        frame = ordered.rowsBetween(-(length - 1), 0)
-        averages = averages.withColumn(
-            name, F.when(F.count("close").over(frame) >= length, F.avg("close").over(frame))
-        )
-    return averages.filter(~F.col("borrowed")).select(key, ts_ms, tie, "sma_5", "sma_20")
+    """Only the two moving averages at every tick, by the rule of ``rolling_state``: null until enough prices exist."""
+    spread = with_lookback(ticks.select(key, ts_ms, tie, "close"), key, ts_ms, tie, WINDOW_ROWS - 1, chunks)
+    spread = _priced_averages(spread, key, [ts_ms, tie])
+    full = W.partitionBy(key, "chunk").orderBy(ts_ms, tie).rowsBetween(-(WINDOW_ROWS - 1), 0)
+    n = F.count("close").over(full)
+    return (
+        spread.withColumn("sma_5", F.when(n >= SMA_SHORT, _last_known("short_average", full)))
+        .withColumn("sma_20", F.when(n >= SMA_LONG, _last_known("long_average", full)))
+        .filter(~F.col("borrowed"))
+        .select(key, ts_ms, tie, "sma_5", "sma_20")
+    )

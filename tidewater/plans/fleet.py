@@ -8,6 +8,7 @@ from tidewater.operators import cooldown, documents, fleet, listing, mutation, r
 from tidewater.plans.inputs import (
     APPLICATIONS, CATALOG, NOW_MS, REPLICAS, RUNTIME, applications, catalog, replicas, runtime,
 )
+from tidewater.plans.projections import PAGE_TEXT
 from tidewater.plans.registry import query, r
 from tidewater.session import table
 from tidewater.sinks.lake import skip_conflicts
@@ -29,9 +30,9 @@ def orders_customers(spark, sf_dir):
 
 @query(
     "j02_articles_with_pages",
-    r"""WITH p AS (SELECT page_id, regexp_extract(url, '([^/?#]+)/?([?#].*)?$', 1) AS page_key, url FROM pages),
-    first AS (SELECT page_key, min(url) AS path FROM p GROUP BY 1)
-    SELECT d.doc_id, d.source, CAST(d.doc_id AS VARCHAR) AS page_key, f.path, f.path IS NOT NULL AS has_page
+    rf"""WITH texts AS ({PAGE_TEXT}), p AS (SELECT page_id, regexp_extract(url, '([^/?#]+)/?([?#].*)?$', 1) AS page_key, url, t.page_text FROM pages JOIN texts t USING (page_id)),
+    first AS (SELECT page_key, min(url) AS path, arg_min(page_text, url) AS page_text FROM p GROUP BY 1)
+    SELECT d.doc_id, d.source, CAST(d.doc_id AS VARCHAR) AS page_key, f.path, md5(f.page_text) AS page_text_md5
     FROM documents d LEFT JOIN first f ON f.page_key = CAST(d.doc_id AS VARCHAR)""",
 )
 def articles(spark, sf_dir):
@@ -41,7 +42,7 @@ def articles(spark, sf_dir):
     )
     news = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("doc_id").cast("string").alias("page_key"))
     return documents.articles_with_pages(news, pages).select(
-        "doc_id", "source", "page_key", "path", F.col("page_text").isNotNull().alias("has_page")
+        "doc_id", "source", "page_key", "path", F.md5(F.col("page_text").cast("binary")).alias("page_text_md5")
     )
 
 
@@ -328,18 +329,23 @@ def normalized_capabilities(spark, sf_dir):
     return rows.select("agent", "position", "id", "description", F.array_join("tags", ",").alias("tags"), "interaction_mode")
 
 
-GRANTS = """grants AS (SELECT o_custkey AS user_id, o_orderpriority AS role FROM orders),
-policies AS (SELECT DISTINCT o_orderpriority AS role, o_orderstatus AS policy FROM orders WHERE o_totalprice > 499500),
-permissions AS (SELECT DISTINCT o_orderstatus AS policy, 'perm' || CAST(o_custkey % 20 AS VARCHAR) AS permission FROM orders WHERE o_totalprice > 400000)"""
+GRANTS = """grants AS (SELECT c_custkey AS user_id, 'role' || CAST(c_nationkey AS VARCHAR) AS role FROM customer),
+policies AS (SELECT 'role' || CAST(n_nationkey AS VARCHAR) AS role, r_name AS policy FROM nation JOIN region ON n_regionkey = r_regionkey),
+permissions AS (SELECT DISTINCT r_name AS policy, p_brand AS permission FROM part JOIN region ON p_size % 5 = r_regionkey)"""
 
 
 def _grants(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    grants = o.select(F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("role"))
-    policies = o.filter(F.col("o_totalprice") > 499500).select(F.col("o_orderpriority").alias("role"), F.col("o_orderstatus").alias("policy")).distinct()
+    """Customers' nations as roles, their regions as policies, and the brands of parts as a region's permissions."""
+    role = lambda c: F.concat(F.lit("role"), F.col(c).cast("string")).alias("role")
+    grants = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), role("c_nationkey"))
+    regions = table(spark, sf_dir, "region")
+    policies = table(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        role("n_nationkey"), F.col("r_name").alias("policy")
+    )
     permissions = (
-        o.filter(F.col("o_totalprice") > 400000)
-        .select(F.col("o_orderstatus").alias("policy"), F.concat(F.lit("perm"), (F.col("o_custkey") % 20).cast("string")).alias("permission"))
+        table(spark, sf_dir, "part")
+        .join(regions, F.col("p_size") % 5 == F.col("r_regionkey"))
+        .select(F.col("r_name").alias("policy"), F.col("p_brand").alias("permission"))
         .distinct()
     )
     return grants, policies, permissions
@@ -352,10 +358,10 @@ def permissions(spark, sf_dir):
 
 @query(
     "j10_authorized_users",
-    f"WITH {GRANTS} SELECT DISTINCT user_id FROM grants JOIN policies USING (role) JOIN permissions USING (policy) WHERE permission = 'perm7'",
+    f"WITH {GRANTS} SELECT DISTINCT user_id FROM grants JOIN policies USING (role) JOIN permissions USING (policy) WHERE permission = 'Brand#17'",
 )
 def authorized(spark, sf_dir):
-    return fleet.authorized(*_grants(spark, sf_dir), "perm7")
+    return fleet.authorized(*_grants(spark, sf_dir), "Brand#17")
 
 
 @query(
@@ -703,10 +709,13 @@ def context_entries(spark, sf_dir):
 
 @query(
     "m08_context_elements",
-    f"""WITH {OPS}, starts AS (SELECT key, max(CAST(ts_ms AS HUGEINT) * 1000000000 + seq) AS start FROM ops WHERE op IN ('set', 'delete') GROUP BY key)
-    SELECT o.key, o.ts_ms, o.seq, 0 AS pos, o.value_json FROM ops o LEFT JOIN starts s USING (key)
-    WHERE o.op = 'append' AND (s.start IS NULL OR CAST(o.ts_ms AS HUGEINT) * 1000000000 + o.seq > s.start)
-      AND o.key IN (SELECT key FROM live WHERE op = 'append')""",
+    f"""WITH {OPS}, lagged AS (SELECT *, CAST(ts_ms AS HUGEINT) * 1000000000 + seq AS at,
+        lag(CASE WHEN op <> 'delete' THEN ts_ms + ttl_s * 1000 END) OVER (PARTITION BY key ORDER BY ts_ms, seq) AS gone_ms FROM ops),
+    generations AS (SELECT *, sum(CASE WHEN op IN ('set', 'delete') OR gone_ms <= ts_ms THEN 1 ELSE 0 END)
+        OVER (PARTITION BY key ORDER BY ts_ms, seq) AS generation FROM lagged),
+    newest AS (SELECT key, max(generation) AS generation FROM generations GROUP BY key)
+    SELECT g.key, g.ts_ms, g.seq, 0 AS pos, g.value_json FROM generations g JOIN newest USING (key, generation)
+    WHERE g.op = 'append' AND g.key IN (SELECT key FROM live WHERE op = 'append')""",
 )
 def context_elements(spark, sf_dir):
     return mutation.context_elements(_ops(spark, sf_dir), F.lit(CONTEXT_NOW))

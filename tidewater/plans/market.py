@@ -17,19 +17,9 @@ from tidewater.plans.inputs import (
 from tidewater.plans.registry import query, r
 from tidewater.session import table
 
-STATE_SQL = f"""
-  SELECT symbol, count(*) AS window_count,
-         {r('max(close) FILTER (WHERE rn = 1)', 6)} AS last_price,
-         {r('avg(close)', 6)} AS avg_price, {r('avg(volume)', 6)} AS avg_volume,
-         {r('min(close)', 6)} AS min_price, {r('max(close)', 6)} AS max_price,
-         {{ret}} AS price_return_pct, {{vol}} AS volatility_estimate,
-         {r('CASE WHEN sum(volume) > 0 THEN sum(close * volume) / sum(volume) END', 6)} AS vwap,
-         {{sma5}} AS sma_5, {{sma20}} AS sma_20, {{trend}} AS trend_score,
-         max("timestamp") FILTER (WHERE rn = 1) AS last_tick_at
-"""
-
-
-def state_sql(mode: str) -> str:
+def state_sql(mode: str, digits: int | None = 6) -> str:
+    """State per symbol over ``numbered`` rows; ``digits`` of None leaves the numbers unrounded."""
+    cut = (lambda e: e) if digits is None else (lambda e: r(e, digits))
     first = "max(close) FILTER (WHERE rn = n)"
     last = "max(close) FILTER (WHERE rn = 1)"
     ret = f"CASE WHEN {first} <> 0 THEN ({last} - {first}) / {first} * 100.0 END"
@@ -44,7 +34,15 @@ def state_sql(mode: str) -> str:
         f"CASE WHEN {s5} IS NOT NULL AND {s20} <> 0 THEN least(greatest(({s5} - {s20}) / {s20} * 50.0, -1.0), 1.0) "
         f"WHEN {ret} IS NOT NULL THEN least(greatest({ret} / 5.0, -1.0), 1.0) ELSE 0.0 END"
     )
-    return STATE_SQL.format(ret=r(ret, 6), vol=r(vol, 6), sma5=r(s5, 6), sma20=r(s20, 6), trend=r(trend, 6))
+    return f"""
+  SELECT symbol, count(*) AS window_count, {cut(last)} AS last_price,
+         {cut('avg(close)')} AS avg_price, {cut('avg(volume)')} AS avg_volume,
+         {cut('min(close)')} AS min_price, {cut('max(close)')} AS max_price,
+         {cut(ret)} AS price_return_pct, {cut(vol)} AS volatility_estimate,
+         {cut('CASE WHEN sum(volume) > 0 THEN sum(close * volume) / sum(volume) END')} AS vwap,
+         {cut(s5)} AS sma_5, {cut(s20)} AS sma_20, {cut(trend)} AS trend_score,
+         max("timestamp") FILTER (WHERE rn = 1) AS last_tick_at
+"""
 
 
 LAST_25 = """last25 AS (
@@ -153,46 +151,43 @@ def bars(spark, sf_dir):
 
 
 ROLLING = """
-  WINDOW w25 AS (PARTITION BY symbol ORDER BY "timestamp", id ROWS BETWEEN 24 PRECEDING AND CURRENT ROW),
-         w20 AS (PARTITION BY symbol ORDER BY "timestamp", id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW),
-         w5 AS (PARTITION BY symbol ORDER BY "timestamp", id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"""
+  WINDOW w25 AS (PARTITION BY symbol ORDER BY "timestamp", id ROWS BETWEEN 24 PRECEDING AND CURRENT ROW)"""
+GAPPED = f"""{TICKS}, gapped AS (SELECT symbol, "timestamp", id, volume, CASE WHEN id % 9 <> 0 THEN close END AS close FROM ticks),
+  windows AS (SELECT *, list(close) OVER w25 AS all_prices, count(*) OVER w25 AS window_count, avg(volume) OVER w25 AS avg_volume,
+      sum(close * volume) OVER w25 AS pv, sum(volume) OVER w25 AS v FROM gapped {ROLLING}),
+  priced AS (SELECT *, list_filter(all_prices, lambda x: x IS NOT NULL) AS prices FROM windows),
+  averaged AS (SELECT *, CASE WHEN len(prices) >= 5 THEN list_avg(prices[-5:]) END AS s5,
+      CASE WHEN len(prices) >= 20 THEN list_avg(prices[-20:]) END AS s20 FROM priced)"""
+
+
+def _gapped(spark, sf_dir):
+    """Ticks of five symbols; every ninth has no price."""
+    return ticks(spark, sf_dir).withColumn("close", F.when(F.col("id") % 9 != 0, F.col("close")))
 
 
 @query(
     "w02_rolling_metrics",
-    f"""WITH {TICKS},
-    framed AS (SELECT symbol, "timestamp", id, close AS last_price, count(*) OVER w25 AS window_count,
-        first_value(close) OVER w25 AS first_price, avg(close) OVER w25 AS avg_price, avg(volume) OVER w25 AS avg_volume,
-        min(close) OVER w25 AS min_price, max(close) OVER w25 AS max_price,
-        CASE WHEN count(*) OVER w25 >= 2 THEN stddev_pop(close) OVER w25 END AS vol,
-        sum(close * volume) OVER w25 AS pv, sum(volume) OVER w25 AS v,
-        CASE WHEN count(*) OVER w25 >= 5 THEN avg(close) OVER w5 END AS s5,
-        CASE WHEN count(*) OVER w25 >= 20 THEN avg(close) OVER w20 END AS s20
-      FROM ticks {ROLLING}),
-    ret AS (SELECT *, CASE WHEN first_price <> 0 THEN (last_price - first_price) / first_price * 100.0 END AS ret FROM framed)
-    SELECT symbol, "timestamp", id, window_count, {r('last_price', 6)} AS last_price, {r('avg_price', 6)} AS avg_price,
-      {r('avg_volume', 6)} AS avg_volume, {r('min_price', 6)} AS min_price, {r('max_price', 6)} AS max_price,
-      {r('ret', 6)} AS price_return_pct, {r('vol', 6)} AS volatility_estimate,
+    f"""WITH {GAPPED},
+    ret AS (SELECT *, CASE WHEN prices[1] <> 0 THEN (prices[-1] - prices[1]) / prices[1] * 100.0 END AS ret FROM averaged)
+    SELECT symbol, "timestamp", id, window_count, {r('prices[-1]', 6)} AS last_price, {r('list_avg(prices)', 6)} AS avg_price,
+      {r('avg_volume', 6)} AS avg_volume, {r('list_min(prices)', 6)} AS min_price, {r('list_max(prices)', 6)} AS max_price,
+      {r('ret', 6)} AS price_return_pct, {r('CASE WHEN len(prices) >= 2 THEN list_stddev_pop(prices) END', 6)} AS volatility_estimate,
       {r('CASE WHEN v > 0 THEN pv / v END', 6)} AS vwap, {r('s5', 6)} AS sma_5, {r('s20', 6)} AS sma_20,
       {r('''CASE WHEN s20 <> 0 THEN least(greatest((s5 - s20) / s20 * 50.0, -1.0), 1.0)
             WHEN ret IS NOT NULL THEN least(greatest(ret / 5.0, -1.0), 1.0) ELSE 0.0 END''', 6)} AS trend_score
     FROM ret""",
 )
 def rolling(spark, sf_dir):
-    """Five symbols; those with more rows than one chunk holds are spread over many tasks."""
-    return m.rounded_state(rolling_state(ticks(spark, sf_dir)))
+    """State as of every tick, with ticks that have no price among them."""
+    return m.rounded_state(rolling_state(_gapped(spark, sf_dir)))
 
 
 @query(
     "w03_moving_averages",
-    f"""WITH {TICKS}
-    SELECT symbol, "timestamp", id,
-      CASE WHEN count(*) OVER w5 >= 5 THEN {r('avg(close) OVER w5', 6)} END AS sma_5,
-      CASE WHEN count(*) OVER w20 >= 20 THEN {r('avg(close) OVER w20', 6)} END AS sma_20
-    FROM ticks {ROLLING}""",
+    f"""WITH {GAPPED} SELECT symbol, "timestamp", id, {r('s5', 6)} AS sma_5, {r('s20', 6)} AS sma_20 FROM averaged""",
 )
 def averages(spark, sf_dir):
-    return m.rounded_state(moving_averages(ticks(spark, sf_dir)))
+    return m.rounded_state(moving_averages(_gapped(spark, sf_dir)))
 
 
 @query(
@@ -308,16 +303,19 @@ def first_items(spark, sf_dir):
 
 
 SIGNAL = f"""{USER_TICKS}, {LAST_25}, {NUMBERED}, {HEADLINES}, {FIRST_8}, {ANALYSIS},
-state AS ({state_sql('strict')} FROM numbered GROUP BY symbol),
+state AS ({state_sql('strict', None)} FROM numbered GROUP BY symbol),
 signal AS (
   SELECT s.*, a.article_count, {label_sql('a.mean', 0.15)} AS label, coalesce(a.score, 0.0) AS sentiment,
          0.65 * s.trend_score + 0.35 * coalesce(a.score, 0.0) AS final
   FROM state s LEFT JOIN analysis a USING (symbol))"""
 
 
+STATE_NUMBERS = ("last_price", "sma_5", "sma_20", "vwap", "price_return_pct", "volatility_estimate")
+
+
 def _signals(spark, sf_dir, symbol_column="user_id"):
     window = m.newest_rows(ticks(spark, sf_dir, symbol_column), "symbol", ["timestamp", "id"])
-    state = m.rounded_state(m.market_state(window))
+    state = m.market_state(window)
     analysis = m.headline_sentiment(headlines(spark, sf_dir), COMMON_WORDS)
     return m.fused_signals(state, analysis, F.lit(NOW_MS))
 
@@ -348,13 +346,13 @@ def fused(spark, sf_dir):
       {r('sentiment', 2)} AS sentiment_score,
       CASE WHEN article_count IS NULL THEN 'No headline analysis available.' ELSE
         'Headline sentiment is ' || label || ' based on ' || CAST(article_count AS VARCHAR) || ' recent articles.' END AS analyst_summary,
-      last_price, sma_5, sma_20, vwap, price_return_pct, volatility_estimate, window_count,
-      {NOW_MS} AS timestamp_ms
+      {', '.join(f"{r(c, 6)} AS {c}" for c in STATE_NUMBERS)}, window_count, {NOW_MS} AS timestamp_ms
     FROM signal""",
 )
 def signal_rows(spark, sf_dir):
-    """Flagship: last-25 state, headline sentiment and the fused signal as history rows."""
-    return m.signal_history(_signals(spark, sf_dir))
+    """Flagship: last-25 state, headline sentiment and the fused signal as history rows, rounded on output only."""
+    history = m.signal_history(_signals(spark, sf_dir))
+    return history.withColumns({c: rounded(F.col(c), 6) for c in STATE_NUMBERS})
 
 
 @query(

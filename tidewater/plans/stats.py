@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewater import api
 from tidewater.functions.numeric import rounded
 from tidewater.operators import conversation, listing, order_stats, trials
 from tidewater.plans.inputs import CATALOG, NOW_MS, SYSTEMS, TICKS, TRIALS, catalog, ticks, trials as trial_input
@@ -245,9 +246,11 @@ def gate(spark, sf_dir):
     return listing.row_gate(table(spark, sf_dir, "events"), "user_id", 70)
 
 
-@query("t03_preview")
+@query("t03_preview", "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents ORDER BY doc_id LIMIT 10")
 def preview(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source").limit(10)
+    """The first rows of a table by key, as the read surface previews them; the cut is the feature."""
+    rows = api.preview(spark, f"{sf_dir}/documents.parquet", order=["doc_id"])
+    return rows.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query(

@@ -13,13 +13,41 @@ from tidewater.session import scratch_path, table
 from tidewater.sources.candidates import fallback_prices, window_or_fallback, with_fallback
 from tidewater.streaming import outputs, windows
 
-ALL_HISTORY = "40 days"  # lateness that keeps every row of the given month of events
+FILES = 6  # the given events land as so many files, in time order
+FILES_PER_BATCH = 2
+BATCHES = FILES // FILES_PER_BATCH
+
+EVENTS_SQL = f"""landed AS (
+  SELECT *, epoch_us(ts) // 1000 AS ts_ms, min(epoch_us(ts) // 1000) OVER () AS first_ms, max(epoch_us(ts) // 1000) OVER () AS last_ms,
+    CAST((ts_ms - first_ms) * {FILES} // (last_ms - first_ms + 1) AS BIGINT) AS file, file // {FILES_PER_BATCH} AS batch_id,
+    event_id % 50 = 0 AND ts_ms < first_ms + (last_ms - first_ms) // 5 AS late FROM events)"""
+
+
+def _in_slices(spark, sf_dir):
+    """Events with the time slice (file) they land in and whether they are late: then they land with the last file."""
+    e = table(spark, sf_dir, "events").withColumn("ts_ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    first, last = e.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    slice_ = F.floor((F.col("ts_ms") - first) * FILES / (last - first + 1)).cast("int")
+    late = (F.col("event_id") % 50 == 0) & (F.col("ts_ms") < first + (last - first) // 5)
+    return e.withColumns({"file": slice_, "late": late})
+
+
+def _land(spark, rows, label):
+    """One file per value of ``file``, one after the other, so that a file's time tells the order of arrival."""
+    cut, path = scratch_path(spark, f"{label}-cut"), scratch_path(spark, label)
+    rows.write.partitionBy("file").parquet(cut)
+    for i in range(FILES):
+        spark.read.parquet(f"{cut}/file={i}").coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
-def _tick_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    # braces make it a pattern, which the stream source takes for a single file as well as for a folder
-    raw = windows.landing_stream(spark, f"{sf_dir}/{{events.parquet}}", schema)
+def _tick_stream(spark, sf_dir, with_late=False):
+    """Ticks in capped batches; ``with_late``: some early ones arrive with the last file."""
+    rows = _in_slices(spark, sf_dir)
+    if with_late:
+        rows = rows.withColumn("file", F.when(F.col("late"), FILES - 1).otherwise(F.col("file")))
+    path = _land(spark, rows.drop("ts_ms", "late"), "landing")
+    raw = windows.landing_stream(spark, path, table(spark, sf_dir, "events").schema, files_per_trigger=FILES_PER_BATCH)
     ts = F.col("ts").cast("timestamp")
     return raw.select(
         F.col("event_type").alias("symbol"), F.col("value").alias("close"),
@@ -28,69 +56,78 @@ def _tick_stream(spark, sf_dir):
     )
 
 
+def _batches(query):
+    return F.lit(windows.data_batches(query)).alias("batches")
+
+
 @query(
     "r02_stream_window_counts",
     f"""WITH {TICKS}
-    SELECT "timestamp" - "timestamp" % 10000 AS time, symbol, {r('avg(close)', 6)} AS avg_price, count(*) AS count FROM ticks GROUP BY 1, 2""",
+    SELECT "timestamp" - "timestamp" % 10000 AS time, symbol, {r('avg(close)', 6)} AS avg_price, count(*) AS count, {BATCHES} AS batches
+    FROM ticks GROUP BY 1, 2""",
 )
 def stream_counts(spark, sf_dir):
-    """Updated windows go to one folder per batch; the newest row per window is the table."""
+    """Updated windows go to one folder per batch; the newest row per window is the table.
+
+    Files arrive in time order, so a minute of lateness loses nothing and frees closed windows.
+    """
     path, checkpoint = scratch_path(spark, "windows"), scratch_path(spark, "checkpoint")
-    counts = windows.windowed_counts(_tick_stream(spark, sf_dir), lateness=ALL_HISTORY)
-    windows.drain(counts, checkpoint, windows.batch_writer(path), "update")
-    return windows.newest_per_key(spark, path, counts.schema, ["time", "symbol"]).withColumn("avg_price", rounded(F.col("avg_price"), 6))
+    counts = windows.windowed_counts(_tick_stream(spark, sf_dir))
+    with windows.rocksdb(spark):
+        ran = windows.drain(counts, checkpoint, windows.batch_writer(path), "update")
+    newest = windows.newest_per_key(spark, path, counts.schema, ["time", "symbol"])
+    return newest.withColumn("avg_price", rounded(F.col("avg_price"), 6)).select("*", _batches(ran))
 
 
 def _streamed_metrics(spark, sf_dir):
-    path, checkpoint = scratch_path(spark, "metrics"), scratch_path(spark, "checkpoint")
-    before = spark.conf.get(windows.STATE_STORE, None)
-    windows.use_rocksdb(spark)
-    try:
-        stream = windows.newest_tick_windows(_tick_stream(spark, sf_dir))
-        write = windows.batch_writer(path)
-        windows.drain(stream, checkpoint, lambda batch, i: write(windows.window_metrics(batch), i), "update")
-    finally:
-        if before is not None:
-            spark.conf.set(windows.STATE_STORE, before)
-    schema = windows.window_metrics(spark.createDataFrame([], windows.WINDOW_OUTPUT)).schema
-    return windows.newest_per_key(spark, path, schema, ["symbol"])
+    path, checkpoint = scratch_path(spark, "state"), scratch_path(spark, "checkpoint")
+    windows.drain(_tick_stream(spark, sf_dir), checkpoint, windows.newest_tick_windows(path))
+    return windows.window_metrics(windows.latest_state(spark, path))
 
 
 @query(
     "r03_stream_market_state",
-    f"WITH {TICKS}, {LAST_25}, {NUMBERED} {state_sql('strict')}, (SELECT count(*) FROM ticks t WHERE t.symbol = numbered.symbol) AS tick_count FROM numbered GROUP BY symbol",
+    f"""WITH {TICKS}, {EVENTS_SQL}, {LAST_25}, {NUMBERED}, state AS ({state_sql('strict')} FROM numbered GROUP BY symbol),
+    counters AS (SELECT event_type AS symbol, count(*) AS tick_count, count(DISTINCT batch_id) AS batch_count FROM landed GROUP BY 1)
+    SELECT * FROM state JOIN counters USING (symbol)""",
 )
 def stream_state(spark, sf_dir):
-    """Keyed state keeps the newest 25 ticks per symbol; the final metrics equal the batch ones."""
+    """The newest 25 ticks per symbol are carried from batch to batch; the final metrics equal the batch ones."""
     out = _streamed_metrics(spark, sf_dir)
-    return rounded_state(out.drop("tick_count", "batch_count")).join(out.select("symbol", "tick_count"), "symbol")
+    counters = out.select("symbol", "tick_count", "batch_count")
+    return rounded_state(out.drop("tick_count", "batch_count")).join(counters, "symbol")
 
 
-@query("g21_tick_counters", "SELECT event_type AS symbol, count(*) AS tick_count FROM events GROUP BY 1")
+@query(
+    "g21_tick_counters",
+    f"""WITH {EVENTS_SQL} SELECT event_type AS symbol, count(*) AS tick_count, count(DISTINCT batch_id) AS batch_count FROM landed GROUP BY 1""",
+)
 def counters(spark, sf_dir):
-    return _streamed_metrics(spark, sf_dir).select("symbol", "tick_count")
+    return _streamed_metrics(spark, sf_dir).select("symbol", "tick_count", "batch_count")
 
 
 @query(
     "r04_two_sinks",
-    """SELECT 'lake' AS sink, count(*) AS row_count, CAST(sum(event_id) AS BIGINT) AS id_sum FROM events
-       UNION ALL SELECT 'sql', count(*), CAST(sum(event_id) AS BIGINT) FROM events""",
+    f"""WITH {EVENTS_SQL}, sinks AS (SELECT unnest(['lake', 'sql']) AS sink)
+    SELECT sink, batch_id, count(*) AS row_count, CAST(sum(event_id) AS BIGINT) AS id_sum FROM landed, sinks GROUP BY 1, 2""",
 )
 def two_sinks(spark, sf_dir):
-    """Every batch goes to both targets; status rows tell how each write ended."""
+    """Every batch goes to both targets."""
     lake, sql, status, checkpoint = (scratch_path(spark, n) for n in ("lake", "sql", "status", "checkpoint"))
     sink = outputs.dual_sink({"lake": (lake, windows.batch_writer(lake)), "sql": (sql, windows.batch_writer(sql))}, status)
     windows.drain(_tick_stream(spark, sf_dir), checkpoint, sink)
-    both = [spark.read.parquet(p).select(F.lit(n).alias("sink"), "id") for n, p in (("lake", lake), ("sql", sql))]
-    return both[0].unionByName(both[1]).groupBy("sink").agg(F.count(F.lit(1)).alias("row_count"), F.sum("id").alias("id_sum"))
+    both = [spark.read.parquet(p).select(F.lit(n).alias("sink"), F.col("batch_id").cast("bigint").alias("batch_id"), "id") for n, p in (("lake", lake), ("sql", sql))]
+    return both[0].unionByName(both[1]).groupBy("sink", "batch_id").agg(F.count(F.lit(1)).alias("row_count"), F.sum("id").alias("id_sum"))
 
 
 @query(
     "k13_sink_status",
-    "SELECT 'lake' AS sink, TRUE AS persisted, FALSE AS has_error UNION ALL SELECT 'broken', FALSE, TRUE",
+    f"""WITH {EVENTS_SQL}, sizes AS (SELECT batch_id, count(*) AS n FROM landed GROUP BY 1)
+    SELECT batch_id, 'lake' AS sink, TRUE AS persisted, CAST(NULL AS VARCHAR) AS error, n AS stored_rows FROM sizes
+    UNION ALL SELECT batch_id, 'broken', FALSE, 'RuntimeError: no connection for ' || CAST(n AS VARCHAR) || ' rows', 0 FROM sizes""",
 )
 def sink_status(spark, sf_dir):
-    """A sink that raises is reported and does not stop the other one."""
+    """A sink that raises is reported for every batch and does not stop the other one."""
     lake, status, checkpoint = (scratch_path(spark, n) for n in ("lake", "status", "checkpoint"))
 
     def broken(batch, batch_id):
@@ -98,76 +135,87 @@ def sink_status(spark, sf_dir):
 
     sink = outputs.dual_sink({"lake": (lake, windows.batch_writer(lake)), "broken": ("none", broken)}, status)
     windows.drain(_tick_stream(spark, sf_dir), checkpoint, sink)
-    return spark.read.parquet(status).groupBy("sink").agg(
-        F.bool_and("persisted").alias("persisted"), (F.count("error") > 0).alias("has_error")
+    stored = spark.read.parquet(lake).groupBy("batch_id").agg(F.count(F.lit(1)).alias("stored_rows")).withColumn("sink", F.lit("lake"))
+    return spark.read.parquet(status).join(stored, ["batch_id", "sink"], "left").select(
+        F.col("batch_id").cast("bigint").alias("batch_id"), "sink", "persisted", "error", F.coalesce("stored_rows", F.lit(0)).alias("stored_rows")
     )
 
 
-@query("k14_overwrite_then_append", "SELECT event_type AS symbol, count(*) AS row_count FROM events GROUP BY 1")
+@query(
+    "k14_overwrite_then_append",
+    f"WITH {EVENTS_SQL} SELECT event_type AS symbol, batch_id, count(*) AS row_count FROM landed GROUP BY 1, 2",
+)
 def overwrite_then_append(spark, sf_dir):
+    """The first batch replaces what an earlier run left in the table; the later ones append."""
     path, checkpoint = scratch_path(spark, "prices"), scratch_path(spark, "checkpoint")
+    left_over = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("symbol"), F.lit(7).alias("batch_id"))
+    left_over.write.partitionBy("batch_id").parquet(path)
     windows.drain(_tick_stream(spark, sf_dir), checkpoint, outputs.overwrite_then_append(path))
-    return spark.read.parquet(path).groupBy("symbol").agg(F.count(F.lit(1)).alias("row_count"))
+    return spark.read.parquet(path).groupBy("symbol", F.col("batch_id").cast("bigint").alias("batch_id")).agg(F.count(F.lit(1)).alias("row_count"))
 
 
 def _landing(spark, sf_dir):
-    """Events as JSON lines in a landing folder; errors are cut off and no longer valid JSON."""
-    path = scratch_path(spark, "landing")
-    e = table(spark, sf_dir, "events")
+    """Events as JSON lines in a landing folder of several files; a mark before errors makes them invalid JSON."""
     text = F.to_json(F.struct("event_id", "event_type", "value"))
-    line = F.when(F.col("event_type") == "error", F.substring(text, 1, 12)).otherwise(text)
-    e.select(line.alias("value")).write.text(path)
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit("!"), text)).otherwise(text)
+    cut, path = scratch_path(spark, "lines-cut"), scratch_path(spark, "lines")
+    _in_slices(spark, sf_dir).select(line.alias("value"), "file").write.partitionBy("file").text(cut)
+    for i in range(FILES):
+        spark.read.text(f"{cut}/file={i}").coalesce(1).write.mode("append").text(path)
     return path
 
 
 @query(
     "r05_landing_with_dead_letters",
-    """SELECT CASE WHEN event_type = 'error' THEN 'dead' ELSE 'good' END AS route, count(*) AS row_count,
-       CASE WHEN event_type = 'error' THEN NULL ELSE CAST(sum(event_id) AS BIGINT) END AS id_sum FROM events GROUP BY 1, event_type = 'error'""",
+    f"""WITH {EVENTS_SQL} SELECT batch_id, CASE WHEN event_type = 'error' THEN 'dead' ELSE 'good' END AS route, count(*) AS row_count,
+       CAST(sum(event_id) AS BIGINT) AS id_sum FROM landed GROUP BY 1, 2""",
 )
 def landing(spark, sf_dir):
-    """JSON lines in capped micro-batches; lines that do not parse reach the dead-letter table."""
+    """JSON lines in capped micro-batches; lines that do not parse reach the dead-letter table with their whole text."""
     path, checkpoint = scratch_path(spark, "routed"), scratch_path(spark, "checkpoint")
-    lines = windows.landing_stream(spark, _landing(spark, sf_dir), "value string", "text", files_per_trigger=8)
+    lines = windows.landing_stream(spark, _landing(spark, sf_dir), "value string", "text", files_per_trigger=FILES_PER_BATCH)
     rows = windows.parse_landing(lines, "event_id bigint, event_type string, value double")
     sink = outputs.with_dead_letters(path, F.col("corrupt").isNull(), F.lit("not a JSON object"))
     windows.drain(rows, checkpoint, sink)
-    return spark.read.parquet(path).groupBy("route").agg(
-        F.count(F.lit(1)).alias("row_count"), F.sum("event_id").alias("id_sum")
+    kept = F.get_json_object(F.substring("corrupt", 2, 1_000_000), "$.event_id").cast("bigint")
+    return spark.read.parquet(path).groupBy(F.col("batch_id").cast("bigint").alias("batch_id"), "route").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(F.coalesce("event_id", kept)).alias("id_sum")
     )
 
 
-@query("s13_micro_batches", "SELECT event_id, event_type, value FROM events WHERE event_type <> 'error'")
+@query("s13_micro_batches", f"WITH {EVENTS_SQL} SELECT event_id, event_type, value, batch_id FROM landed WHERE event_type <> 'error'")
 def micro_batches(spark, sf_dir):
     """Valid landing rows as they arrive, in capped batches."""
     path, checkpoint = scratch_path(spark, "rows"), scratch_path(spark, "checkpoint")
-    lines = windows.landing_stream(spark, _landing(spark, sf_dir), "value string", "text", files_per_trigger=4)
+    lines = windows.landing_stream(spark, _landing(spark, sf_dir), "value string", "text", files_per_trigger=FILES_PER_BATCH)
     rows = windows.parse_landing(lines, "event_id bigint, event_type string, value double").filter("corrupt IS NULL").drop("corrupt")
     windows.drain(rows, checkpoint, windows.batch_writer(path))
-    return spark.read.parquet(path).select("event_id", "event_type", "value")
+    return spark.read.parquet(path).select("event_id", "event_type", "value", F.col("batch_id").cast("bigint").alias("batch_id"))
 
 
-@query("r06_bounded_drain", "SELECT event_id AS id, event_type AS symbol, value AS close FROM events")
+@query("r06_bounded_drain", f"SELECT event_id AS id, event_type AS symbol, value AS close, {BATCHES} AS batches FROM events")
 def bounded_drain(spark, sf_dir):
-    """Everything available at the start is processed once, then the query ends by itself."""
+    """Everything available at the start is processed once, in capped batches, then the query ends by itself."""
     path, checkpoint = scratch_path(spark, "rows"), scratch_path(spark, "checkpoint")
-    windows.drain(_tick_stream(spark, sf_dir), checkpoint, windows.batch_writer(path))
-    return spark.read.parquet(path).select("id", "symbol", "close")
+    ran = windows.drain(_tick_stream(spark, sf_dir), checkpoint, windows.batch_writer(path))
+    return spark.read.parquet(path).select("id", "symbol", "close", _batches(ran))
 
 
 @query(
     "r14_late_rows",
-    f"""WITH {TICKS}, w AS (SELECT "timestamp" - "timestamp" % 10000 AS time, symbol, {r('avg(close)', 6)} AS avg_price, count(*) AS count
-      FROM ticks GROUP BY 1, 2)
-    SELECT * FROM w WHERE time + 10000 <= (SELECT max("timestamp") FROM ticks) - 60000""",
+    f"""WITH {EVENTS_SQL}, w AS (SELECT ts_ms - ts_ms % 10000 AS time, event_type AS symbol, {r('avg(value)', 6)} AS avg_price, count(*) AS count
+      FROM landed WHERE NOT late GROUP BY 1, 2)
+    SELECT *, {BATCHES} AS batches, (SELECT count(*) FROM landed WHERE late) > 0 AS had_late FROM w WHERE time + 10000 <= (SELECT max(ts_ms) FROM landed) - 60000""",
 )
 def late_rows(spark, sf_dir):
-    """One minute of lateness: windows are emitted once they are closed; later rows are dropped."""
+    """One minute of lateness: windows are emitted once they are closed; early rows that come with the last file are dropped."""
     path, checkpoint = scratch_path(spark, "closed"), scratch_path(spark, "checkpoint")
-    counts = windows.windowed_counts(_tick_stream(spark, sf_dir))
-    windows.drain(counts, checkpoint, windows.batch_writer(path))
+    counts = windows.windowed_counts(_tick_stream(spark, sf_dir, with_late=True))
+    with windows.rocksdb(spark):
+        ran = windows.drain(counts, checkpoint, windows.batch_writer(path))
+    had_late = not _in_slices(spark, sf_dir).filter("late").isEmpty()
     closed = spark.read.schema(counts.schema).parquet(path).select(*counts.columns)
-    return closed.withColumn("avg_price", rounded(F.col("avg_price"), 6))
+    return closed.withColumn("avg_price", rounded(F.col("avg_price"), 6)).select("*", _batches(ran), F.lit(had_late).alias("had_late"))
 
 
 def _stored_window(spark, sf_dir, symbol):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.api import query as run_query
+from tidewater import api
 from tidewater.functions.numeric import rounded
 from tidewater.operators.market import ohlc_bars
 from tidewater.operators.normalize import normalize_ticks
@@ -95,12 +95,11 @@ def append_overwrite(spark, sf_dir):
     return lake.read_table(spark, path)
 
 
-@query("k02_partitioned_write", "SELECT l_returnflag, count(*) AS row_count, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1")
+@query("k02_partitioned_write", "SELECT l_returnflag, count(*) AS row_count, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem GROUP BY 1")
 def partitioned(spark, sf_dir):
     path = scratch_path(spark, "lineitem")
     lake.write_table(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity"), path, "overwrite", ("l_returnflag",))
-    rows = lake.read_table(spark, path).filter("l_returnflag <> 'N'")
-    return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("row_count"), F.sum("l_quantity").cast("bigint").alias("quantity"))
+    return lake.read_table(spark, path).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("row_count"), F.sum("l_quantity").cast("bigint").alias("quantity"))
 
 
 @query(
@@ -218,13 +217,33 @@ def trial_files(spark, sf_dir):
 
 @query(
     "q01_run_sql",
-    f"""SELECT c_mktsegment, count(*) AS orders, {r('sum(o_totalprice)', 2)} AS revenue FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
+    f"""WITH lines AS (SELECT o_orderkey, o_custkey, c_mktsegment, {r('o_totalprice', 2)} AS price FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT *, (SELECT count(*) FROM lines) AS row_count FROM lines""",
 )
 def run_sql(spark, sf_dir):
-    """User SQL over the lake tables, kept distributed."""
-    return run_query(
+    """User SQL over the given tables: the whole written result beside the row count that was reported for it."""
+    answer = api.run_sql(
         spark,
-        """SELECT c_mktsegment, count(*) AS orders, round(round(sum(o_totalprice), 10), 2) AS revenue
-           FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_mktsegment""",
+        """SELECT o_orderkey, o_custkey, c_mktsegment, round(round(o_totalprice, 10), 2) AS price
+           FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
         orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer"),
     )
+    if not answer["success"]:
+        raise RuntimeError(answer["error_message"])
+    return api.read_result(spark, answer["path"]).withColumn("row_count", F.lit(answer["row_count"]).cast("bigint"))
+
+
+SCHEMA_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string"}
+
+
+@query(
+    "q03_table_schema",
+    f"""WITH counted AS (SELECT count(*) AS row_count FROM orders)
+    SELECT column_name AS name, CASE column_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in SCHEMA_TYPES.items())}
+      ELSE 'timestamp_ntz' END AS type, row_count FROM (DESCRIBE orders), counted""",
+)
+def table_schema(spark, sf_dir):
+    """Columns and types of a table by its path, with the number of rows behind them."""
+    path = f"{sf_dir}/orders.parquet"
+    columns = spark.createDataFrame(api.get_schema(spark, path), "name string, type string")
+    return columns.withColumn("row_count", F.lit(spark.read.parquet(path).count()).cast("bigint"))

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidewater.operators.market import WINDOW_ROWS, keyed_window_counts, market_state
+from tidewater.operators.market import WINDOW_ROWS, keyed_window_counts, market_state, newest_rows
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -36,18 +35,49 @@ def parse_landing(lines: DataFrame, schema: str) -> DataFrame:
 def drain(
     df: DataFrame, checkpoint: str, each_batch: Callable[[DataFrame, int], None], mode: str = "append"
 ) -> StreamingQuery:
-    """Process everything that is available, then stop."""
-    query = (
-        df.writeStream.outputMode(mode)
-        .foreachBatch(each_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Process everything that is available, in batches of the source's cap, then stop."""
+    query = _writer(df, checkpoint, each_batch, mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
+def run_every(
+    df: DataFrame,
+    checkpoint: str,
+    each_batch: Callable[[DataFrame, int], None],
+    every: str = "5 seconds",
+    mode: str = "append",
+) -> StreamingQuery:
+    """Start a query that takes a batch each ``every``, of at most the source's cap: time or count, whatever comes first.
+
+    It runs until the caller stops it.
+    """
+    return _writer(df, checkpoint, each_batch, mode).trigger(processingTime=every).start()
+
+
+def _writer(df: DataFrame, checkpoint: str, each_batch, mode: str):
+    return df.writeStream.outputMode(mode).foreachBatch(each_batch).option("checkpointLocation", checkpoint)
+
+
+def data_batches(query: StreamingQuery) -> int:
+    """How many of a query's recent batches had input rows."""
+    return sum(1 for p in query.recentProgress if p["numInputRows"] > 0)
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Stateful queries that start inside keep their state in RocksDB, on disk, and not on the heap."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
 def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
     """Write each batch to its own folder; replaying a batch replaces that folder."""
 
@@ -80,70 +110,42 @@ def windowed_counts(ticks: DataFrame, ts: str = "ts", width: str = "10 seconds",
 
 # --- last-25 window per symbol ------------------------------------------------------------------
 
-WINDOW_INPUT = "symbol string, timestamp bigint, id bigint, close double, volume double, rows bigint"
-WINDOW_OUTPUT = (
-    "symbol string, rn int, timestamp bigint, id bigint, close double, volume double, tick_count bigint, batch_count bigint"
-)
+WINDOW_COLUMNS = ("symbol", "timestamp", "id", "close", "volume")
 
 
-def keep_newest(n: int = WINDOW_ROWS):
-    """Combiner before the shuffle: newest ``n`` ticks per symbol and Arrow batch, with the number of ticks they stand for.
+def newest_tick_windows(path: str, n: int = WINDOW_ROWS) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body that keeps the newest ``n`` ticks and the lifetime counters of every symbol.
 
-    A busy symbol then sends ``n`` rows per Arrow batch to its state, not all of its rows.
+    The state after batch i is the table ``path/batch_id=i``: the batch's newest ticks per symbol (a rank limit below
+    the shuffle, so a busy symbol sends n rows per task) merged with those of the state before. A replayed batch
+    starts from the same state and replaces its own folder.
     """
 
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ordered = pdf.sort_values(["symbol", "timestamp", "id"], ascending=[True, False, False])
-            by_symbol = ordered.groupby("symbol", sort=False)
-            place = by_symbol.cumcount()
-            rows = by_symbol["id"].transform("size").where(place == 0, 0)
-            yield ordered.assign(rows=rows)[place < n]
-
-    return combine
-
-
-class NewestTicks(StatefulProcessor):
-    """Keeps the newest 25 ticks of a symbol and its lifetime counters; emits the window after each batch."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getListState("window", "timestamp bigint, id bigint, close double, volume double")
-        self.counters = handle.getValueState("counters", "ticks bigint, batches bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        columns = ["timestamp", "id", "close", "volume"]
-        fresh = pd.concat(list(rows), ignore_index=True)
-        stored = pd.DataFrame(list(self.window.get()), columns=columns)
-        merged = fresh[columns] if stored.empty else pd.concat([stored, fresh[columns]], ignore_index=True)
-        merged = merged.sort_values(["timestamp", "id"], ascending=False, ignore_index=True).head(WINDOW_ROWS)
-        ticks, batches = self.counters.get() if self.counters.exists() else (0, 0)
-        ticks, batches = ticks + int(fresh["rows"].sum()), batches + 1
-        self.counters.update((ticks, batches))
-        self.window.put(
-            [(int(r.timestamp), int(r.id), float(r.close), float(r.volume)) for r in merged.itertuples(index=False)]
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = newest_rows(batch.select(*WINDOW_COLUMNS), "symbol", ["timestamp", "id"], n).drop("rn")
+        seen = batch.groupBy("symbol").agg(F.count(F.lit(1)).alias("tick_count")).withColumn("batch_count", F.lit(1))
+        if batch_id:
+            known = batch.sparkSession.read.parquet(f"{path}/batch_id={batch_id - 1}")
+            fresh = fresh.unionByName(known.select(*WINDOW_COLUMNS))
+            seen = seen.unionByName(known.filter("rn = 1").select("symbol", "tick_count", "batch_count"))
+        counters = seen.groupBy("symbol").agg(
+            F.sum("tick_count").alias("tick_count"), F.sum("batch_count").alias("batch_count")
         )
-        yield merged.assign(
-            symbol=key[0], rn=range(1, len(merged) + 1), tick_count=ticks, batch_count=batches
-        )[["symbol", "rn", *columns, "tick_count", "batch_count"]]
-
-    def close(self) -> None:
-        pass
+        windows = newest_rows(fresh, "symbol", ["timestamp", "id"], n)
+        windows.join(counters, "symbol").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-
-def newest_tick_windows(ticks: DataFrame) -> DataFrame:
-    """Streaming last-25 windows; needs the RocksDB state store (see ``use_rocksdb``)."""
-    combined = ticks.select("symbol", "timestamp", "id", "close", "volume").mapInPandas(keep_newest(), WINDOW_INPUT)
-    return combined.groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=NewestTicks(), outputStructType=WINDOW_OUTPUT, outputMode="Update", timeMode="None"
-    )
+    return write
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set(STATE_STORE, ROCKSDB)
+def latest_state(spark: SparkSession, path: str) -> DataFrame:
+    """The state table of the last batch."""
+    every = spark.read.parquet(path)
+    last = every.agg(F.max("batch_id")).first()[0]
+    return every.filter(F.col("batch_id") == last).drop("batch_id")
 
 
 def window_metrics(windows: DataFrame) -> DataFrame:
-    """Market state of emitted windows with the lifetime counters."""
+    """Market state of stored windows with the lifetime counters."""
     counters = windows.groupBy("symbol").agg(
         F.max("tick_count").alias("tick_count"), F.max("batch_count").alias("batch_count")
     )
