@@ -212,6 +212,12 @@ def test_fingerprints_of_few_documents(spark):
     assert one.near_next == 1.0 and one.edited_sha256 == sha("abcdabc")
 
 
+def test_blanks_are_no_terms(spark):
+    rows = [(1, "a b a"), (2, "  a\tb A \n"), (3, ""), (4, " \n"), (5, None)]
+    got = {r.doc_id: r.fingerprint for r in compare_with_next(table(spark, rows)).collect()}
+    assert got[1] == got[2] and got[3] == got[4] == got[5] == [-1] * 32 and -1 not in got[1]
+
+
 def test_collisions_estimate_generalised_jaccard(spark):
     r = random.Random(3)
     pairs, want = [], []

@@ -11,11 +11,14 @@ their generalised Jaccard similarity, the sum of the smaller over the sum of the
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewater.llm.common import LAST_ID, stage
+from tidewater.llm.common import LAST_ID, stage, text_size
 
 SAMPLES = 32
+PART_BYTES = 6 << 20
 _BITS = 12
 _SCALE = 1 << 24
 
@@ -32,7 +35,8 @@ def _sample(k: int) -> Column:
     b = _uniform(h, 4)
     t = f"floor(ln_weight / {r} + {b})"
     log_a = f"(ln({c}) - {r} * ({t} - {b}) - {r})"
-    return F.expr(f"min(CAST({log_a} * {_SCALE} AS bigint) * 4294967296 + (xxhash64(term, {t}) & 4294967295))")
+    pair = f"CAST({log_a} * {_SCALE} AS bigint) * 4294967296 + (xxhash64(term, {t}) & 4294967295)"
+    return F.expr(f"min(CASE WHEN term IS NOT NULL THEN {pair} END)")
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -106,45 +110,51 @@ def compare_with_next(df: DataFrame, key: str = "doc_id", text: str = "text", sa
     other columns are not read; an empty table gives an empty result.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    docs = df.select(
-        F.col(key).cast("long").alias("doc_id"),
+    own_key = ["_id", "_text_key"]
+    order = stage(with_next(df, key, text), "successors")
+    parts = max(2, math.ceil(text_size(df, text) / PART_BYTES))
+    # texts move once, to the partition of their key; heads of texts move to the document that asks for them
+    dealt = df.select(
         F.coalesce(F.col(key).cast("long"), F.lit(int(LAST_ID))).alias("_id"),
         F.xxhash64(body).alias("_text_key"),
         body.alias("text"),
-    )
-    order = stage(with_next(df, key, text), "successors")
+    ).repartition(parts, *own_key)
+    own = dealt.groupBy(*own_key).agg(F.any_value("text").alias("text"), F.count("*").alias("_rows"))
     asked = order.select(
         F.col("_next_id").alias("_id"), F.col("_next_key").alias("_text_key"), F.col("_id").alias("_to_id"),
         F.col("_text_key").alias("_to_key"), F.expr("_n div 2").cast("int").alias("_want"),
     )
     heads = (
-        docs.join(asked, ["_id", "_text_key"])
+        own.join(asked.repartition(parts, *own_key), own_key)
         .select(F.col("_to_id").alias("_id"), F.col("_to_key").alias("_text_key"), F.expr("left(text, _want)").alias("head"))
-        .groupBy("_id", "_text_key")
-        .agg(F.any_value("head").alias("head"))
+        .repartition(parts, *own_key)
     )
-    own = docs.groupBy("_id", "_text_key").agg(F.any_value("text").alias("text"), F.any_value("doc_id").alias("doc_id"), F.count("*").alias("_rows"))
-    edited = own.join(heads, ["_id", "_text_key"]).withColumn("_n", F.length("text"))
+    edited = own.join(heads, own_key).withColumn("_n", F.length("text"))
     edited = edited.withColumn("edited", F.expr("concat(left(text, _n - _n div 2), head)"))
-    versions = edited.select(
-        "_id", "_text_key", "doc_id", "_rows", F.col("_n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.expr("stack(2, 0, text, 1, edited) AS (_version, _body)"),
+    facts = edited.select(
+        *own_key, "_rows", F.col("_n").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
     )
-    keys = ["_id", "_text_key", "doc_id", "_rows", "n_chars", "edited_sha256", "_version"]
-    printed = fingerprints(versions, keys, "_body", samples)
+    versions = edited.select(*own_key, F.expr("stack(2, 0, text, 1, edited) AS (_version, _body)"))
+    printed = fingerprints(versions, [*own_key, "_version"], "_body", samples)
     both = stage(
-        printed.groupBy(*keys[:-1]).agg(
+        printed.groupBy(*own_key)
+        .agg(
             F.max(F.when(F.col("_version") == 0, F.col("fingerprint"))).alias("fingerprint"),
             F.max(F.when(F.col("_version") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
-        ),
+        )
+        .join(facts, own_key),
         "fingerprints",
     )
     after = both.select(F.col("_id").alias("_next_id"), F.col("_text_key").alias("_next_key"), F.col("fingerprint").alias("next_fingerprint"))
     return (
-        both.join(order.select("_id", "_text_key", "_next_id", "_next_key"), ["_id", "_text_key"])
+        both.join(order.select(*own_key, "_next_id", "_next_key"), own_key)
         .join(after, ["_next_id", "_next_key"])
         .withColumn("near_edited", likeness("fingerprint", "edited_fingerprint"))
         .withColumn("near_next", likeness("fingerprint", "next_fingerprint"))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_rows"))))
-        .select(F.col("doc_id").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-    )
+        .select(
+            F.when(F.col("_id") != F.lit(int(LAST_ID)), F.col("_id")).alias(key),
+            "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+        )
+    )
