@@ -63,6 +63,8 @@ def features(texts: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.nd
         for j in range(k):
             g = g * np.uint32(0x01000193) + data[j : j + n]
             useful |= inside[j : j + n]
+        for end in range(1, k):  # not from one text into the next
+            useful[(bounds[1:-1] - end)[(bounds[1:-1] >= end) & (bounds[1:-1] - end < n)]] = False
         g ^= g >> np.uint32(15)
         g *= np.uint32(0x2C1B3C6D)
         g ^= g >> np.uint32(13)

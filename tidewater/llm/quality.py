@@ -28,24 +28,24 @@ RATE = 0.6
 CHUNK_BYTES = 1 << 18
 
 
-def features(texts: list[bytes], buckets: int, grams: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(feature per occurrence, first occurrence of each text): words, word pairs and byte n-grams in turn.
+def features(
+    texts: list[bytes], buckets: int, grams: tuple[int, ...]
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(feature per occurrence, first and end of each text's): words, word pairs and byte n-grams in turn.
 
-    Each kind has its own part of the table. A pair of equal words is the same feature whatever the word.
+    Each kind has its own part of the table. A pair of equal words is the same feature whatever the word. Pairs and
+    n-grams that reach from one text into the next belong to none.
     """
     bounds = offsets(map(len, texts))
     data = np.frombuffer(b"".join(texts), np.uint8)
     part = np.uint64(buckets // (2 + len(grams)))
     starts, ends, words = word_spans(data, bounds, NOT_BLANK)
     h = span_hashes(data, starts, ends)
-    yield (h % part).astype(np.int32), words
-    pair = gram_hashes(h, 2) if len(h) > 1 else np.zeros(0, np.uint64)
+    yield (h % part).astype(np.int32), words[:-1], words[1:]
+    pair = gram_hashes(h, 2)
     if len(pair):
         pair[h[1:] == h[:-1]] = 0
-    inside = np.ones(len(pair), bool)
-    inside[words[1:-1][(words[1:-1] > 0) & (words[1:-1] <= len(pair))] - 1] = False
-    kept = np.concatenate([[0], np.cumsum(inside)])
-    yield (pair[inside] % part + part).astype(np.int32), kept[np.minimum(words, len(pair))]
+    yield (pair % part + part).astype(np.int32), words[:-1], np.maximum(words[:-1], words[1:] - 1)
     for i, k in enumerate(grams):
         g = np.zeros(max(0, len(data) - k + 1), np.uint32)
         for j in range(k):
@@ -53,18 +53,19 @@ def features(texts: list[bytes], buckets: int, grams: tuple[int, ...]) -> Iterat
         g ^= g >> np.uint32(15)
         g *= np.uint32(0x2C1B3C6D)
         g ^= g >> np.uint32(13)
-        at = np.minimum(bounds, len(g))
-        yield (g % np.uint32(part) + np.uint32(int(part) * (2 + i))).astype(np.int32), at
+        feature = (g % np.uint32(part) + np.uint32(int(part) * (2 + i))).astype(np.int32)
+        yield feature, np.minimum(bounds[:-1], len(g)), np.minimum(np.maximum(bounds[:-1], bounds[1:] - k + 1), len(g))
 
 
 def counts(text: bytes, buckets: int, grams: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of one text and their shares; the shares of each kind add up to one."""
     ids, share = [], []
-    for feature, _ in features([text], buckets, grams):
-        if len(feature):
-            u, n = np.unique(feature, return_counts=True)
+    for feature, first, end in features([text], buckets, grams):
+        own = feature[first[0] : end[0]]
+        if len(own):
+            u, n = np.unique(own, return_counts=True)
             ids.append(u)
-            share.append(n / len(feature))
+            share.append(n / len(own))
     if not ids:
         return np.zeros(0, np.int32), np.zeros(0)
     return np.concatenate(ids), np.concatenate(share)
@@ -84,10 +85,13 @@ class Model:
     def score(self, texts: list[bytes], table: np.ndarray) -> np.ndarray:
         total = np.full(len(texts), float(self.bias[1] - self.bias[0]))
         kinds = 2 + len(self.grams)
-        for feature, at in features(texts, len(self.vectors), self.grams):
-            run = np.concatenate([[0.0], np.cumsum(table[feature])])
-            n = np.diff(at)
-            total += np.where(n > 0, (run[at[1:]] - run[at[:-1]]) / np.maximum(n, 1), 0.0) / kinds
+        for feature, first, end in features(texts, len(self.vectors), self.grams):
+            value, n = table[feature], end - first
+            full = np.flatnonzero(n > 0)
+            # every other sum is one of what lies between two texts
+            edges = np.stack([first[full], end[full]], axis=1).ravel()
+            sums = np.add.reduceat(np.append(value, 0.0), edges)[::2] if len(full) else np.zeros(0)
+            total[full] += sums / n[full] / kinds
         return 1.0 / (1.0 + np.exp(-np.clip(total, -500, 500)))
 
 
@@ -101,7 +105,11 @@ def fit(
     rate: float = RATE,
     seed: int = 7,
 ) -> Model:
-    """Stochastic gradient descent over single documents; each document weighs as its class does in the whole table."""
+    """Stochastic gradient descent over single documents; each document weighs as its class does in the whole table.
+
+    The step of the vectors is divided by the squared length of the document's shares, so that a text of few
+    features does not move the average further than others do.
+    """
     r = np.random.default_rng(seed)
     scale = 1.0 / dim
     vectors = r.uniform(-scale, scale, (buckets, dim)).astype(np.float32)
@@ -126,7 +134,7 @@ def fit(
             back = layer @ p
             layer -= lr * np.outer(hidden, p)
             bias -= lr * 0.1 * p
-            vectors[feature] -= (lr * 200) * np.outer(x, back)
+            vectors[feature] -= lr * min(200.0, 0.15 / float(x @ x) if len(x) else 0.0) * np.outer(x, back)
     return Model(vectors, layer, bias, grams)
 
 
