@@ -218,6 +218,21 @@ def classify_applications(apps: DataFrame, actors_alive: DataFrame) -> DataFrame
     )
 
 
+# What a respawn needs to bring back the same deployment.
+IDENTITY_COLUMNS = ("route_prefix", "runtime_namespace", "deployment_metadata")
+
+# Notes on where a reconciled state comes from, in this library's own words.
+NOTES = {
+    "catalog": "runtime not reachable, state kept from the catalog",
+    "stopped": "not meant to run",
+    "live": "taken from the live application",
+    "started": "recovery was started earlier",
+    "absent": "expected, but not there",
+    "waiting": "respawn is still inside its window",
+    "expired": "respawn ran out of its window, a new decision may be made",
+}
+
+
 def in_recovery_window(reconciled_ms: Column, now_ms: Column, seconds: int = RECOVERY_WINDOW_SECONDS) -> Column:
     """True while the last reconciliation is at most ``seconds`` old; unknown times are outside."""
     if seconds <= 0:
@@ -235,8 +250,12 @@ def reconcile(
     """Desired state (catalog) against observed state (applications), one row per deployment.
 
     A respawn that was started recently keeps its deployment ``recovering`` until it
-    is ready or the recovery window has passed; after that it is ``failed``.
+    is ready or the recovery window has passed; after that it is ``failed``. The
+    live application's route prefix counts before the catalog's; the namespace and
+    metadata that a respawn needs are carried along, null where the catalog has none.
     """
+    optional = lambda df, name: F.col(name) if name in df.columns else F.lit(None).cast("string")
+    identity = [optional(catalog, c).alias(c) for c in IDENTITY_COLUMNS]
     catalog = catalog.withColumn("name", F.trim(first_truthy_text(F.col("app_name"), F.col("name"))))
     c = catalog.alias("c")
     a = app_state.select(
@@ -247,6 +266,7 @@ def reconcile(
         F.col("failure_reason").alias("app_reason"),
         F.coalesce("running_replicas", F.lit(0)).alias("alive_count"),
         F.coalesce("unhealthy_replicas", F.lit(0)).alias("dead_count"),
+        optional(app_state, "route_prefix").alias("app_prefix"),
     )
     rows = c.join(a, F.col("c.name") == F.col("app"), "left").select(
         "c.name",
@@ -261,25 +281,29 @@ def reconcile(
         "app", "app_observed", "app_health", "app_recovery", "app_reason",
         F.coalesce("alive_count", F.lit(0)).alias("alive_count"),
         F.coalesce("dead_count", F.lit(0)).alias("dead_count"),
+        "app_prefix", *identity,
     )
     has_app = F.col("app").isNotNull()
     absent = F.concat(F.lit("Deployment '"), F.col("name"), F.lit("' is absent from live state."))
     none = F.lit(None).cast("string")
 
     if runtime_available:
-        # (condition, observed, health, recovery, reason) in order of precedence
+        # (condition, observed, health, recovery, reason, note) in order of precedence
         cases = [
-            (F.col("desired_status") != "running", F.lit("offline"), F.lit("offline"), F.lit("idle"), none),
-            (has_app, F.col("app_observed"), F.col("app_health"), F.col("app_recovery"), F.col("app_reason")),
+            (F.col("desired_status") != "running", F.lit("offline"), F.lit("offline"), F.lit("idle"), none, F.lit(NOTES["stopped"])),
+            (
+                has_app,
+                F.col("app_observed"), F.col("app_health"), F.col("app_recovery"), F.col("app_reason"), F.lit(NOTES["live"]),
+            ),
             (
                 F.col("was_recovery") == "recovering",
-                F.lit("recovering"), F.lit("degraded"), F.lit("recovering"), none,
+                F.lit("recovering"), F.lit("degraded"), F.lit("recovering"), none, F.lit(NOTES["started"]),
             ),
-            (F.lit(True), F.lit("missing"), F.lit("offline"), F.lit("idle"), absent),
+            (F.lit(True), F.lit("missing"), F.lit("offline"), F.lit("idle"), absent, F.lit(NOTES["absent"])),
         ]
     else:
         health = F.when(F.col("was_health") != "unknown", F.col("was_health")).otherwise("degraded")
-        cases = [(F.lit(True), F.col("was_observed"), health, F.col("was_recovery"), F.col("was_reason"))]
+        cases = [(F.lit(True), F.col("was_observed"), health, F.col("was_recovery"), F.col("was_reason"), F.lit(NOTES["catalog"]))]
 
     def by_case(position: int) -> Column:
         chosen = None
@@ -289,7 +313,8 @@ def reconcile(
         return chosen
 
     base = rows.select(
-        "*", by_case(1).alias("obs"), by_case(2).alias("hea"), by_case(3).alias("rec"), by_case(4).alias("rea")
+        "*", by_case(1).alias("obs"), by_case(2).alias("hea"), by_case(3).alias("rec"), by_case(4).alias("rea"),
+        by_case(5).alias("note"),
     )
     respawning = (F.col("was_recovery") == "recovering") & (F.col("was_action") == "respawn") & (F.col("obs") != "ready")
     holding, expired = respawning & F.col("in_window"), respawning & ~F.col("in_window")
@@ -308,6 +333,9 @@ def reconcile(
         settled(F.lit("degraded"), late_health, "hea").alias("health_status"),
         settled(F.lit("recovering"), F.lit("failed"), "rec").alias("recovery_state"),
         settled(none, first_truthy_text(F.col("rea"), timed_out), "rea").alias("last_failure_reason"),
+        settled(F.lit(NOTES["waiting"]), F.lit(NOTES["expired"]), "note").alias("reconcile_notes"),
+        F.coalesce(first_truthy_text(F.col("app_prefix")), F.col("route_prefix")).alias("route_prefix"),
+        *[c for c in IDENTITY_COLUMNS if c != "route_prefix"],
         "alive_count", "dead_count",
     )
     return final.withColumn(
@@ -387,6 +415,31 @@ def match_capabilities(
     return rows
 
 
+def matching_agents(
+    agents: DataFrame,
+    capabilities: DataFrame,
+    capability: str | None = None,
+    required_tags: list[str] | None = None,
+    interaction_mode: str | None = None,
+    input_type: str | None = None,
+    output_type: str | None = None,
+    alive_only: bool = True,
+) -> DataFrame:
+    """Agents (``agent``, ``alive``) with the capability rows that meet every given constraint, one row each.
+
+    Without a constraint every agent is listed with all its capabilities, and one that has none with nulls.
+    """
+    wanted = agents.filter("alive") if alive_only else agents
+    own = capabilities.drop("alive")
+    constraints = dict(
+        capability=capability, required_tags=required_tags, interaction_mode=interaction_mode,
+        input_type=input_type, output_type=output_type,
+    )
+    if any(constraints.values()):
+        return wanted.join(match_capabilities(own, **constraints, alive_only=False), "agent")
+    return wanted.join(capability_tokens(own), "agent", "left")
+
+
 def normalize_capabilities(entries: DataFrame) -> DataFrame:
     """Plain names or records become one 7-field capability; entries without an id are dropped.
 

@@ -43,11 +43,16 @@ def lag_totals(offsets: DataFrame) -> DataFrame:
     )
 
 
-def lag_actions(totals: DataFrame, alive: Column, agent: str, step: int = LAG_UP_COUNT) -> DataFrame:
+def lag_actions(
+    totals: DataFrame, alive: Column, agent: str, step: int = LAG_UP_COUNT, healthy: Column | None = None
+) -> DataFrame:
     """Scale up above the lag limit, scale down when nothing waits and more than two are alive.
 
-    ``totals`` has one row per checked group; ``alive`` is a column of it or a literal.
+    ``totals`` has one row per checked group; ``alive`` is a column of it or a literal. ``healthy`` tells whether
+    the service that reports the lag is well: where it is false or null (the service is missing), nothing is done.
     """
+    if healthy is not None:
+        totals = totals.filter(F.coalesce(healthy, F.lit(False)))
     total = F.col("total_lag")
     up = total > LAG_SCALE_UP
     down = (total <= LAG_IDLE) & (alive > MIN_ALIVE_FOR_LAG_SCALE_DOWN)
@@ -118,8 +123,12 @@ def healing_actions(deployments: DataFrame, managed_classes: DataFrame) -> DataF
     """Respawn what is missing or offline, alert on what is degraded.
 
     Only managed, served deployments that should run and are not yet recovering;
-    ``managed_classes`` has one column ``class_name``.
+    ``managed_classes`` has one column ``class_name``. Actions carry the identity that
+    a respawn restores: namespace, route prefix (the name's own by default) and metadata.
     """
+    for name in ("runtime_namespace", "route_prefix", "deployment_metadata"):
+        if name not in deployments.columns:
+            deployments = deployments.withColumn(name, F.lit(None).cast("string"))
     eligible = deployments.withColumn("class_name", F.trim(F.coalesce("class_name", F.lit("")))).filter(
         F.coalesce("managed", F.lit(False))
         & (F.col("desired_status") == "running")
@@ -136,11 +145,14 @@ def healing_actions(deployments: DataFrame, managed_classes: DataFrame) -> DataF
         F.when(gone, "runtime").otherwise("alert").alias("target"),
         F.col("class_name").alias("agent"),
         F.col("name").alias("deployment_name"),
+        F.coalesce("runtime_namespace", F.lit("")).alias("runtime_namespace"),
+        first_truthy_text(F.col("route_prefix"), F.concat(F.lit("/"), "name")).alias("route_prefix"),
+        F.coalesce("deployment_metadata", F.lit("{}")).alias("deployment_metadata"),
         F.lit(1).alias("count"),
         first_truthy_text(
             F.col("last_failure_reason"),
-            F.when(gone, F.format_string("Deployment '%s' is %s; restoring same identity.", "name", "observed_status"))
-            .otherwise(F.format_string("Deployment '%s' is degraded and should be inspected.", "name")),
+            F.when(gone, F.format_string("'%s' is %s and will be brought back as it was.", "name", "observed_status"))
+            .otherwise(F.format_string("'%s' is degraded, please look at it.", "name")),
         ).alias("reason"),
     )
 

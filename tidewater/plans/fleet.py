@@ -170,14 +170,19 @@ joined AS (
   SELECT 'app' || CAST(c.id AS VARCHAR) AS name, c.managed, c.desired_status, c.recovery_state AS was, c.last_action_type = 'respawn' AS resp,
     {NOW_MS} - c.last_reconciled_ms <= 60000 AS fresh, s.name IS NOT NULL AS has_app, s.obs, s.hea, s.reco,
     CASE WHEN s.why IS NOT NULL THEN 'Application ''' || s.name || ''' is ' || s.why || '.' END AS why,
-    coalesce(s.live, 0) AS alive_count, coalesce(s.unhealthy, 0) AS dead_count
+    coalesce(s.live, 0) AS alive_count, coalesce(s.unhealthy, 0) AS dead_count,
+    CASE WHEN length(s.name) % 2 = 0 THEN '/live/' || s.name WHEN c.id % 4 <> 0 THEN c.route_prefix END AS route_prefix,
+    CASE WHEN c.id % 3 = 0 THEN 'ns' || CAST(c.id % 10 AS VARCHAR) END AS runtime_namespace,
+    '{{"id":' || CAST(c.id AS VARCHAR) || '}}' AS deployment_metadata
   FROM catalog c LEFT JOIN classified s ON s.name = 'app' || CAST(c.id AS VARCHAR)),
 base AS (
   SELECT *, CASE WHEN desired_status <> 'running' THEN 'offline' WHEN has_app THEN obs WHEN was = 'recovering' THEN 'recovering' ELSE 'missing' END AS o1,
     CASE WHEN desired_status <> 'running' THEN 'offline' WHEN has_app THEN hea WHEN was = 'recovering' THEN 'degraded' ELSE 'offline' END AS h1,
     CASE WHEN desired_status <> 'running' THEN 'idle' WHEN has_app THEN reco WHEN was = 'recovering' THEN 'recovering' ELSE 'idle' END AS r1,
     CASE WHEN desired_status <> 'running' THEN NULL WHEN has_app THEN why WHEN was = 'recovering' THEN NULL
-         ELSE 'Deployment ''' || name || ''' is absent from live state.' END AS w1 FROM joined),
+         ELSE 'Deployment ''' || name || ''' is absent from live state.' END AS w1,
+    CASE WHEN desired_status <> 'running' THEN '{fleet.NOTES["stopped"]}' WHEN has_app THEN '{fleet.NOTES["live"]}'
+         WHEN was = 'recovering' THEN '{fleet.NOTES["started"]}' ELSE '{fleet.NOTES["absent"]}' END AS n1 FROM joined),
 stage2 AS (
   SELECT *, was = 'recovering' AND coalesce(resp, FALSE) AND o1 <> 'ready' AS respawn,
     CASE WHEN o1 IN ('recovering', 'unknown', 'stale') THEN CASE WHEN has_app THEN 'degraded' ELSE 'missing' END ELSE o1 END AS late FROM base),
@@ -187,13 +192,22 @@ settled AS (
     CASE WHEN respawn AND fresh THEN 'degraded' WHEN respawn THEN CASE WHEN late IN ('missing', 'offline') THEN 'offline' ELSE 'degraded' END ELSE h1 END AS health_status,
     CASE WHEN respawn AND fresh THEN 'recovering' WHEN respawn THEN 'failed' ELSE r1 END AS recovery_state,
     CASE WHEN respawn AND fresh THEN NULL WHEN respawn THEN coalesce(w1, 'Respawn recovery timed out for deployment ''' || name || '''.') ELSE w1 END AS last_failure_reason,
-    alive_count, dead_count FROM stage2),
+    CASE WHEN respawn AND fresh THEN '{fleet.NOTES["waiting"]}' WHEN respawn THEN '{fleet.NOTES["expired"]}' ELSE n1 END AS reconcile_notes,
+    route_prefix, runtime_namespace, deployment_metadata, alive_count, dead_count FROM stage2),
 reconciled AS (SELECT *, desired_status = 'running' AND {ALIVE} AS alive FROM settled)"""
 
 
 def _reconciled(spark, sf_dir):
-    entries = catalog(spark, sf_dir).withColumn("app_name", F.concat(F.lit("app"), F.col("id").cast("string")))
-    return fleet.reconcile(entries, _classified(spark, sf_dir), F.lit(NOW_MS))
+    """Every fourth entry has no route of its own, every third a namespace, and every other application a live route."""
+    number = F.col("id").cast("string")
+    entries = catalog(spark, sf_dir).withColumns({
+        "app_name": F.concat(F.lit("app"), number),
+        "route_prefix": F.when(F.col("id") % 4 != 0, F.col("route_prefix")),
+        "runtime_namespace": F.when(F.col("id") % 3 == 0, F.concat(F.lit("ns"), (F.col("id") % 10).cast("string"))),
+        "deployment_metadata": F.concat(F.lit('{"id":'), number, F.lit("}")),
+    })
+    apps = _classified(spark, sf_dir).withColumn("route_prefix", F.when(F.length("name") % 2 == 0, F.concat(F.lit("/live/"), "name")))
+    return fleet.reconcile(entries, apps, F.lit(NOW_MS))
 
 
 @query("j05_reconciled_deployments", f"WITH {RECONCILED} SELECT * FROM reconciled")
@@ -290,6 +304,25 @@ def capability_match(spark, sf_dir):
     ).select("agent", "position")
 
 
+@query(
+    "j09_matching_agents",
+    """WITH agents AS (SELECT DISTINCT p_brand AS agent, CAST(substr(p_brand, 7) AS INT) % 2 = 0 AS alive FROM part
+         UNION ALL SELECT s_name, s_acctbal > 0 FROM supplier)
+    SELECT 'all' AS asked, agent, p_partkey AS position FROM agents LEFT JOIN part ON p_brand = agent WHERE alive
+    UNION ALL SELECT 'economy', agent, p_partkey FROM agents JOIN part ON p_brand = agent WHERE alive AND lower(p_type) = 'economy'""",
+)
+def matching_agents(spark, sf_dir):
+    """Brands as agents with their parts' capabilities, suppliers as agents without any; once unconstrained, once by tag."""
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("agent")).distinct()
+    agents = brands.withColumn("alive", F.substring("agent", 7, 10).cast("int") % 2 == 0).unionByName(
+        table(spark, sf_dir, "supplier").select(F.col("s_name").alias("agent"), (F.col("s_acctbal") > 0).alias("alive"))
+    )
+    known = _capabilities(spark, sf_dir)
+    every = fleet.matching_agents(agents, known).select(F.lit("all").alias("asked"), "agent", "position")
+    tagged = fleet.matching_agents(agents, known, required_tags=["Economy "]).select(F.lit("economy").alias("asked"), "agent", "position")
+    return every.unionByName(tagged)
+
+
 @query(
     "g18_first_capability",
     """SELECT p_brand AS agent, lower(p_name) AS id_key, min(p_partkey) AS position FROM part GROUP BY 1, 2""",
@@ -405,16 +438,20 @@ def lag_totals(spark, sf_dir):
     f"""WITH g AS (SELECT l_suppkey AS group_id, CAST(sum(greatest(CAST(l_quantity AS BIGINT) - l_partkey % 60, 0)) AS BIGINT) AS total_lag,
       count(*) FILTER (WHERE l_linestatus = 'F') AS alive FROM lineitem GROUP BY 1)
     SELECT CASE WHEN total_lag > 500 THEN 'scale_up' ELSE 'scale_down' END AS action, CASE WHEN total_lag > 500 THEN 2 ELSE 1 END AS count, total_lag
-    FROM g WHERE total_lag > 500 OR (total_lag <= 0 AND alive > 2)""",
+    FROM g JOIN supplier ON s_suppkey = group_id WHERE s_nationkey % 5 <> 0 AND s_acctbal > 0 AND (total_lag > 500 OR (total_lag <= 0 AND alive > 2))""",
 )
 def lag_actions(spark, sf_dir):
-    """Every supplier as a consumer group."""
+    """Every supplier as a consumer group; those of some nations have no health report, those in debt an unwell one."""
     li = table(spark, sf_dir, "lineitem")
     lag = rules.partition_lag(F.col("l_quantity").cast("bigint"), F.col("l_partkey") % 60)
     groups = li.groupBy(F.col("l_suppkey").alias("group_id")).agg(
         F.sum(lag).alias("total_lag"), F.count_if(F.col("l_linestatus") == "F").alias("alive")
     ).withColumns({"worst_topic": F.concat(F.lit("t"), F.col("group_id").cast("string")), "worst_lag": F.col("total_lag")})
-    actions = rules.lag_actions(groups, F.col("alive"), "worker")
+    health = table(spark, sf_dir, "supplier").filter("s_nationkey % 5 <> 0").select(
+        F.col("s_suppkey").alias("group_id"), (F.col("s_acctbal") > 0).alias("healthy")
+    )
+    reported = groups.join(health, "group_id", "left")
+    actions = rules.lag_actions(reported, F.col("alive"), "worker", healthy=F.col("healthy"))
     return actions.select("action", "count", F.regexp_extract("reason", r"(?:total: |Lag is )(\d+)", 1).cast("bigint").alias("total_lag"))
 
 
@@ -471,13 +508,16 @@ def spark_classes(spark, sf_dir):
     SELECT name AS deployment_name, 'C' || right(name, 1) AS agent,
       CASE WHEN observed_status IN ('missing', 'offline') THEN 'respawn' ELSE 'alert' END AS action,
       coalesce(last_failure_reason, CASE WHEN observed_status IN ('missing', 'offline')
-        THEN 'Deployment ''' || name || ''' is ' || observed_status || '; restoring same identity.'
-        ELSE 'Deployment ''' || name || ''' is degraded and should be inspected.' END) AS reason
+        THEN chr(39) || name || chr(39) || ' is ' || observed_status || ' and will be brought back as it was.'
+        ELSE chr(39) || name || chr(39) || ' is degraded, please look at it.' END) AS reason,
+      coalesce(runtime_namespace, '') AS runtime_namespace, coalesce(route_prefix, '/' || name) AS route_prefix, deployment_metadata
     FROM reconciled WHERE managed AND desired_status = 'running' AND right(name, 1) NOT IN ('7', '9') AND recovery_state <> 'recovering'
       AND (observed_status IN ('missing', 'offline', 'degraded') OR health_status = 'degraded')""",
 )
 def healing(spark, sf_dir):
-    return _healing(spark, sf_dir).select("deployment_name", "agent", "action", "reason")
+    return _healing(spark, sf_dir).select(
+        "deployment_name", "agent", "action", "reason", "runtime_namespace", "route_prefix", "deployment_metadata"
+    )
 
 
 def _candidates(spark, sf_dir):
