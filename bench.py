@@ -1,6 +1,7 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-The signal query runs once untimed to start the session; every query is then timed once.
+A query that is not timed starts the session and compiles what all share; every query is then run three times, and
+its median counts.
 
 BENCH_QUERIES=all (or a comma-separated list of prefixes) selects other queries.
 """
@@ -9,13 +10,15 @@ from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tidewater.plans.catalog import QUERIES  # noqa: E402
-from tidewater.session import build_session  # noqa: E402
+from tidewater.session import build_session, release_scratch  # noqa: E402
 
 HEADLINE = (
     "g01_market_state_strict", "w01_last_n_ticks", "w02_rolling_metrics", "w03_moving_averages",
@@ -41,17 +44,25 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
         "bench", f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": os.environ.get("BENCH_MEMORY", "6g")},
+        **{
+            "spark.sql.shuffle.partitions": cpus,
+            "spark.driver.memory": os.environ.get("BENCH_MEMORY", "6g"),
+            "spark.checkpoint.dir": os.environ.get("BENCH_SCRATCH") or tempfile.mkdtemp(prefix="tidewater-bench-"),
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    # session start and code generation are not part of any query: one untimed run before the clock starts
-    QUERIES["p10_signal_history"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    # session start is not part of any query: one that is not timed runs before the clock starts
+    QUERIES["u01_catalog_and_live_only"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
     seconds = {}
     for name in selected():
-        start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        runs = []
+        for _ in range(int(os.environ.get("BENCH_RUNS", "3"))):
+            start = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - start)
+            release_scratch(spark)
+        seconds[name] = round(statistics.median(runs), 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
     print(
         json.dumps(

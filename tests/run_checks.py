@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import time
 import traceback
 
@@ -12,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checking import connect, difference  # noqa: E402
 from tidewater.plans.catalog import ORACLES, QUERIES  # noqa: E402
-from tidewater.session import build_session  # noqa: E402
+from tidewater.session import build_session, release_scratch  # noqa: E402
 
 
 def main() -> int:
@@ -22,7 +23,14 @@ def main() -> int:
         i = args.index("--sf")
         sf_dir = args[i + 1]
         del args[i : i + 2]
-    spark = build_session("checks", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    cpus = os.environ.get("TEST_CPUS", os.cpu_count())
+    spark = build_session(
+        "checks", f"local[{cpus}]",
+        **{
+            "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tidewater-checks-"),
+        },
+    )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0
@@ -40,6 +48,7 @@ def main() -> int:
                 traceback.print_exc()
         bad += problem is not None
         print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.1f}s{note} {problem or ''}", flush=True)
+    release_scratch(spark)
     print(f"{bad} failing")
     return bad
 

@@ -240,6 +240,28 @@ def test_rest_single_request_and_errors(spark):
         spark.read.format("paged_rest").option("url", "nowhere").load().count()
 
 
+def test_rest_retries_lost_connections_with_a_timeout(monkeypatch):
+    import io
+    import urllib.error
+
+    seen, answers = [], [urllib.error.URLError("lost"), TimeoutError("hung"), ConnectionResetError("reset"), io.BytesIO(b"[1]")]
+
+    def answer(request, timeout):
+        seen.append(timeout)
+        got = answers.pop(0)
+        if isinstance(got, Exception):
+            raise got
+        return got
+
+    monkeypatch.setattr(rest.urllib.request, "urlopen", answer)
+    monkeypatch.setattr(rest.time, "sleep", lambda seconds: None)
+    assert rest.http_fetch({"url": "http://example.invalid/x", "retries": "3", "timeout": "7"}, {}) == [1] and seen == [7.0] * 4
+    answers[:] = [urllib.error.URLError("lost")] * 2
+    with pytest.raises(urllib.error.URLError):
+        rest.http_fetch({"url": "http://example.invalid/x", "retries": "1"}, {})
+    assert len(rest.PagedRestReader({"url": "http://example.invalid/x", "pagination": "page"}).partitions()) == rest.DEFAULT_STRIPES
+
+
 def test_rest_auth():
     assert rest.auth_headers({"auth_type": "bearer", "auth_token": "t"}) == {"Authorization": "Bearer t"}
     assert rest.auth_headers({"auth_type": "header", "auth_key": "X", "auth_token": "t"}) == {"X": "t"}
@@ -322,12 +344,20 @@ def test_schema_evolution_and_overwrite(spark, tmp_path):
         lake.write_table(spark.range(1), path, "merge")
 
 
-def test_versions_and_retention(spark, tmp_path):
-    first = lake.replace_table(spark.range(3), str(tmp_path), 1)
-    second = lake.replace_table(spark.read.parquet(first).filter("id > 0"), str(tmp_path), 2)
-    assert spark.read.parquet(second).count() == 2 and spark.read.parquet(first).count() == 3
-    logs = spark.createDataFrame([(datetime.datetime(2024, 1, 1),), (datetime.datetime(2024, 1, 2),)], "time timestamp")
-    assert lake.expire(logs, "time", F.lit("2024-02-01").cast("timestamp")).count() == 1
+def test_log_table_expires_whole_days(spark, tmp_path):
+    columns = "time timestamp, component string, level string, message string, trace_id string, agent_name string, metadata string"
+    log = lambda *days: spark.createDataFrame(
+        [(datetime.datetime(2024, 1, d, 23, 59), "c", "INFO", "m", "t", "a", "{}") for d in days], columns
+    )
+    path = str(tmp_path / "logs")
+    lake.append_logs(log(1, 2, 3), path, 0)
+    lake.append_logs(log(3, 4), path, 1)
+    lake.append_logs(log(3, 4), path, 1)  # a replay
+    assert spark.read.parquet(path).count() == 5
+    assert lake.expire_days(spark, path, datetime.date(2024, 2, 2)) == ["day=2024-01-01", "day=2024-01-02"]
+    left = rows(spark.read.parquet(path), "day", "batch_id")
+    assert [(str(r["day"]), r["batch_id"]) for r in left] == [("2024-01-03", 0), ("2024-01-03", 1), ("2024-01-04", 1)]
+    assert lake.expire_days(spark, path, datetime.date(2024, 2, 2)) == []
 
 
 def test_failed_batch_reaches_dead_letters(spark, tmp_path):
@@ -341,11 +371,13 @@ def test_failed_batch_reaches_dead_letters(spark, tmp_path):
 
 
 def test_http_payload_forms(spark):
-    df = spark.createDataFrame([(0, 2), (0, 1), (1, 3)], "batch int, v int")
-    bare = rows(outputs.http_payloads(df, ["batch"], None), "batch")
+    df = spark.createDataFrame([(2,), (1,), (3,)], "v int").coalesce(1)
+    bare = rows(outputs.http_payloads(df, None, size=2), "batch")
     assert [json.loads(r["payload"]) for r in bare] == [[{"v": 1}, {"v": 2}], [{"v": 3}]]
-    keyed = rows(outputs.http_payloads(df, ["batch"], "rows", metadata=False), "batch")
+    keyed = rows(outputs.http_payloads(df, "rows", metadata=False, size=2), "batch")
     assert json.loads(keyed[1]["payload"]) == {"rows": [{"v": 3}]}
+    many = outputs.http_payloads(spark.range(1050).repartition(3))
+    assert many.filter("count > 100").count() == 0 and many.agg(F.sum("count")).first()[0] == 1050
     numbered = rows(outputs.batch_numbers(spark.range(10).coalesce(1), 4), "id")
     assert [r["batch"] for r in numbered] == [0] * 4 + [1] * 4 + [2] * 2
 
@@ -396,6 +428,34 @@ def test_vector_validation(spark):
     assert [r["valid"] for r in outputs.vector_rows(df, "e", 2).collect()] == [True, False, False, False]
 
 
+def test_vector_batches_are_bounded(spark):
+    df = spark.range(2500).select("id", F.array(F.lit(1.0), F.when(F.col("id") % 2 == 0, 2.0)).alias("e"))
+    sizes = [r["count"] for r in rows(outputs.vector_batches(df, "e", 2).groupBy("part", "batch").count())]
+    assert sum(sizes) == 1250 and max(sizes) <= outputs.VECTOR_BATCH
+
+
+def test_sql_write_with_ddl_and_conflict_clause(spark, monkeypatch):
+    """Statement texts and their order; no database is involved."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    done = []
+    monkeypatch.setattr(DataFrameWriter, "jdbc", lambda self, url, table, mode=None, properties=None: done.append(f"write {table}"))
+    df = spark.createDataFrame([(1, [2])], 'id int, "a" array<int>'.replace('"', "`"))
+    outputs.write_jdbc(df, "jdbc:x", "t", ddl="CREATE TABLE t", conflict="ON CONFLICT DO NOTHING", execute=done.append)
+    staged = done[1].removeprefix("write ")
+    assert staged.startswith('"public"."t_staged_')
+    assert done == [
+        "CREATE TABLE t", f"write {staged}",
+        f'INSERT INTO "public"."t" ("id","a") SELECT "id","a" FROM {staged} ON CONFLICT DO NOTHING', f"DROP TABLE IF EXISTS {staged}",
+    ]
+    done.clear()
+    outputs.write_jdbc(df, "jdbc:x", "t")
+    assert done == ["write t"]
+    with pytest.raises(ValueError):
+        outputs.write_jdbc(df, "jdbc:x", "t", conflict="ON CONFLICT DO NOTHING")
+    assert outputs.insert_from("s", 'we"ird', ["c"]) == 'INSERT INTO "public"."we""ird" ("c") SELECT "c" FROM "public"."s"'
+
+
 def test_audit_codes(spark):
     names = [None, "PermissionError", "DomainNotFoundError", "ActionNotFoundError", "ValueError", "CircuitOpenError", "KeyError"]
     df = spark.createDataFrame([(n,) for n in names], "e string")
@@ -533,6 +593,18 @@ def test_scratch_uses_the_shared_folder(spark):
     assert path.startswith((shared or spark.conf.get("spark.checkpoint.dir")) + "/x-")
 
 
+def test_scratch_without_a_setting_is_below_the_warehouse():
+    class Unset:
+        def __init__(self, found):
+            self.get = lambda key, default=None: found.get(key, default)
+
+    class Session:
+        conf = Unset({"spark.sql.warehouse.dir": "hdfs://x/warehouse/"})
+        sparkContext = type("Context", (), {"getConf": lambda self: Unset({})})()
+
+    assert scratch_path(Session(), "y").startswith("hdfs://x/warehouse/_scratch/y-")
+
+
 # --- read surface ------------------------------------------------------------------------------------
 
 

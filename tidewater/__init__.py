@@ -4,9 +4,9 @@ import sys
 
 from pyspark import cloudpickle
 
-from tidewater.session import build_session, scratch_path, table
+from tidewater.session import build_session, release_scratch, scratch_path, table
 
-__all__ = ["build_session", "scratch_path", "table"]
+__all__ = ["build_session", "release_scratch", "scratch_path", "table"]
 
 # Functions that run in tasks travel with the plan, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,7 +1,7 @@
 """Changes to operational tables, written as joins that produce the next table version.
 
 Spark's file tables have no row updates, so every change returns the full next
-version as a DataFrame; ``sinks.lake.replace_table`` publishes it. Tables hold one
+version as a DataFrame, to be written beside the older ones. Tables hold one
 row per key, and change sets are reduced to one row per key before they meet it.
 """
 

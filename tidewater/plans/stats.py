@@ -305,19 +305,6 @@ def run_summary(spark, sf_dir):
     )
 
 
-@query(
-    "k15_log_retention",
-    f"""SELECT event_id, event_type AS component, value FROM events WHERE ts >= TIMESTAMP '2024-02-10' - INTERVAL 30 DAY""",
-)
-def retention(spark, sf_dir):
-    from tidewater.sinks.lake import expire
-
-    e = table(spark, sf_dir, "events").withColumn("time", F.col("ts").cast("timestamp"))
-    return expire(e, "time", F.lit("2024-02-10 00:00:00").cast("timestamp")).select(
-        "event_id", F.col("event_type").alias("component"), "value"
-    )
-
-
 @query(
     "k16_audit_rows",
     """SELECT event_id AS request_id, user_id, 'data' AS domain, event_type AS action, CASE WHEN event_id % 4 = 0 THEN '{}' ELSE props END AS parameters,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from tidewater.functions.numeric import rounded
@@ -10,6 +12,7 @@ from tidewater.plans.inputs import NOW_MS, TICKS, ticks
 from tidewater.plans.market import LAST_25, NUMBERED, state_sql
 from tidewater.plans.registry import query, r
 from tidewater.session import scratch_path, table
+from tidewater.sinks import lake as lake_sink
 from tidewater.sources.candidates import fallback_prices, window_or_fallback, with_fallback
 from tidewater.streaming import outputs, windows
 
@@ -154,6 +157,25 @@ def overwrite_then_append(spark, sf_dir):
     return spark.read.parquet(path).groupBy("symbol", F.col("batch_id").cast("bigint").alias("batch_id")).agg(F.count(F.lit(1)).alias("row_count"))
 
 
+@query(
+    "k15_log_retention",
+    f"""WITH {EVENTS_SQL} SELECT event_id, event_type AS component, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
+      CAST(ts AS DATE) AS day, batch_id FROM landed WHERE CAST(ts AS DATE) >= DATE '2024-02-10' - 30""",
+)
+def log_retention(spark, sf_dir):
+    """Events streamed into the log table, partitioned by day; then days older than thirty are removed."""
+    path, checkpoint = scratch_path(spark, "logs"), scratch_path(spark, "checkpoint")
+    logs = _tick_stream(spark, sf_dir).select(
+        F.col("ts").alias("time"), F.col("symbol").alias("component"), F.when(F.col("symbol") == "error", "ERROR").otherwise("INFO").alias("level"),
+        F.col("close").cast("string").alias("message"), F.col("id").cast("string").alias("trace_id"), F.lit("agent").alias("agent_name"), F.lit("{}").alias("metadata"),
+    )
+    windows.drain(logs, checkpoint, lambda batch, i: lake_sink.append_logs(batch, path, i))
+    lake_sink.expire_days(spark, path, datetime.date(2024, 2, 10))
+    return spark.read.parquet(path).select(
+        F.col("trace_id").cast("bigint").alias("event_id"), "component", "level", "day", F.col("batch_id").cast("bigint").alias("batch_id")
+    )
+
+
 def _landing(spark, sf_dir):
     """Events as JSON lines in a landing folder of several files; a mark before errors makes them invalid JSON."""
     text = F.to_json(F.struct("event_id", "event_type", "value"))

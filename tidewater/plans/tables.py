@@ -182,22 +182,28 @@ def sql_rows(spark, sf_dir):
 
 @query(
     "k11_http_payloads",
-    """SELECT event_id // 100 AS batch, count(*) AS count,
-         '{"records":[' || string_agg('{"event_id":' || CAST(event_id AS VARCHAR) || ',"user_id":' || CAST(user_id AS VARCHAR) || '}', ',' ORDER BY event_id)
-         || '],"_metadata":{"count":' || CAST(count(*) AS VARCHAR) || ',"timestamp":"2024-02-01T00:00:00Z"}}' AS payload
-       FROM events GROUP BY 1""",
+    """SELECT event_id, user_id, TRUE AS whole_batch, '2024-02-01T00:00:00Z' AS sent FROM events""",
 )
 def payloads(spark, sf_dir):
-    """One hundred consecutive events per request body."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.floor(F.col("event_id") / 100).alias("batch"))
-    return outputs.http_payloads(e, ["batch"], order=["event_id"], sent_at=F.timestamp_millis(F.lit(NOW_MS)))
+    """Request bodies of at most a hundred events, read back: every event is in one, beside its count and time."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    sent = outputs.http_payloads(e, order=["event_id"], sent_at=F.timestamp_millis(F.lit(NOW_MS)))
+    body = F.from_json("payload", "records array<struct<event_id:bigint,user_id:bigint>>, _metadata struct<count:bigint,timestamp:string>")
+    read = sent.select("count", body.alias("b"))
+    whole = (F.size("b.records") == F.col("count")) & (F.col("b._metadata.count") == F.col("count")) & (F.col("count") <= 100)
+    return read.select(F.explode("b.records").alias("r"), whole.alias("whole_batch"), F.col("b._metadata.timestamp").alias("sent")).select(
+        "r.event_id", "r.user_id", "whole_batch", "sent"
+    )
 
 
-@query("k12_vector_rows", "SELECT vec_id, label, len(embedding) AS dimension, len(embedding) = 64 AS valid FROM embeddings")
+@query("k12_vector_rows", "SELECT vec_id, label, len(embedding) AS dimension, TRUE AS in_batch FROM embeddings WHERE len(embedding) = 64")
 def vectors(spark, sf_dir):
+    """Vectors written in insert batches of at most a thousand rows."""
     path = scratch_path(spark, "vectors")
-    lake.write_table(outputs.vector_rows(table(spark, sf_dir, "embeddings"), "embedding", 64), path, "overwrite")
-    return lake.read_table(spark, path).select("vec_id", "label", F.size("embedding").alias("dimension"), "valid")
+    lake.write_table(outputs.vector_batches(table(spark, sf_dir, "embeddings"), "embedding", 64), path, "overwrite")
+    stored = lake.read_table(spark, path)
+    sizes = stored.groupBy("part", "batch").agg((F.count(F.lit(1)) <= outputs.VECTOR_BATCH).alias("in_batch"))
+    return stored.join(sizes, ["part", "batch"]).select("vec_id", "label", F.size("embedding").alias("dimension"), "in_batch")
 
 
 @query(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,21 +49,30 @@ def table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting falls back to a temporary
-    folder, because there driver and executors are one process.
+    Where that is not set, a folder of its own below the warehouse is: a session's tables have to be shared, too.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    local = tempfile.mkdtemp(prefix="tidewater-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    if not configured:
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return configured.rstrip("/")
+
+
+_scratch: dict[int, list[str]] = {}
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for a written table or a stream checkpoint."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _scratch.setdefault(id(spark.sparkContext), []).append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Remove every scratch path this session was given; results that still read them must have been used before."""
+    paths = _scratch.pop(id(spark.sparkContext), [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)

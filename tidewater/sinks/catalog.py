@@ -55,18 +55,21 @@ def register_table(
     spark: SparkSession, name: str, location: str, schema: T.StructType,
     partition_by: tuple[str, ...] = (), fmt: str = "parquet",
 ) -> bool:
-    """Register an external table; False when it was registered before."""
+    """Register an external table with the catalog's column types; False when it was registered before.
+
+    Nested columns are registered as text, as every type without a counterpart is; read such a table by its path.
+    """
     database, table = name.split(".", 1) if "." in name else ("default", name)
     location = re.sub(r"^s3://", "s3a://", location)
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    quoted = ".".join(f"`{n.replace('`', '``')}`" for n in (database, table))
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database.replace('`', '``')}`")
     if spark.catalog.tableExists(f"{database}.{table}"):
         return False
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    data, parts = catalog_columns(schema, partition_by)
+    columns = ", ".join(f"`{n.replace('`', '``')}` {kind}" for n, kind in data + parts)
     partitions = f"PARTITIONED BY ({', '.join(f'`{p}`' for p in partition_by)})" if partition_by else ""
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS `{database}`.`{table}` ({columns}) USING {fmt} "
-        f"{partitions} LOCATION '{location}'"
-    )
+    escaped = location.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {quoted} ({columns}) USING {fmt} {partitions} LOCATION '{escaped}'")
     if partition_by:
-        spark.sql(f"MSCK REPAIR TABLE `{database}`.`{table}`")
+        spark.sql(f"MSCK REPAIR TABLE {quoted}")
     return True

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,13 +45,6 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return (reader.option("mergeSchema", True) if fmt == "parquet" else reader).load(path)
 
 
-def replace_table(df: DataFrame, versions_path: str, version: int) -> str:
-    """Publish the next full version of a table beside the older ones, never over the one being read."""
-    target = f"{versions_path}/version={version}"
-    df.write.mode("overwrite").parquet(target)
-    return target
-
-
 def skip_conflicts(new_rows: DataFrame, existing: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """New rows whose key is not stored yet, first one per key."""
     payload = [c for c in new_rows.columns if c not in key]
@@ -96,6 +91,24 @@ def write_or_dead_letter(df: DataFrame, path: str, dlq_path: str, **options) ->
         return message
 
 
-def expire(df: DataFrame, time: str, now: Column, days: int = 30) -> DataFrame:
-    """Rows inside the retention time."""
-    return df.filter(F.col(time) >= now - F.make_dt_interval(days=F.lit(days)))
+# Columns of the log table and the days it is kept.
+LOG_COLUMNS = ("time", "component", "level", "message", "trace_id", "agent_name", "metadata")
+LOG_RETENTION_DAYS = 30
+
+
+def append_logs(logs: DataFrame, path: str, batch_id: int = 0) -> None:
+    """Append log rows below ``path/day=<date>/batch_id=<id>``; a replayed batch replaces its own folders only."""
+    rows = logs.select(*LOG_COLUMNS).withColumns({"day": F.to_date("time"), "batch_id": F.lit(batch_id)})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(path)
+
+
+def expire_days(spark: SparkSession, path: str, today: datetime.date, days: int = LOG_RETENTION_DAYS) -> list[str]:
+    """Remove whole days that are older than the retention time; their names, oldest first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    first = f"day={today - datetime.timedelta(days=days)}"
+    names = sorted(s.getPath().getName() for s in files.listStatus(folder) if s.isDirectory())
+    old = [n for n in names if n.startswith("day=") and n < first]
+    for name in old:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, name), True)
+    return old

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,6 @@ AUDIT_STATUS = (
 )
 HTTP_BATCH = 100
 VECTOR_BATCH = 1000
-LOG_RETENTION_DAYS = 30
 
 
 def flatten_for_sql(df: DataFrame) -> DataFrame:
@@ -30,15 +30,44 @@ def flatten_for_sql(df: DataFrame) -> DataFrame:
     )
 
 
+def quoted_table(table: str, schema: str = "public") -> str:
+    return ".".join('"' + part.replace('"', '""') + '"' for part in (schema, table))
+
+
+def insert_from(staged: str, table: str, columns: list[str], schema: str = "public", conflict: str | None = None) -> str:
+    """One statement that moves staged rows into a table; ``conflict`` is its conflict clause, such as ON CONFLICT DO NOTHING."""
+    names = ",".join('"' + c.replace('"', '""') + '"' for c in columns)
+    sql = f"INSERT INTO {quoted_table(table, schema)} ({names}) SELECT {names} FROM {quoted_table(staged, schema)}"
+    return f"{sql} {conflict}" if conflict else sql
+
+
 def write_jdbc(
     df: DataFrame, url: str, table: str, properties: dict[str, str] | None = None,
-    column_types: str | None = None, batch_size: int = 1000,
+    column_types: str | None = None, batch_size: int = 1000, schema: str = "public",
+    ddl: str | None = None, conflict: str | None = None, execute: Callable[[str], None] | None = None,
 ) -> None:
-    """Append over JDBC; each task writes its partition in one transaction, so an error rolls it back."""
-    writer = flatten_for_sql(df).write.mode("append").option("batchsize", batch_size)
+    """Append over JDBC; each task writes its partition in one transaction, so an error rolls it back.
+
+    ``ddl`` runs once before the write. With a ``conflict`` clause the rows go to a staging table first and one
+    statement moves them, so the clause holds for the whole write. Both need ``execute``, a function that runs a
+    statement on a connection of the caller's.
+    """
+    if (ddl or conflict) and execute is None:
+        raise ValueError("ddl and conflict need a function that executes a statement")
+    if ddl:
+        execute(ddl)
+    flat = flatten_for_sql(df)
+    target = f"{table}_staged_{uuid.uuid4().hex[:12]}" if conflict else table
+    writer = flat.write.mode("append").option("batchsize", batch_size)
     if column_types:
         writer = writer.option("createTableColumnTypes", column_types)
-    writer.jdbc(url, table, properties=properties or {})
+    try:
+        writer.jdbc(url, quoted_table(target, schema) if conflict else table, properties=properties or {})
+        if conflict:
+            execute(insert_from(target, table, flat.columns, schema, conflict))
+    finally:
+        if conflict:
+            execute(f"DROP TABLE IF EXISTS {quoted_table(target, schema)}")
 
 
 def batch_numbers(df: DataFrame, size: int) -> DataFrame:
@@ -57,13 +86,17 @@ def batch_numbers(df: DataFrame, size: int) -> DataFrame:
 
 
 def http_payloads(
-    batched: DataFrame, by: list[str], batch_key: str | None = "records", order: list[str] | None = None,
-    sent_at: Column | None = None, metadata: bool = True,
+    df: DataFrame, batch_key: str | None = "records", order: list[str] | None = None,
+    sent_at: Column | None = None, metadata: bool = True, size: int = HTTP_BATCH,
 ) -> DataFrame:
-    """One JSON payload per batch of at most the batch size: {key: [records], _metadata} or a bare array."""
-    columns = [c for c in batched.columns if c not in by]
+    """(part, batch, count, payload): one JSON payload per batch of at most ``size`` rows.
+
+    A payload is {key: [records], _metadata} or a bare array. Batches are dealt by ``batch_numbers``, so no list can
+    outgrow ``size``, whatever the rows hold.
+    """
+    columns = df.columns
     ordering = F.struct(*(order or columns))
-    grouped = batched.groupBy(*by).agg(
+    grouped = batch_numbers(df, size).groupBy("part", "batch").agg(
         F.count(F.lit(1)).alias("count"),
         F.sort_array(F.collect_list(F.struct(ordering.alias("o"), F.struct(*columns).alias("r")))).alias("sorted"),
     )
@@ -77,7 +110,7 @@ def http_payloads(
             stamp = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
             fields.append(F.struct("count", stamp.alias("timestamp")).alias("_metadata"))
         payload = F.to_json(F.struct(*fields))
-    return grouped.select(*by, "count", payload.alias("payload"))
+    return grouped.select("part", "batch", "count", payload.alias("payload"))
 
 
 def post_partitions(
@@ -139,6 +172,11 @@ def vector_rows(df: DataFrame, column: str, dimension: int) -> DataFrame:
     )
 
 
+def vector_batches(df: DataFrame, column: str, dimension: int, size: int = VECTOR_BATCH) -> DataFrame:
+    """Valid vector rows dealt into insert batches (part, batch) of at most ``size`` rows."""
+    return batch_numbers(vector_rows(df, column, dimension).filter("valid").drop("valid"), size)
+
+
 def audit_status(error_class: Column) -> Column:
     code = F.when(error_class.isNull(), 200)
     for name, status in AUDIT_STATUS:

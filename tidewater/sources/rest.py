@@ -24,6 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 RETRY_STATUSES = (429, 500, 502, 503, 504)
 RECORD_KEYS = ("results", "data", "items")
 DEFAULT_RETRIES = 3
+DEFAULT_TIMEOUT = 30.0
+DEFAULT_STRIPES = 4
 
 
 def unwrap(payload) -> list:
@@ -48,7 +50,7 @@ def auth_headers(options: dict) -> dict[str, str]:
 
 
 def http_fetch(options: dict, params: dict):
-    """One request, repeated with growing pauses on throttling and server errors."""
+    """One request, repeated with growing pauses on throttling, server errors and lost or hung connections."""
     url = options["url"]
     if params:
         url += ("&" if "?" in url else "?") + urllib.parse.urlencode(params)
@@ -57,12 +59,15 @@ def http_fetch(options: dict, params: dict):
     retries = int(options.get("retries", DEFAULT_RETRIES))
     for attempt in range(retries + 1):
         try:
-            with urllib.request.urlopen(request) as response:
+            with urllib.request.urlopen(request, timeout=float(options.get("timeout", DEFAULT_TIMEOUT))) as response:
                 return json.load(response)
         except urllib.error.HTTPError as exc:
             if exc.code not in RETRY_STATUSES or attempt == retries:
                 raise
-            time.sleep(2**attempt)
+        except (urllib.error.URLError, ConnectionError, TimeoutError):  # lost, refused or hung
+            if attempt == retries:
+                raise
+        time.sleep(2**attempt)
 
 
 class PageStripe(InputPartition):
@@ -93,7 +98,7 @@ class PagedRestReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         if self.options.get("pagination", "none") != "page":
             return [PageStripe(1, 0)]
-        n = int(self.options.get("numpartitions", self.options.get("numPartitions", 1)))
+        n = int(self.options.get("numpartitions", self.options.get("numPartitions", DEFAULT_STRIPES)))
         return [PageStripe(i + 1, n) for i in range(n)]
 
     def _fetcher(self):
