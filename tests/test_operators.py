@@ -84,18 +84,26 @@ def test_cooldown_known_case(spark):
     assert [(r["k"], r["t"]) for r in got] == [("other", 60_000), ("scale", 0), ("scale", 120_000), ("scale", 245_000)]
 
 
-@pytest.mark.parametrize("block", [1, 40, 97, 1000, 100_000])
-def test_cooldown_equals_fold_for_any_block(spark, block):
-    rng = random.Random(block)
-    data = [("hot" if rng.random() < 0.8 else f"k{rng.randrange(5)}", rng.randrange(3000), i) for i in range(1500)]
+@pytest.mark.parametrize("blocks, wait, spread", [(1, 37, 3000), (7, 37, 3000), (60, 37, 3000), (30, 900, 3000), (20, 0, 3000), (25, 5, 10**13)])
+def test_cooldown_equals_fold_for_any_block(spark, blocks, wait, spread):
+    rng = random.Random(blocks)
+    data = [("hot" if rng.random() < 0.8 else f"k{rng.randrange(5)}", rng.randrange(spread), i) for i in range(1500)]
+    data += [(None, 5, 1), (None, 6, 2)]
     df = spark.createDataFrame(data, "k string, t bigint, id bigint")
     got = {}
-    for r in rows(cooldown.fired_times(df, "k", "t", 37, block)):
+    for r in rows(cooldown.fired_times(df, "k", "t", wait, blocks)):
         got.setdefault(r["k"], []).append(r["t"])
     expected = {}
     for k, t, _ in data:
         expected.setdefault(k, []).append(t)
-    assert {k: sorted(v) for k, v in got.items()} == {k: fold(v, 37) for k, v in expected.items()}
+    assert {k: sorted(v) for k, v in got.items()} == {k: fold(v, wait) for k, v in expected.items()}
+
+
+def test_a_million_events_of_one_key(spark):
+    """Most of them in one burst; the blocks that Spark deals are even, and the result is that of a plain fold."""
+    burst = spark.range(1_000_000).select(F.lit("one").alias("k"), (F.col("id") * F.when(F.col("id") % 10 == 0, 977).otherwise(1)).alias("t"))
+    got = sorted(r["t"] for r in cooldown.fired_times(burst, "k", "t", 120_000, 16).collect())
+    assert got == fold([i * (977 if i % 10 == 0 else 1) for i in range(1_000_000)], 120_000)
 
 
 def test_exempt_rows_fire_and_do_not_block(spark):

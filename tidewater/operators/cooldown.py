@@ -1,16 +1,14 @@
 """Cooldown: per key, an event fires only if enough time passed since the last one that fired.
 
-Whether an event fires depends on earlier decisions, so it is no plain ``lag``.
-The key's time line is cut into blocks. Inside a block the outcome depends only
-on which event fires first there, and that first event lies within one cooldown
-of the block start (or is the first one after it). So:
+Whether an event fires depends on earlier decisions, so it is no plain ``lag``. The events are dealt into blocks:
+ranges of (key, time) with about equal row counts, however they lie in time. What a block does to the last fired
+time before it is a step function with few steps, because chains of events that fire soon meet. So:
 
-1. every block lists, for each possible first event, the last event that fires;
-2. those short lists are walked block by block per key to fix each block's first event;
+1. every block lists its steps: up to which first event the block ends with which last one;
+2. per key these short lists are walked block by block, which gives every block the last fired time before it;
 3. every block replays its own events from there.
 
-Steps 1 and 3 run in parallel over (key, block) and handle many blocks per Arrow
-batch; step 2 streams the short lists through sorted partitions, row by row.
+Steps 1 and 3 run in parallel over blocks, without a loop over rows: chains are followed by doubling.
 """
 
 from __future__ import annotations
@@ -22,52 +20,73 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DAY_MS = 86_400_000
+from tidewater.session import scratch_path
 
 
-def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Arrow batches of rows sorted by (k, block), re-cut so that no group spans two of them."""
-    held = None
+def _whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Arrow batches of rows sorted by (block, g), re-cut so that no (block, g) spans two of them.
+
+    ``g`` is the key as text, never null. A block has a bounded number of rows, so what is held back is bounded, too.
+    """
+    held: list[pd.DataFrame] = []
     for pdf in batches:
-        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
         if pdf.empty:
             continue
-        last = (pdf["k"] == pdf["k"].iloc[-1]) & (pdf["block"] == pdf["block"].iloc[-1])
-        held = pdf[last]
-        if len(held) < len(pdf):
-            yield pdf[~last].reset_index(drop=True)
-    if held is not None and not held.empty:
-        yield held.reset_index(drop=True)
-
-
-def _layout(pdf: pd.DataFrame, cooldown: int, block_ms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(time in block, row that may fire next or the group's end, end of the row's group) for sorted rows."""
-    first = ((pdf["k"] != pdf["k"].shift()) | (pdf["block"] != pdf["block"].shift())).to_numpy()
+        last = ((pdf["g"] == pdf["g"].iloc[-1]) & (pdf["block"] == pdf["block"].iloc[-1])).to_numpy()
+        if held and last.all() and held[0]["g"].iloc[0] == pdf["g"].iloc[0] and held[0]["block"].iloc[0] == pdf["block"].iloc[0]:
+            held.append(pdf)
+            continue
+        if held or not last.all():
+            done = pd.concat([*held, pdf[~last]], ignore_index=True)
+            if len(done):
+                yield done
+        held = [pdf[last]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _layout(pdf: pd.DataFrame, cooldown: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group of each row, first row of each group, the row that may fire next or the number of rows) for sorted rows."""
+    first = ((pdf["g"] != pdf["g"].shift()) | (pdf["block"] != pdf["block"].shift())).to_numpy()
     group = np.cumsum(first) - 1
-    ends = np.append(np.flatnonzero(first)[1:], len(pdf))[group]
-    offset = pdf["t"].to_numpy() - pdf["block"].to_numpy() * block_ms
-    line = group * (block_ms + cooldown + 1) + offset  # all groups on one line, too far apart to meet
-    return offset, np.searchsorted(line, line + cooldown, side="left"), ends
-
-
-def _exits(cooldown: int, block_ms: int):
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], len(pdf))
+    t = pdf["t"].to_numpy()
+    following = np.empty(len(t), np.int64)
+    span = int((t - t[starts][group]).max()) + cooldown + 1
+    if span < 2**62 // max(1, len(starts)):  # all groups on one line, too far apart to meet
+        line = group * span + (t - t[starts][group])
+        following = np.searchsorted(line, line + cooldown, side="left")
+    else:
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            following[a:b] = a + np.searchsorted(t[a:b], t[a:b] + cooldown, side="left")
+    following = np.where(following < ends[group], following, len(t))
+    # with no cooldown the next event is the next row
+    return group, starts, np.maximum(following, np.minimum(np.arange(len(t)) + 1, len(t)))
+
+
+def _doublings(following: np.ndarray) -> list[np.ndarray]:
+    """Jumps of 1, 2, 4, ... steps; the number of rows stands for the end."""
+    n = len(following)
+    jumps = [np.append(following, n)]
+    while (jumps[-1] < n).any():
+        jumps.append(jumps[-1][jumps[-1]])
+    return jumps
+
+
+def _steps(cooldown: int):
     def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _whole_groups(batches):
-            offset, following, ends = _layout(pdf, cooldown, block_ms)
-            row = np.arange(len(pdf))
-            last = np.where(following < ends, following, row)
-            while True:  # doubling: each round follows twice as many steps
-                further = last[last]
-                if np.array_equal(further, last):
-                    break
-                last = further
-            # possible first events: all within one cooldown of the block start and the one after them
-            early = offset < cooldown
-            starts = np.append(True, ends[1:] != ends[:-1])
-            entry = early | starts | np.append(False, early[:-1])
-            yield pd.DataFrame(
-                {"k": pdf["k"], "block": pdf["block"], "entry": pdf["t"], "exit": pdf["t"].to_numpy()[last]}
-            )[entry]
+        for pdf in _whole_blocks(batches):
+            group, _, following = _layout(pdf, cooldown)
+            n = len(pdf)
+            last = np.arange(n)
+            for jump in reversed(_doublings(following)):  # as far as the chain goes
+                further = jump[:-1][last]
+                last = np.where(further < n, further, last)
+            # neighbours that end with the same event are one step, named by its last first event
+            ends = np.append((group[1:] != group[:-1]) | (last[1:] != last[:-1]), True)
+            t = pdf["t"].to_numpy()
+            yield pd.DataFrame({"g": pdf["g"], "block": pdf["block"], "upto": t, "leaves": t[last]})[ends]
 
     return per_partition
 
@@ -77,58 +96,62 @@ def _walk(cooldown: int):
         key, block, last, settled = None, None, None, False
         for pdf in batches:
             out = []
-            for k, b, entry, exit_ in zip(pdf["k"], pdf["block"], pdf["entry"], pdf["exit"]):
+            for k, b, upto, leaves in zip(pdf["g"], pdf["block"], pdf["upto"], pdf["leaves"]):
                 if k != key:
-                    key, block, last, settled = k, b, None, False
-                elif b != block:
+                    key, block, last, settled = k, None, None, False
+                if b != block:
+                    out.append((k, b, last))
                     block, settled = b, False
-                if not settled and (last is None or entry >= last + cooldown):
-                    out.append((k, b, entry))
-                    last, settled = exit_, True
-            yield pd.DataFrame(out, columns=["k", "block", "entry"]).astype(
-                {"block": "int64", "entry": "int64"}
-            )
+                if not settled and (last is None or upto >= last + cooldown):
+                    last, settled = leaves, True
+            yield pd.DataFrame(out, columns=["g", "block", "before"]).astype({"block": "int64", "before": "Int64"})
 
     return per_partition
 
 
-def _replay(cooldown: int, block_ms: int):
+def _replay(cooldown: int):
     def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _whole_groups(batches):
-            _, following, ends = _layout(pdf, cooldown, block_ms)
-            fires = (pdf["t"] == pdf["entry"]).tolist()
-            for i, (after, end) in enumerate(zip(following.tolist(), ends.tolist())):
-                if fires[i] and after < end:
-                    fires[after] = True
-            yield pdf.loc[fires, ["k", "t"]]
+        for pdf in _whole_blocks(batches):
+            group, starts, following = _layout(pdf, cooldown)
+            n = len(pdf)
+            free = pdf["before"].isna().to_numpy() | (pdf["t"] >= pdf["before"].fillna(0) + cooldown).to_numpy()
+            first = np.full(len(starts), n)
+            np.minimum.at(first, group[free], np.flatnonzero(free))
+            fires = np.zeros(n + 1, bool)
+            fires[first] = True
+            for jump in reversed(_doublings(following)):  # all chains, all their events
+                fires[jump[np.flatnonzero(fires)]] = True
+            yield pdf.loc[fires[:-1], ["k", "t"]]
 
     return per_partition
 
 
 def fired_times(
-    candidates: DataFrame, key: str, ts_ms: str, cooldown_ms: int = 120_000, block_ms: int = DAY_MS
+    candidates: DataFrame, key: str, ts_ms: str, cooldown_ms: int = 120_000, blocks: int | None = None
 ) -> DataFrame:
-    """Distinct (``key``, ``ts_ms``) pairs at which the key fires."""
-    if block_ms < cooldown_ms:
-        block_ms = cooldown_ms
+    """Distinct (``key``, ``ts_ms``) pairs at which the key fires.
+
+    ``blocks`` is the number of ranges that events are dealt into (by default Spark's shuffle partitions).
+    """
+    spark = candidates.sparkSession
     key_type = candidates.schema[key].dataType.simpleString()
-    moments = (
-        candidates.select(F.col(key).alias("k"), F.col(ts_ms).cast("bigint").alias("t"))
-        .distinct()  # at one instant a key fires at most once
-        .withColumn("block", F.floor(F.col("t") / block_ms).cast("bigint"))
-    )
-    sorted_blocks = lambda df: df.repartition("k", "block").sortWithinPartitions("k", "block", "t")
-    exits = sorted_blocks(moments).mapInPandas(
-        _exits(cooldown_ms, block_ms), f"k {key_type}, block bigint, entry bigint, exit bigint"
-    )
-    entries = (
-        exits.repartition("k")
-        .sortWithinPartitions("k", "block", "entry")
-        .mapInPandas(_walk(cooldown_ms), f"k {key_type}, block bigint, entry bigint")
-    )
-    fired = sorted_blocks(moments.join(entries, ["k", "block"])).mapInPandas(
-        _replay(cooldown_ms, block_ms), f"k {key_type}, t bigint"
+    as_text = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    # at one instant a key fires at most once
+    moments = candidates.select(F.col(key).alias("k"), as_text.alias("g"), F.col(ts_ms).cast("bigint").alias("t")).distinct()
+    dealt = moments.repartitionByRange(blocks, "g", "t") if blocks else moments.repartitionByRange("g", "t")
+    path = scratch_path(spark, "moments")
+    dealt.withColumn("block", F.spark_partition_id().cast("bigint")).write.parquet(path)
+    moments = spark.read.parquet(path)
+
+    in_blocks = lambda df: df.repartition("block").sortWithinPartitions("block", "g", "t")
+    steps = in_blocks(moments).mapInPandas(_steps(cooldown_ms), "g string, block bigint, upto bigint, leaves bigint")
+    before = (
+        steps.repartition("g")
+        .sortWithinPartitions("g", "block", "upto")
+        .mapInPandas(_walk(cooldown_ms), "g string, block bigint, before bigint")
     )
+    joined = moments.join(before, ["g", "block"])
+    fired = in_blocks(joined).mapInPandas(_replay(cooldown_ms), f"k {key_type}, t bigint")
     return fired.select(F.col("k").alias(key), F.col("t").alias(ts_ms))
 
 
@@ -139,22 +162,23 @@ def mark_fired(
     tie: str,
     cooldown_ms: int = 120_000,
     exempt=None,
-    block_ms: int = DAY_MS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Candidates with a boolean ``fired``; rows matching ``exempt`` always fire and never block others."""
     exempt = F.lit(False) if exempt is None else F.coalesce(exempt, F.lit(False))
     tagged = candidates.withColumn("exempt", exempt)
     limited = tagged.filter(~F.col("exempt"))
+    same_moment = F.col(key).eqNullSafe(F.col("_key")) & (F.col(ts_ms) == F.col("_ts"))
     winners = (
         limited.groupBy(key, ts_ms)
         .agg(F.min(tie).alias(tie))
-        .join(fired_times(limited, key, ts_ms, cooldown_ms, block_ms), [key, ts_ms])
-        .select(key, ts_ms, tie, F.lit(True).alias("won"))
+        .join(fired_times(limited, key, ts_ms, cooldown_ms, blocks).select(F.col(key).alias("_key"), F.col(ts_ms).alias("_ts")), same_moment)
+        .select("_key", "_ts", F.col(tie).alias("_tie"), F.lit(True).alias("won"))
     )
     return (
-        tagged.join(winners, [key, ts_ms, tie], "left")
+        tagged.join(winners, same_moment & F.col(tie).eqNullSafe(F.col("_tie")), "left")
         .withColumn("fired", F.col("exempt") | F.coalesce("won", F.lit(False)))
-        .drop("exempt", "won")
+        .drop("exempt", "won", "_key", "_ts", "_tie")
     )
 
 
