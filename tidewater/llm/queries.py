@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import language, quality
+from tidewater.llm import language, oracles, quality
 from tidewater.llm.common import documents
 from tidewater.llm.decontaminate import find_contamination
 from tidewater.llm.fingerprints import compare_with_next, written
@@ -65,7 +65,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-@query("op4_winnowing_decontamination")
+@query("op4_winnowing_decontamination", oracles.DECONTAMINATION)
 def winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a 13-word window of a benchmark item."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -76,7 +76,7 @@ def winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op5_minhash_near_dedup")
+@query("op5_minhash_near_dedup", oracles.NEAR_DUPLICATES)
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a similarity of 0.85."""
     return near_duplicates(documents(spark, sf_dir))
@@ -119,7 +119,7 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(documents(spark, sf_dir), digest=True)
 
 
-@query("op10_repeated_phrase_dedup")
+@query("op10_repeated_phrase_dedup", oracles.REPEATED_WORDS)
 def repeated_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after removing 20-word windows that also start earlier."""
     return remove_repeated_words(documents(spark, sf_dir), digest=True)
