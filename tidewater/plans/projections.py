@@ -106,14 +106,13 @@ def decoded(spark, sf_dir):
 @query(
     "s11_message_envelope",
     f"""WITH {MESSAGE_SQL}
-    SELECT 'events' AS topic, CAST(user_id % 3 AS INT) AS "partition", count(*) AS messages, min(event_id) AS first_offset,
-           max(event_id) AS last_offset, count(*) FILTER (WHERE event_id % 6 = 0) AS without_time
-    FROM m GROUP BY 2""",
+    SELECT CASE WHEN event_id % 4 <> 0 THEN CAST(user_id AS VARCHAR) END AS key, 'events' AS topic, CAST(user_id % 3 AS INT) AS "partition",
+           event_id AS "offset", CASE WHEN event_id % 6 <> 0 THEN ms END AS "timestamp", event_id % 5 <> 3 AS is_json FROM m""",
 )
-def envelope_summary(spark, sf_dir):
-    return messages(spark, sf_dir).groupBy("topic", "partition").agg(
-        F.count(F.lit(1)).alias("messages"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"),
-        F.count_if(F.col("timestampType") == -1).alias("without_time"),
+def envelope_rows(spark, sf_dir):
+    """Every message as its decoded envelope: key text, place in the topic, time where it has one, whether it holds JSON."""
+    return envelope.decode(messages(spark, sf_dir)).select(
+        "key", "topic", "partition", "offset", "timestamp", F.col("value_json").isNotNull().alias("is_json")
     )
 
 
