@@ -550,6 +550,20 @@ def test_restart_continues_from_the_checkpoint(spark, tmp_path):
     assert sorted(r["x"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
 
 
+def test_table_list_is_kept_for_a_minute(spark):
+    now = [0.0]
+    spark.sql("CREATE DATABASE IF NOT EXISTS kept")
+    try:
+        names = lambda: [n for n, _ in api.list_tables(spark, "kept", clock=lambda: now[0])["tables"]]
+        assert names() == []
+        spark.range(1).write.saveAsTable("kept.one")
+        assert names() == []
+        now[0] = api.TABLE_LIST_SECONDS
+        assert names() == ["one"]
+    finally:
+        spark.sql("DROP DATABASE kept CASCADE")
+
+
 def test_batches_by_time(spark, tmp_path):
     """A time trigger takes what has landed and goes on until it is stopped."""
     land(spark, str(tmp_path / "in"), [[(1,)], [(2,)]], "x int")

@@ -116,6 +116,37 @@ def envelope_rows(spark, sf_dir):
     )
 
 
+@query(
+    "p14_application_rows",
+    """SELECT o_orderkey AS doc, 'app' || CAST(o_custkey AS VARCHAR) AS name,
+      CASE o_orderstatus WHEN 'F' THEN 'RUNNING' WHEN 'O' THEN 'DEPLOYING' ELSE 'DELETING' END AS app_status,
+      CASE WHEN o_orderkey % 2 = 0 THEN '/' || CAST(o_custkey AS VARCHAR) END AS route_prefix,
+      CASE WHEN o_orderkey % 2 = 0 THEN 'HEALTHY' ELSE 'UPDATING' END AS deployment_states,
+      CASE WHEN o_orderkey % 2 = 0 THEN 'RUNNING:' || CAST(o_custkey % 4 AS VARCHAR) ELSE 'RUNNING:1,STARTING:1' END AS replicas FROM orders""",
+)
+def application_rows(spark, sf_dir):
+    """Every order as a status payload of its customer's application, in map and list shape by turns: many payloads per application."""
+    o = table(spark, sf_dir, "orders")
+    customer = F.col("o_custkey").cast("string")
+    status = F.when(F.col("o_orderstatus") == "F", "running").when(F.col("o_orderstatus") == "O", "Deploying").otherwise("DELETING")
+    as_map = F.concat(
+        F.lit('{"applications": {"app'), customer, F.lit('": {"status": "'), status, F.lit('", "route_prefix": "/'), customer,
+        F.lit('", "deployments": {"d": {"status": "healthy", "replica_states": {"RUNNING": '), (F.col("o_custkey") % 4).cast("string"), F.lit("}}}}}}"),
+    )
+    as_list = F.concat(
+        F.lit('{"data": {"applications": [{"name": "app'), customer, F.lit('", "app_status": "'), status,
+        F.lit('", "deployments": [{"name": "d", "state": "updating", "replicas": [{"state": "starting"}, {"status": "Running"}]}]}]}}'),
+    )
+    payloads = o.select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, as_map).otherwise(as_list).alias("payload"))
+    apps, replicas = normalize.application_rows(payloads, key="o_orderkey")
+    listed = replicas.groupBy("doc", "name").agg(
+        F.array_join(F.sort_array(F.collect_list(F.concat("state", F.lit(":"), F.col("n").cast("string")))), ",").alias("replicas")
+    )
+    return apps.join(listed, ["doc", "name"], "left").select(
+        "doc", "name", "app_status", "route_prefix", F.array_join("deployment_states", ",").alias("deployment_states"), "replicas"
+    )
+
+
 @query(
     "s15_unwrapped_rows",
     """WITH w AS (SELECT event_id, value, event_id % 6 AS shape FROM events)
