@@ -2,9 +2,13 @@
 
 Each distinct shingle set is hashed once per shingle; the smallest hash of every bin is the signature, and an empty
 bin borrows from a bin that its own hash sequence picks (the same one for all documents). Sets that agree in a band
-share a bucket. A bucket compares its members with one of them, the *centre*, not with each other; all candidates
-are confirmed on full shingle sets. Members that are left in different components then get further centres of
-their own, until no two components of a bucket have members that were never compared: no link is lost to the star.
+share a bucket. A bucket compares its members with one of them, the *centre* (the one that collides most), not with
+each other; all candidates are confirmed on full shingle sets.
+
+A star alone can miss a link between two members that are unlike the centre. So the members of buckets that still
+hold several components are joined exactly, with a prefix filter: in an order from rare to frequent shingles, two
+sets that are similar enough share an early one, at places that leave room for the overlap they need. Variants of
+one text, which share all but their own edits, then meet only if the edits agree. No link is lost to the star.
 """
 
 from __future__ import annotations
@@ -165,6 +169,28 @@ def _confirm(shingle: int, percent: int):
     return run
 
 
+def _shingled(shingle: int):
+    """Arrow mapper: the distinct shingles of each text."""
+
+    def run(batches):
+        for batch in batches:
+            texts = encoded(batch.column("text"))
+            for a, b in slices(texts, 4 * CHUNK_BYTES):
+                sets = shingle_sets(texts[a:b], shingle)
+                size = np.fromiter(map(len, sets), np.int64, len(sets))
+                flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+                yield pa.record_batch(
+                    {
+                        "node": batch.column("node").slice(a, b - a),
+                        "component": batch.column("component").slice(a, b - a),
+                        "n": pa.array(size),
+                        "tokens": pa.ListArray.from_arrays(offsets(size).astype(np.int32), pa.array(flat.view(np.int64))),
+                    }
+                )
+
+    return run
+
+
 def _salted(members: Column, count: Column) -> Column:
     return F.pmod(F.xxhash64(members), F.ceil(count / GROUP_MEMBERS)).cast("int")
 
@@ -203,100 +229,109 @@ class NearDuplicates:
         weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
         return stage(shared.join(weights, "node").select("bucket", "node", "weight").distinct(), "members")
 
-    def confirmed(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    def texts(self, members: DataFrame, classes: DataFrame) -> DataFrame:
+        """(node, text) of every class that shares a bucket."""
+        where = classes.select(F.col("id").alias("node"), "text_key").join(members.select("node").distinct(), "node")
+        every = self.docs.select(F.coalesce("doc_id", F.lit(int(LAST_ID))).alias("node"), "text_key", "text")
+        return stage(every.join(where, ["node", "text_key"], "left_semi").select("node", "text"), "candidates")
+
+    def confirmed(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Pairs (a: centre, b: member) whose full shingle sets are similar enough."""
         many = pairs.groupBy("a").agg(F.count("*").alias("many"))
         asked = pairs.join(many, "a").select("a", "b", _salted(F.col("b"), F.col("many")).alias("salt"))
         members = asked.select(F.col("a").alias("centre"), "salt", F.col("b").alias("node"))
         centres = members.select("centre", "salt", F.col("centre").alias("node")).distinct()
-        where = classes.select(F.col("id").alias("node"), "text_key")
-        wanted = members.unionByName(centres).join(where, "node")
-        texts = self.docs.select(
-            F.coalesce("doc_id", F.lit(int(LAST_ID))).alias("node"), "text_key", "text"
-        )
         return (
-            wanted.join(texts, ["node", "text_key"])
-            .select("centre", "salt", "node", "text")
+            members.unionByName(centres)
+            .join(texts, "node")
             .groupBy("centre", "salt")
             .applyInArrow(_confirm(self.shingle, self.percent), "a long, b long")
         )
 
+    def star(self, members: DataFrame) -> DataFrame:
+        """(a, b): the centre of each bucket with every other member."""
+        first = members.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "node")).alias("first"))
+        centres = first.select("bucket", F.col("first.node").alias("a"))
+        return members.join(centres, "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+    def unsettled(self, members: DataFrame, found: DataFrame) -> DataFrame:
+        """(node, component) of the members of buckets with several components."""
+        state = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed_ = (
+            state.groupBy("bucket")
+            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+            .filter("low < high")
+        )
+        return state.join(mixed_, "bucket", "left_semi").select("node", "component").distinct()
+
+    def prefix_pairs(self, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+        """(a, b) of different components that can be similar enough: all such pairs of ``nodes`` are among them.
+
+        x is the larger set, y the other; p is the wanted percentage. They need an overlap of o with
+        o * (100 + p) >= p * (|x| + |y|), and |y| * 100 >= p * |x|. Their first common shingle, at places i of x
+        and j of y (rare ones first), leaves |x| - i and |y| - j shingles, and neither may be less than o. Sizes
+        are joined by classes of two per cent, so that a place meets only sizes it can go with.
+        """
+        p = self.percent
+        tokens = stage(
+            nodes.join(texts, "node")
+            .mapInArrow(_shingled(self.shingle), "node long, component long, n long, tokens array<long>")
+            .select("node", "component", "n", F.xxhash64("tokens").alias("set"), F.explode("tokens").alias("token")),
+            "shingles",
+        )
+        frequency = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+        shared = tokens.join(frequency, "token")
+        of_node = Window.partitionBy("node", "set")
+        placed = shared.select(
+            "node", "component", "n", "token",
+            (F.col("n") - F.count("*").over(of_node) + F.row_number().over(of_node.orderBy("df", "token")) - 1).alias("place"),
+        )
+        size_class = lambda n: f"CAST(floor(ln({n}) / ln(1.02D)) AS int)"
+        placed = placed.filter(F.expr(f"(n - place) * {100 + p} >= {p} * (n + ceil(n * {p} / 100D))"))
+        placed = stage(placed, "prefixes")
+        larger = placed.select(
+            F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("i"), "token",
+            F.explode(F.expr(
+                f"sequence({size_class(f'ceil(n * {p} / 100D)')}, {size_class(f'least(n, floor((n - place) * {100 + p} / {p}D) - n)')})"
+            )).alias("class"),
+        )
+        smaller = placed.filter(F.expr(f"(n - place) * {100 + p} >= {2 * p} * n")).select(
+            F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("j"), "token",
+            F.expr(size_class("n")).alias("class"),
+        )
+        # groups of one component need no look; in the others, members of the most frequent one skip each other
+        sides = larger.select("token", "class", F.col("cx").alias("c"), F.lit(0).alias("side")).unionByName(
+            smaller.select("token", "class", F.col("cy").alias("c"), F.lit(1).alias("side"))
+        )
+        parts = sides.groupBy("token", "class", "c").agg(F.count("*").alias("size"), F.max("side").alias("side"))
+        groups_ = (
+            parts.groupBy("token", "class")
+            .agg(F.max_by("c", "size").alias("most"), F.min("c").alias("low"), F.max("c").alias("high"), F.max("side").alias("side"))
+            .filter("low < high AND side = 1")
+            .select("token", "class", "most")
+        )
+        larger, smaller = larger.join(groups_, ["token", "class"]), smaller.join(groups_, ["token", "class"])
+        larger, smaller = stage(larger, "larger"), stage(smaller, "smaller")
+        fits = F.expr(
+            f"cx <> cy AND ny <= nx AND ny * 100 >= {p} * nx AND (nx - i) * {100 + p} >= {p} * (nx + ny) "
+            f"AND (ny - j) * {100 + p} >= {p} * (nx + ny)"
+        )
+        one = larger.filter("cx <> most").join(smaller.drop("most"), ["token", "class"]).filter(fits)
+        two = larger.filter("cx = most").drop("most").join(smaller.filter("cy <> most"), ["token", "class"]).filter(fits)
+        return one.select("x", "y").unionByName(two.select("x", "y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Classes and (node, component) for the nodes that have a link."""
         classes = self.classes()
         members = self.buckets(classes)
-        spark = self.docs.sparkSession
-        found = spark.createDataFrame([], "node long, component long")
-        used = spark.createDataFrame([], "bucket long, node long")
-        asked = spark.createDataFrame([], "a long, b long")
-        centres_each = 1
-        while True:
-            state = (
-                members.join(found, "node", "left")
-                .withColumn("component", F.coalesce("component", "node"))
-                .join(used.withColumn("done", F.lit(True)), ["bucket", "node"], "left")
-            )
-            open_parts = state.filter("done IS NULL").groupBy("bucket", "component").agg(F.count("*").alias("part"))
-            unsettled = (
-                open_parts.groupBy("bucket")
-                .agg(F.count("*").alias("parts"), F.max(F.struct("part", "component")).alias("largest"))
-                .filter("parts > 1")
-            )
-            state = stage(state.join(unsettled.select("bucket", "largest"), "bucket"), "unsettled")
-            fresh = state.filter("done IS NULL")
-            part = fresh.groupBy("bucket", "component").agg(F.count("*").alias("part"))
-            ranked = (
-                fresh.filter("component <> largest.component OR largest.part = 1")
-                .join(part, ["bucket", "component"])
-                .groupBy("bucket")
-                .agg(F.min(F.struct("part", (-F.col("weight")).alias("w"), "node")).alias("first"))
-                if centres_each == 1
-                else None
-            )
-            if ranked is not None:
-                centres = ranked.select("bucket", F.col("first.node").alias("node"))
-            else:
-                order = Window.partitionBy("bucket").orderBy("part", F.desc("weight"), "node")
-                centres = (
-                    fresh.filter("component <> largest.component")
-                    .join(part, ["bucket", "component"])
-                    .withColumn("n", F.row_number().over(order))
-                    .filter(F.col("n") <= centres_each)
-                    .select("bucket", "node")
-                )
-            centres = stage(centres, "centres")
-            if centres.isEmpty():
-                return classes, found
-            of = centres.join(state.select("bucket", "node", "component"), ["bucket", "node"]).select(
-                "bucket", F.col("node").alias("a"), F.col("component").alias("ca")
-            )
-            pairs = stage(
-                state.select("bucket", F.col("node").alias("b"), "component")
-                .join(of, "bucket")
-                .filter("component <> ca")
-                .select("a", "b")
-                .distinct()
-                .join(asked, ["a", "b"], "left_anti"),
-                "pairs",
-            )
-            new = stage(self.confirmed(pairs, classes), "links")
-            asked = asked.unionByName(pairs).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            used = used.unionByName(centres)
-            merged = (
-                new.join(found.withColumnRenamed("node", "a").withColumnRenamed("component", "ca"), "a", "left")
-                .join(found.withColumnRenamed("node", "b").withColumnRenamed("component", "cb"), "b", "left")
-                .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            )
-            joined = components(merged).withColumnRenamed("node", "old").withColumnRenamed("component", "now")
-            nodes = found.unionByName(joined.select(F.col("old").alias("node"), F.col("old").alias("component")).join(
-                found.select("node"), "node", "left_anti"))
-            found = stage(
-                nodes.join(joined, F.col("component") == F.col("old"), "left").select(
-                    "node", F.coalesce("now", "component").alias("component")
-                ),
-                "found",
-            )
-            centres_each *= 2
+        texts = self.texts(members, classes)
+        links = stage(self.confirmed(stage(self.star(members), "star"), texts), "links")
+        found = components(links)
+        nodes = stage(self.unsettled(members, found), "unsettled")
+        rest = stage(self.confirmed(stage(self.prefix_pairs(nodes, texts), "pairs"), texts), "rest")
+        if rest.isEmpty():
+            return classes, found
+        return classes, components(links.unionByName(rest))
 
 
 def near_duplicates(
