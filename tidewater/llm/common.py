@@ -148,3 +148,12 @@ def fixed_sample(keyed: DataFrame, key: str, label: str, per_class: int) -> Data
     for (value,) in sorted(tuple(r) for r in rows.select(label).distinct().collect()):
         chosen = chosen.unionByName(rows.filter(F.col(label) == value).orderBy("_h", key).limit(per_class))
     return chosen.select(key, label)
+
+
+def list_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a list column as views of one array, without an object per value."""
+    column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):  # no rows
+        return []
+    values, cut = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.llm.common import encoded, fixed_sample, offsets, slices, span_hashes, word_spans
+from tidewater.llm.common import encoded, fixed_sample, list_rows, offsets, slices, span_hashes, word_spans
 
 BUCKETS = 1 << 15
 SAMPLE_PER_LANGUAGE = 500
@@ -230,9 +230,9 @@ def train(
         .toArrow()
     )
     found = sorted(
-        ((c, np.array(i, np.int32), np.array(s, np.float32)) for c, i, s in zip(*(got[x].to_pylist() for x in ("lang", "ids", "shares"))) if len(i)),
+        (x for x in zip(got["lang"].to_pylist(), list_rows(got["ids"]), list_rows(got["shares"])) if len(x[1])),
         key=lambda x: (x[0], len(x[1]), x[1].tobytes(), x[2].tobytes()),
-    )
+    )
     return fit([(i, s) for _, i, s in found], [c for c, _, _ in found], buckets, **fitting)
 
 

@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewater.llm.common import (
-    NOT_BLANK, encoded, fixed_sample, gram_hashes, offsets, slices, span_hashes, word_spans,
+    NOT_BLANK, encoded, fixed_sample, gram_hashes, list_rows, offsets, slices, span_hashes, word_spans,
 )
 
 BUCKETS = 1 << 15
 GRAMS = (3, 5)
 DIM = 8
-SAMPLE_PER_CLASS = 1500
+SAMPLE_PER_CLASS = 1000
 EPOCHS = 6
 RATE = 0.6
 CHUNK_BYTES = 1 << 18
@@ -192,9 +192,9 @@ def train(
         .toArrow()
     )
     samples = sorted(
-        ((np.array(i, np.int32), np.array(s, np.float32), c) for c, i, s in zip(*(got[x].to_pylist() for x in ("label", "ids", "shares")))),
+        zip(list_rows(got["ids"]), list_rows(got["shares"]), got["label"].to_pylist()),
         key=lambda x: (x[2], len(x[0]), x[0].tobytes(), x[1].tobytes()),
-    )
+    )
     return fit(samples, (total.get(0, 0) / n, total.get(1, 0) / n), buckets, grams, **fitting)
 
 
