@@ -12,93 +12,122 @@ from __future__ import annotations
 import math
 import unicodedata
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.llm.common import encoded, stage
+from tidewater.llm.common import encoded, ranges, stage
 
 CAPACITY = 2048
 GROUP_ITEMS = 25_000
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 700_000
 SLICE_BYTES = 1 << 21
 
 
+def letters_only(stem: bytes) -> bytes | None:
+    """The lower-cased stem if the tokenizer sees one run of letters in it, else None."""
+    if stem.isalpha():
+        return stem.lower()
+    text = stem.decode()
+    if not text.isalpha():
+        return None
+    if max(text) > "ÿ" and not unicodedata.normalize("NFC", text).lower().isalpha():
+        return None
+    return text.lower().encode() if max(text) <= "ÿ" else stem
+
+
 class WordTokenizer:
     """Token ids of whole texts, with every distinct word encoded once.
 
     Blanks always separate tokens of the vocabulary this is meant for (its pre-tokenizer never joins over white
     space), so a text's ids are those of its blank-separated words in order. Words that are not known yet go to the
-    tokenizer together. ``ends`` marks the ids that end a run of letters.
+    tokenizer together, runs of letters without the full stop or comma that closes them: ``ends`` marks the ids
+    that end such a run.
     """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.zeros(size, bool)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        self.close = [self._ids(x) for x in ("", ".", ",")]
         self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.bounds = np.zeros(1 << 16, np.int64)
-
-    def _add(self, word: str, ids: np.ndarray) -> None:
-        n, at = len(self.known), int(self.bounds[len(self.known)])
-        if n + 2 > len(self.bounds):
-            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        while at + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[at : at + len(ids)] = ids
-        self.bounds[n + 1] = at + len(ids)
-        self.known[word.encode()] = n
+        self.ids = np.zeros(0, np.uint32)
+        self.bounds = np.zeros(1, np.int64)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Add words whose ids lie one after the other."""
+        first = len(self.known)
+        self.known.update(zip(words, range(first, first + len(words))))
+        self.ids = np.concatenate([self.ids, ids])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode new words; runs of letters travel together, a closing full stop or comma is added afterwards."""
-        if len(self.known) > MAX_CACHED_WORDS:
-            self.known.clear()
-        new = [w.decode() for w in words if w not in self.known]
-        stems: dict[str, np.ndarray] = {}
-        other = []
-        for w in new:
-            stem = w[:-1] if w[-1] in ".," else w
-            if stem.isalpha() and stem.isascii():
-                stems[stem.lower()] = None
-            elif stem.isalpha() and unicodedata.normalize("NFC", stem).lower().isalpha():
-                stems[stem] = None
-            else:
+        """Add words that are not known yet."""
+        stems: dict[bytes, int] = {}
+        plain, which, closed, other = [], [], [], []
+        for w in words:
+            mark = 1 if w[-1] == 46 else 2 if w[-1] == 44 else 0
+            stem = letters_only(w[:-1] if mark else w)
+            if stem is None:
                 other.append(w)
-        letters = list(stems)
-        for a in range(0, len(letters), 512):
-            part = letters[a : a + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(part) and cut[-1] == len(ids):
-                for w, s, e in zip(part, [0, *cut.tolist()], cut.tolist()):
-                    stems[w] = ids[s:e]
-            else:  # a letter of these normalises to something else than one run of letters
-                for w in part:
-                    stems[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
-        for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
-            self._add(w, np.array(e.ids, np.uint32))
-        close = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32) for c in ".,"}
-        done = set(other)
-        for w in new:
-            if w in done:
-                continue
-            stem = w[:-1] if w[-1] in ".," else w
-            ids = stems[stem.lower() if stem.isascii() else stem]
-            self._add(w, ids if stem is w else np.concatenate([ids, close[w[-1]]]))
+            else:
+                plain.append(w)
+                which.append(stems.setdefault(stem, len(stems)))
+                closed.append(mark)
+        if other:
+            found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in other], add_special_tokens=False)]
+            self._keep(other, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found]))
+        if not plain:
+            return
+        ids, sizes = self._stems(list(stems))
+        first = np.cumsum(sizes) - sizes
+        which, closed = np.array(which), np.array(closed)
+        extra = np.array([len(x) for x in self.close])[closed]
+        total = sizes[which] + extra
+        out = np.empty(int(total.sum()), np.uint32)
+        start = np.cumsum(total) - total
+        out[ranges(start, sizes[which])] = ids[ranges(first[which], sizes[which])]
+        for mark in (1, 2):
+            for i, x in enumerate(self.close[mark]):
+                out[(start + sizes[which])[closed == mark] + i] = x
+        self._keep(plain, out, total)
+
+    def _stems(self, stems: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs of letters, one after the other, and how many each has."""
+        ids, sizes = [], []
+        for a in range(0, len(stems), 1024):
+            part = stems[a : a + 1024]
+            own = self._ids(b" ".join(part).decode())
+            cut = np.flatnonzero(self.ends[own]) + 1
+            if len(cut) != len(part) or cut[-1] != len(own):  # one is not what the tokenizer takes for one run
+                each = [self._ids(w.decode()) for w in part]
+                own, cut = np.concatenate(each), np.cumsum([len(x) for x in each])
+            ids.append(own)
+            sizes.append(np.diff(cut, prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of UTF-8 texts, which are split at ASCII white space only."""
         split = [x.split() for x in texts]
-        words = [w for x in split for w in x]
-        self.learn(set(words))
-        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        words = list(chain.from_iterable(split))
+        if len(self.known) > MAX_CACHED_WORDS:
+            self.known.clear()
+            self.ids, self.bounds = self.ids[:0], self.bounds[:1]
+        which = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(which < 0)
+        if len(missing):
+            unknown = [words[i] for i in missing.tolist()]
+            self.learn(set(unknown))
+            which[missing] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(unknown))
         first, size = self.bounds[which], self.bounds[which + 1] - self.bounds[which]
         before = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(first - before[:-1], size) + np.arange(int(before[-1]))]
@@ -106,9 +135,22 @@ class WordTokenizer:
         return [ids[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist())]
 
 
+def worker_tokenizer(file: str) -> WordTokenizer:
+    """The tokenizer of this Python worker with the words it has met; Spark keeps a worker for many tasks.
+
+    Functions travel to workers by value, so their own globals do not outlive a task; the library's module does.
+    """
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_word_tokenizers", {})
+    if file not in kept:
+        kept[file] = WordTokenizer(file)
+    return kept[file]
+
+
 def _pieces(file: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches):
-        tokenizer = WordTokenizer(file)
+        tokenizer = worker_tokenizer(file)
         end = np.array([end_id], np.uint32)
         for batch in batches:
             texts = encoded(batch.column("text"))
