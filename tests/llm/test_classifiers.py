@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import saved, table
 from pyspark.sql import functions as F
@@ -91,3 +92,17 @@ def test_one_versus_one_with_three_related_languages():
     got, score = model.predict([t for t, _ in texts])
     assert [model.predict([t])[1][0] for t, _ in texts] == pytest.approx(score, abs=1e-12)
     assert np.mean([a == k for a, (_, k) in zip(got, texts)]) > 0.98 and score.min() >= 0
+
+
+def test_sample_rows_keep_all_counts():
+    """What the driver holds of a sample gives the ids and shares of the text, also beyond 255 and 65,535 times."""
+    assert quality.SAMPLE_PER_CLASS == 1500
+    texts = ["", "one", "a b " * 200, "x " * 70_000, "some words and more"]
+    for buckets in (1 << 7, 1 << 10, 1 << 18):
+        batch = pa.record_batch({"label": pa.array([0, 1, 0, 1, 1], pa.int32()), "text": pa.array(texts)})
+        sent = pa.Table.from_batches(quality._counted(buckets, (3, 4))([batch]))
+        samples = quality.Samples(list(zip(*(sent[c].to_pylist() for c in ("ids", "times", "label")))), buckets, (3, 4))
+        for t, (ids, share, label), want in zip(texts, samples, [0, 1, 0, 1, 1]):
+            expected = [np.unique(f[a[0] : e[0]], return_counts=True) for f, a, e in quality.features([t.encode()], buckets, (3, 4)) if e[0] > a[0]]
+            assert label == want and ids.tolist() == [i for u, _ in expected for i in u.tolist()]
+            assert share.tolist() == [x for _, n in expected for x in (n / n.sum()).astype(np.float32).tolist()]

@@ -8,7 +8,7 @@ For scoring, the layer is applied to every vector once; a whole text is then one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewater.llm.common import (
-    NOT_BLANK, encoded, fixed_sample, gram_hashes, list_rows, offsets, slices, span_hashes, word_spans,
+    NOT_BLANK, encoded, fixed_sample, gram_hashes, offsets, slices, span_hashes, word_spans,
 )
 
 BUCKETS = 1 << 15
 GRAMS = (3, 5)
 DIM = 8
-SAMPLE_PER_CLASS = 1000
+SAMPLE_PER_CLASS = 1500
 EPOCHS = 6
 RATE = 0.6
 CHUNK_BYTES = 1 << 18
@@ -59,16 +59,40 @@ def features(
 
 def counts(text: bytes, buckets: int, grams: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of one text and their shares; the shares of each kind add up to one."""
-    ids, share = [], []
+    ids, times = occurrences(text, buckets, grams)
+    return ids, shares(ids, times, buckets, grams)
+
+
+def occurrences(text: bytes, buckets: int, grams: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of one text and how often each occurs."""
+    ids, times = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for feature, first, end in features([text], buckets, grams):
-        own = feature[first[0] : end[0]]
-        if len(own):
-            u, n = np.unique(own, return_counts=True)
-            ids.append(u)
-            share.append(n / len(own))
-    if not ids:
-        return np.zeros(0, np.int32), np.zeros(0)
-    return np.concatenate(ids), np.concatenate(share)
+        u, n = np.unique(feature[first[0] : max(first[0], end[0])], return_counts=True)
+        ids.append(u)
+        times.append(n)
+    return np.concatenate(ids), np.concatenate(times)
+
+
+def shares(ids: np.ndarray, times: np.ndarray, buckets: int, grams: tuple[int, ...]) -> np.ndarray:
+    """What part of all features of its kind each feature makes up."""
+    kind = ids // (buckets // (2 + len(grams)))
+    return times / np.bincount(kind, times, 2 + len(grams))[kind]
+
+
+class Samples(Sequence):
+    """Feature, share and label of each sample document; ids and counts stay in the few bytes they were sent in."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes, int]], buckets: int, grams: tuple[int, ...]):
+        self.rows, self.buckets, self.grams = rows, buckets, grams
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        ids, times, label = self.rows[i]
+        feature = np.frombuffer(ids, np.min_scalar_type(self.buckets - 1)).astype(np.int32)
+        n = np.frombuffer(times, f"<u{len(times) // len(feature)}") if len(feature) else np.zeros(0, np.uint8)
+        return feature, shares(feature, n, self.buckets, self.grams).astype(np.float32), label
 
 
 @dataclass
@@ -96,7 +120,7 @@ class Model:
 
 
 def fit(
-    samples: list[tuple[np.ndarray, np.ndarray, int]],
+    samples: Sequence[tuple[np.ndarray, np.ndarray, int]],
     priors: tuple[float, float],
     buckets: int = BUCKETS,
     grams: tuple[int, ...] = GRAMS,
@@ -139,7 +163,8 @@ def fit(
 
 
 def _weights(samples, priors) -> np.ndarray:
-    have = np.bincount([label for _, _, label in samples], minlength=2) / max(1, len(samples))
+    labels = [r[2] for r in samples.rows] if isinstance(samples, Samples) else [label for _, _, label in samples]
+    have = np.bincount(labels, minlength=2) / max(1, len(samples))
     return np.where(have > 0, np.sqrt(np.array(priors) / np.maximum(have, 1e-9)), 0.0)
 
 
@@ -147,12 +172,13 @@ def _counted(buckets: int, grams: tuple[int, ...]):
     def run(batches):
         for batch in batches:
             for label, text in zip(batch.column("label").to_pylist(), encoded(batch.column("text"))):
-                ids, share = counts(text, buckets, grams)
+                ids, times = occurrences(text, buckets, grams)
+                least = np.min_scalar_type(times.max()) if len(times) else np.uint8
                 yield pa.record_batch(
                     {
                         "label": pa.array([label], pa.int32()),
-                        "ids": pa.array([ids.astype(np.int32)], pa.list_(pa.int32())),
-                        "shares": pa.array([share.astype(np.float32)], pa.list_(pa.float32())),
+                        "ids": pa.array([ids.astype(np.min_scalar_type(buckets - 1)).tobytes()], pa.binary()),
+                        "times": pa.array([times.astype(least).tobytes()], pa.binary()),
                     }
                 )
 
@@ -173,8 +199,8 @@ def train(
     """Fit on at most ``per_class`` documents of each class, those with the smallest hash of their key.
 
     ``labels`` holds keys and labels 0 or 1 (others are left out); keys without a document do not count. A null text
-    is empty. The driver gets at most 2 * per_class rows of at most ``buckets`` counts each. Without any labelled
-    document every score is one half.
+    is empty. The driver gets at most 2 * per_class rows of at most ``buckets`` ids (16 bits each up to 65,536
+    buckets) and counts (8 bits each where none is above 255). Without any labelled document every score is one half.
     """
     own = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
     own = own.join(docs.select(F.col(key).alias("_key")), "_key", "left_semi")
@@ -188,13 +214,13 @@ def train(
         rows.dropDuplicates(["_key", "label"])
         .select("label", "text")
         .repartition(24)
-        .mapInArrow(_counted(buckets, grams), "label int, ids array<int>, shares array<float>")
+        .mapInArrow(_counted(buckets, grams), "label int, ids binary, times binary")
         .toArrow()
     )
-    samples = sorted(
-        zip(list_rows(got["ids"]), list_rows(got["shares"]), got["label"].to_pylist()),
-        key=lambda x: (x[2], len(x[0]), x[0].tobytes(), x[1].tobytes()),
-    )
+    found = list(zip(*(got[c].to_pylist() for c in ("ids", "times", "label"))))
+    del got
+    found.sort(key=lambda x: (x[2], len(x[0]), x[0], x[1]))
+    samples = Samples(found, buckets, grams)
     return fit(samples, (total.get(0, 0) / n, total.get(1, 0) / n), buckets, grams, **fitting)
 
 
