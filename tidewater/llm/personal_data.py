@@ -114,7 +114,11 @@ def other_spans(text: str) -> str:
       WHEN s.value RLIKE r'^[0-9]{3}-[0-9]{2}-[0-9]{4}$' THEN 'identity'
       WHEN s.value RLIKE r'^[(0-9]' THEN 'telephone'
       WHEN s.value RLIKE r'^[A-Z]{2}[0-9]{2}' THEN 'account' ELSE 'secret' END"""
-    guard = f"{text} RLIKE r'[0-9]{{3}}|[=:]|[\\[(](?i:at)[\\])]|(?:Mr|Ms|rs|Dr|rof)[. ]'"
+    # cheap, and true wherever OTHER can match
+    guard = (
+        f"{text} RLIKE r'[0-9]{{3}}|[=:]|[\\[(](?i:at)[\\])]|(?:Mr|Ms|rs|Dr|rof)[. ]"
+        f"|(?<![A-Za-z0-9])(?=[A-Z]{{1,40}}[0-9])[A-Z][A-Z0-9]{{14}}'"
+    )
     return _kept(_located(text, OTHER, guard), kind, "true")
 
 
