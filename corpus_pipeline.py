@@ -18,6 +18,10 @@ from tidewater.llm.personal_data import find_personal_data, masked
 from tidewater.session import use_utc
 
 
+# Pairs of this similarity or more are near-duplicates; one shares no band with probability (1 - 0.8^6)^41, 4e-6.
+NEAR = {"percent": 80, "bands": 41, "rows": 6}
+
+
 def carried(docs: DataFrame) -> DataFrame:
     """doc_id and text, and all other columns in one struct, so that operators cannot meet clashing names."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
@@ -41,11 +45,11 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates; of identical rows, one.
+    """The document with the smallest id of every group of near-duplicates (0.80 or more); of identical rows, one.
 
     Documents without words are in no group; a document without an id is kept.
     """
-    copies = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    copies = near_duplicates(docs, **NEAR).filter("NOT kept").select("doc_id").distinct()
     left = carried(docs).join(copies, "doc_id", "left_anti")
     once = left.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"])
     return restored(once, docs)

@@ -55,6 +55,19 @@ def test_stages_match_brute_force(spark, tmp_path):
     assert all(sum(n for _, n in row) <= 2048 and sorted(row)[0][0] == 0 for row in packed.values())
 
 
+def test_near_duplicates_from_four_fifths_on(spark, tmp_path):
+    """One changed word of 48 leaves 39 of 49 five-word shingles (0.796), one of 50 leaves 41 of 51 (0.804)."""
+    rows = []
+    for i, n in enumerate([48, 49, 50, 52, 56, 60, 64, 70] * 3):
+        words = [f"w{i}x{k}" for k in range(n)]
+        rows.append((2 * i, " ".join(words)))
+        rows.append((2 * i + 1, " ".join(words[: n // 2] + ["edited"] + words[n // 2 + 1 :])))
+    got = corpus_pipeline.keep_one_of_each_group(spark, table(spark, rows), str(tmp_path)).collect()
+    want = {d for d, _, c, _ in brute(rows, 80) if d == c}
+    assert want < {d for d, _, c, _ in brute(rows) if d == c}
+    assert {r.doc_id for r in got} == want and len(got) == len(want)
+
+
 def test_run_and_registration(spark, tmp_path):
     _, folder, _ = inputs(spark, tmp_path)
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in __spark_entry__.oracle_sql()
