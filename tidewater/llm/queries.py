@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewater.llm import language, oracles, quality
+from tidewater.llm.centroids import cluster_vectors
 from tidewater.llm.common import documents
 from tidewater.llm.decontaminate import find_contamination
 from tidewater.llm.fingerprints import compare_with_next, written
+from tidewater.llm.importance import resample
+from tidewater.llm.jaccard_join import jaccard_components
 from tidewater.llm.near_dedup import near_duplicates
 from tidewater.llm.packing import pack_documents
 from tidewater.llm.personal_data import BASE, find_personal_data, listed
@@ -123,3 +126,21 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeated_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after removing 20-word windows that also start earlier."""
     return remove_repeated_words(documents(spark, sf_dir), digest=True)
+
+
+@query("op11_orchard_centroid_clustering", oracles.CENTROIDS)
+def orchard_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all whole vectors after ten rounds."""
+    return cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op12_bit_sliced_importance_resampling", oracles.RESAMPLING)
+def bit_sliced_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of all documents, drawn towards the benchmark's distribution."""
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op13_multi_order_jaccard_join", oracles.JACCARD_JOIN)
+def multi_order_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents over links of a similarity of 0.9 on three-word shingles."""
+    return jaccard_components(documents(spark, sf_dir))
