@@ -11,3 +11,20 @@ def fetch(options, params):
 
 def failing(options, params):
     raise RuntimeError("source is down")
+
+
+ASKED = []
+
+
+def with_gap(options, params):
+    """Eight pages of which the third is empty."""
+    page = params["page"]
+    ASKED.append(page)
+    return [{"id": page}] if page <= 8 and page != 3 else []
+
+
+def many(options, params):
+    """As many pages as the option says, with two records each."""
+    page = params["page"]
+    ASKED.append(page)
+    return [{"id": 2 * page}, {"id": 2 * page + 1}] if page <= int(options["pages"]) else []

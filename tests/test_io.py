@@ -218,15 +218,32 @@ def test_actor_payload_shapes(spark):
 # --- REST, JDBC, candidates ----------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("partitions", [1, 2, 5])
-def test_paged_rest(spark, partitions):
+@pytest.mark.parametrize("tasks", [1, 2, 5])
+def test_paged_rest(spark, tasks):
     spark.sparkContext.addPyFile(fake_pages.__file__)
-    spark.dataSource.register(rest.PagedRestSource)
-    df = (
-        spark.read.format("paged_rest").option("url", "http://example.invalid/x").option("pagination", "page")
-        .option("numPartitions", partitions).option("fetcher", "fake_pages:fetch").load()
-    )
-    assert [json.loads(r["record"])["id"] for r in rows(df, "page", "ordinal")] == [1, 2, 3, 4]
+    read = lambda **more: rest.rest_records(spark, url="http://example.invalid/x", pagination="page", numPartitions=tasks, **more)
+    got = rows(read(fetcher="fake_pages:fetch"), "page", "ordinal")
+    assert [json.loads(r["record"])["id"] for r in got] == [1, 2, 3, 4]
+    # pages behind the first empty one do not count
+    assert sorted(r["page"] for r in rows(read(fetcher="fake_pages:with_gap"))) == [1, 2]
+    for pages in (0, 1, 2, 21):
+        got = rows(read(fetcher="fake_pages:many", pages=pages))
+        assert sorted(json.loads(r["record"])["id"] for r in got) == list(range(2, 2 * pages + 2))
+
+
+def test_rest_pages_are_dealt_evenly_with_few_requests(monkeypatch):
+    waits = []
+    monkeypatch.setattr(rest.time, "sleep", waits.append)
+    options = {"url": "http://example.invalid/x", "pagination": "page", "fetcher": "fake_pages:many", "pages": "1000", "rate_limit_delay": "0.5"}
+    reader = rest.PagedRestReader(options | {"numPartitions": "7"})
+    fake_pages.ASKED.clear()
+    parts = reader.partitions()
+    assert len(fake_pages.ASKED) == len(waits) <= 21 and set(waits) == {0.5}
+    assert [p.first for p in parts[1:]] == [p.end for p in parts[:-1]] and (parts[0].first, parts[-1].end) == (1, 1001)
+    assert {p.end - p.first for p in parts} <= {142, 143}
+    waits.clear()
+    assert sum(1 for _ in reader.read(parts[3])) == 2 * (parts[3].end - parts[3].first)
+    assert set(waits) == {3.5}  # seven tasks share the rate
 
 
 def test_rest_single_request_and_errors(spark):
@@ -259,7 +276,6 @@ def test_rest_retries_lost_connections_with_a_timeout(monkeypatch):
     answers[:] = [urllib.error.URLError("lost")] * 2
     with pytest.raises(urllib.error.URLError):
         rest.http_fetch({"url": "http://example.invalid/x", "retries": "1"}, {})
-    assert len(rest.PagedRestReader({"url": "http://example.invalid/x", "pagination": "page"}).partitions()) == rest.DEFAULT_STRIPES
 
 
 def test_rest_auth():

@@ -1,14 +1,18 @@
 """Cooldown: per key, an event fires only if enough time passed since the last one that fired.
 
 Whether an event fires depends on earlier decisions, so it is no plain ``lag``. The events are dealt into blocks:
-ranges of (key, time) with about equal row counts, however they lie in time. What a block does to the last fired
-time before it is a step function with few steps, because chains of events that fire soon meet. So:
-
-1. every block lists its steps: up to which first event the block ends with which last one;
-2. per key these short lists are walked block by block, which gives every block the last fired time before it;
+ranges of (key, time) with about equal row counts, however they lie in time. Most keys lie inside one block and are
+settled there. A key that spans blocks (a block has two such keys at most) is settled in three steps:
+
+1. what a block does to the last fired time before it is a step function. Its first event to fire lies within one
+   cooldown of the block's first row, so the function has a step at most for each of those rows, and chains of
+   events that meet share one;
+2. neighbouring functions are composed in groups, the results in groups again, until one group is left; from there
+   the last fired time before each group, then before each of its members, follows by one look-up each;
 3. every block replays its own events from there.
 
-Steps 1 and 3 run in parallel over blocks, without a loop over rows: chains are followed by doubling.
+A task holds one block, or the functions of one group. No step loops over rows: chains are followed by doubling, and
+functions are composed for all their steps at once.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.session import scratch_path
+from tidewater.session import range_count, written
 
 
 def _whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,39 +78,91 @@ def _doublings(following: np.ndarray) -> list[np.ndarray]:
     return jumps
 
 
-def _steps(cooldown: int):
+GROUP_BLOCKS = 32
+FUNCTION = "g string, block bigint, opens bigint, upto array<bigint>, leaves array<bigint>"
+
+
+def _merged(upto: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring steps that leave the same last event are one, named by the last of them."""
+    ends = np.append(leaves[1:] != leaves[:-1], True)
+    return upto[ends], leaves[ends]
+
+
+def _functions(cooldown: int):
+    """Step functions of (block, g): where the first event that may fire is at most ``upto``, the last one is ``leaves``."""
+
     def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_blocks(batches):
-            group, _, following = _layout(pdf, cooldown)
-            n = len(pdf)
+            _, starts, following = _layout(pdf, cooldown)
+            n, t = len(pdf), pdf["t"].to_numpy()
             last = np.arange(n)
             for jump in reversed(_doublings(following)):  # as far as the chain goes
                 further = jump[:-1][last]
                 last = np.where(further < n, further, last)
-            # neighbours that end with the same event are one step, named by its last first event
-            ends = np.append((group[1:] != group[:-1]) | (last[1:] != last[:-1]), True)
-            t = pdf["t"].to_numpy()
-            yield pd.DataFrame({"g": pdf["g"], "block": pdf["block"], "upto": t, "leaves": t[last]})[ends]
+            rows = []
+            for a, b in zip(starts.tolist(), np.append(starts[1:], n).tolist()):
+                stop = min(int(following[a]) + 1, b)  # beyond, an earlier event has fired in any case
+                upto, leaves = _merged(t[a:stop], t[last[a:stop]])
+                rows.append((pdf["g"].iloc[a], pdf["block"].iloc[a], t[a], upto, leaves))
+            yield pd.DataFrame(rows, columns=["g", "block", "opens", "upto", "leaves"])
 
     return per_partition
 
 
-def _walk(cooldown: int):
-    def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, block, last, settled = None, None, None, False
-        for pdf in batches:
-            out = []
-            for k, b, upto, leaves in zip(pdf["g"], pdf["block"], pdf["upto"], pdf["leaves"]):
-                if k != key:
-                    key, block, last, settled = k, None, None, False
-                if b != block:
-                    out.append((k, b, last))
-                    block, settled = b, False
-                if not settled and (last is None or upto >= last + cooldown):
-                    last, settled = leaves, True
-            yield pd.DataFrame(out, columns=["g", "block", "before"]).astype({"block": "int64", "before": "Int64"})
-
-    return per_partition
+def _composed(cooldown: int):
+    """One function for a group of neighbouring blocks of a key."""
+
+    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        opens = int(pdf["opens"].iloc[0])
+        upto, leaves = np.asarray(pdf["upto"].iloc[0]), np.asarray(pdf["leaves"].iloc[0])
+        for more_upto, more_leaves in zip(pdf["upto"].iloc[1:], pdf["leaves"].iloc[1:]):
+            more_upto, more_leaves = np.asarray(more_upto), np.asarray(more_leaves)
+            at = np.searchsorted(more_upto, leaves + cooldown)
+            further = np.where(at < len(more_upto), more_leaves[np.minimum(at, len(more_upto) - 1)], leaves)
+            if upto[-1] < opens + cooldown:  # nothing before may have fired
+                reach = np.searchsorted(more_upto, opens + cooldown) + 1
+                upto, further = np.append(upto, more_upto[:reach]), np.append(further, more_leaves[:reach])
+            upto, leaves = _merged(upto, further)
+        return pd.DataFrame({"g": pdf["g"].iloc[:1].to_numpy(), "block": pdf["parent"].iloc[:1].to_numpy(), "opens": [opens], "upto": [upto], "leaves": [leaves]})
+
+    return per_group
+
+
+def _looked_up(cooldown: int):
+    """The last fired time before each member of a group, from the one before the group (null: none)."""
+
+    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        start = pdf["start"].iloc[0]
+        last = None if pd.isna(start) else int(start)
+        before = []
+        for upto, leaves in zip(pdf["upto"], pdf["leaves"]):
+            before.append(last)
+            at = 0 if last is None else int(np.searchsorted(np.asarray(upto), last + cooldown))
+            if at < len(leaves):
+                last = int(leaves[at])
+        return pd.DataFrame({"g": pdf["g"].to_numpy(), "block": pdf["block"].to_numpy(), "before": pd.array(before, "Int64")})
+
+    return per_group
+
+
+def _before_blocks(functions: DataFrame, blocks: int, cooldown: int) -> DataFrame:
+    """(g, block, before) for every function: composed upwards in groups, looked up downwards."""
+    parent = F.floor(F.col("block") / GROUP_BLOCKS)
+    levels = [functions]
+    while blocks > GROUP_BLOCKS:
+        up = levels[-1].withColumn("parent", parent).groupBy("g", "parent").applyInPandas(_composed(cooldown), FUNCTION)
+        levels.append(written(up, "composed"))
+        blocks = -(-blocks // GROUP_BLOCKS)
+    columns = "g string, block bigint, before bigint"
+    top = levels[-1].withColumn("start", F.lit(None).cast("bigint"))
+    before = top.groupBy("g").applyInPandas(_looked_up(cooldown), columns)
+    for functions in reversed(levels[:-1]):
+        above = before.select("g", F.col("block").alias("parent"), F.col("before").alias("start"))
+        members = functions.withColumn("parent", parent).join(above, ["g", "parent"])
+        before = members.groupBy("g", "parent").applyInPandas(_looked_up(cooldown), columns)
+    return before
 
 
 def _replay(cooldown: int):
@@ -131,26 +187,26 @@ def fired_times(
 ) -> DataFrame:
     """Distinct (``key``, ``ts_ms``) pairs at which the key fires.
 
-    ``blocks`` is the number of ranges that events are dealt into (by default Spark's shuffle partitions).
+    ``blocks`` is the number of ranges that events are dealt into (by default it follows the number of rows).
     """
-    spark = candidates.sparkSession
     key_type = candidates.schema[key].dataType.simpleString()
     as_text = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
     # at one instant a key fires at most once
     moments = candidates.select(F.col(key).alias("k"), as_text.alias("g"), F.col(ts_ms).cast("bigint").alias("t")).distinct()
-    dealt = moments.repartitionByRange(blocks, "g", "t") if blocks else moments.repartitionByRange("g", "t")
-    path = scratch_path(spark, "moments")
-    dealt.withColumn("block", F.spark_partition_id().cast("bigint")).write.parquet(path)
-    moments = spark.read.parquet(path)
-
-    in_blocks = lambda df: df.repartition("block").sortWithinPartitions("block", "g", "t")
-    steps = in_blocks(moments).mapInPandas(_steps(cooldown_ms), "g string, block bigint, upto bigint, leaves bigint")
-    before = (
-        steps.repartition("g")
-        .sortWithinPartitions("g", "block", "upto")
-        .mapInPandas(_walk(cooldown_ms), "g string, block bigint, before bigint")
-    )
-    joined = moments.join(before, ["g", "block"])
+    blocks = blocks or range_count(candidates)
+    dealt = moments.repartitionByRange(blocks, "g", "t").withColumn("block", F.spark_partition_id().cast("bigint"))
+    moments = written(dealt, "moments")
+
+    # a block's first and last key may go on in another block
+    ends = moments.groupBy("block").agg(F.array_distinct(F.array(F.min("g"), F.max("g"))).alias("g"))
+    ends = ends.select(F.explode("g").alias("g"), "block")
+    spanning = ends.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    # one block a task, so that all tasks have as many rows
+    in_blocks = lambda df: df.repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions("block", "g", "t")
+    split = moments.join(ends.join(spanning, "g"), ["g", "block"], "left_semi")
+    functions = written(in_blocks(split).mapInPandas(_functions(cooldown_ms), FUNCTION), "functions")
+    before = _before_blocks(functions, blocks, cooldown_ms)
+    joined = moments.join(before, ["g", "block"], "left")
     fired = in_blocks(joined).mapInPandas(_replay(cooldown_ms), f"k {key_type}, t bigint")
     return fired.select(F.col("k").alias(key), F.col("t").alias(ts_ms))
 
@@ -180,5 +236,3 @@ def mark_fired(
         .withColumn("fired", F.col("exempt") | F.coalesce("won", F.lit(False)))
         .drop("exempt", "won", "_key", "_ts", "_tie")
     )
-
-

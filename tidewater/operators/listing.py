@@ -88,8 +88,8 @@ def search_logs(
         **{{"minutes": "mins", "hours": "hours", "days": "days"}[unit]: F.lit(amount)}
     )
     rows = logs.filter(F.col("time") >= lower)
-    if "log_date" in logs.columns:
-        rows = rows.filter(F.col("log_date") >= F.to_date(lower))
+    if "day" in logs.columns:  # the partition column of a written log table
+        rows = rows.filter(F.col("day") >= F.to_date(lower))
     for name, wanted in (
         ("component", component), ("level", level.upper() if level else None),
         ("agent_name", agent_name), ("trace_id", trace_id),
@@ -98,7 +98,7 @@ def search_logs(
             rows = rows.filter(F.col(name) == wanted)
     order = [F.col("time").desc(), *[F.col(c).desc() for c in tie or []]]
     return rows.orderBy(*order).limit(min(limit, LOG_LIMIT)).select(
-        *[c for c in LOG_COLUMNS if c in logs.columns], *(tie or [])
+        *[c for c in LOG_COLUMNS if c in logs.columns], *[c for c in tie or [] if c not in LOG_COLUMNS]
     )
 
 

@@ -9,7 +9,8 @@ from tidewater.functions.numeric import rounded
 from tidewater.operators import conversation, listing, order_stats, trials
 from tidewater.plans.inputs import CATALOG, NOW_MS, SYSTEMS, TICKS, TRIALS, catalog, ticks, trials as trial_input
 from tidewater.plans.registry import query, r
-from tidewater.session import table
+from tidewater.session import scratch_path, table
+from tidewater.sinks import lake
 
 P95 = "CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT)"
 
@@ -225,16 +226,20 @@ def latest_prices(spark, sf_dir):
        WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' AND event_type = 'error' AND value > 0 ORDER BY ts DESC, event_id DESC LIMIT 500""",
 )
 def log_search(spark, sf_dir):
-    """Events as log rows: type as component; errors of the last seven days, at most 500 although 800 are asked for."""
+    """Events as a written log table: type as component; errors of the last seven days, at most 500 although 800 are asked for."""
     e = table(spark, sf_dir, "events")
     logs = e.select(
         F.col("ts").cast("timestamp").alias("time"), F.col("event_type").alias("component"), F.lit("ERROR").alias("level"),
-        F.concat(F.lit("agent"), F.col("user_id").cast("string")).alias("agent_name"), F.col("props").alias("metadata"), "event_id",
+        F.lit("").alias("message"), F.lpad(F.col("event_id").cast("string"), 19, "0").alias("trace_id"),
+        F.concat(F.lit("agent"), F.col("user_id").cast("string")).alias("agent_name"), F.col("props").alias("metadata"),
     )
+    path = scratch_path(spark, "logs")
+    lake.append_logs(logs, path)
     found = listing.search_logs(
-        logs, F.lit("2024-01-31 00:00:00").cast("timestamp"), component="error", level="error", since="7d", limit=800, tie=["event_id"]
+        spark.read.parquet(path), F.lit("2024-01-31 00:00:00").cast("timestamp"),
+        component="error", level="error", since="7d", limit=800, tie=["trace_id"],
     )
-    return found.select(F.unix_millis("time").alias("time_ms"), "event_id", "agent_name", "metadata")
+    return found.select(F.unix_millis("time").alias("time_ms"), F.col("trace_id").cast("bigint").alias("event_id"), "agent_name", "metadata")
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.numeric import rounded
@@ -13,8 +14,9 @@ from tidewater.plans.market import LAST_25, NUMBERED, state_sql
 from tidewater.plans.registry import query, r
 from tidewater.session import scratch_path, table
 from tidewater.sinks import lake as lake_sink
+from tidewater.sources import message_log
 from tidewater.sources.candidates import fallback_prices, window_or_fallback, with_fallback
-from tidewater.streaming import outputs, windows
+from tidewater.streaming import cooldown, outputs, windows
 
 FILES = 6  # the given events land as so many files, in time order
 FILES_PER_BATCH = 2
@@ -294,3 +296,62 @@ def query_stream(spark, sf_dir):
     return run_query(
         spark, "SELECT symbol, count(*) AS windows, sum(count) AS ticks FROM {w} GROUP BY symbol", w=stream_counts(spark, sf_dir)
     )
+
+
+@query(
+    "w09_streaming_cooldown",
+    """WITH RECURSIVE e AS (SELECT event_type AS k, epoch_us(ts) // 1000 AS ts_ms, event_id AS id FROM events),
+    fired(k, ts_ms) AS (
+      SELECT k, min(ts_ms) FROM e GROUP BY k
+      UNION ALL
+      SELECT f.k, (SELECT min(ts_ms) FROM e WHERE e.k = f.k AND e.ts_ms >= f.ts_ms + 3600000) FROM fired f
+      WHERE EXISTS (SELECT 1 FROM e WHERE e.k = f.k AND e.ts_ms >= f.ts_ms + 3600000))
+    SELECT e.k, e.ts_ms, e.id, f.ts_ms IS NOT NULL AS fired, 6 AS batches FROM e LEFT JOIN fired f ON f.k = e.k AND f.ts_ms = e.ts_ms""",
+)
+def streamed_cooldown(spark, sf_dir):
+    """Every event is a candidate, in six batches in time order; the last fired time of a key is carried over."""
+    landed = _land(spark, _in_slices(spark, sf_dir).drop("ts_ms", "late"), "landing")
+    raw = windows.landing_stream(spark, landed, table(spark, sf_dir, "events").schema, files_per_trigger=1)
+    events = raw.select(F.col("event_type").alias("k"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"))
+    path, checkpoint = scratch_path(spark, "fired"), scratch_path(spark, "checkpoint")
+    with windows.rocksdb(spark):
+        ran = windows.drain(cooldown.stream_fired(events, "k", "ts", "id", 3_600_000), checkpoint, windows.batch_writer(path))
+    out = spark.read.parquet(path)
+    return out.select("k", F.unix_millis("ts").alias("ts_ms"), "id", "fired", _batches(ran))
+
+
+MESSAGES_SQL = """numbered AS (
+  SELECT event_type AS topic, CAST(user_id % 3 AS INT) AS "partition", event_id, ts,
+    row_number() OVER (PARTITION BY event_type, user_id % 3 ORDER BY ts, event_id) - 1 AS "offset" FROM events)"""
+
+
+@query(
+    "s11_offset_batches",
+    f"""WITH {MESSAGES_SQL}, n AS (SELECT greatest(100, count(*) // 5) AS cap, count(*) AS messages FROM events)
+    SELECT topic, "partition", count(*) AS messages, min("offset") AS first_offset, max("offset") AS last_offset,
+      CAST(sum(event_id) AS BIGINT) AS id_sum, CAST(ceil(any_value(n.messages) / any_value(cap)) AS INT) AS batches, any_value(cap) AS largest
+    FROM numbered, n GROUP BY ALL""",
+)
+def offset_batches(spark, sf_dir):
+    """Events as stored messages of three partitions a topic, read by offsets in batches of a fifth of all (100 at least)."""
+    e = table(spark, sf_dir, "events")
+    place = [F.col("event_type"), F.col("user_id") % 3]
+    messages = e.select(
+        F.col("event_id").cast("string").cast("binary").alias("key"), F.col("props").cast("binary").alias("value"),
+        F.col("event_type").alias("topic"), (F.col("user_id") % 3).cast("int").alias("partition"),
+        (F.row_number().over(Window.partitionBy(*place).orderBy("ts", "event_id")) - 1).cast("bigint").alias("offset"),
+        F.col("ts").cast("timestamp").alias("timestamp"), F.lit(0).alias("timestampType"),
+    )
+    log, path, checkpoint = scratch_path(spark, "log"), scratch_path(spark, "batches"), scratch_path(spark, "checkpoint")
+    message_log.append_messages(messages, log)
+    cap = max(100, e.count() // 5)
+    stream = message_log.message_stream(spark, log, batch_size=cap)
+    message_log.drain_messages(stream, checkpoint, windows.batch_writer(path))
+    got = spark.read.parquet(path)
+    sizes = got.groupBy("batch_id").agg(F.count("*").alias("n")).agg(F.count("*").cast("int").alias("batches"), F.max("n").alias("largest"))
+    by_place = got.groupBy("topic", "partition").agg(
+        F.count("*").alias("messages"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"),
+        F.sum(F.col("key").cast("string").cast("bigint")).alias("id_sum"),
+    )
+    batches, largest = sizes.first()
+    return by_place.withColumns({"batches": F.lit(batches), "largest": F.lit(largest)})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,17 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+RANGE_ROWS = 1 << 20  # rows of a range where work is dealt into ranges of an order
+LEAST_RANGE_ROWS = 1 << 12
+
+
+def range_count(df: DataFrame, rows: int = RANGE_ROWS) -> int:
+    """Ranges for about ``rows`` rows each, so that their number grows with the table; small tables get more, smaller ones."""
+    n = df.count()
+    spread = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / LEAST_RANGE_ROWS))
+    return max(1, spread, math.ceil(n / rows))
+
+
 _scratch: dict[int, list[str]] = {}
 
 
@@ -69,6 +81,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: later jobs start there."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release_scratch(spark: SparkSession) -> int:
     """Remove every scratch path this session was given; results that still read them must have been used before."""
     paths = _scratch.pop(id(spark.sparkContext), [])

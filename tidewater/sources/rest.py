@@ -1,10 +1,11 @@
 """Paged REST source as a Python Data Source: pages are read by tasks, not by the driver.
 
-    spark.dataSource.register(PagedRestSource)
-    spark.read.format("paged_rest").option("url", ...).option("pagination", "page").load()
+    rest_records(spark, url=..., pagination="page", numPartitions=4)
 
-Each row is one record as JSON text. With ``numPartitions`` = n, task i reads the
-pages i, i+n, i+2n, ... up to its first empty page.
+A source ends at its first empty page, whatever comes behind it. Doubling and bisection find an empty page with a
+few requests; the pages before it are dealt into even ranges, one a task. A task that meets an empty page on its way
+ends there and leaves a row without a record, and ``rest_records`` cuts the landed rows at the first such page.
+Each row is one record as JSON text.
 """
 
 from __future__ import annotations
@@ -18,14 +19,18 @@ import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tidewater.session import scratch_path
+
 # Retried statuses, list keys of a wrapped payload, defaults.
 RETRY_STATUSES = (429, 500, 502, 503, 504)
 RECORD_KEYS = ("results", "data", "items")
 DEFAULT_RETRIES = 3
 DEFAULT_TIMEOUT = 30.0
-DEFAULT_STRIPES = 4
+DEFAULT_TASKS = 4
 
 
 def unwrap(payload) -> list:
@@ -70,10 +75,12 @@ def http_fetch(options: dict, params: dict):
         time.sleep(2**attempt)
 
 
-class PageStripe(InputPartition):
-    def __init__(self, first: int, step: int) -> None:
+class PageRange(InputPartition):
+    """Pages from ``first`` up to (not with) ``end``; without an end, up to the first empty page."""
+
+    def __init__(self, first: int, end: int | None, paged: bool = True) -> None:
         super().__init__(first)
-        self.first, self.step = first, step
+        self.first, self.end, self.paged = first, end, paged
 
 
 class PagedRestSource(DataSource):
@@ -97,9 +104,38 @@ class PagedRestReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if self.options.get("pagination", "none") != "page":
-            return [PageStripe(1, 0)]
-        n = int(self.options.get("numpartitions", self.options.get("numPartitions", DEFAULT_STRIPES)))
-        return [PageStripe(i + 1, n) for i in range(n)]
+            return [PageRange(1, 2, paged=False)]
+        tasks = self._tasks()
+        if tasks == 1:
+            return [PageRange(1, None)]
+        pages = self.an_empty_page() - 1
+        cuts = [1 + pages * i // tasks for i in range(tasks + 1)]
+        return [PageRange(a, b) for a, b in zip(cuts, cuts[1:]) if a < b] or [PageRange(1, 1)]
+
+    def _tasks(self) -> int:
+        return max(1, int(self.options.get("numpartitions", self.options.get("numPartitions", DEFAULT_TASKS))))
+
+    def an_empty_page(self) -> int:
+        """An empty page behind a page with records (or page 1), found by doubling and bisection."""
+        fetch, delay = self._fetcher(), self._delay()
+
+        def empty(page: int) -> bool:
+            time.sleep(delay)
+            return not unwrap(fetch(self.options, {self._page_param(): page}))
+
+        low, high = 0, 1
+        while not empty(high):
+            low, high = high, 2 * high
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (low, middle) if empty(middle) else (middle, high)
+        return high
+
+    def _page_param(self) -> str:
+        return self.options.get("page_param", "page")
+
+    def _delay(self) -> float:
+        return float(self.options.get("rate_limit_delay", 0.0))
 
     def _fetcher(self):
         """``fetcher`` = "module:function" replaces the HTTP call, for tests and custom transports."""
@@ -109,16 +145,34 @@ class PagedRestReader(DataSourceReader):
         module, function = target.split(":")
         return getattr(importlib.import_module(module), function)
 
-    def read(self, partition: PageStripe) -> Iterator[tuple]:
+    def read(self, partition: PageRange) -> Iterator[tuple]:
+        """Rows of a range; an empty page inside it is a row without a record, and ends the range."""
         fetch = self._fetcher()
-        page_param = self.options.get("page_param", "page")
-        delay = float(self.options.get("rate_limit_delay", 0.0))
+        delay = self._delay() * (1 if partition.end is None else self._tasks())  # all tasks ask in turn
         page = partition.first
-        while True:
-            records = unwrap(fetch(self.options, {page_param: page} if partition.step else {}))
+        while partition.end is None or page < partition.end:
+            records = unwrap(fetch(self.options, {self._page_param(): page} if partition.paged else {}))
             for ordinal, record in enumerate(records):
                 yield page, ordinal, json.dumps(record)
-            if not partition.step or not records:
+            if partition.paged and not records:
+                if partition.end is not None:
+                    yield page, None, None
                 return
-            time.sleep(delay)
-            page += partition.step
+            page += 1
+            if partition.paged:
+                time.sleep(delay)
+
+
+def rest_records(spark: SparkSession, **options) -> DataFrame:
+    """page, ordinal and record (JSON text) of all pages before the first empty one, read once and landed.
+
+    ``options`` are those of the source: url, pagination ("page" or "none"), numPartitions (tasks), page_param,
+    rate_limit_delay (seconds between any two requests), headers, auth_*, retries, timeout.
+    """
+    spark.dataSource.register(PagedRestSource)
+    path = scratch_path(spark, "pages")
+    spark.read.format("paged_rest").options(**{k: str(v) for k, v in options.items()}).load().write.parquet(path)
+    landed = spark.read.parquet(path)
+    gap = landed.filter(F.col("record").isNull()).agg(F.min("page")).first()[0]
+    kept = landed.filter(F.col("record").isNotNull())
+    return kept if gap is None else kept.filter(F.col("page") < gap)
