@@ -1,5 +1,7 @@
 import math
+import os
 import random
+import re
 import statistics
 
 import pytest
@@ -7,6 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tidewater.operators import conversation, cooldown, documents, fleet, listing, mutation, order_stats, rules, trials
+from tidewater.sinks import lake
 
 
 # --- order statistics ----------------------------------------------------------------------------
@@ -66,6 +69,35 @@ def test_empty_mode_buckets_are_zero_filled(spark):
     assert got[("overall", "signal")]["mean_seconds"] == 2.0 and got[("overall", "signal")]["std_seconds"] == 0.0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 40, 60_000])
+def test_sketched_summary_is_exact(spark, n):
+    """Groups made of others, with ties, nulls and NaN, against the same statistics by plain sorting."""
+    rng = random.Random(n)
+    data = [("g", rng.choice(["x", "y", None]), rng.choice([float(rng.randrange(50)), rng.gauss(0, 1e6)])) for _ in range(n)]
+    data += [("h", "x", 2.0), ("g", "x", None), ("g", "y", float("nan")), ("only null", "x", None)]
+    df = spark.createDataFrame(data, "g string, mode string, v double").repartition(5)
+    got = rows(order_stats.sketched_summary(df, ["g"], "v", ["mode"], F.array(F.lit("all"), F.col("mode"))))
+    lists = {}
+    for g, mode, v in data:
+        if v is not None and v == v:
+            for scope in ("all", mode):
+                lists.setdefault((g, scope), []).append(v)
+    assert {(r["g"], r["scope"]) for r in got} == set(lists)
+    for r in got:
+        values = sorted(lists[r["g"], r["scope"]])
+        assert (r["n"], r["min"], r["max"]) == (len(values), values[0], values[-1])
+        assert r["median"] == statistics.median(values) and r["p95"] == values[round(0.95 * (len(values) - 1))]
+        assert r["mean"] == pytest.approx(statistics.fmean(values)) and r["std"] == pytest.approx(statistics.stdev(values) if len(values) > 1 else 0.0)
+
+
+def test_a_missed_bracket_is_noticed(spark, monkeypatch):
+    monkeypatch.setattr(order_stats, "SLACK", -0.3)
+    df = spark.range(5000).select(F.lit("g").alias("g"), F.pmod(F.xxhash64("id"), F.lit(10**6)).cast("double").alias("v"))
+    want = rows(order_stats.exact_summary(df, ["g"], "v"))
+    got = rows(order_stats.sketched_summary(df, ["g"], "v"))
+    assert [r.pop("std") for r in got] == pytest.approx([r.pop("std") for r in want]) and got == want
+
+
 # --- cooldown ------------------------------------------------------------------------------------
 
 
@@ -229,6 +261,55 @@ def test_staleness_rule(spark):
     assert [r["agent"] for r in got] == ["lake/old"] and "900.0 seconds" in got[0]["reason"]
 
 
+def test_ranges_of_a_page():
+    counts = [(0, 10), (1, 0), (2, 7), (4, 10)]
+    every = [(n, i) for n, size in counts for i in range(size)]
+    for first in range(30):
+        for size in (1, 4, 12):
+            wanted, skip = listing.ranges_of_page(counts, first, size)
+            held = [x for x in every if x[0] in wanted]
+            assert held[skip : skip + size] == every[first : first + size] and set(wanted) == {n for n, _ in every[first : first + size]}
+
+
+def test_deep_pages_read_few_ranges(spark, tmp_path):
+    df = spark.range(9_000).select((F.col("id") * 7 % 9_000).alias("x"), F.col("id").alias("y"))
+    order, path = [F.col("x").desc(), F.col("y")], str(tmp_path / "ordered")
+    listing.write_in_order(df, order, path, rows=1000)
+    for page in (1, 45, 88, 90, 91):
+        got = listing.ordered_page(spark, path, order, page, 100)
+        assert [r["x"] for r in got.collect()] == list(range(8_999, -1, -1))[(page - 1) * 100 : page * 100]
+    plan = listing.ordered_page(spark, path, order, 45, 100)._jdf.queryExecution().executedPlan().toString()
+    (pruned,) = re.findall(r"PartitionFilters: \[[^\]]*\]", plan)
+    assert len(re.findall(r"\d+", pruned.split("_range", 1)[1])) <= 4
+
+
+def test_log_search_prunes_days(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    logs = spark.range(40).select(
+        F.timestamp_seconds(F.col("id") * 43_200).alias("time"), *[F.lit("x").alias(c) for c in listing.LOG_COLUMNS[1:]]
+    )
+    lake.append_logs(logs, path)
+    now = F.timestamp_seconds(F.lit(19 * 86_400))
+    found = listing.search_logs(spark.read.parquet(path), now, since="2d")
+    assert found.count() == 6
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*day#\d+ >= 1970-01-18|PartitionFilters: \[[^\]]*day#\d+ >= 17\b", plan), plan
+
+
+def test_commit_times_of_stored_tables(spark, tmp_path):
+    paths = {name: str(tmp_path / name) for name in ("fresh", "stale", "missing")}
+    for name in ("fresh", "stale"):
+        spark.range(10).repartition(2).write.parquet(paths[name])
+    for file in (tmp_path / "stale").iterdir():
+        os.utime(file, (1000, 1000))
+    times = rules.commit_times(spark, paths)
+    got = {r["table_name"]: r for r in rows(times)}
+    assert got["stale"]["latest_commit_ms"] == 1_000_000 and got["missing"]["error"] and got["missing"]["latest_commit_ms"] is None
+    assert got["fresh"]["latest_commit_ms"] > 10**12
+    now = F.lit(got["fresh"]["latest_commit_ms"] + 60_000)
+    assert [r["agent"] for r in rows(rules.staleness_actions(times, now, 3600))] == ["lake/stale"]
+
+
 def test_rule_book_isolates_failures(spark, tmp_path):
     (tmp_path / "good.py").write_text(
         "NAME = 'always'\n\ndef rule(tables):\n    return tables['t'].selectExpr(\"'alert' action\", \"'x' target\", \"'a' agent\", \"'' deployment_name\", '1 count', \"'r' reason\")\n"

@@ -322,7 +322,7 @@ def reconcile(
         F.col("obs").isin("recovering", "unknown", "stale"), F.when(has_app, "degraded").otherwise("missing")
     ).otherwise(F.col("obs"))
     late_health = F.when(late_observed.isin("missing", "offline"), "offline").otherwise("degraded")
-    timed_out = F.concat(F.lit("Respawn recovery timed out for deployment '"), F.col("name"), F.lit("'."))
+    timed_out = F.concat(F.lit("'"), F.col("name"), F.lit("' was started again and did not come back in time."))
 
     def settled(hold: Column, late: Column, otherwise: str) -> Column:
         return F.when(holding, hold).when(expired, late).otherwise(F.col(otherwise))

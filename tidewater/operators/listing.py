@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.session import RANGE_ROWS, range_count
+
 # Limits of the read surface.
 LOG_LIMIT = 500
 LOG_DEFAULT_LIMIT = 100
@@ -37,6 +39,38 @@ def page(
     return rows.orderBy(*order).offset((page_number - 1) * page_size).limit(page_size)
 
 
+def write_in_order(df: DataFrame, order: list[Column], path: str, rows: int = RANGE_ROWS) -> None:
+    """Write a table in ranges of a total order (folders ``_range``), about ``rows`` rows each, for ``ordered_page``."""
+    dealt = df.repartitionByRange(range_count(df, rows), *order).withColumn("_range", F.spark_partition_id())
+    dealt.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("_range").parquet(path)
+
+
+def ranges_of_page(counts: list[tuple[int, int]], first: int, size: int) -> tuple[list[int], int]:
+    """The ranges that hold rows ``first`` to ``first + size`` and how many rows of them come before.
+
+    ``counts``: (range, rows), in order.
+    """
+    wanted, skip, before = [], 0, 0
+    for number, rows in counts:
+        if rows and before < first + size and before + rows > first:
+            if not wanted:
+                skip = first - before
+            wanted.append(number)
+        before += rows
+    return wanted, max(0, skip)
+
+
+def ordered_page(spark: SparkSession, path: str, order: list[Column], page_number: int = 1, page_size: int = 100) -> DataFrame:
+    """One page of a table that ``write_in_order`` wrote: counts per range tell which ranges hold it, and only those are read.
+
+    A deep page costs as much as the first one.
+    """
+    rows = spark.read.parquet(path)
+    counts = sorted((r["_range"], r["count"]) for r in rows.groupBy("_range").count().collect())  # one row per range
+    wanted, skip = ranges_of_page(counts, (page_number - 1) * page_size, page_size)
+    return rows.filter(F.col("_range").isin(wanted)).orderBy(*order).offset(skip).limit(page_size).drop("_range")
+
+
 def page_counts(df: DataFrame, page_size: int) -> DataFrame:
     """Row total, exact page count, and the count that adds a page when the total divides evenly."""
     total = F.count(F.lit(1))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.numeric import clamp, first_truthy_text, rounded
 from tidewater.functions.sentiment import AGGREGATE_LABEL_LIMIT, Lexicon, NEWS_LEXICON, label_of, with_sentiment
 
-# Window length, moving-average lengths, weights and limits.
+# Window length, moving-average lengths, weights, limits and the summary where there is none.
 WINDOW_ROWS = 25
 SMA_SHORT = 5
 SMA_LONG = 20
@@ -19,6 +19,7 @@ TREND_WEIGHT = 0.65
 SENTIMENT_WEIGHT = 0.35
 ACTION_LIMIT = 0.3
 NEWS_PER_SYMBOL = 8
+NO_ANALYSIS = "No headline analysis available."
 
 STATE_COLUMNS = (
     "window_count", "last_price", "avg_price", "avg_volume", "min_price", "max_price",
@@ -200,7 +201,7 @@ def fused_signals(state: DataFrame, analysis: DataFrame, timestamp_ms: Column) -
         rounded(F.col("trend_score"), 2).alias("trend_score"),
         F.lower(F.coalesce("sentiment_label", F.lit("neutral"))).alias("sentiment_label"),
         rounded(sentiment, 2).alias("sentiment_score"),
-        F.coalesce("analyst_summary", F.lit("No headline analysis available.")).alias("analyst_summary"),
+        F.coalesce("analyst_summary", F.lit(NO_ANALYSIS)).alias("analyst_summary"),
         "analyst_headlines",
         F.struct(
             "last_price", "sma_5", "sma_20", "vwap", "price_return_pct", "volatility_estimate", "window_count"

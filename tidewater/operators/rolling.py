@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.operators.market import SMA_LONG, SMA_SHORT, WINDOW_ROWS, trend_score
-from tidewater.session import scratch_path
+from tidewater.session import range_count, scratch_path
 
 
 def with_lookback(df: DataFrame, key: str, ts_ms: str, tie: str, lookback: int, chunks: int | None = None) -> DataFrame:
@@ -16,10 +16,10 @@ def with_lookback(df: DataFrame, key: str, ts_ms: str, tie: str, lookback: int,
     Row frames that reach at most ``lookback`` rows back then give the same result inside (key, ``chunk``) as over
     the whole key, so a busy key is spread over many tasks, however its rows lie in time. Prepended rows carry
     ``borrowed = true`` and are dropped after the frames were evaluated. The dealt rows are written once to the
-    shared folder. ``chunks`` is the number of ranges (by default Spark's shuffle partitions).
+    shared folder. ``chunks`` is the number of ranges (by default it follows the number of rows).
     """
     order = [key, ts_ms, tie]
-    dealt = df.repartitionByRange(chunks, *order) if chunks else df.repartitionByRange(*order)
+    dealt = df.repartitionByRange(chunks or range_count(df), *order)
     path = scratch_path(df.sparkSession, "ranges")
     dealt.withColumn("chunk", F.spark_partition_id()).write.parquet(path)
     cut = df.sparkSession.read.parquet(path)

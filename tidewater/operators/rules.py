@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,8 +66,8 @@ def lag_actions(
         F.when(
             up,
             F.format_string(
-                "Lag on '%s' is %d (total: %d, threshold: " + str(LAG_SCALE_UP) + ")",
-                F.col("worst_topic"), F.coalesce("worst_lag", total), total,
+                "%d messages wait, most of them (%d) in %s; more than " + str(LAG_SCALE_UP) + " ask for another agent.",
+                total, F.coalesce("worst_lag", total), F.col("worst_topic"),
             ),
         )
         .otherwise(F.format_string("Lag is %d and %d agents are alive. Scaling down.", total, alive.cast("bigint")))
@@ -99,6 +100,25 @@ def cpu_actions(clusters: DataFrame, agent: str) -> DataFrame:
     )
 
 
+def commit_times(spark: SparkSession, tables: dict[str, str], service: str = "lake") -> DataFrame:
+    """service, table_name, latest_commit_ms and error of stored tables, from the times of their files.
+
+    No column is read. A table that cannot be read has its error's first line, a table without files no commit.
+    """
+    known, failed = [], []
+    for name, path in tables.items():
+        try:
+            files = spark.read.parquet(path).select(F.unix_millis("_metadata.file_modification_time").alias("ms"))
+            known.append(files.agg(F.max("ms").alias("latest_commit_ms")).withColumn("table_name", F.lit(name)))
+        except AnalysisException as exc:
+            failed.append((name, str(exc).splitlines()[0]))
+    columns = "service string, table_name string, latest_commit_ms bigint, error string"
+    out = spark.createDataFrame([(service, name, None, error) for name, error in failed], columns)
+    for table in known:
+        out = out.unionByName(table.select(F.lit(service).alias("service"), "table_name", "latest_commit_ms", F.lit(None).cast("string").alias("error")))
+    return out
+
+
 def staleness_actions(tables: DataFrame, now_ms: Column, limit_seconds: int = STALE_SECONDS) -> DataFrame:
     """Alert for every table whose last commit is older than the limit.
 
@@ -113,7 +133,7 @@ def staleness_actions(tables: DataFrame, now_ms: Column, limit_seconds: int = ST
         F.lit("").alias("deployment_name"),
         F.lit(1).alias("count"),
         F.format_string(
-            "Data staleness detected on %s: last write was %.1f seconds ago (threshold is " + str(limit_seconds) + "s).",
+            "%s got no commit for %.1f seconds; at most " + str(limit_seconds) + " are allowed.",
             F.col("table_name"), age,
         ).alias("reason"),
     )

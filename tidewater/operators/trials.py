@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators.order_stats import exact_summary
+from tidewater.operators.order_stats import sketched_summary
 
 # Stages, their trial columns, and the mode buckets.
 STAGES = {
@@ -67,7 +67,7 @@ def _as_seconds(summary: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stage_statistics(trials: DataFrame) -> DataFrame:
-    summary = exact_summary(stage_rows(trials, ["system_name"]), ["system_name", "stage"], "seconds")
+    summary = sketched_summary(stage_rows(trials, ["system_name"]), ["system_name", "stage"], "seconds")
     return _as_seconds(summary, ["system_name", "stage"])
 
 
@@ -77,10 +77,8 @@ def scope_summary(trials: DataFrame) -> DataFrame:
     ``overall`` counts every trial, the mode buckets count successful ones.
     """
     scopes = F.array(F.lit("overall"), F.col("mode_classification"))
-    scoped = stage_rows(trials, ["system_name", "mode_classification"]).select(
-        "system_name", F.explode(scopes).alias("scope"), "stage", "seconds"
-    )
-    stats = exact_summary(scoped, ["system_name", "scope", "stage"], "seconds")
+    rows = stage_rows(trials, ["system_name", "mode_classification"])
+    stats = sketched_summary(rows, ["system_name", "stage"], "seconds", ["mode_classification"], scopes)
 
     totals = trials.groupBy("system_name").agg(
         F.count(F.lit(1)).alias("overall"),
@@ -140,7 +138,7 @@ def comparison(trials: DataFrame, reference_system: str, order: list[str]) -> Da
 def handoff_speedup(trials: DataFrame, slow: str = "serialized", fast: str = "zero_copy") -> DataFrame:
     """Per dataset size: mean, std, median latency and mean memory of both paths, and their ratio."""
     picked = trials.filter(F.col("path").isin(slow, fast))
-    latency = exact_summary(picked, ["dataset_size", "path"], "elapsed_ms")
+    latency = sketched_summary(picked, ["dataset_size", "path"], "elapsed_ms")
     memory = picked.groupBy("dataset_size", "path").agg(F.avg("peak_mem_mb").alias("mem"))
     joined = latency.join(memory, ["dataset_size", "path"])
     pivoted = joined.groupBy("dataset_size").pivot("path", [slow, fast]).agg(
@@ -163,7 +161,7 @@ def recovery_summary(trials: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("trial_count"),
         F.count_if(F.col("success") & F.col("mttr_seconds").isNotNull()).alias("success_count"),
     )
-    stats = exact_summary(usable, ["mode"], "mttr_seconds")
+    stats = sketched_summary(usable, ["mode"], "mttr_seconds")
     return counts.join(stats, "mode", "left").select(
         "mode", "trial_count", "success_count",
         (F.col("trial_count") - F.col("success_count")).alias("failure_count"),

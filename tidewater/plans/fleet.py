@@ -191,7 +191,7 @@ settled AS (
     CASE WHEN respawn AND fresh THEN 'recovering' WHEN respawn THEN late ELSE o1 END AS observed_status,
     CASE WHEN respawn AND fresh THEN 'degraded' WHEN respawn THEN CASE WHEN late IN ('missing', 'offline') THEN 'offline' ELSE 'degraded' END ELSE h1 END AS health_status,
     CASE WHEN respawn AND fresh THEN 'recovering' WHEN respawn THEN 'failed' ELSE r1 END AS recovery_state,
-    CASE WHEN respawn AND fresh THEN NULL WHEN respawn THEN coalesce(w1, 'Respawn recovery timed out for deployment ''' || name || '''.') ELSE w1 END AS last_failure_reason,
+    CASE WHEN respawn AND fresh THEN NULL WHEN respawn THEN coalesce(w1, '''' || name || ''' was started again and did not come back in time.') ELSE w1 END AS last_failure_reason,
     CASE WHEN respawn AND fresh THEN '{fleet.NOTES["waiting"]}' WHEN respawn THEN '{fleet.NOTES["expired"]}' ELSE n1 END AS reconcile_notes,
     route_prefix, runtime_namespace, deployment_metadata, alive_count, dead_count FROM stage2),
 reconciled AS (SELECT *, desired_status = 'running' AND {ALIVE} AS alive FROM settled)"""
@@ -452,7 +452,7 @@ def lag_actions(spark, sf_dir):
     )
     reported = groups.join(health, "group_id", "left")
     actions = rules.lag_actions(reported, F.col("alive"), "worker", healthy=F.col("healthy"))
-    return actions.select("action", "count", F.regexp_extract("reason", r"(?:total: |Lag is )(\d+)", 1).cast("bigint").alias("total_lag"))
+    return actions.select("action", "count", F.regexp_extract("reason", r"(?:^|Lag is )(\d+)", 1).cast("bigint").alias("total_lag"))
 
 
 @query(

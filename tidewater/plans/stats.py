@@ -268,6 +268,18 @@ def listing_page(spark, sf_dir):
     return rows.select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "value")
 
 
+@query(
+    "s19_deep_page",
+    "SELECT event_id, epoch_us(ts) // 1000 AS ts_ms, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 4950",
+)
+def deep_page(spark, sf_dir):
+    """The hundredth page of all events, newest first, from a table written in that order."""
+    order, path = [F.col("ts").desc(), F.col("event_id").desc()], scratch_path(spark, "in-order")
+    listing.write_in_order(table(spark, sf_dir, "events"), order, path)
+    rows = listing.ordered_page(spark, path, order, 100, 50)
+    return rows.select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "value")
+
+
 @query(
     "s19_page_counts",
     "SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages, count(*) // 50 + 1 AS total_pages FROM events WHERE event_type = 'click'",

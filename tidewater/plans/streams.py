@@ -16,7 +16,7 @@ from tidewater.session import scratch_path, table
 from tidewater.sinks import lake as lake_sink
 from tidewater.sources import message_log
 from tidewater.sources.candidates import fallback_prices, window_or_fallback, with_fallback
-from tidewater.streaming import cooldown, outputs, windows
+from tidewater.streaming import cooldown, metrics, outputs, windows
 
 FILES = 6  # the given events land as so many files, in time order
 FILES_PER_BATCH = 2
@@ -242,6 +242,24 @@ def late_rows(spark, sf_dir):
     return closed.withColumn("avg_price", rounded(F.col("avg_price"), 6)).select("*", _batches(ran), F.lit(had_late).alias("had_late"))
 
 
+@query(
+    "r14_late_rows_kept",
+    f"""WITH {EVENTS_SQL}, arrived AS (SELECT *, CASE WHEN late THEN {BATCHES - 1} ELSE batch_id END AS b FROM landed),
+    marks AS (SELECT b, max(ts_ms) AS newest FROM arrived GROUP BY b),
+    limits AS (SELECT b, max(newest) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 60000 AS last FROM marks)
+    SELECT b AS batch_id, CASE WHEN ts_ms - ts_ms % 10000 + 10000 <= last THEN 'late' ELSE 'counted' END AS route, count(*) AS row_count
+    FROM arrived JOIN limits USING (b) GROUP BY 1, 2""",
+)
+def late_rows_kept(spark, sf_dir):
+    """Every row is in a window's count or among the dead rows of its batch."""
+    path, checkpoint = scratch_path(spark, "routes"), scratch_path(spark, "checkpoint")
+    windows.drain(_tick_stream(spark, sf_dir, with_late=True), checkpoint, windows.counts_with_late_rows(path))
+    counted = spark.read.parquet(f"{path}/counts").groupBy("batch_id").agg(F.sum("count").alias("row_count"))
+    dead = spark.read.parquet(f"{path}/dead").groupBy("batch_id", F.col("reason").alias("route")).agg(F.count(F.lit(1)).alias("row_count"))
+    both = counted.withColumn("route", F.lit("counted")).unionByName(dead)
+    return both.select(F.col("batch_id").cast("bigint").alias("batch_id"), "route", "row_count")
+
+
 def _stored_window(spark, sf_dir, symbol):
     """Newest ticks per symbol as a written table, since the fallback rules read it several times."""
     path = scratch_path(spark, "window")
@@ -355,3 +373,23 @@ def offset_batches(spark, sf_dir):
     )
     batches, largest = sizes.first()
     return by_place.withColumns({"batches": F.lit(batches), "largest": F.lit(largest)})
+
+
+@query(
+    "r15_observed_counters",
+    f"""WITH {EVENTS_SQL} SELECT batch_id, count(*) AS row_count, CAST(sum(event_id) AS BIGINT) AS id_sum, max(ts_ms) AS newest_ms FROM landed GROUP BY 1""",
+)
+def observed_counters(spark, sf_dir):
+    """Counters of every batch, observed while it is written to the lake; the rows are not read again."""
+    lake, log, checkpoint = (scratch_path(spark, n) for n in ("lake", "counters", "checkpoint"))
+    rows = metrics.observed(
+        _tick_stream(spark, sf_dir),
+        row_count=F.count(F.lit(1)), id_sum=F.sum("id"), newest_ms=F.max("timestamp"),
+    )
+    listener = metrics.CounterLog(spark, log)
+    spark.streams.addListener(listener)
+    try:
+        ran = windows.drain(rows, checkpoint, windows.batch_writer(lake))
+        return metrics.counted(spark, log, "row_count bigint, id_sum bigint, newest_ms bigint", ran)
+    finally:
+        spark.streams.removeListener(listener)

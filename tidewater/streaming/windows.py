@@ -108,40 +108,122 @@ def windowed_counts(ticks: DataFrame, ts: str = "ts", width: str = "10 seconds",
     return keyed_window_counts(ticks.withWatermark(ts, lateness), ts, width)
 
 
+LATE, UNUSABLE = "late", "unusable"
+
+
+def counts_with_late_rows(
+    path: str, ts: str = "ts", width: str = "10 seconds", lateness: str = "1 minute"
+) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body that counts as ``windowed_counts`` does, and keeps what that drops.
+
+    A row is late if its window ended ``lateness`` before the newest row of earlier batches. Late and unusable rows
+    go to ``path/dead`` with a reason, all others into counts and sums per symbol and window in ``path/counts``; each
+    row ends in one of them. Both are folders per batch id, as are the newest times in ``path/marks``, so a replayed
+    batch finds the same limit and replaces its own folders.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        limit = F.lit(None).cast("timestamp")
+        if batch_id:
+            marks = spark.read.schema("newest timestamp, batch_id bigint").parquet(f"{path}/marks")
+            before = marks.filter(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
+            limit = F.lit(before).cast("timestamp") - F.expr(f"INTERVAL '{lateness}'")
+        at = F.coalesce(F.col(ts), F.timestamp_seconds(F.lit(0)))  # window() leaves rows without a time out
+        late = F.coalesce(F.window(at, width)["end"] <= limit, F.lit(False))
+        usable = F.coalesce((F.col("symbol") != "") & F.col("close").isNotNull() & F.col(ts).isNotNull(), F.lit(False))
+        batch = batch.withColumn("reason", F.when(~usable, UNUSABLE).when(late, LATE)).persist()
+        try:
+            counted = batch.filter(F.col("reason").isNull()).groupBy(F.window(ts, width), "symbol").agg(
+                F.count(F.lit(1)).alias("count"), F.sum("close").alias("total")
+            )
+            out = counted.select(F.unix_millis("window.start").alias("time"), "symbol", "count", "total")
+            out.write.mode("overwrite").parquet(f"{path}/counts/batch_id={batch_id}")
+            batch.filter(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{path}/dead/batch_id={batch_id}")
+            newest = batch.agg(F.max(ts).alias("newest"))
+            newest.write.mode("overwrite").parquet(f"{path}/marks/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return write
+
+
+def counted_windows(spark: SparkSession, path: str) -> DataFrame:
+    """time, symbol, avg_price and count of all batches of ``counts_with_late_rows``."""
+    parts = spark.read.parquet(f"{path}/counts").groupBy("time", "symbol")
+    sums = parts.agg(F.sum("count").alias("count"), F.sum("total").alias("total"))
+    return sums.select("time", "symbol", (F.col("total") / F.col("count")).alias("avg_price"), "count")
+
+
 # --- last-25 window per symbol ------------------------------------------------------------------
 
 WINDOW_COLUMNS = ("symbol", "timestamp", "id", "close", "volume")
 
 
-def newest_tick_windows(path: str, n: int = WINDOW_ROWS) -> Callable[[DataFrame, int], None]:
+STATE_BUCKETS = 64
+
+
+def state_versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """Batch ids for which a bucket of a state table has a folder, rising; names only, bounded by the buckets."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def numbers(folder: str, prefix: str) -> list[int]:
+        if not files.exists(fs_path(folder)):
+            return []
+        names = [s.getPath().getName() for s in files.listStatus(fs_path(folder)) if s.isDirectory()]
+        return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
+
+    return {b: numbers(f"{path}/bucket={b}", "batch_id=") for b in numbers(path, "bucket=")}
+
+
+def _folders(path: str, versions: dict[int, int]) -> list[str]:
+    return [f"{path}/bucket={b}/batch_id={v}" for b, v in sorted(versions.items())]
+
+
+def newest_tick_windows(path: str, n: int = WINDOW_ROWS, buckets: int = STATE_BUCKETS) -> Callable[[DataFrame, int], None]:
     """foreachBatch body that keeps the newest ``n`` ticks and the lifetime counters of every symbol.
 
-    The state after batch i is the table ``path/batch_id=i``: the batch's newest ticks per symbol (a rank limit below
-    the shuffle, so a busy symbol sends n rows per task) merged with those of the state before. A replayed batch
-    starts from the same state and replaces its own folder.
+    The state lies in buckets of symbols. A batch reads and writes only buckets that hold one of its symbols: its newest
+    ticks per symbol (a rank limit below the shuffle, so a busy symbol sends n rows per task) are merged with those of
+    the bucket's newest version before it. A version is a folder of the batch id; a replayed batch starts from the
+    same versions and replaces its own. Versions older than the one that a batch started from are removed.
     """
+    bucket = F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = newest_rows(batch.select(*WINDOW_COLUMNS), "symbol", ["timestamp", "id"], n).drop("rn")
-        seen = batch.groupBy("symbol").agg(F.count(F.lit(1)).alias("tick_count")).withColumn("batch_count", F.lit(1))
-        if batch_id:
-            known = batch.sparkSession.read.parquet(f"{path}/batch_id={batch_id - 1}")
-            fresh = fresh.unionByName(known.select(*WINDOW_COLUMNS))
-            seen = seen.unionByName(known.filter("rn = 1").select("symbol", "tick_count", "batch_count"))
-        counters = seen.groupBy("symbol").agg(
-            F.sum("tick_count").alias("tick_count"), F.sum("batch_count").alias("batch_count")
-        )
-        windows = newest_rows(fresh, "symbol", ["timestamp", "id"], n)
-        windows.join(counters, "symbol").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        batch = batch.select(*WINDOW_COLUMNS).persist()
+        try:
+            touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]
+            versions = state_versions(spark, path)
+            before = {b: [v for v in versions.get(b, []) if v < batch_id] for b in touched}
+            known = _folders(path, {b: v[-1] for b, v in before.items() if v})
+            fresh = newest_rows(batch, "symbol", ["timestamp", "id"], n).drop("rn")
+            seen = batch.groupBy("symbol").agg(F.count(F.lit(1)).alias("tick_count")).withColumn("batch_count", F.lit(1))
+            if known:
+                state = spark.read.parquet(*known)
+                fresh = fresh.unionByName(state.select(*WINDOW_COLUMNS))
+                seen = seen.unionByName(state.filter("rn = 1").select("symbol", "tick_count", "batch_count"))
+            counters = seen.groupBy("symbol").agg(
+                F.sum("tick_count").alias("tick_count"), F.sum("batch_count").alias("batch_count")
+            )
+            windows = newest_rows(fresh, "symbol", ["timestamp", "id"], n).join(counters, "symbol")
+            rows = windows.withColumns({"bucket": bucket, "batch_id": F.lit(batch_id)}).repartition("bucket")
+            writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("bucket", "batch_id").parquet(path)
+        finally:
+            batch.unpersist()
+        for folder in [f"{path}/bucket={b}/batch_id={v}" for b, old in before.items() for v in old[:-1]]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
     return write
 
 
 def latest_state(spark: SparkSession, path: str) -> DataFrame:
-    """The state table of the last batch."""
-    every = spark.read.parquet(path)
-    last = every.agg(F.max("batch_id")).first()[0]
-    return every.filter(F.col("batch_id") == last).drop("batch_id")
+    """The newest version of every bucket of a state table."""
+    return spark.read.parquet(*_folders(path, {b: v[-1] for b, v in state_versions(spark, path).items() if v}))
 
 
 def window_metrics(windows: DataFrame) -> DataFrame:
