@@ -8,18 +8,18 @@ segments of the bucket stream through it, which locates every occurrence; the ea
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewater.llm.common import NOT_BLANK, gram_hashes, offsets, span_hashes, word_spans
+from tidewater.llm.common import NOT_BLANK, gram_hashes, offsets, ranges, span_hashes, word_spans
 from tidewater.llm.segments import Chunk, Router, covered
 
 MIN_WORDS = 20
 GRAM = 4
+LETTERS = 0x10FFFF - 0x800  # characters but for zero and the surrogates
 
 
 def word_chunk(texts: list[bytes], gram: int) -> Chunk:
@@ -28,36 +28,59 @@ def word_chunk(texts: list[bytes], gram: int) -> Chunk:
     return Chunk(gram_hashes(span_hashes(data, starts, ends), gram), bounds, data, starts, ends)
 
 
-def _letter(i: int) -> str:
-    return chr(i + 1 if i + 1 < 0xD800 else i + 0x801)
+def _letters(number: np.ndarray) -> str:
+    """One character per number, leaving out zero and the surrogates."""
+    return (number + 1 + 0x800 * (number + 1 >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def _spelled(word: np.ndarray, distinct: int) -> tuple[str, int]:
+    """Words (numbers below ``distinct``) as text of one character each, or of two from halves of the alphabet."""
+    if distinct <= LETTERS:
+        return _letters(word), 1
+    half = LETTERS // 2
+    return _letters(np.stack([word // half, half + word % half], axis=1).reshape(-1)), 2
 
 
 def first_places(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, again: np.ndarray, window: int):
-    """Earliest (document, word) of each window of each piece. Each distinct word of the bucket becomes one letter."""
-    letters: dict[bytes, str] = {}
-    lines = []
-    for piece in pieces:
-        lines.append("".join([letters.setdefault(w, _letter(len(letters))) for w in piece.split(b" ")]))
-    cut = offsets(len(x) - window + 1 for x in lines)
-    seen = Counter()
-    for line, more in zip(lines, again.tolist()):
-        for i in range(len(line) - window + 1):
-            seen[line[i : i + window]] += 1 + more
-    automaton = ahocorasick.Automaton()
-    recurring = 0
-    for phrase, times in seen.items():
-        if times > 1:
-            automaton.add_word(phrase, recurring)
-            recurring += 1
-    own = np.repeat(np.arange(len(lines)), np.diff(cut))
-    place = np.stack([doc[own], start[own] + np.arange(len(own)) - cut[own]], axis=1) if len(own) else np.zeros((0, 2), np.int64)
-    if not recurring:
+    """Earliest (document, word) of each window of each piece.
+
+    Windows whose hash recurs (in the pieces, or because a piece does) are confirmed as phrases; a piece that recurs as
+    a whole, and shares no window with another one, is one long phrase. The distinct words of phrases become letters,
+    all other words share one that is in no phrase.
+    """
+    words = np.fromiter((x.count(b" ") for x in pieces), np.int64, len(pieces)) + 1
+    begin = np.cumsum(words) - words
+    cut = offsets(words - window + 1)
+    data = np.frombuffer(b" ".join(pieces), np.uint8)
+    blank = np.flatnonzero(data == 0x20)
+    h = span_hashes(data, np.concatenate([[0], blank + 1]), np.append(blank, len(data)))
+    own = np.repeat(np.arange(len(pieces)), np.diff(cut))
+    at = ranges(begin, words - window + 1)
+    place = np.stack([doc[own], start[own] + at - begin[own]], axis=1)
+    _, example, kind = np.unique(gram_hashes(h, window)[at], return_index=True, return_inverse=True)
+    pieces_with = np.bincount(kind)
+    recurring = (np.bincount(kind, weights=1 + again[own]) > 1)[kind]
+    if not recurring.any():
         return place, cut
+    in_phrase = covered(at[recurring], window, len(h))
+    whole = again & np.logical_and.reduceat(pieces_with[kind] == 1, cut[:-1])
+    known, number = np.unique(h[in_phrase], return_inverse=True)
+    letter = np.zeros(len(h), np.int64)
+    letter[in_phrase] = number + 1
+    line, width = _spelled(letter, len(known) + 1)
+    automaton = ahocorasick.Automaton()
+    single = example[np.unique(kind[recurring & ~whole[own]])]
+    total = 0  # a phrase takes a number for each of its windows
+    for a, n in [*((at[i], window) for i in single.tolist()), *((begin[i], words[i]) for i in np.flatnonzero(whole).tolist())]:
+        automaton.add_word(line[a * width : (a + n) * width], (total, n))
+        total += n - window + 1
     automaton.make_automaton()
     which = np.full(len(own), -1, np.int64)
-    for line, base in zip(lines, cut.tolist()):
-        for end, phrase in automaton.iter(line):
-            which[base + end - window + 1] = phrase
+    for a, n, base in zip((begin * width).tolist(), (words * width).tolist(), cut.tolist()):
+        for end, (phrase, size) in automaton.iter(line[a : a + n]):
+            windows = size - window + 1
+            i = base + (end + 1) // width - size
+            which[i : i + windows] = range(phrase, phrase + windows) if windows > 1 else phrase
     hit = np.flatnonzero(which >= 0)
     order = hit[np.lexsort((place[hit, 1], place[hit, 0], which[hit]))]
     first = np.concatenate([[True], which[order][1:] != which[order][:-1]])
@@ -81,9 +104,6 @@ class _Words(Router):
     def canonical(self, piece: bytes) -> bytes:
         return b" ".join(piece.split())
 
-    def windows_in(self, piece: bytes) -> int:
-        return len(piece.split()) - self.window + 1
-
 
 def _removed(window: int):
     def apply(docs: pa.Table, texts, doc, chunks, marks) -> pa.Table:

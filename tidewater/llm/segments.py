@@ -5,12 +5,14 @@ gram hash (its *anchor*), so equal windows share an anchor wherever they stand.
 anchor form one *segment*. The work runs in rounds over batches of documents (hash of the row, about 4 MB of text):
 
 1. each batch sends its distinct anchors, five bytes each, to the bucket of the anchor;
-2. a bucket answers, one bit per anchor, which of them occur elsewhere too;
+2. a bucket answers, one bit each per anchor, which of them occur elsewhere too, and which are crowded (often in
+   one batch already, as a common line is);
 3. each batch sends its distinct segments of such anchors to a second bucket, with their first place in the batch;
 4. there an *engine* finds the first place of every window among the segments, and answers in runs;
 5. each batch applies the answers to all its occurrences.
 
-A copy that occurs often is sent once by each batch, so no bucket gets more of a passage than there are batches.
+Segments go where their anchor says; those of crowded anchors are cut into single windows, and each goes where its own
+hash says, so that a common line with all its different neighbours is spread. A copy that occurs often is sent once by each batch, so no bucket gets more of a passage than there are batches.
 Anchors are compared by 40 bits and their bucket; an accidental match only sends a segment that has no partner.
 """
 
@@ -25,12 +27,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.llm.common import LAST_ID, encoded, gram_hashes, ids, offsets, ranges, slices, text_size
+from tidewater.llm.common import LAST_ID, encoded, gram_hashes, ids, mixed, offsets, ranges, slices, span_hashes, text_size
 
 BATCH_BYTES = 4 << 20
 ANCHOR_BUCKET_BYTES = 16 << 20
 SEGMENT_BUCKET_BYTES = 2 << 20
 CHUNK_BYTES = 1 << 19
+CROWD = 64
 
 ANSWER = "batch long, kind int, bucket int, data binary, more binary"
 
@@ -50,6 +53,12 @@ class Chunk:
             return self.data[start:stop].tobytes()
         return self.data[self.starts[start] : self.ends[stop - 1]].tobytes()
 
+    def hashes(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hash of the bytes of each symbol range."""
+        if self.starts is None:
+            return span_hashes(self.data, start, stop)
+        return span_hashes(self.data, self.starts[start], self.ends[stop - 1])
+
 
 @dataclass
 class Runs:
@@ -62,6 +71,21 @@ class Runs:
     again: np.ndarray
 
 
+@dataclass
+class Found:
+    """Segments of a batch by bucket, hash, document and place: where they lie, and which begin a run of equal ones."""
+
+    bucket: np.ndarray
+    key: np.ndarray
+    doc: np.ndarray
+    inside: np.ndarray
+    chunk: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    count: np.ndarray
+    new: np.ndarray
+
+
 def smallest(h: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every w consecutive values, by doubling."""
     length = 1
@@ -81,23 +105,26 @@ def runs_of(chunk: Chunk, window: int, gram: int, repeats: bool) -> Runs:
     if len(chunk.grams) < w:
         return Runs(none, none, none, none.view(np.uint64), none.astype(bool))
     least = smallest(chunk.grams, w)
-    sizes = np.diff(chunk.bounds)
-    text = np.repeat(np.arange(len(sizes)), sizes)[: len(least)]
-    valid = np.arange(len(least)) + window <= chunk.bounds[1:][text]
     change = np.empty(len(least), bool)
     change[0] = True
-    change[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (valid[1:] != valid[:-1])
+    np.not_equal(least[1:], least[:-1], out=change[1:])
+    # windows that would leave their text: from ``stop`` to the next text
+    begin = chunk.bounds[:-1]
+    stop = np.maximum(chunk.bounds[1:] - window + 1, begin)
+    change[begin[begin < len(least)]] = True
+    change[stop[stop < len(least)]] = True
     first = np.flatnonzero(change)
     count = np.diff(np.append(first, len(least)))
-    keep = valid[first]
-    first, count = first[keep], count[keep]
+    text = np.searchsorted(chunk.bounds, first, side="right") - 1
+    keep = first < stop[text]
+    first, count, text = first[keep], count[keep], text[keep]
     anchor = least[first]
     again = np.zeros(len(first), bool)
     if repeats and len(first):
         spread = count + w - 1
         same = chunk.grams[ranges(first, spread)] == np.repeat(anchor, spread)
         again = np.add.reduceat(same, np.cumsum(spread) - spread) > 1
-    return Runs(text[first], first, count, anchor, again)
+    return Runs(text, first, count, anchor, again)
 
 
 def five_bytes(values: np.ndarray) -> bytes:
@@ -145,7 +172,7 @@ class Router:
         return docs, texts, doc, chunks
 
     def _anchors(self, doc: np.ndarray, chunks) -> tuple[list[Runs], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs per chunk; sorted distinct anchors with their bucket, and whether the batch alone makes them shared."""
+        """Runs per chunk; sorted distinct anchors with their bucket, whether the batch alone makes them shared, crowded."""
         found = [runs_of(c, self.window, self.gram, self.within) for _, _, c in chunks]
         anchor = np.concatenate([np.zeros(0, np.uint64), *(r.anchor for r in found)])
         owner = np.concatenate([np.zeros(0, np.int64), *(doc[a:b][r.text] for (a, b, _), r in zip(chunks, found))])
@@ -156,16 +183,17 @@ class Router:
         first, size = groups(anchor)
         if not len(first):
             return found, anchor, bucket, again, again
+        crowded = size > CROWD
         if self.within:
             shared = (size > 1) | np.logical_or.reduceat(again, first)
         else:
             shared = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
-        return found, anchor[first], bucket[first], shared, again
+        return found, anchor[first], bucket[first], shared, crowded
 
     def send_anchors(self, docs: pa.Table) -> pa.Table:
         batch = docs["batch"][0].as_py()
         _, _, doc, chunks = self._load(docs)
-        _, anchor, bucket, shared, _ = self._anchors(doc, chunks)
+        _, anchor, bucket, shared, crowded = self._anchors(doc, chunks)
         first, size = groups(bucket)
         value = anchor // np.uint64(self.anchor_buckets)
         return pa.table(
@@ -173,78 +201,94 @@ class Router:
                 "bucket": pa.array(bucket[first], pa.int32()),
                 "batch": pa.array(np.full(len(first), batch), pa.int64()),
                 "data": pa.array([five_bytes(value[a : a + n]) for a, n in zip(first, size)], pa.binary()),
-                "more": pa.array([np.packbits(shared[a : a + n]).tobytes() for a, n in zip(first, size)], pa.binary()),
+                "more": pa.array(
+                    [np.packbits(np.concatenate([shared[a : a + n], crowded[a : a + n]])).tobytes() for a, n in zip(first, size)],
+                    pa.binary(),
+                ),
             }
         )
 
     def answer_anchors(self, sent: pa.Table) -> pa.Table:
         values = [from_five_bytes(x) for x in sent["data"].to_pylist()]
-        flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(v)) for x, v in zip(sent["more"].to_pylist(), values)]
+        flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=2 * len(v)).reshape(2, -1) for x, v in zip(sent["more"].to_pylist(), values)]
         size = offsets(map(len, values))
         every = np.concatenate(values)
         order = np.argsort(every, kind="stable")
         first, count = groups(every[order])
-        shared = (count > 1) | (np.maximum.reduceat(np.concatenate(flags)[order], first) > 0)
-        bits = np.empty(len(every), np.uint8)
-        bits[order] = np.repeat(shared, count)
-        parts = [bits[a:b] for a, b in zip(size, size[1:])]
-        use = [i for i, x in enumerate(parts) if x.any()]
+        flag = np.maximum.reduceat(np.concatenate(flags, axis=1)[:, order], first, axis=1)
+        bits = np.empty((2, len(every)), np.uint8)
+        bits[0, order] = np.repeat((count > 1) | (flag[0] > 0), count)
+        bits[1, order] = np.repeat(flag[1], count)
+        parts = [bits[:, a:b] for a, b in zip(size, size[1:])]
+        use = [i for i, x in enumerate(parts) if x[0].any()]
         return pa.table(
             {
                 "batch": sent["batch"].combine_chunks().take(pa.array(use, pa.int64())),
                 "kind": pa.array(np.zeros(len(use), np.int32)),
                 "bucket": sent["bucket"].combine_chunks().take(pa.array(use, pa.int64())),
-                "data": pa.array([np.packbits(parts[i]).tobytes() for i in use], pa.binary()),
-                "more": pa.nulls(len(use), pa.binary()),
+                "data": pa.array([np.packbits(parts[i][0]).tobytes() for i in use], pa.binary()),
+                "more": pa.array([np.packbits(parts[i][1]).tobytes() for i in use], pa.binary()),
             }
         )
 
-    def _segments(self, doc: np.ndarray, chunks, replies: pa.Table):
-        """Distinct segments of shared anchors per bucket, and every occurrence: chunk, text, window, windows, number."""
+    def _segments(self, doc: np.ndarray, chunks, replies: pa.Table) -> Found:
+        """All segments of shared anchors; equal ones of a bucket, by a 64-bit hash of their bytes, are numbered once."""
         found, anchor, bucket, _, _ = self._anchors(doc, chunks)
         first, size = groups(bucket)
         place = {int(bucket[a]): (a, n) for a, n in zip(first, size)}
-        shared = np.zeros(len(anchor), bool)
-        for kind, b, data in zip(*(replies[c].to_pylist() for c in ("kind", "bucket", "data"))):
+        shared, crowded = np.zeros(len(anchor), bool), np.zeros(len(anchor), bool)
+        for kind, b, data, more in zip(*(replies[c].to_pylist() for c in ("kind", "bucket", "data", "more"))):
             if kind == 0:
                 a, n = place[b]
                 shared[a : a + n] = np.unpackbits(np.frombuffer(data, np.uint8), count=n)
-        wanted = np.sort(anchor[shared])
-        segments: dict[int, dict[bytes, list]] = {}
-        where = []
+                crowded[a : a + n] = np.unpackbits(np.frombuffer(more, np.uint8), count=n)
+        order = np.argsort(anchor[shared])
+        wanted, crowded = anchor[shared][order], crowded[shared][order]
+        parts = []
         for k, ((a, _, chunk), r) in enumerate(zip(chunks, found)):
             if not len(wanted) or not len(r.anchor):
                 continue
             at = np.minimum(np.searchsorted(wanted, r.anchor), len(wanted) - 1)
             hit = np.flatnonzero(wanted[at] == r.anchor)
-            to = ((r.anchor[hit] >> np.uint64(20)) % np.uint64(self.segment_buckets)).astype(np.int64)
-            last = r.first[hit] + r.count[hit] + self.window - 1
-            inside = r.first[hit] - chunk.bounds[r.text[hit]]
-            for i, b, text, s, e, o in zip(
-                hit.tolist(), to.tolist(), r.text[hit].tolist(), r.first[hit].tolist(), last.tolist(), inside.tolist()
-            ):
-                own = segments.setdefault(b, {})
-                seg = own.setdefault(chunk.piece(s, e), [len(own), int(doc[a + text]), o, 0])
-                seg[3] += 1
-                if (int(doc[a + text]), o) < (seg[1], seg[2]):
-                    seg[1:3] = int(doc[a + text]), o
-                where.append((k, s, e - s - self.window + 1, b, seg[0]))
-        return segments, where
+            if not len(hit):
+                continue
+            by, first, count, text = r.anchor[hit], r.first[hit], r.count[hit], r.text[hit]
+            many = crowded[at[hit]]
+            if many.any():  # single windows
+                alone = ranges(first[many], count[many])
+                by = np.concatenate([by[~many], self.window_hashes(chunk.grams, alone)])
+                text = np.concatenate([text[~many], np.repeat(text[many], count[many])])
+                first = np.concatenate([first[~many], alone])
+                count = np.concatenate([count[~many], np.ones(len(alone), np.int64)])
+            to = ((by >> np.uint64(20)) % np.uint64(self.segment_buckets)).astype(np.int64)
+            last = first + count + self.window - 1
+            inside = first - chunk.bounds[text]
+            key = chunk.hashes(first, last).view(np.int64)
+            parts.append(np.stack([to, key, doc[a + text], inside, np.full(len(to), k), first, last, count]))
+        every = np.concatenate(parts, axis=1) if parts else np.zeros((8, 0), np.int64)
+        every = every[:, np.lexsort((every[3], every[2], every[1], every[0]))]
+        new = np.ones(every.shape[1], bool)
+        new[1:] = (every[:2, 1:] != every[:2, :-1]).any(axis=0)
+        return Found(*every, new)
 
     def send_segments(self, docs: pa.Table, replies: pa.Table) -> pa.Table:
         rows = {"bucket": [], "batch": [], "sizes": [], "data": [], "doc": [], "start": [], "times": []}
         if docs.num_rows:
             batch = docs["batch"][0].as_py()
             _, _, doc, chunks = self._load(docs)
-            for b, own in self._segments(doc, chunks, replies)[0].items():
-                info = np.array(list(own.values()), np.int64).reshape(-1, 4)
-                rows["bucket"].append(b)
+            f = self._segments(doc, chunks, replies)
+            first = np.flatnonzero(f.new)
+            times = np.diff(np.append(first, len(f.new)))
+            pieces = [chunks[k][2].piece(s, e) for k, s, e in zip(*(x[first].tolist() for x in (f.chunk, f.first, f.last)))]
+            for a, n in zip(*(x.tolist() for x in groups(f.bucket[first]))):
+                own = first[a : a + n]
+                rows["bucket"].append(int(f.bucket[own[0]]))
                 rows["batch"].append(batch)
-                rows["sizes"].append(np.fromiter(map(len, own), np.uint32, len(own)).tobytes())
-                rows["data"].append(b"".join(own))
-                rows["doc"].append(info[:, 1].tobytes())
-                rows["start"].append(info[:, 2].tobytes())
-                rows["times"].append(np.packbits(info[:, 3] > 1).tobytes())
+                rows["sizes"].append(np.fromiter(map(len, pieces[a : a + n]), np.uint32, n).tobytes())
+                rows["data"].append(b"".join(pieces[a : a + n]))
+                rows["doc"].append(f.doc[own].tobytes())
+                rows["start"].append(f.inside[own].tobytes())
+                rows["times"].append(np.packbits(times[a : a + n] > 1).tobytes())
         types = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), types)})
 
@@ -291,40 +335,39 @@ class Router:
         if not docs.num_rows:
             return self.apply(docs.select(["doc_id", "text"]), [], np.zeros(0, np.int64), [], [])
         docs, texts, doc, chunks = self._load(docs)
-        segments, where = self._segments(doc, chunks, replies)
+        f = self._segments(doc, chunks, replies)
         answers = {}
         for kind, b, data, more in zip(*(replies[c].to_pylist() for c in ("kind", "bucket", "data", "more"))):
             if kind == 1:
                 size = np.frombuffer(data, np.uint32)
-                values = np.repeat(np.frombuffer(more, np.int64).reshape(len(size), -1), size, axis=0)
-                windows = np.fromiter((self.windows_in(x) for x in segments[b]), np.int64, len(segments[b]))
-                answers[b] = values, offsets(windows)
-        per_chunk: list[list] = [[] for _ in chunks]
-        for k, s, n, b, i in where:
-            values, cut = answers[b]
-            per_chunk[k].append((s, n, values[cut[i] : cut[i] + n]))
-        marks = []
-        for (a, _, chunk), found in zip(chunks, per_chunk):
-            if not found:
-                marks.append(np.zeros(0, np.int64))
-                continue
-            at = ranges(np.array([s for s, _, _ in found]), np.array([n for _, n, _ in found]))
-            best = np.concatenate([v for _, _, v in found])
-            text = np.searchsorted(chunk.bounds, at, side="right") - 1
-            own = doc[a + text]
-            late = best[:, 0] < own
-            if self.within:
-                late |= (best[:, 0] == own) & (best[:, 1] < at - chunk.bounds[text])
-            marks.append(np.sort(at[late]))
+                answers[b] = np.repeat(np.frombuffer(more, np.int64).reshape(len(size), -1), size, axis=0)
+        marks = [np.zeros(0, np.int64) for _ in chunks]
+        if answers:  # one row per window of each distinct segment, in the order of sending
+            values = np.concatenate([answers[b] for b in sorted(answers)])
+            cut = offsets(f.count[f.new])[np.cumsum(f.new) - 1]
+            for k, (a, _, chunk) in enumerate(chunks):
+                own = np.flatnonzero(f.chunk == k)
+                at = ranges(f.first[own], f.count[own])
+                best = values[ranges(cut[own], f.count[own])]
+                text = np.searchsorted(chunk.bounds, at, side="right") - 1
+                mine = doc[a + text]
+                late = best[:, 0] < mine
+                if self.within:
+                    late |= (best[:, 0] == mine) & (best[:, 1] < at - chunk.bounds[text])
+                marks[k] = np.sort(at[late])
         return self.apply(docs, texts, doc, chunks, marks)
 
+    def window_hashes(self, grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hash of the window at each symbol, from grams that cover it."""
+        out = np.zeros(len(at), np.uint64)
+        for i in [*range(0, self.window - self.gram, self.gram), self.window - self.gram]:
+            out = mixed(out * np.uint64(0xFF51AFD7ED558CCD) + grams[at + i])
+        return out
+
     # -- symbols: bytes unless an operator says otherwise ---------------------------------------------------------
     def canonical(self, piece: bytes) -> bytes:
         return piece
 
-    def windows_in(self, piece: bytes) -> int:
-        return len(piece) - self.window + 1
-
     # -- the job --------------------------------------------------------------------------------------------------
     def run(self, df: DataFrame, key: str, text: str, schema: str) -> DataFrame:
         docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))

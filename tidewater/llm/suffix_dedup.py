@@ -1,7 +1,7 @@
 """Suffix-array dedup: repeated byte strings by threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
-``segments.Router`` brings the segments of equal windows into one bucket. There the distinct segments are laid end
-to end, suffix-sorted and transformed; intervals of the transform are extended backwards, breadth first, which
+``segments.Router`` brings the segments of equal windows into one bucket. There the distinct segments that have a
+window with an equal hash elsewhere are laid end to end, suffix-sorted and transformed; intervals of the transform are extended backwards, breadth first, which
 yields the boundaries between suffixes in order of their common prefix, 0, 1, 2, ... The expansion stops at the
 minimum length: suffixes that no boundary separates then agree in that many bytes or more.
 """
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewater.llm.common import offsets
+from tidewater.llm.common import offsets, ranges, span_hashes
 from tidewater.llm.segments import Router, byte_chunk, covered
 
 MIN_BYTES = 50
@@ -105,13 +105,38 @@ def first_owner(pieces: list[bytes], doc: np.ndarray, window: int) -> np.ndarray
     return found[np.repeat(starts - before, count) + np.arange(int(count.sum()))]
 
 
+def repeated_windows(pieces: list[bytes], window: int) -> np.ndarray:
+    """Pieces with a window whose hash occurs a second time among all pieces; the others share nothing."""
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    count = size - window + 1
+    at = ranges(np.cumsum(size) - size, count)
+    h = span_hashes(data, at, at + window)
+    order = np.argsort(h)
+    h = h[order]
+    same = np.concatenate([[False], h[1:] == h[:-1], [False]])
+    twice = np.empty(len(h), bool)
+    twice[order] = same[1:] | same[:-1]
+    return np.logical_or.reduceat(twice, np.cumsum(count) - count)
+
+
+def owners(pieces: list[bytes], doc: np.ndarray, window: int) -> np.ndarray:
+    """``first_owner`` of all pieces, which sorts only suffixes of those that share a window with another one."""
+    count = np.fromiter(map(len, pieces), np.int64, len(pieces)) - window + 1
+    out = np.repeat(doc, count)
+    some = repeated_windows(pieces, window)
+    if some.any():
+        out[np.repeat(some, count)] = first_owner([pieces[i] for i in np.flatnonzero(some).tolist()], doc[some], window)
+    return out
+
+
 class _Bytes(Router):
     def __init__(self, window: int):
         gram = min(GRAM, window)
 
         def engine(pieces, doc, start, again):
             cut = offsets(len(x) - window + 1 for x in pieces)
-            return first_owner(pieces, doc, window).reshape(-1, 1), cut
+            return owners(pieces, doc, window).reshape(-1, 1), cut
 
         super().__init__(lambda texts: byte_chunk(texts, gram), engine, _removed(window), window, gram, within=False)
 
