@@ -150,6 +150,30 @@ def fixed_sample(keyed: DataFrame, key: str, label: str, per_class: int) -> Data
     return chosen.select(key, label)
 
 
+def smallest_text(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """One row per key: of several texts the one with the smallest hash, so that the layout of a table decides nothing.
+
+    The number of rows must be bounded by the caller.
+    """
+    others = F.struct(*[c for c in rows.columns if c not in key])
+    least = F.min_by(others, F.struct(F.xxhash64(text), F.coalesce(F.col(text), F.lit(""))))
+    return rows.groupBy(*key).agg(least.alias("_row")).select(*key, "_row.*")
+
+
+def classes_of_one_id(signed: DataFrame, classes: DataFrame, same: list[str], node: str) -> DataFrame:
+    """(a, b): the first class of an id with its other classes, for ids that come with unequal sets.
+
+    ``signed`` has a row per document with ``id`` and the columns ``same`` that tell its class, ``classes`` has those
+    and ``node``. Most tables have no such id; only those found are joined.
+    """
+    own = F.struct(*same)
+    several = signed.groupBy("id").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low <> high")
+    rows = signed.join(several.select("id"), "id", "left_semi").select("id", *same).distinct()
+    nodes = rows.join(classes.select(*same, F.col(node).alias("_node")), same).select("id", "_node")
+    first = nodes.groupBy("id").agg(F.min("_node").alias("a"))
+    return nodes.join(first, "id").select("a", F.col("_node").alias("b")).distinct()
+
+
 def list_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
     """The rows of a list column as views of one array, without an object per value."""
     column = column.combine_chunks()

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.llm.common import encoded, fixed_sample, list_rows, offsets, slices, span_hashes, word_spans
+from tidewater.llm.common import encoded, fixed_sample, list_rows, offsets, slices, smallest_text, span_hashes, word_spans
 
 BUCKETS = 1 << 15
 SAMPLE_PER_LANGUAGE = 500
@@ -215,15 +215,15 @@ def train(
 ) -> Model:
     """Fit on at most ``per_language`` rows of each language, those with the smallest hash of their key.
 
-    Rows without a key or language are left out, texts without words too. The set of languages must be small (it is
+    Rows without a key or language are left out, texts without words too; of several texts of one key and
+    language the one with the smallest hash counts. The set of languages must be small (it is
     collected); the driver gets at most ``buckets`` counts per sample row. Without any row every prediction is
     ``und``.
     """
     own = labelled.select(F.col(key).alias("_key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     chosen = fixed_sample(own, "_key", "lang", per_language)
     got = (
-        own.join(F.broadcast(chosen), ["_key", "lang"])
-        .dropDuplicates(["_key", "lang"])
+        smallest_text(own.join(F.broadcast(chosen), ["_key", "lang"]), ["_key", "lang"])
         .select("lang", "text")
         .repartition(24)
         .mapInArrow(_counted(buckets), "lang string, ids array<int>, shares array<float>")
@@ -239,7 +239,7 @@ def train(
 def predicted(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` (0 to 1); ``und`` and 0 for a null text or one without letters.
 
-    Columns of ``df`` with these names are replaced. Whole texts are read, in slices of documents.
+    Columns of ``df`` with these names, in any case, are replaced. Whole texts are read, in slices of documents.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -251,9 +251,9 @@ def predicted(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 own, score = shared.value.predict([x.decode() for x in texts[a:b]])
                 langs += own
                 scores += score.tolist()
-            columns = {c: batch.column(c) for c in batch.schema.names if c not in ("lang_pred", "score")}
+            columns = {c: batch.column(c) for c in batch.schema.names if c.lower() not in ("lang_pred", "score")}
             columns |= {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
             yield pa.record_batch(columns)
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in ("lang_pred", "score"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name.lower() not in ("lang_pred", "score"))
     return df.mapInArrow(run, f"{kept}, lang_pred string, score double")

@@ -216,9 +216,9 @@ def find_personal_data(df: DataFrame, text: str = "text", keep: list[str] | None
     ``found`` is array<struct<start, end, kind, base, value, score>> by start, then kind as listed in KINDS; positions are code points,
     end exclusive. Base kinds are exact patterns. Added spans never overlap a base span. A null or empty text has
     none. The driver collects counts of vote vectors only: at most 3^7 for each of ten kinds. A column of the input
-    that is named ``found`` is replaced.
+    that is named ``found``, in any case, is replaced.
     """
-    names = [c for c in (df.columns if keep is None else keep) if c != "found" and (keep is not None or c != text)]
+    names = [c for c in (df.columns if keep is None else keep) if c.lower() != "found" and (keep is not None or c != text)]
     body = "`_text`"
     rows = df.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(text), F.lit("")).alias("_text"))
     spans = rows.withColumn("_base", F.expr(base_spans(body))).withColumn("_other", F.expr(other_spans(body)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewater.llm.common import (
-    NOT_BLANK, encoded, fixed_sample, gram_hashes, offsets, slices, span_hashes, word_spans,
+    NOT_BLANK, encoded, fixed_sample, gram_hashes, offsets, slices, smallest_text, span_hashes, word_spans,
 )
 
 BUCKETS = 1 << 15
@@ -199,8 +199,9 @@ def train(
     """Fit on at most ``per_class`` documents of each class, those with the smallest hash of their key.
 
     ``labels`` holds keys and labels 0 or 1 (others are left out); keys without a document do not count. A null text
-    is empty. The driver gets at most 2 * per_class rows of at most ``buckets`` ids (16 bits each up to 65,536
-    buckets) and counts (8 bits each where none is above 255). Without any labelled document every score is one half.
+    is empty; of several texts of one key the one with the smallest hash counts. The driver gets at most
+    2 * per_class rows of at most ``buckets`` ids (16 bits each up to 65,536 buckets) and counts (8 bits each where
+    none is above 255). Without any labelled document every score is one half.
     """
     own = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
     own = own.join(docs.select(F.col(key).alias("_key")), "_key", "left_semi")
@@ -211,7 +212,7 @@ def train(
     chosen = fixed_sample(own, "_key", "label", per_class)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "_key")
     got = (
-        rows.dropDuplicates(["_key", "label"])
+        smallest_text(rows, ["_key", "label"])
         .select("label", "text")
         .repartition(24)
         .mapInArrow(_counted(buckets, grams), "label int, ids binary, times binary")
@@ -225,7 +226,10 @@ def train(
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """``df`` and ``out`` (0 to 1): how likely the whole text is of class 1. A null or empty text has only the bias."""
+    """``df`` and ``out`` (0 to 1): how likely the whole text is of class 1. A null or empty text has only the bias.
+
+    A column of ``df`` with that name, in any case, is replaced.
+    """
     shared = df.sparkSession.sparkContext.broadcast((model, model.table()))
 
     def run(batches):
@@ -233,11 +237,11 @@ def scored(df: DataFrame, model: Model, text: str = "text", out: str = "score")
         for batch in batches:
             texts = encoded(batch.column(text))
             parts = [model.score(texts[a:b], table) for a, b in slices(texts, CHUNK_BYTES)]
-            columns = {c: batch.column(c) for c in batch.schema.names if c != out}
+            columns = {c: batch.column(c) for c in batch.schema.names if c.lower() != out.lower()}
             columns[out] = pa.array(np.concatenate(parts) if parts else np.zeros(0))
             yield pa.record_batch(columns)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name.lower() != out.lower())
     return df.mapInArrow(run, f"{schema}, `{out}` double")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewater.llm.common import stage
 
 BLOCK_ROWS = 1 << 16
+OWN = ("shard", "grown_shard", "slot", "_row", "_block", "_n", "_place", "_first")
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -44,10 +45,13 @@ def shard(df: DataFrame, key: str, shards: int, payload: list[Column]) -> DataFr
     Only the key and ``payload`` travel. A shard is numbered in blocks: each block counts its rows, the counts
     give every block its first slot, and rows are numbered inside their block, so a shard that holds a large part
     of all rows never meets in one task. A null key hashes to a fixed value; rows with equal keys share a shard
-    but not a slot. An empty table gives an empty result.
+    but not a slot. A key or payload column with a name of ``OWN``, in any case, is refused. An empty table gives an empty result.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
+    taken = [c for c in df.select(F.col(key).alias(key), *payload).columns if c.lower() in OWN]
+    if taken:
+        raise ValueError(f"give these columns another name: {taken}")
     row = F.monotonically_increasing_id()
     placed = stage(
         df.select(
