@@ -8,7 +8,7 @@ from helpers import corpus, table
 from test_near_dedup import brute, families
 
 from tidewater.llm import jaccard_join
-from tidewater.llm.jaccard_join import COUNTERS, NONE, jaccard_components, merged, prefixes
+from tidewater.llm.jaccard_join import jaccard_components, prefixes
 
 
 def expected(rows, percent=90, k=3):
@@ -62,20 +62,14 @@ def test_similar_sets_share_a_prefix_token_under_every_order():
         v = np.unique(np.concatenate([u[drop:], r.integers(0, 2**63, int(r.integers(0, 4))).astype(np.uint64)]))
         shared = len(np.intersect1d(u, v))
         if shared and 100 * shared >= 80 * (len(u) + len(v) - shared):
-            frequent = np.unique(r.choice(u, min(5, len(u)))), None
-            frequent = frequent[0], r.integers(1, 9, len(frequent[0])).astype(np.uint64)
-            for a, b in zip(prefixes(u, frequent, 80, 4), prefixes(v, frequent, 80, 4)):
+            digit = {int(t): int(r.integers(1, 9)) for t in np.intersect1d(u, v)}
+            digits = lambda s: np.array([digit.get(int(t), 0) for t in s], np.uint8)
+            for a, b in zip(prefixes(u, digits(u), 80, 4), prefixes(v, digits(v), 80, 4)):
                 assert len(np.intersect1d(a, b))
 
 
-def test_bounded_counters_keep_what_is_frequent():
-    r = np.random.default_rng(9)
-    tokens, counts = NONE, np.zeros(0, np.int64)
-    hot = np.uint64(77)
-    for _ in range(50):
-        more = np.concatenate([r.integers(1000, 2**63, 400).astype(np.uint64), np.full(30, hot)])
-        tokens, counts = merged(tokens, counts, more, 64)
-        assert len(tokens) <= 64
-    at = np.flatnonzero(tokens == hot)
-    assert len(at) == 1 and 1500 - 50 * 430 // 64 <= counts[at[0]] <= 1500
-    assert COUNTERS >= 1 << 16
+def test_one_repeated_row_is_dealt_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BATCH_BYTES", 2_000)
+    rows = [(7, "one row again and again")] * 150 + families(4, 5)
+    got = jaccard_components(table(spark, [(d + 100 if d != 7 else 7, t) for d, t in rows])).collect()
+    assert Counter(tuple(r) for r in got) == expected([(d + 100 if d != 7 else 7, t) for d, t in rows])
