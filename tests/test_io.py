@@ -669,6 +669,23 @@ def test_scratch_without_a_setting_is_below_the_warehouse():
     assert scratch_path(Session(), "y").startswith("hdfs://x/warehouse/_scratch/y-")
 
 
+@pytest.mark.parametrize("master, allowed", [("local", True), ("local[4]", True), ("local-cluster[2,1,1024]", False), ("yarn", False)])
+def test_a_cluster_needs_a_shared_folder(master, allowed):
+    class Unset:
+        def __init__(self, found):
+            self.get = lambda key, default=None: found.get(key, default)
+
+    class Session:
+        conf = Unset({"spark.sql.warehouse.dir": "file:/home/someone/spark-warehouse"})
+        sparkContext = type("Context", (), {"getConf": lambda self: Unset({}), "master": master})()
+
+    if allowed:
+        assert scratch_path(Session(), "y").startswith("file:/home/someone/spark-warehouse/_scratch/y-")
+    else:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch_path(Session(), "y")
+
+
 # --- read surface ------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,15 +51,18 @@ def table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Where that is not set, a local session uses a folder below its warehouse; a cluster has to name one.
+    Where that is not set, a folder of its own below the warehouse is: a session's tables have to be shared, too. On a
+    cluster whose warehouse is a local folder, there is none.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not configured:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        on_one_machine = "://" not in warehouse or warehouse.startswith("file:")
+        if on_one_machine and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        configured = f"{warehouse.rstrip('/')}/_scratch"
     return configured.rstrip("/")
 
 
