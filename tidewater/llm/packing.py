@@ -12,14 +12,14 @@ from __future__ import annotations
 import math
 import unicodedata
 import zlib
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.llm.common import encoded, ranges, stage
+from tidewater.llm.common import NOT_BLANK, encoded, offsets, ranges, span_hashes, stage, word_spans
 
 CAPACITY = 2048
 GROUP_ITEMS = 25_000
@@ -70,8 +70,8 @@ class WordTokenizer:
         self.ids = np.concatenate([self.ids, ids])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
 
-    def learn(self, words: set[bytes]) -> None:
-        """Add words that are not known yet."""
+    def learn(self, words: list[bytes]) -> None:
+        """Add distinct words that are not known yet."""
         stems: dict[bytes, int] = {}
         plain, which, closed, other = [], [], [], []
         for w in words:
@@ -116,9 +116,12 @@ class WordTokenizer:
         return np.concatenate(ids), np.concatenate(sizes)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of UTF-8 texts, which are split at ASCII white space only."""
-        split = [x.split() for x in texts]
-        words = list(chain.from_iterable(split))
+        """Ids of UTF-8 texts, which are split at ASCII white space only; distinct words are looked up once."""
+        whole = b"".join(texts)
+        data = np.frombuffer(whole, np.uint8)
+        starts, ends, bounds = word_spans(data, offsets(map(len, texts)), NOT_BLANK)
+        _, example, kind = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        words = [whole[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist())]
         if len(self.known) > MAX_CACHED_WORDS:
             self.known.clear()
             self.ids, self.bounds = self.ids[:0], self.bounds[:1]
@@ -126,12 +129,13 @@ class WordTokenizer:
         missing = np.flatnonzero(which < 0)
         if len(missing):
             unknown = [words[i] for i in missing.tolist()]
-            self.learn(set(unknown))
+            self.learn(unknown)
             which[missing] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(unknown))
+        which = which[kind]
         first, size = self.bounds[which], self.bounds[which + 1] - self.bounds[which]
         before = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(first - before[:-1], size) + np.arange(int(before[-1]))]
-        cut = before[np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)]
+        cut = before[bounds]
         return [ids[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist())]
 
 
