@@ -47,11 +47,21 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near-duplicates (0.80 or more); of identical rows, one.
 
-    Documents without words are in no group; a document without an id is kept.
+    Documents without words are in no group; a document without an id is kept. Where an id comes with several texts,
+    each of them is a document: the one with the smallest hash goes by the id, the others come after all ids.
     """
-    copies = near_duplicates(docs, **NEAR).filter("NOT kept").select("doc_id").distinct()
-    left = carried(docs).join(copies, "doc_id", "left_anti")
-    once = left.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"])
+    keyed = carried(docs).withColumn("_text_key", F.xxhash64("text")).withColumn("_key", F.col("doc_id"))
+    names = keyed.filter("doc_id IS NOT NULL").select("doc_id", "_text_key").distinct()
+    several = names.groupBy("doc_id").agg(F.min("_text_key").alias("_low"), F.max("_text_key").alias("_high"))
+    others = names.join(several.filter("_low < _high"), "doc_id").filter("_text_key > _low")
+    others = stage(others.select("doc_id", "_text_key", F.monotonically_increasing_id().alias("_n")), "several-texts")
+    if not others.isEmpty():
+        last = docs.agg(F.max("doc_id")).first()[0]
+        later = others.select("doc_id", "_text_key", (F.col("_n") + last + 1).alias("_later"))
+        keyed = keyed.join(later, ["doc_id", "_text_key"], "left").withColumn("_key", F.coalesce("_later", "_key")).drop("_later")
+        keyed = stage(keyed, "named")
+    copies = near_duplicates(keyed, key="_key", **NEAR).filter("NOT kept").select(F.col("doc_id").alias("_key")).distinct()
+    once = keyed.join(copies, "_key", "left_anti").dropDuplicates(["_key", "_text_key"])
     return restored(once, docs)
 
 

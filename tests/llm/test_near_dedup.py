@@ -68,6 +68,14 @@ def test_a_chain_in_one_bucket_loses_no_link(spark):
     assert Counter(tuple(r) for r in got) == brute(rows)
 
 
+def test_an_id_with_several_texts_is_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (9, b), (7, c)]
+    got = near_duplicates(table(spark, rows)).collect()
+    assert Counter(tuple(r) for r in got) == brute(rows)
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (5, 1), (5, 1), (7, 7), (9, 1)]
+
+
 def test_empty_table(spark):
     assert near_duplicates(table(spark, [])).count() == 0
     assert near_duplicates(table(spark, [(1, None), (2, "")])).filter("kept").count() == 2

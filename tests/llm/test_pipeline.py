@@ -39,7 +39,7 @@ def test_stages_match_brute_force(spark, tmp_path):
         kept.append([(r.doc_id, r.text) for r in docs.collect()])
     first = dict(kept[0])
     assert not any(3000 <= d < 4000 for d in first) and len(first) > 0.9 * sum(not 3000 <= d < 4000 for d, _ in rows)
-    want = {d for d, _, c, _ in brute(kept[0]) if d == c}
+    want = {d for d, _, c, _ in brute(kept[0], 80) if d == c}
     assert Counter(kept[1]) == Counter({(d, t): 1 for d, t in kept[0] if d in want})
     bad = {d for d, *_, wrong in contaminated(kept[1], [(1, bench)]) if wrong}
     assert bad >= {4001, 4002} and Counter(kept[2]) == Counter((d, t) for d, t in kept[1] if d not in bad)
@@ -68,6 +68,14 @@ def test_near_duplicates_from_four_fifths_on(spark, tmp_path):
     assert {r.doc_id for r in got} == want and len(got) == len(want)
 
 
+def test_no_text_of_a_repeated_id_is_lost(spark, tmp_path):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (9, c), (9, c), (9, b), (None, a)]
+    got = corpus_pipeline.keep_one_of_each_group(spark, table(spark, rows), str(tmp_path)).collect()
+    kept = Counter(r.text for r in got if r.doc_id is not None)
+    assert kept == {a: 1, b: 1, c: 1} and {r.doc_id for r in got if r.text == a} == {1, None}
+
+
 def test_run_and_registration(spark, tmp_path):
     _, folder, _ = inputs(spark, tmp_path)
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in __spark_entry__.oracle_sql()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewater.llm.common import (
-    LAST_ID, LOWER, NOT_BLANK, encoded, gram_hashes, ids, mixed, offsets, slices, span_hashes, stage, word_spans,
+    LAST_ID, LOWER, NOT_BLANK, classes_of_one_id, encoded, gram_hashes, ids, mixed, offsets, slices, span_hashes, stage, word_spans,
 )
 
 SHINGLE_WORDS = 5
@@ -326,6 +326,8 @@ class NearDuplicates:
         members = self.buckets(classes)
         texts = self.texts(members, classes)
         links = stage(self.confirmed(stage(self.star(members), "star"), texts), "links")
+        same = ["n_shingles", "set_a", "set_b"]
+        links = links.unionByName(stage(classes_of_one_id(self.signed.filter("n_shingles > 0"), classes, same, "id"), "links"))
         found = components(links)
         nodes = stage(self.unsettled(members, found), "unsettled")
         rest = stage(self.confirmed(stage(self.prefix_pairs(nodes, texts), "pairs"), texts), "rest")
@@ -349,7 +351,7 @@ def near_duplicates(
     without words has none and is linked with nothing. component_id is the smallest id that can be reached over
     links, kept marks the rows with that id. At similarity s a pair shares no band with probability
     (1 - s^rows)^bands: 4e-6 at 0.85. Null ids sort after every number and stay null; rows with equal ids are one
-    document with several texts. Other columns are not read; an empty table gives an empty result.
+    document with several texts, all in one component. Other columns are not read; an empty table gives an empty result.
     """
     job = NearDuplicates(df, key, text, percent, shingle, bands, rows)
     classes, found = job.links()
