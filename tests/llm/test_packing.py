@@ -36,6 +36,36 @@ def test_ids_are_the_tokenizers(tokenizer):
             assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+class Counting:
+    """Passes texts on to a tokenizer and keeps them."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode(self, text, **options):
+        self.texts.append(text)
+        return self.tokenizer.encode(text, **options)
+
+    def encode_batch(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch(texts, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_a_run_of_letters_is_encoded_once_whatever_closes_it(tokenizer):
+    words = WordTokenizer(FILE)
+    words.tokenizer = full = Counting(tokenizer)
+    words.runs = runs = Counting(words.runs)
+    for text in ("Straße straße. straße*** niño!! niño.### niño,&&& niño- d'or ab1. (x)", "日本。 日本 日本***"):
+        (ids,) = words.encode([text.encode()])
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(" ".join(runs.texts).split()) == ["niño", "straße"] and not any("niño" in x for x in full.texts)
+    assert " ".join(full.texts).split().count("日本") == 1
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.characters(exclude_categories=['Cs']), max_size=30), max_size=6))
 def test_any_text_has_the_tokenizers_ids(texts):
