@@ -8,6 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tidewater import session
 from tidewater.operators import conversation, cooldown, documents, fleet, listing, mutation, order_stats, rules, trials
 from tidewater.sinks import lake
 
@@ -54,6 +55,59 @@ def test_ranks_of_a_large_group(spark):
     assert (r["median"], r["p95"]) == (99999.5, float(round(0.95 * 199_999)))
 
 
+def scratch_rows(spark, before):
+    """Rows of the scratch tables that were written since ``before`` paths were known."""
+    return sum(spark.read.parquet(path).count() for path in session._scratch.get(id(spark.sparkContext), [])[before:])
+
+
+def test_values_of_a_large_group_are_counted_not_moved(spark):
+    n = 300_000
+    df = spark.range(n).select(F.lit("g").alias("g"), F.sqrt("id").alias("v"))
+    known = len(session._scratch.get(id(spark.sparkContext), []))
+    (r,) = rows(order_stats.exact_summary(df, ["g"], "v"))
+    assert r["n"] == n and r["median"] == pytest.approx((math.sqrt(n // 2 - 1) + math.sqrt(n // 2)) / 2)
+    assert r["p95"] == math.sqrt(round(0.95 * (n - 1)))
+    assert scratch_rows(spark, known) < n / 50
+
+
+@pytest.mark.parametrize("range_rows", [10, 1 << 20])
+def test_large_and_small_groups_with_odd_values(spark, monkeypatch, range_rows):
+    """Both ways give what sorting gives; a small ``RANGE_ROWS`` divides cells again and again."""
+    monkeypatch.setattr(order_stats, "CROWDED_ROWS", 50)
+    monkeypatch.setattr(order_stats, "RANGE_ROWS", range_rows)
+    rng = random.Random(range_rows)
+    inf, nan = math.inf, math.nan
+    pools = {
+        "narrow": [1000 + rng.random() for _ in range(300)], "signs": [rng.gauss(0, 1) * 10 ** rng.randrange(-300, 300) for _ in range(301)],
+        "ties": [4.0] * 200 + [4.0000000001] * 90 + [0.0, -0.0], None: [float(rng.randrange(9) - 4) for _ in range(400)],
+        "ends": [-inf] * 70 + [inf] * 90 + [1.7e308, -1.7e308, 5e-324, -5e-324], "nan": [nan] * 60 + [inf] * 60 + [1.0, 2.0],
+        "small": [3.0, 1.0, nan], "one": [7.0], "fifty": [rng.random() for _ in range(50)],
+    }
+    data = [(g, v) for g, values in pools.items() for v in values] + [("small", None), ("none", None)]
+    rng.shuffle(data)
+    got = {r["g"]: r for r in rows(order_stats.exact_summary(spark.createDataFrame(data, "g string, v double").repartition(3), ["g"], "v"))}
+    assert set(got) == set(pools)
+    for g, values in pools.items():
+        ordered = sorted(values, key=lambda v: (v != v, v))
+        n, r = len(ordered), got[g]
+        want = {"n": n, "min": ordered[0], "max": ordered[-1], "p95": ordered[round(0.95 * (n - 1))]}
+        want["median"] = (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
+        if all(map(math.isfinite, values)) and g != "signs":
+            want |= {"mean": statistics.fmean(values), "std": statistics.stdev(values) if n > 1 else 0.0}
+        for name, value in want.items():
+            assert r[name] == pytest.approx(value, rel=1e-9, abs=1e-12, nan_ok=True) if name in ("mean", "std") else (r[name] == value or (value != value and r[name] != r[name])), (g, name)
+
+
+def test_small_groups_are_shuffled_once(spark):
+    df = spark.range(20_000).select((F.col("id") % 500).alias("g"), F.col("id").cast("double").alias("v"))
+    known = len(session._scratch.get(id(spark.sparkContext), []))
+    out = order_stats.exact_median_and_p95(df, ["g"], "v")
+    assert len(rows(out)) == 500
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hash") == 1
+    assert scratch_rows(spark, known) == 0
+
+
 def test_handoff_speedup_of_zero_is_infinite(spark):
     data = [(1, "serialized", 4.0, 1.0), (1, "serialized", 6.0, 3.0), (1, "zero_copy", 0.0, 1.0)]
     (r,) = rows(trials.handoff_speedup(spark.createDataFrame(data, "dataset_size int, path string, elapsed_ms double, peak_mem_mb double")))

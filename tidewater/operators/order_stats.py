@@ -4,10 +4,12 @@
 finest group, the sketches put a narrow bracket around every wanted rank, and a second pass counts exactly: values
 inside a bracket one by one, all others as one number per gap between brackets.
 
-``exact_summary`` is for any number of groups.
-Values are dealt into ranges of (group, value) with about equal row counts and written once. Counts per range give
-the range and the place of every wanted rank; only ranges that hold one are looked at again, each on its own. Equal
-values are dealt apart by a row number, so a value that fills most of a group is spread like any other.
+``exact_summary`` is for any number of groups of any size. Groups of up to ``CROWDED_ROWS`` are shuffled once, into
+partitions whose number follows the rows, and each is sorted there.
+
+Values of larger groups are never moved. They are counted per cell: 64 cells an octave, then 256 equal steps of a cell
+that is still too full. Sizes of cells, in order, give the cell and the place of every wanted rank; only values of such
+cells are looked at again, at last counted one by one. So what is shuffled are counts.
 """
 
 from __future__ import annotations
@@ -17,12 +19,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.functions.numeric import round_half_even
-from tidewater.session import range_count, scratch_path, written
+from tidewater.session import RANGE_ROWS, ranges_for, written
 
 SKETCH_K = 8192  # a rank is right to about 0.06 per cent
 SLACK = 0.002
 LOOKED_AT_WHOLE = 2_000
 RANKS = ("lower", "upper", "p95")
+CROWDED_ROWS = RANGE_ROWS // 4
+CELLS_AN_OCTAVE = 64
+STEPS = 256
+LARGEST = 1.7976931348623157e308
 
 
 def nearest_rank_index(n: Column, p: float) -> Column:
@@ -35,60 +41,85 @@ def exact_summary(df: DataFrame, group: list[str], value: str, p95: float = 0.95
 
     Null values are left out. Only the group columns are keys; sums of floats never are.
     """
-    spark = df.sparkSession
     values = df.select(*group, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    dealt = values.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(range_count(values), *group, "v", "row")
-    path = scratch_path(spark, "ordered")
-    dealt.select(*group, "v", F.spark_partition_id().alias("range")).write.parquet(path)
-    ranged = spark.read.parquet(path)
+    n = values.count()
+    crowded, held = None, 0
+    if n > CROWDED_ROWS:
+        sizes = values.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
+        crowded = written(sizes.filter(F.col("size") > CROWDED_ROWS), "crowded")
+        held = crowded.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if not held:
+        return _sorted_summary(values, group, n, p95)
+    among = _same("x", "c", group)
+    large = _counted_summary(values.alias("x").join(crowded.alias("c"), among, "left_semi"), group, held, p95)
+    if held == n:
+        return large
+    others = values.alias("x").join(crowded.alias("c"), among, "left_anti")
+    return large.unionByName(_sorted_summary(others, group, n - held, p95))
+
+
+def _wanted_ranks(n: Column, p95: float) -> dict[str, Column]:
+    ranks = (F.floor((n - 1) / 2), F.ceil((n - 1) / 2), nearest_rank_index(n, p95))
+    return {name: rank.cast("bigint") for name, rank in zip(RANKS, ranks)}
+
+
+def _sorted_summary(values: DataFrame, group: list[str], n: int, p95: float) -> DataFrame:
+    """``exact_summary`` of groups that one task can sort; ``n`` values in all."""
+    by_value = W.partitionBy(*group).orderBy("v")
+    placed = values.repartition(ranges_for(values.sparkSession, n), *group).select(
+        *group, "v", (F.row_number().over(by_value) - 1).alias("at"),
+        F.count(F.lit(1)).over(by_value.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("size"),
+    )
+    at_rank = {
+        name: F.max(F.when(F.col("at") == rank, F.col("v"))) for name, rank in _wanted_ranks(F.col("size"), p95).items()
+    }
+    size = F.count(F.lit(1))
+    return placed.groupBy(*group).agg(
+        size.alias("n"),
+        (F.sum("v") / size).alias("mean"),
+        F.when(size > 1, F.stddev_samp("v")).otherwise(0.0).alias("std"),
+        ((at_rank["lower"] + at_rank["upper"]) / 2).alias("median"),
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
+        at_rank["p95"].alias("p95"),
+    )
 
-    # one row per group and range
-    parts = ranged.groupBy(*group, "range").agg(
+
+def _finite(v: Column) -> Column:
+    """Infinities and NaN, which is above all numbers, as the largest numbers of their sign."""
+    return F.greatest(F.lit(-LARGEST), F.least(v, F.lit(LARGEST)))
+
+
+def _cell(v: Column) -> Column:
+    """A number that never falls while v rises: 64 of them for every doubling."""
+    octave = F.floor(F.log2(F.abs(_finite(v))) * CELLS_AN_OCTAVE) + 1100 * CELLS_AN_OCTAVE
+    return F.when(v == 0, F.lit(0)).when(v > 0, octave).otherwise(-octave)
+
+
+def _counted_summary(values: DataFrame, group: list[str], n: int, p95: float) -> DataFrame:
+    """``exact_summary`` of a few large groups, ``n`` values in all, without moving values."""
+    v = F.col("v")
+    parts = values.groupBy(*group, _cell(v).alias("cell")).agg(
         F.count(F.lit(1)).alias("size"), F.min("v").alias("low"), F.max("v").alias("high"),
         F.sum("v").alias("total"), F.avg("v").alias("part_mean"), F.var_pop("v").alias("part_variance"),
     )
-    parts = parts.withColumn("upto", F.sum("size").over(W.partitionBy(*group).orderBy("range")))
+    parts = written(parts, "cells")
     whole = parts.groupBy(*group).agg(
         F.sum("size").alias("n"), F.min("low").alias("min"), F.max("high").alias("max"), F.sum("total").alias("total")
     )
-    mean = F.col("total") / F.col("n")
-    spread = parts.drop("total").join(whole.select(*[F.col(g).alias(f"g_{g}") for g in group], "n", "total"), [F.col(g).eqNullSafe(F.col(f"g_{g}")) for g in group])
-    moments = spread.groupBy(*group).agg(
-        F.first("n").alias("n"),
-        F.sum(F.col("size") * (F.col("part_variance") + (F.col("part_mean") - mean) ** 2)).alias("squares"),
-    )
-    wanted = spread.select(
-        *group, "range", "upto", "size",
-        F.explode(F.array(*[
-            F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank"))
-            for name, rank in (
-                ("lower", F.floor((F.col("n") - 1) / 2)), ("upper", F.ceil((F.col("n") - 1) / 2)),
-                ("p95", nearest_rank_index(F.col("n"), p95)),
-            )
-        ])).alias("w"),
-    ).filter((F.col("w.rank") < F.col("upto")) & (F.col("w.rank") >= F.col("upto") - F.col("size")))
-    # at most three places in a range: (name, place) pairs
-    places = wanted.groupBy(*group, "range").agg(
-        F.collect_list(F.struct(F.col("w.name").alias("name"), (F.col("w.rank") - F.col("upto") + F.col("size")).alias("place"))).alias("places")
-    ).select(*[F.col(g).alias(f"g_{g}") for g in group], F.col("range").alias("g_range"), "places")
-    looked_at = ranged.join(places, [F.col("range") == F.col("g_range"), *[F.col(g).eqNullSafe(F.col(f"g_{g}")) for g in group]])
-    placed = looked_at.withColumn("at", F.row_number().over(W.partitionBy(*group, "range").orderBy("v")) - 1)
-    hits = placed.select(
-        *group, "v", F.explode(F.filter("places", lambda p: p["place"] == F.col("at"))).alias("p")
-    )
-    ranks = hits.groupBy(*group).agg(
-        *[F.max(F.when(F.col("p.name") == name, F.col("v"))).alias(name) for name in ("lower", "upper", "p95")]
-    )
-    w, m, r = whole.alias("w"), moments.alias("m"), ranks.alias("r")
-    joined = w.join(m, [F.col(f"w.{g}").eqNullSafe(F.col(f"m.{g}")) for g in group]).join(
-        r, [F.col(f"w.{g}").eqNullSafe(F.col(f"r.{g}")) for g in group]
+    mean = F.col("w.total") / F.col("w.n")
+    spread = parts.alias("p").join(whole.alias("w"), _same("p", "w", group))
+    moments = spread.groupBy(*[F.col(f"p.{g}").alias(g) for g in group]).agg(
+        F.sum(F.col("p.size") * (F.col("p.part_variance") + (F.col("p.part_mean") - mean) ** 2)).alias("squares")
     )
-    n = F.col("w.n")
+    ranks = _ranks(values, parts, whole, group, n, p95)
+    joined = whole.alias("w").join(moments.alias("m"), _same("w", "m", group)).join(ranks.alias("r"), _same("w", "r", group))
+    n_ = F.col("w.n")
     return joined.select(
         *[F.col(f"w.{g}").alias(g) for g in group],
-        n.alias("n"),
-        (F.col("w.total") / n).alias("mean"),
-        F.when(n > 1, F.sqrt(F.col("m.squares") / (n - 1))).otherwise(0.0).alias("std"),
+        n_.alias("n"),
+        mean.alias("mean"),
+        F.when(n_ > 1, F.sqrt(F.col("m.squares") / (n_ - 1))).otherwise(0.0).alias("std"),
         ((F.col("r.lower") + F.col("r.upper")) / 2).alias("median"),
         F.col("w.min").alias("min"),
         F.col("w.max").alias("max"),
@@ -96,6 +127,45 @@ def exact_summary(df: DataFrame, group: list[str], value: str, p95: float = 0.95
     )
 
 
+def _ranks(values: DataFrame, parts: DataFrame, whole: DataFrame, group: list[str], n: int, p95: float) -> DataFrame:
+    """Per group the values at its wanted ranks: cells that hold one are divided until each holds a single value."""
+    asked = whole.select(
+        *group, F.explode(F.array(*[
+            F.struct(F.lit(name).alias("name"), rank.alias("place")) for name, rank in _wanted_ranks(F.col("n"), p95).items()
+        ])).alias("r"),
+    ).select(*group, "r.name", "r.place")
+    wanted = written(_placed(asked, parts, group, []), "wanted")
+    before = None
+    while True:
+        open_ = wanted.filter(F.col("low") < F.col("high"))
+        cells = open_.select(*group, F.col("low").alias("from"), F.col("high").alias("to"), "size").distinct()
+        rows, fullest = cells.agg(F.sum("size"), F.max("size")).first()
+        if not rows:
+            return wanted.groupBy(*group).agg(*[F.max(F.when(F.col("name") == name, F.col("low"))).alias(name) for name in RANKS])
+        divide = (rows > max(RANGE_ROWS, n // 16) or fullest > RANGE_ROWS) and (before is None or rows < before)
+        before = rows
+        v, low, high = F.col("x.v"), F.col("c.from"), F.col("c.to")
+        step = F.floor((_finite(v) - _finite(low)) / F.nullif(_finite(high) - _finite(low), F.lit(0.0)) * STEPS)
+        inside = values.alias("x").join(cells.alias("c"), [*_same("x", "c", group), v.between(low, high)])
+        counted = inside.groupBy(
+            *[F.col(f"x.{g}").alias(g) for g in group], low.alias("from"), (step if divide else v).alias("cell")
+        ).agg(F.count(F.lit(1)).alias("size"), F.min("x.v").alias("low"), F.max("x.v").alias("high"))
+        asked = open_.select(*group, F.col("low").alias("from"), "name", "place")
+        found = wanted.filter(~(F.col("low") < F.col("high")))
+        wanted = written(found.unionByName(_placed(asked, counted, group, ["from"])), "wanted")
+
+
+def _placed(asked: DataFrame, cells: DataFrame, group: list[str], within: list[str]) -> DataFrame:
+    """The cell that each asked place lies in, and the place inside it; places count per group (and ``within``)."""
+    keys = [*group, *within]
+    upto = cells.withColumn("upto", F.sum("size").over(W.partitionBy(*keys).orderBy("cell")))
+    start = F.col("c.upto") - F.col("c.size")
+    held = [(F.col("a.place") >= start), (F.col("a.place") < F.col("c.upto"))]
+    return asked.alias("a").join(upto.alias("c"), [*_same("a", "c", keys), *held]).select(
+        *[F.col(f"a.{g}").alias(g) for g in group], "a.name", (F.col("a.place") - start).alias("place"), "c.low", "c.high", "c.size"
+    )
+
+
 def _same(left: str, right: str, names: list[str]) -> list[Column]:
     return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in names]
 

@@ -72,8 +72,12 @@ LEAST_RANGE_ROWS = 1 << 12
 
 def range_count(df: DataFrame, rows: int = RANGE_ROWS) -> int:
     """Ranges for about ``rows`` rows each, so that their number grows with the table; small tables get more, smaller ones."""
-    n = df.count()
-    spread = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / LEAST_RANGE_ROWS))
+    return ranges_for(df.sparkSession, df.count(), rows)
+
+
+def ranges_for(spark: SparkSession, n: int, rows: int = RANGE_ROWS) -> int:
+    """``range_count`` of a table of n rows."""
+    spread = min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / LEAST_RANGE_ROWS))
     return max(1, spread, math.ceil(n / rows))
 
 
