@@ -108,6 +108,14 @@ def test_small_groups_are_shuffled_once(spark):
     assert scratch_rows(spark, known) == 0
 
 
+def test_partitions_of_small_groups_follow_the_rows(spark):
+    """A task sorts about ``RANGE_ROWS`` values, however many shuffle partitions the cluster is set to."""
+    df = spark.createDataFrame([(1, 2.0)], "g int, v double")
+    for millions in (50, 300):
+        out = order_stats._sorted_summary(df, ["g"], millions * session.RANGE_ROWS, 0.95)
+        assert f"{millions}), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_handoff_speedup_of_zero_is_infinite(spark):
     data = [(1, "serialized", 4.0, 1.0), (1, "serialized", 6.0, 3.0), (1, "zero_copy", 0.0, 1.0)]
     (r,) = rows(trials.handoff_speedup(spark.createDataFrame(data, "dataset_size int, path string, elapsed_ms double, peak_mem_mb double")))
