@@ -116,6 +116,32 @@ def test_partitions_of_small_groups_follow_the_rows(spark):
         assert f"{millions}), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_many_partitions_are_reached_in_two_shuffles(spark, monkeypatch):
+    """To more than 200 partitions a task would hold and sort all rows of its input before it writes them."""
+    df = spark.range(5000).select((F.col("id") % 40).alias("g"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("v"))
+    plan = lambda n: order_stats._sorted_summary(df, ["g"], n, 0.95)._jdf.queryExecution().executedPlan().toString()
+    assert [f"{parts}), REPARTITION_BY_NUM" in plan(300 * session.RANGE_ROWS) for parts in (200, 300)] == [True, True]
+    assert plan(200 * session.RANGE_ROWS).count("REPARTITION_BY_NUM") == 1
+    want = rows(order_stats._sorted_summary(df, ["g"], 5000, 0.95), "g")
+    monkeypatch.setattr(order_stats, "DIRECT_PARTITIONS", 3)
+    out = order_stats._sorted_summary(df, ["g"], 7 * session.RANGE_ROWS, 0.95)
+    assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+    got = rows(out, "g")
+    for r in [*got, *want]:
+        r["std"] = round(r["std"], 9)
+    assert got == want and len(got) == 40
+
+
+def test_more_shuffle_partitions_than_tasks_can_write_to_directly_are_not_used(spark):
+    df = spark.createDataFrame([(1, 2.0)], "g int, v double")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        plan = order_stats._sorted_summary(df, ["g"], 36 * session.RANGE_ROWS, 0.95)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert "200), REPARTITION_BY_NUM" in plan and plan.count("REPARTITION_BY_NUM") == 1
+
+
 def test_handoff_speedup_of_zero_is_infinite(spark):
     data = [(1, "serialized", 4.0, 1.0), (1, "serialized", 6.0, 3.0), (1, "zero_copy", 0.0, 1.0)]
     (r,) = rows(trials.handoff_speedup(spark.createDataFrame(data, "dataset_size int, path string, elapsed_ms double, peak_mem_mb double")))

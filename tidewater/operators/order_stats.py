@@ -4,8 +4,8 @@
 finest group, the sketches put a narrow bracket around every wanted rank, and a second pass counts exactly: values
 inside a bracket one by one, all others as one number per gap between brackets.
 
-``exact_summary`` is for any number of groups of any size. Groups of up to ``CROWDED_ROWS`` are shuffled once, into
-partitions whose number follows the rows, and each is sorted there.
+``exact_summary`` is for any number of groups of any size. Groups of up to ``CROWDED_ROWS`` are shuffled into partitions
+whose number follows the rows, and each is sorted there.
 
 Values of larger groups are never moved. They are counted per cell: 64 cells an octave, then 256 equal steps of a cell
 that is still too full. Sizes of cells, in order, give the cell and the place of every wanted rank; only values of such
@@ -14,6 +14,8 @@ cells are looked at again, at last counted one by one. So what is shuffled are c
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,6 +31,7 @@ CROWDED_ROWS = RANGE_ROWS // 4
 CELLS_AN_OCTAVE = 64
 STEPS = 256
 LARGEST = 1.7976931348623157e308
+DIRECT_PARTITIONS = 200  # spark.shuffle.sort.bypassMergeThreshold
 
 
 def nearest_rank_index(n: Column, p: float) -> Column:
@@ -63,10 +66,22 @@ def _wanted_ranks(n: Column, p95: float) -> dict[str, Column]:
     return {name: rank.cast("bigint") for name, rank in zip(RANKS, ranks)}
 
 
+def _dealt(values: DataFrame, group: list[str], n: int) -> DataFrame:
+    """``n`` values in partitions of about ``RANGE_ROWS``, each group in one.
+
+    To up to ``DIRECT_PARTITIONS`` a task writes rows as they come; for more it holds and sorts all rows of its input,
+    whose number no one bounds. Beyond that values are therefore shuffled twice, the first time to that many.
+    """
+    parts = max(min(ranges_for(values.sparkSession, n), DIRECT_PARTITIONS), math.ceil(n / RANGE_ROWS))
+    if parts > DIRECT_PARTITIONS:  # the filter, always true, is there as Spark drops a repartition right below another
+        values = values.repartition(DIRECT_PARTITIONS, *group).filter(F.spark_partition_id() >= 0)
+    return values.repartition(parts, *group)
+
+
 def _sorted_summary(values: DataFrame, group: list[str], n: int, p95: float) -> DataFrame:
     """``exact_summary`` of groups that one task can sort; ``n`` values in all."""
     by_value = W.partitionBy(*group).orderBy("v")
-    placed = values.repartition(ranges_for(values.sparkSession, n), *group).select(
+    placed = _dealt(values, group, n).select(
         *group, "v", (F.row_number().over(by_value) - 1).alias("at"),
         F.count(F.lit(1)).over(by_value.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("size"),
     )
